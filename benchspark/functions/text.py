@@ -8,20 +8,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+# The same characters one by one, for trimming.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(c) -> Column:
     """NULL as the empty text."""
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def lower_strip(c) -> Column:
@@ -30,7 +40,8 @@ def lower_strip(c) -> Column:
 
 def words(c) -> Column:
     """Split at white space; the empty text gives an empty array."""
-    return F.filter(F.split(col(c), f"{WS}+"), lambda w: w != "")
+    clean = strip(c)
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, f"{WS}+"))
 
 
 def first_word(c) -> Column:

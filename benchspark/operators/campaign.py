@@ -12,6 +12,7 @@ from benchspark.functions.text import (
     base_name,
     half_even,
     in_words,
+    let,
     lower_strip,
     strip,
     text,
@@ -154,21 +155,26 @@ def missing_files(samples: DataFrame, inventory: DataFrame, key: str = "idx", pa
 
 def review_flags(task_id="task_id", question="question", answer="answer") -> Column:
     """Names of the checks that a sample trips (H6)."""
-    ql, al = lower_strip(text(question)), lower_strip(text(answer))
-    toks = words(al)
-    first, last = F.try_element_at(toks, F.lit(1)), F.try_element_at(toks, F.lit(-1))
     task1 = F.coalesce(F.col(task_id) == 1, F.lit(False))
-    odd = ql.contains("person with wearing") | ql.endswith(" with") | ql.endswith(" wearing")
-    return F.array_compact(
-        F.array(
-            F.when(ql == "", "missing_question"),
-            F.when(al == "", "missing_answer"),
-            F.when((F.length(al) <= 3) & (al != ""), "short_answer"),
-            F.when(in_words(last, PREPOSITIONS), "trailing_preposition"),
-            F.when(task1 & odd, "weird_task1_question"),
-            F.when(task1 & in_words(first, HUMAN_WORDS), "task1_human_label"),
-            F.when(task1 & (F.size(toks) > 6), "task1_long_label"),
+
+    def flags(ql, al, toks):
+        first, last = F.try_element_at(toks, F.lit(1)), F.try_element_at(toks, F.lit(-1))
+        odd = ql.contains("person with wearing") | ql.endswith(" with") | ql.endswith(" wearing")
+        return F.array_compact(
+            F.array(
+                F.when(ql == "", "missing_question"),
+                F.when(al == "", "missing_answer"),
+                F.when((F.length(al) <= 3) & (al != ""), "short_answer"),
+                F.when(in_words(last, PREPOSITIONS), "trailing_preposition"),
+                F.when(task1 & odd, "weird_task1_question"),
+                F.when(task1 & in_words(first, HUMAN_WORDS), "task1_human_label"),
+                F.when(task1 & (F.size(toks) > 6), "task1_long_label"),
+            )
         )
+
+    return let(
+        lower_strip(text(answer)),
+        lambda al: let(words(al), lambda toks: let(lower_strip(text(question)), lambda ql: flags(ql, al, toks))),
     )
 
 
@@ -230,7 +236,7 @@ def invalid_rows(validated: DataFrame) -> DataFrame:
 
 def manifest_rows(validated: DataFrame, benchmark_path: str) -> DataFrame:
     """Valid samples as manifest rows; the benchmark path is part of the uid."""
-    keyed = validated.where("reason is null").withColumn("k", image_key(F.col("image_paths")[0]))
+    keyed = validated.where("reason is null").withColumn("k", image_key(F.get("image_paths", F.lit(0))))
     unknown = F.lit("unknown")
     scene = F.coalesce(F.nullif(F.col("scene"), F.lit("")), F.nullif(F.col("k.scene"), F.lit("")), unknown)
     with_keys = keyed.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from benchspark.functions.text import WS, base_name, in_words, lower_strip, strip, text, words
+from benchspark.functions.text import WS, base_name, in_words, let, lower_strip, strip, text, words
 from benchspark.operators.campaign import HUMAN_WORDS, PREPOSITIONS
 from benchspark.operators.ranking import exact_quantiles
 
@@ -68,11 +68,22 @@ def targets(question="question", answer="answer") -> Column:
 def qa_flags(samples: DataFrame) -> DataFrame:
     """Every check as a boolean column."""
     a, q = F.col("answer"), F.col("question")
-    low = lower_strip(text(a))
-    toks = words(low)
-    first, last = F.try_element_at(toks, F.lit(1)), F.try_element_at(toks, F.lit(-1))
     t1 = F.coalesce(F.col("task_id") == 1, F.lit(False))
-    t = samples.withColumn("t", targets())
+    shape = let(
+        lower_strip(text(a)),
+        lambda low: let(
+            words(low),
+            lambda toks: F.struct(
+                F.length(low).alias("chars"),
+                F.size(toks).alias("words"),
+                F.try_element_at(toks, F.lit(1)).alias("first"),
+                F.try_element_at(toks, F.lit(-1)).alias("last"),
+            ),
+        ),
+    )
+    t = samples.withColumn("t", targets()).withColumn("shape", shape)
+    chars, first, last = F.col("shape.chars"), F.col("shape.first"), F.col("shape.last")
+    phrase = F.col("shape.words").between(1, 6) & ~in_words(last, PREPOSITIONS) & ~in_words(first, HUMAN_WORDS)
     task = F.col("task_id")
 
     def clash(n):
@@ -87,11 +98,11 @@ def qa_flags(samples: DataFrame) -> DataFrame:
         "t",
         (text(q) == "").alias("missing_question"),
         a.isNull().alias("missing_answer"),
-        F.coalesce(a.isNotNull() & (low == ""), F.lit(False)).alias("empty_answer"),
-        F.coalesce((low != "") & (F.length(low) <= 3), F.lit(False)).alias("short_answer"),
+        F.coalesce(a.isNotNull() & (chars == 0), F.lit(False)).alias("empty_answer"),
+        chars.between(1, 3).alias("short_answer"),
         F.coalesce(in_words(last, PREPOSITIONS), F.lit(False)).alias("trailing_prep"),
         F.coalesce(in_words(first, HUMAN_WORDS), F.lit(False)).alias("human_label"),
-        (t1 & a.isNotNull() & ~F.coalesce(noun_phrase_ok(a), F.lit(False))).alias("noun_phrase_fail"),
+        (t1 & a.isNotNull() & ~F.coalesce(phrase, F.lit(False))).alias("noun_phrase_fail"),
         (t1 & odd_question(q)).alias("weird_question"),
         clash(3).alias("task3_target_mismatch"),
         clash(4).alias("task4_target_mismatch"),

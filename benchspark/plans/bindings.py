@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchspark.operators.campaign import TASK_ORDER
+from benchspark.functions.text import WS
+from benchspark.operators.campaign import HUMAN_WORDS, PREPOSITIONS, TASK_ORDER
 
 SCENES = ["f", "o", "p"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
@@ -119,3 +120,112 @@ CTES = {
   FROM predictions p JOIN manifest m USING (sample_uid) LEFT JOIN last_verdicts v USING (sample_uid, model_key)""",
 }
 SCORING = ("manifest", "predictions", "verdicts", "last_verdicts", "registry", "eval_rows")
+
+
+# --- text in SQL ---------------------------------------------------------------------------------------------------
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
+
+
+def norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{WS}+', ' ', 'g'))"
+
+
+def word_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# --- benchmark samples from documents ------------------------------------------------------------------------------
+
+LANGS = ["en", "fr", "de", "es"]
+
+
+def _image_name(k):
+    return F.concat(F.lit("img/hall_03_"), F.lpad(k.cast("string"), 4, "0"), F.lit("_Cam"), (k % 6 + 1).cast("string"), F.lit("_raw.jpg"))
+
+
+def samples(spark, sf) -> DataFrame:
+    """Documents as benchmark samples: the source is the input file, the language the task, the first line the
+    question, the whole text the answer. Very short texts get no task or no image."""
+    task = F.lit(4)
+    for i in (2, 1, 0):
+        task = F.when(F.col("lang") == LANGS[i], i + 1).otherwise(task)
+    k = F.col("doc_id") % 300
+    images = F.array(*[F.struct(F.concat(F.lit("Cam"), (j % 6 + 1).cast("string")).alias("cam"), _image_name(j).alias("image")) for j in (k, k + 100)])
+    return table(spark, sf, "documents").select(
+        F.col("source"),
+        F.substring("source", 4, 9).cast("int").alias("source_pos"),
+        F.col("doc_id").alias("idx"),
+        F.when(F.col("n_chars") >= 60, task).alias("task_id"),
+        F.lit(None).cast("string").alias("task_type"),
+        F.split("text", "\n", 2)[0].alias("question"),
+        F.col("text").alias("answer"),
+        F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise("").alias("scene"),
+        F.lpad(k.cast("string"), 4, "0").alias("timestamp"),
+        F.array(F.lit("Cam1"), F.lit("Cam2")).alias("input_cams"),
+        F.when(F.col("n_chars") >= 80, images).alias("input_images"),
+    )
+
+
+def inventory(spark, sf) -> DataFrame:
+    """One stored camera image per page."""
+    return table(spark, sf, "pages").select(_image_name(F.col("page_id")).alias("path"))
+
+
+def decisions(spark, sf) -> DataFrame:
+    """Labels as review decisions of the frame that the document belongs to."""
+    word = F.when(F.col("quality") == 0, " Drop ").when(F.col("toxic") == 1, "hold").otherwise("Accepted")
+    return table(spark, sf, "labels").select(
+        F.concat(F.lit("hall||03||"), F.lpad((F.col("doc_id") % 300).cast("string"), 4, "0")).alias("bundle_id"),
+        word.alias("decision"),
+        F.lit("").alias("note"),
+        F.concat(F.lit("r"), F.col("doc_id")).alias("reviewer"),
+        F.lit("").alias("updated_at"),
+        F.col("doc_id").alias("pos"),
+    )
+
+
+def _name_sql(k: str) -> str:
+    return f"'img/hall_03_' || lpad(CAST({k} AS VARCHAR), 4, '0') || '_Cam' || (({k}) % 6 + 1) || '_raw.jpg'"
+
+
+CTES |= {
+    "samples": f"""SELECT source, CAST(substr(source, 4) AS INTEGER) AS source_pos, doc_id AS idx,
+  CASE WHEN n_chars >= 60 THEN CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END END AS task_id,
+  split_part(text, chr(10), 1) AS question, text AS answer,
+  CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE '' END AS scene,
+  lpad(CAST(doc_id % 300 AS VARCHAR), 4, '0') AS timestamp,
+  CASE WHEN n_chars >= 80 THEN [{_name_sql('doc_id % 300')}, {_name_sql('doc_id % 300 + 100')}] ELSE [] END AS image_paths
+  FROM documents""",
+    "inventory": f"SELECT {_name_sql('page_id')} AS path FROM pages",
+    "gone": """SELECT idx, count(*) AS missing FROM (SELECT idx, unnest(image_paths) AS p FROM samples)
+  WHERE p NOT IN (SELECT path FROM inventory) GROUP BY idx""",
+    "checked": f"""SELECT s.*, {strip_sql('question')} AS q, {strip_sql('answer')} AS a,
+  CASE WHEN task_id IS NULL THEN 'invalid_task_id' WHEN len(image_paths) = 0 THEN 'missing_input_images'
+    WHEN missing > 0 THEN 'missing_image_files:' || missing END AS reason,
+  CASE task_id {' '.join(f"WHEN {i + 1} THEN '{t}'" for i, t in enumerate(TASK_ORDER))} ELSE 'unknown' END AS task_type
+  FROM samples s LEFT JOIN gone USING (idx)""",
+    "frozen": f"""SELECT *, '03' AS seq, timestamp AS frame, CASE WHEN scene = '' THEN 'hall' ELSE lower(scene) END AS scene_key,
+  {words_sql('lower(a)')} AS toks FROM checked WHERE reason IS NULL""",
+    "flagged": f"""SELECT *, list_filter([
+   CASE WHEN q = '' THEN 'missing_question' END, CASE WHEN a = '' THEN 'missing_answer' END,
+   CASE WHEN length(a) <= 3 AND a <> '' THEN 'short_answer' END,
+   CASE WHEN toks[len(toks)] IN ({word_list(PREPOSITIONS)}) THEN 'trailing_preposition' END,
+   CASE WHEN task_id = 1 AND (contains(lower(q), 'person with wearing') OR lower(q) LIKE '% with' OR lower(q) LIKE '% wearing')
+     THEN 'weird_task1_question' END,
+   CASE WHEN task_id = 1 AND toks[1] IN ({word_list(HUMAN_WORDS)}) THEN 'task1_human_label' END,
+   CASE WHEN task_id = 1 AND len(toks) > 6 THEN 'task1_long_label' END], lambda f: f IS NOT NULL) AS flags,
+  scene_key || '||' || seq || '||' || frame AS bundle_id FROM frozen""",
+    "decisions": f"""SELECT 'hall||03||' || lpad(CAST(doc_id % 300 AS VARCHAR), 4, '0') AS bundle_id,
+  CASE WHEN quality = 0 THEN 'reject' WHEN toxic = 1 THEN 'undecided' ELSE 'approve' END AS decision,
+  'r' || doc_id AS reviewer, doc_id AS pos FROM labels""",
+    "last_decisions": """SELECT bundle_id, decision, reviewer FROM (SELECT *, row_number() OVER
+  (PARTITION BY bundle_id ORDER BY pos DESC) AS rn FROM decisions) WHERE rn = 1""",
+}
+FREEZING = ("samples", "inventory", "gone", "checked", "frozen", "flagged")
+REVIEW = FREEZING + ("decisions", "last_decisions")

@@ -21,6 +21,7 @@ def build_session(app_name: str = "benchspark", master: str | None = None, **con
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
