@@ -65,7 +65,8 @@ def cumulative_values(df: DataFrame, value: str, slots: int = 256) -> DataFrame:
     cuts = [i / slots for i in range(1, slots)]
     bounds = rows.select(F.percentile_approx("v", cuts, 10000)).scalar()
     counted = rows.groupBy("v").agg(F.count("*").alias("n")).withColumn(
-        "slot", F.size(F.filter(bounds, lambda b: b < F.col("v")))
+        # place of the value among the cuts; native array functions, as a lambda cannot hold the subquery
+        "slot", F.array_position(F.sort_array(F.array_append(bounds, F.col("v"))), F.col("v"))
     )
     per_slot = counted.groupBy("slot").agg(F.sum("n").alias("m"))
     offsets = per_slot.select(

@@ -6,6 +6,7 @@ Every view covers its whole table. The SQL text of a view opens the oracle query
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from benchspark.functions.text import WS
@@ -229,3 +230,87 @@ CTES |= {
 }
 FREEZING = ("samples", "inventory", "gone", "checked", "frozen", "flagged")
 REVIEW = FREEZING + ("decisions", "last_decisions")
+
+
+# --- merge inputs, confidences, providers --------------------------------------------------------------------------
+
+def merge_samples(spark, sf) -> DataFrame:
+    """Documents as rows of several benchmark files: equal first lines in one language are one identity."""
+    return samples(spark, sf).select(
+        "source", "source_pos", "idx",
+        F.coalesce("task_id", F.lit(0)).alias("task_id"),
+        F.lit("t").alias("task_type"),
+        F.lit("Hall").alias("scene"),
+        F.lit(" ").alias("timestamp"),
+        "question",
+        "answer",
+    )
+
+
+def provider_samples(spark, sf) -> DataFrame:
+    """Parts as label samples: brand is the provider, name the label, (type, size) the frame; the size picks the task.
+    Questions and answers of tasks 3 and 4 name a target each."""
+    p = table(spark, sf, "part")
+    first, last = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    task = (F.when(F.col("p_size") <= 25, 1).when(F.col("p_size") <= 35, 3).when(F.col("p_size") <= 45, 4).otherwise(2))
+    other = F.when(F.col("p_partkey") % 3 == 0, first).otherwise(F.upper(last))
+    question = (
+        F.when(task == 3, F.concat(F.lit("Whose GAZE target is '"), last, F.lit("'?")))
+        .when(task == 4, F.concat(F.lit("Can they see the '"), last, F.lit("' from Cam2?")))
+        .when(F.col("p_partkey") % 11 == 0, "What is the person with")
+        .otherwise("What is it?")
+    )
+    answer = (
+        F.when(task == 3, F.concat(F.lit(" Gaze target: "), other, F.lit(". Cam1: YES.")))
+        .when(task == 4, F.concat(F.lit("YES. In Cam1, the "), other, F.when(F.col("p_partkey") % 2 == 0, " is within view.").otherwise(" is outside.")))
+        .when(F.col("p_partkey") % 13 == 0, F.concat(F.col("p_name"), F.lit(" on")))
+        .when(F.col("p_partkey") % 17 == 0, F.concat(F.lit("man with "), F.col("p_name")))
+        .when(F.col("p_partkey") % 19 == 0, "red object")
+        .when(F.col("p_partkey") % 23 == 0, "  ")
+        .when(F.col("p_partkey") % 29 == 0, F.lit(None))
+        .otherwise(F.col("p_name"))
+    )
+    return p.select(
+        F.col("p_partkey").alias("idx"),
+        F.col("p_brand").alias("provider"),
+        task.alias("task_id"),
+        F.col("p_type").alias("scene"),
+        F.col("p_size").cast("string").alias("timestamp"),
+        question.alias("question"),
+        answer.alias("answer"),
+        F.round(F.col("p_retailprice") / 3000, 4).alias("confidence"),
+    )
+
+
+CTES |= {
+    "merge_samples": """SELECT source, source_pos, idx, coalesce(task_id, 0) AS task_id, question, answer,
+  source_pos * 1099511627776 + idx AS place FROM samples""",
+    "identities": f"""SELECT *, row_number() OVER w AS rn, first_value(answer) OVER w AS kept_answer,
+  first_value(question) OVER w AS kept_question, first_value(source_pos) OVER w AS kept_source, first_value(idx) OVER w AS kept_index
+  FROM merge_samples WINDOW w AS (PARTITION BY task_id, lower({norm_sql('question')}) ORDER BY place)""",
+    "providers": """SELECT *, CASE
+    WHEN task_id = 3 THEN 'Whose GAZE target is ''' || last || '''?'
+    WHEN task_id = 4 THEN 'Can they see the ''' || last || ''' from Cam2?'
+    WHEN idx % 11 = 0 THEN 'What is the person with' ELSE 'What is it?' END AS question,
+  CASE WHEN task_id = 3 THEN ' Gaze target: ' || other || '. Cam1: YES.'
+    WHEN task_id = 4 THEN 'YES. In Cam1, the ' || other || CASE WHEN idx % 2 = 0 THEN ' is within view.' ELSE ' is outside.' END
+    WHEN idx % 13 = 0 THEN name || ' on' WHEN idx % 17 = 0 THEN 'man with ' || name WHEN idx % 19 = 0 THEN 'red object'
+    WHEN idx % 23 = 0 THEN '  ' WHEN idx % 29 = 0 THEN NULL ELSE name END AS answer
+  FROM (SELECT *, CASE WHEN idx % 3 = 0 THEN split_part(name, ' ', 1) ELSE upper(last) END AS other FROM
+   (SELECT p_partkey AS idx, p_brand AS provider, p_name AS name, split_part(p_name, ' ', 2) AS last,
+    CASE WHEN p_size <= 25 THEN 1 WHEN p_size <= 35 THEN 3 WHEN p_size <= 45 THEN 4 ELSE 2 END AS task_id,
+    p_type AS scene, CAST(p_size AS VARCHAR) AS timestamp, round(p_retailprice / 3000, 4) AS confidence FROM part))""",
+    "qa": f"""SELECT *, task_id = 1 AND answer IS NOT NULL AND NOT coalesce(len(toks) BETWEEN 1 AND 6
+    AND toks[len(toks)] NOT IN ({word_list(PREPOSITIONS)}) AND toks[1] NOT IN ({word_list(HUMAN_WORDS)}), false) AS noun_phrase_fail,
+  coalesce(toks[len(toks)] IN ({word_list(PREPOSITIONS)}), false) AS trailing_prep,
+  coalesce(toks[1] IN ({word_list(HUMAN_WORDS)}), false) AS human_label,
+  task_id = 1 AND (contains(ql, 'person with wearing') OR ql LIKE '% with' OR ql LIKE '% wearing') AS weird_question,
+  task_id = 3 AND lower(q3) <> lower(a3) AS bad3, task_id = 4 AND lower(q4) <> lower(a4) AS bad4
+  FROM (SELECT *, lower(trim(question)) AS ql, trim(lower(coalesce(answer, ''))) AS low, {words_sql("lower(coalesce(answer, ''))")} AS toks,
+    nullif(regexp_extract(lower(question), 'gaze target is ''([^'']+)''', 1), '') AS q3,
+    nullif(trim(regexp_extract(answer, '^\\s*Gaze target:\\s*([^.]+)\\.', 1)), '') AS a3,
+    nullif(regexp_extract(question, 'see the ''([^'']+)''', 1), '') AS q4,
+    nullif(regexp_extract(answer, 'In\\s+Cam\\w+,\\s+the\\s+(\\S.*?)\\s+is\\s+(within|outside)', 1), '') AS a4 FROM providers)""",
+}
+MERGE = ("samples", "merge_samples", "identities")
+PROVIDERS = ("providers", "qa")
