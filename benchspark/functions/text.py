@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
+WS_CHARS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[{WS_CHARS}]"
 # The same characters one by one, for trimming.
 BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -40,8 +39,7 @@ def lower_strip(c) -> Column:
 
 def words(c) -> Column:
     """Split at white space; the empty text gives an empty array."""
-    clean = strip(c)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, f"{WS}+"))
+    return F.array_remove(F.split(strip(c), f"{WS}+"), "")
 
 
 def first_word(c) -> Column:

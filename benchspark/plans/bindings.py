@@ -314,3 +314,99 @@ CTES |= {
 }
 MERGE = ("samples", "merge_samples", "identities")
 PROVIDERS = ("providers", "qa")
+
+
+# --- frames, cameras and rigs --------------------------------------------------------------------------------------
+
+def camera_rows(spark, sf) -> DataFrame:
+    """Parts as camera views: six neighbouring parts are the cameras of a frame, the brand is the sequence."""
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    n = F.col("p_retailprice")
+    return p.select(
+        F.lower("p_type").alias("split"),
+        F.col("p_brand").alias("seq"),
+        F.lpad(F.floor(k / 6).cast("string"), 4, "0").alias("frame_id"),
+        F.floor(k / 6).cast("string").alias("frame_key"),
+        F.concat(F.lit("Cam"), (k % 6 + 1).cast("string")).alias("cam"),
+        (k % 6).cast("int").alias("cam_pos"),
+        k.alias("pos"),
+        F.when(k % 5 == 0, F.lit(None)).otherwise(k % 3 != 0).cast("boolean").alias("visible"),
+        F.when(k % 11 != 0, F.array((k * 37 % 1000).cast("double"), (k * 91 % 750).cast("double"))).alias("coord"),
+        F.when(
+            k % 13 != 0, F.array((k * 53 % 800).cast("double"), (k * 29 % 500).cast("double"), (F.col("p_size") * 4).cast("double"), F.lit(200.0))
+        ).alias("body"),
+        F.when(k % 7 != 0, F.concat(F.lit("img/"), k.cast("string"), F.lit(".jpg"))).alias("image_path"),
+        F.when(k % 4 == 0, F.substring_index("p_name", " ", -1)).when(k % 9 == 0, "red object").otherwise(F.col("p_name")).alias("label"),
+        F.when(k % 8 == 0, "mask_small_skip").otherwise("mask_primary").alias("mode"),
+        ((k * 17 % 100) / 500).alias("mask_area_ratio"),
+        ((k * 7 % 97) / 100).alias("bbox_gaze_dist_norm"),
+        F.substring_index("p_name", " ", -1).alias("mask_label"),
+        F.col("p_name").alias("ray_label"),
+        F.when(k % 6 == 2, F.lit("Cam1")).alias("prefer_cam"),
+        n.alias("price"),
+    )
+
+
+def one_frame(rows: DataFrame) -> DataFrame:
+    """Give all six cameras of a frame the split and sequence of the frame number."""
+    f = F.floor(F.col("pos") / 6)
+    return rows.withColumns({"split": F.concat(F.lit("s"), (f % 3).cast("string")), "seq": F.concat(F.lit("q"), (f % 50).cast("string"))})
+
+
+def frame_cams(spark, sf) -> DataFrame:
+    return one_frame(camera_rows(spark, sf))
+
+
+def rig_centers(spark, sf) -> DataFrame:
+    """Vectors as extrinsics: six neighbouring vectors are the cameras of one rig."""
+    v = table(spark, sf, "embeddings")
+    e = [F.col("embedding")[i].cast("double") for i in range(16)]
+    return v.select(
+        F.lit("s").alias("split"),
+        F.floor(F.col("vec_id") / 6).cast("string").alias("seq"),
+        F.concat(F.lit("Cam"), (F.col("vec_id") % 6 + 1).cast("string")).alias("cam"),
+        F.array(*e[:9]).alias("r"),
+        F.array(*e[9:12]).alias("t"),
+    )
+
+
+def eye_rows(spark, sf) -> DataFrame:
+    """Four frames per rig: the eye point of each comes from one of the rig's vectors."""
+    v = table(spark, sf, "embeddings").where("vec_id % 6 < 4")
+    return v.select(
+        F.lit("s").alias("split"), F.floor(F.col("vec_id") / 6).cast("string").alias("seq"),
+        F.lpad((F.col("vec_id") % 6).cast("string"), 4, "0").alias("frame_id"),
+        F.array(*[F.col("embedding")[i].cast("double") for i in range(20, 23)]).alias("eye3d"),
+    )
+
+
+CTES |= {
+    "cams": """SELECT *, pos // 6 AS f, 's' || (pos // 6) % 3 AS split, 'q' || (pos // 6) % 50 AS seq, lpad(CAST(pos // 6 AS VARCHAR), 4, '0') AS frame_id,
+  CAST(pos // 6 AS VARCHAR) AS frame_key, 'Cam' || (pos % 6 + 1) AS cam, CAST(pos % 6 AS INTEGER) AS cam_pos,
+  CASE WHEN pos % 5 = 0 THEN NULL ELSE pos % 3 <> 0 END AS visible,
+  CASE WHEN pos % 11 <> 0 THEN CAST(pos * 37 % 1000 AS DOUBLE) END AS cx, CASE WHEN pos % 11 <> 0 THEN CAST(pos * 91 % 750 AS DOUBLE) END AS cy,
+  CASE WHEN pos % 13 <> 0 THEN CAST(pos * 53 % 800 AS DOUBLE) END AS bx, CASE WHEN pos % 13 <> 0 THEN CAST(pos * 29 % 500 AS DOUBLE) END AS by_,
+  CASE WHEN pos % 13 <> 0 THEN CAST(p_size * 4 AS DOUBLE) END AS bw, CASE WHEN pos % 13 <> 0 THEN 200.0::DOUBLE END AS bh,
+  CASE WHEN pos % 7 <> 0 THEN 'img/' || pos || '.jpg' END AS image_path,
+  CASE WHEN pos % 4 = 0 THEN noun WHEN pos % 9 = 0 THEN 'red object' ELSE p_name END AS label,
+  CASE WHEN pos % 8 = 0 THEN 'mask_small_skip' ELSE 'mask_primary' END AS mode, (pos * 17 % 100) / 500 AS area,
+  (pos * 7 % 97) / 100 AS dist, noun AS mask_label, p_name AS ray_label
+  FROM (SELECT *, p_partkey AS pos, split_part(p_name, ' ', 2) AS noun FROM part)""",
+    "centers": """SELECT vec_id // 6 AS rig, vec_id % 6 AS k, embedding::DOUBLE[] AS e FROM embeddings""",
+    "poses": """SELECT rig, k, [-(e[1]*e[10]+e[4]*e[11]+e[7]*e[12]), -(e[2]*e[10]+e[5]*e[11]+e[8]*e[12]), -(e[3]*e[10]+e[6]*e[11]+e[9]*e[12])] AS a,
+  [e[10], e[11], e[12]] AS b FROM centers""",
+    "rigs": """SELECT rig, count(*) AS pairs, min(da) AS lo_a, max(da) AS hi_a, avg(da) AS mean_a, stddev_pop(da) AS std_a, min(db) AS lo_b,
+  max(db) AS hi_b, avg(db) AS mean_b, stddev_pop(db) AS std_b FROM (SELECT p.rig,
+   sqrt((p.a[1]-q.a[1])**2 + (p.a[2]-q.a[2])**2 + (p.a[3]-q.a[3])**2) AS da, sqrt((p.b[1]-q.b[1])**2 + (p.b[2]-q.b[2])**2 + (p.b[3]-q.b[3])**2) AS db
+   FROM poses p JOIN poses q ON p.rig = q.rig AND p.k < q.k) GROUP BY rig""",
+    "scores": """SELECT *, CASE WHEN lo_a < 1e-6 THEN 1e6 ELSE 0 END + CASE WHEN std_a < 1e-6 THEN 1e4 ELSE 0 END + 1 / greatest(mean_a, 1e-6) + 1 / greatest(std_a, 1e-6) AS sa,
+  CASE WHEN lo_b < 1e-6 THEN 1e6 ELSE 0 END + CASE WHEN std_b < 1e-6 THEN 1e4 ELSE 0 END + 1 / greatest(mean_b, 1e-6) + 1 / greatest(std_b, 1e-6) AS sb FROM rigs""",
+    "picked": """SELECT p.rig, p.k, CASE WHEN coalesce(sa, 1e18) <= coalesce(sb, 1e18) THEN a ELSE b END AS c,
+  CASE WHEN coalesce(sa, 1e18) <= coalesce(sb, 1e18) THEN 'world_to_cam' ELSE 'cam_to_world' END AS mode,
+  coalesce(least(sa, sb) / greatest(sa, sb), 1) AS score_ratio FROM poses p LEFT JOIN scores USING (rig)""",
+    "eyes": """SELECT rig, lpad(CAST(k AS VARCHAR), 4, '0') AS frame_id, [e[21], e[22], e[23]] AS eye FROM centers WHERE k < 4""",
+    "dists": """SELECT p.rig, y.frame_id, p.k, p.c, y.eye, sqrt((c[1]-eye[1])**2 + (c[2]-eye[2])**2 + (c[3]-eye[3])**2) AS d
+  FROM picked p JOIN eyes y USING (rig)""",
+}
+RIG = ("centers", "poses", "rigs", "scores", "picked", "eyes", "dists")
