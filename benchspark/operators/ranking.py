@@ -55,20 +55,22 @@ def position_slot(pos, width: int = 1 << 18) -> Column:
     return F.floor((F.col(pos) if isinstance(pos, str) else pos) / F.lit(width)).cast("bigint")
 
 
-def cumulative_values(df: DataFrame, value: str, slots: int = 256) -> DataFrame:
+def _counted(df: DataFrame, value: str) -> DataFrame:
+    """Each distinct value once with its number of rows: copies collapse before the shuffle."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    return rows.groupBy("v").agg(F.count("*").alias("n"))
+
+
+def cumulative_values(counted: DataFrame, slots: int = 256) -> DataFrame:
     """Distinct values with ``below`` (rows with a smaller value) and ``upto`` (rows up to this value).
 
-    Values are counted first (so copies collapse before the shuffle) and the distinct values are cut into slots at
-    approximate quantiles, which follow the data's own distribution.
+    The distinct values are cut into slots at their own approximate quantiles, so slots are even however they spread.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     cuts = [i / slots for i in range(1, slots)]
-    bounds = rows.select(F.percentile_approx("v", cuts, 10000)).scalar()
-    counted = rows.groupBy("v").agg(F.count("*").alias("n")).withColumn(
-        # place of the value among the cuts; native array functions, as a lambda cannot hold the subquery
-        "slot", F.array_position(F.sort_array(F.array_append(bounds, F.col("v"))), F.col("v"))
-    )
-    per_slot = counted.groupBy("slot").agg(F.sum("n").alias("m"))
+    bounds = counted.select(F.percentile_approx("v", cuts, 10000)).scalar()
+    # place of the value among the cuts; native array functions, as a lambda cannot hold the subquery
+    slotted = counted.withColumn("slot", F.array_position(F.sort_array(F.array_append(bounds, F.col("v"))), F.col("v")))
+    per_slot = slotted.groupBy("slot").agg(F.sum("n").alias("m"))
     offsets = per_slot.select(
         F.col("slot").alias("slot_o"),
         F.coalesce(
@@ -77,7 +79,7 @@ def cumulative_values(df: DataFrame, value: str, slots: int = 256) -> DataFrame:
     )
     inside = F.sum("n").over(W.partitionBy("slot").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
     return (
-        counted.withColumn("run", inside)
+        slotted.withColumn("run", inside)
         .join(offsets, F.col("slot") == F.col("slot_o"))
         .select("v", "n", (F.col("off") + F.col("run") - F.col("n")).alias("below"), (F.col("off") + F.col("run")).alias("upto"))
     )
@@ -95,8 +97,9 @@ def exact_quantiles(
     slots: int = 256,
 ) -> DataFrame:
     """One row of exact quantiles: ``linear`` interpolates, ``nearest`` takes index round-half-even(p*(n-1))."""
-    table = cumulative_values(df, value, slots)
-    n = df.select(F.count(value)).scalar()
+    counted = _counted(df, value)
+    table = cumulative_values(counted, slots)
+    n = counted.agg(F.sum("n")).scalar()
     outputs = []
     for name, p in (linear or {}).items():
         h = F.lit(float(p)) * (n - 1)

@@ -30,8 +30,8 @@ def visibility_parse(spark, sf):
 
 
 def annotation_docs(spark, sf):
-    """One annotation document per conversation: turns are frames, roles and texts fill the cameras. Odd conversations
-    hold a list with file names, even ones a map under ``frames``."""
+    """One annotation document per turn of a conversation: the turn is the frame, role and text fill the cameras. Odd
+    conversations give a list with file names, even ones a map under ``frames``."""
     c = b.table(spark, sf, "conversations")
     size = F.length("text").cast("double")
     cam = F.struct(
@@ -39,15 +39,12 @@ def annotation_docs(spark, sf):
         F.when(F.length("text") % 3 != 0, F.array(size, F.lit(7.0))).alias("coordinate"),
     )
     other = F.struct(F.lit(1).alias("visibility"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)).alias("body"))
-    entry = F.struct(
-        F.concat(F.lit("a/b/00"), F.col("turn").cast("string"), F.lit(".x.json")).alias("filename"), cam.alias("Cam3"), other.alias("Cam1")
+    number = F.concat(F.lit("00"), F.col("turn").cast("string"))
+    entry = F.struct(F.concat(F.lit("a/b/"), number, F.lit(".x.json")).alias("filename"), cam.alias("Cam3"), other.alias("Cam1"))
+    doc = F.when(F.col("conv_id") % 2 == 1, F.to_json(F.array(entry))).otherwise(
+        F.to_json(F.struct(F.create_map(number, entry).alias("frames")))
     )
-    # a conversation has few turns, the document is one row of it
-    per = c.groupBy("conv_id").agg(
-        F.collect_list(entry).alias("l"), F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("00"), F.col("turn").cast("string")), entry))).alias("m")
-    )
-    doc = F.when(F.col("conv_id") % 2 == 1, F.to_json("l")).otherwise(F.to_json(F.struct(F.col("m").alias("frames"))))
-    return per.select(F.lit("s").alias("split"), F.col("conv_id").cast("string").alias("seq"), doc.alias("value"))
+    return c.select(F.lit("s").alias("split"), F.col("conv_id").cast("string").alias("seq"), doc.alias("value"))
 
 
 @query(
@@ -73,8 +70,9 @@ def dataset_stats(spark, sf):
 
 
 @query(
-    """SELECT frame_key, cam, least(greatest(cx * 0.5, 0), 499.0) AS x, least(greatest(cy * 0.5, 0), 374.0) AS y,
-  least(bx * 0.5, 499.0) AS bx, least(bw * 0.5, 499.0 - least(bx * 0.5, 499.0)) AS bw, cx AS orig_x FROM cams""",
+    """SELECT frame_key, cam, CASE WHEN cx IS NOT NULL THEN least(cx * 0.5, 499::DOUBLE) END AS x,
+  CASE WHEN cy IS NOT NULL THEN least(cy * 0.5, 374::DOUBLE) END AS y, CASE WHEN bx IS NOT NULL THEN least(bx * 0.5, 499::DOUBLE) END AS bx,
+  CASE WHEN bx IS NOT NULL THEN least(bw * 0.5, 499 - least(bx * 0.5, 499::DOUBLE)) END AS bw, cx AS orig_x FROM cams""",
     ("cams",),
 )
 def rescaled(spark, sf):
@@ -282,7 +280,7 @@ def eye_points(spark, sf):
 DIST = """dist AS (SELECT *, sqrt(greatest(bx - cx, 0, cx - (bx + bw))**2 + greatest(by_ - cy, 0, cy - (by_ + bh))**2) AS px,
   greatest(1, sqrt(greatest(1, bw)**2 + greatest(1, bh)**2)) AS diag FROM cams)"""
 SCORED = f"""{DIST}, scored AS (SELECT *, CASE WHEN cx IS NOT NULL AND bx IS NOT NULL THEN px / diag END AS norm FROM dist),
-ranked AS (SELECT *, coalesce(1 - least(1, abs(norm - 0.6) / 0.2), -1) AS score,
+ranked AS (SELECT *, CASE WHEN norm IS NULL THEN -1 ELSE 1 - least(1, abs(norm - 0.6) / 0.2) END AS score,
   CASE WHEN norm IS NULL THEN 'unknown' WHEN abs(norm - 0.6) <= 0.18 THEN 'medium' WHEN norm > 0.6 THEN 'large' ELSE 'small' END AS bucket,
   CASE WHEN norm IS NULL THEN 9 WHEN abs(norm - 0.6) <= 0.18 THEN 0 WHEN norm > 0.6 THEN 1 ELSE 2 END AS priority FROM scored)"""
 
@@ -353,7 +351,7 @@ def mask_dims(spark, sf):
 
 @query(
     """SELECT l_partkey AS key, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS area_px, round(avg(x), 9) AS cx,
-  round(avg(y), 9) AS cy, round(count(*) / 600.0::DOUBLE, 9) AS area_ratio, greatest(0, min(x) - least(greatest(3, round_even(greatest(1, max(x) - min(x) + 1, max(y) - min(y) + 1) * 0.12, 0)), 6)) AS padded_x1
+  round(avg(y), 9) AS cy, round(count(*) / 600.0::DOUBLE, 9) AS area_ratio, greatest(0, min(x) - least(greatest(3, round_even(greatest(1, max(x) - min(x) + 1, max(y) - min(y) + 1) * 0.12, 0)), 6))::DOUBLE AS padded_x1
 FROM (SELECT *, CAST(l_quantity AS INTEGER) AS x, CAST(l_linenumber AS INTEGER) AS y FROM lineitem) GROUP BY 1"""
 )
 def mask_stats(spark, sf):
