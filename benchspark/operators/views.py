@@ -199,10 +199,10 @@ def override_decision(views: DataFrame, voted: DataFrame, anchor: str = "anchor_
     agree = other & _agrees("clean", "mv_label")
     strong = agree & ~F.lower(text("mode")).contains("mask_small_skip")
     g = j.groupBy(*keys).agg(
-        F.max("mv_label").alias("mv_label"),
+        F.max("mv_label").alias("voted"),
         F.max(F.when(is_anchor, F.struct("label", F.lower(text("mode")).alias("mode")))).alias("a"),
         F.count_if(other).alias("others"), F.count_if(agree).alias("agree"), F.count_if(strong).alias("strong"),
-    ).withColumn("al", F.col("a.label"))
+    ).withColumns({"al": F.col("a.label"), "mv_label": F.col("voted")})
     locked = ~is_ambiguous("al") & ~F.coalesce(F.col("a.mode").contains("mask_small_skip"), F.lit(False))
     match = F.coalesce(F.col("al") == F.col("mv_label"), F.lit(False)) | subset_match("al", "mv_label")
     reason = (
@@ -232,13 +232,13 @@ def confidence(views: DataFrame, canon: str = "canonical", anchor: str = "anchor
     is_anchor = F.col("cam") == F.col(anchor)
     labelled = text("label") != ""
     g = views.groupBy(*keys).agg(
-        F.max(canon).alias("canonical"),
+        F.max(canon).alias("__canon"),
         F.count_if(labelled).alias("views"),
         F.count_if(labelled & _agrees("label", canon)).alias("agree"),
         F.max(F.when(is_anchor, F.col("mask_area_ratio"))).alias("area"),
         F.max(F.when(is_anchor & (given > 0), hits / given)).alias("cue"),
-        (F.max(pose) if pose else F.lit(None).cast("string")).alias("pose"),
-    )
+        (F.max(pose) if pose else F.lit(None).cast("string")).alias("__pose"),
+    ).withColumnsRenamed({"__canon": "canonical", "__pose": "pose"})
     none = (F.col("views") == 0) | (text("canonical") == "")
     spec = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (specificity("canonical") + 1.5) / 6.0))
     parts = g.select(
