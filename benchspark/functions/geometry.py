@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from benchspark.functions.text import col, half_even
+from benchspark.functions.text import col, half_even, let
 
 # Preferred distance of an anchor camera, in person-box diagonals.
 ANCHOR_TARGET = 0.6
@@ -126,12 +126,16 @@ def expand_box(xyxy, w, h, ratio: float = 2.0) -> Column:
     nw, nh = F.greatest(F.lit(2.0), bw * ratio) * 0.5, F.greatest(F.lit(2.0), bh * ratio) * 0.5
 
     def edge(v, size):
-        return F.greatest(F.lit(0), F.least(size - 1, half_even(v, 0).cast("int"))).cast("int")
+        return let(v, lambda x: F.greatest(F.lit(0), F.least(size - 1, half_even(x, 0).cast("int"))).cast("int"))
 
     grown = F.struct(edge(cx - nw, width).alias("x1"), edge(cy - nh, height).alias("y1"),
                      edge(cx + nw, width).alias("x2"), edge(cy + nh, height).alias("y2"))
-    usable = (width > 1) & (height > 1) & (grown["x2"] > grown["x1"]) & (grown["y2"] > grown["y1"])
-    return F.when(usable, F.array(grown["x1"], grown["y1"], grown["x2"], grown["y2"]))
+
+    def keep(g):
+        usable = (width > 1) & (height > 1) & (g["x2"] > g["x1"]) & (g["y2"] > g["y1"])
+        return F.when(usable, F.array(g["x1"], g["y1"], g["x2"], g["y2"]))
+
+    return let(grown, keep)
 
 
 def padded_box(x1, y1, x2, y2, w, h, pad: int = 30, ratio: float = 0.12, cap: int = 50) -> Column:

@@ -106,7 +106,7 @@ def filter_phrase(c, strict: bool = False) -> Column:
     """NULL for phrases that mention overlay marks: as part of a word, or as a word if ``strict`` (C4)."""
     found = re_any(OVERLAY_WORDS)
     pattern = rf"\b(?:{found})\b" if strict else found
-    return _none(F.when(~F.lower(col(c)).rlike(pattern), col(c)))
+    return let(col(c), lambda x: _none(F.when(~F.lower(x).rlike(pattern), x)))
 
 
 def has_on(c) -> Column:
@@ -132,19 +132,17 @@ def sanitize(c) -> Column:
     """Cut at the first conjunction, keep one " on ", drop trailing prepositions."""
     tail = rf"(?i)(?:(?:^| )(?:{re_any(PREPOSITIONS)}))+$"
     squashed = let(_cut_conjunction(col(c)), _squash_on)
-    return _none(F.regexp_replace(F.array_join(words(squashed), " "), tail, ""))
+    return _none(F.regexp_replace(F.trim(F.regexp_replace(squashed, f"{WS}+", " ")), tail, ""))
 
 
 # --- predicates (C6) -----------------------------------------------------------------------------------------------
 
 def is_generic(c) -> Column:
+    def by_words(toks):
+        return _true(F.get(toks, F.lit(0)).isin(*HUMAN_FIRST)) | ((F.size(toks) <= 2) & any_word(toks, BAD_GENERIC_WORDS))
+
     def judge(low):
-        toks = words(low)
-        return (
-            low.isin("", *BAD_OBJECTS, *BAD_GENERIC_PHRASES, *FURNITURE_PHRASES)
-            | _true(F.get(toks, F.lit(0)).isin(*HUMAN_FIRST))
-            | ((F.size(toks) <= 2) & any_word(toks, BAD_GENERIC_WORDS))
-        )
+        return low.isin("", *BAD_OBJECTS, *BAD_GENERIC_PHRASES, *FURNITURE_PHRASES) | let(words(low), by_words)
 
     return F.coalesce(let(lower_strip(col(c)), judge), F.lit(True))
 
@@ -154,7 +152,7 @@ def is_bleeding(c) -> Column:
 
 
 def is_ambiguous(c) -> Column:
-    return is_generic(c) | is_bleeding(c)
+    return let(col(c), lambda x: is_generic(x) | is_bleeding(x))
 
 
 def is_person_like(c) -> Column:
@@ -169,9 +167,12 @@ def is_surface(c) -> Column:
 
 def specificity(c) -> Column:
     """Words, less 2 for a generic label, plus 0.5 for an " on " relation; -1 without a label."""
-    s = col(c)
-    score = F.size(words(s)).cast("double") - F.when(is_generic(s), 2.0).otherwise(0.0) + F.when(has_on(s), 0.5).otherwise(0.0)
-    return F.when(_has(s), score).otherwise(-1.0)
+
+    def score(s):
+        value = F.size(words(s)).cast("double") - F.when(is_generic(s), 2.0).otherwise(0.0) + F.when(has_on(s), 0.5).otherwise(0.0)
+        return F.when(_has(s), value).otherwise(-1.0)
+
+    return let(col(c), score)
 
 
 def most_specific(labels: Column) -> Column:
@@ -193,25 +194,30 @@ def _subset(ta: Column, tb: Column) -> Column:
 
 def subset_match(a, b) -> Column:
     """One label's words all occur in the other; never for labels with " on "."""
-    x, y = col(a), col(b)
-    match = let(
-        words(F.lower(_cut_conjunction(x))), lambda ta: let(words(F.lower(_cut_conjunction(y))), lambda tb: _subset(ta, tb))
-    )
-    return _true(F.when(_has(x) & _has(y) & ~has_on(x) & ~has_on(y), match))
+
+    def judge(x, y):
+        match = let(
+            words(F.lower(_cut_conjunction(x))), lambda ta: let(words(F.lower(_cut_conjunction(y))), lambda tb: _subset(ta, tb))
+        )
+        return _true(F.when(_has(x) & _has(y) & ~has_on(x) & ~has_on(y), match))
+
+    return let(col(a), lambda x: let(col(b), lambda y: judge(x, y)))
 
 
 def _before_on(s: Column) -> Column:
-    return _none(strip(F.get(F.split(s, " on ", 2), F.lit(0))))
+    return _none(strip(F.substring_index(s, " on ", 1)))
 
 
-def relaxed_match(a, b) -> Column:
-    """Equal or subset after sanitising, for the whole label or for the part before " on "."""
+def _relaxed(x: Column, y: Column) -> Column:
+    """Relaxed match of two sanitised labels; the part before " on " is looked at only where there is one."""
+    roots = let(_before_on(x), lambda rx: let(_before_on(y), lambda ry: (rx == ry) | subset_match(rx, ry)))
+    related = x.contains(" on ") | y.contains(" on ")
+    return _true((x == y) | subset_match(x, y) | (related & roots))
 
-    def judge(x, y):
-        roots = let(_before_on(x), lambda rx: let(_before_on(y), lambda ry: (rx == ry) | subset_match(rx, ry)))
-        return (x == y) | subset_match(x, y) | _true(roots)
 
-    return _true(let(sanitize(a), lambda x: let(sanitize(b), lambda y: judge(x, y))))
+def relaxed_match(a, b) -> Column:
+    """Equal or subset after sanitising, for the whole label or for the part before " on "."""
+    return let(sanitize(a), lambda x: let(sanitize(b), lambda y: _relaxed(x, y)))
 
 
 def label_root(c) -> Column:
@@ -226,10 +232,14 @@ def equivalent(a, b) -> Column:
         return F.transform(words(root), lambda t: F.coalesce(F.try_element_at(alias, t), t))
 
     def by_root(ra, rb):
-        return relaxed_match(ra, rb) | _true(let(resolved(ra), lambda ta: let(resolved(rb), lambda tb: _subset(ta, tb))))
+        aliased = let(resolved(ra), lambda ta: let(resolved(rb), lambda tb: _subset(ta, tb)))
+        return F.when(_has(ra) & _has(rb), relaxed_match(ra, rb) | aliased)
+
+    def judge(x, y):
+        root = lambda s: sanitize(_before_on(s))
+        return _relaxed(x, y) | _true(let(root(x), lambda ra: let(root(y), lambda rb: by_root(ra, rb))))
 
-    roots = let(label_root(a), lambda ra: let(label_root(b), lambda rb: F.when(_has(ra) & _has(rb), by_root(ra, rb))))
-    return relaxed_match(a, b) | _true(roots)
+    return let(sanitize(a), lambda x: let(sanitize(b), lambda y: judge(x, y)))
 
 
 def informative(labels: Column) -> Column:
@@ -240,15 +250,21 @@ def informative(labels: Column) -> Column:
 
 def disagreement(labels: Column) -> Column:
     """Some two concrete labels of the map do not match (C11). A map holds one label per cue, so pairs are few."""
-    concrete = F.filter(F.map_values(labels), lambda v: ~is_generic(v))
-    return _true(F.exists(concrete, lambda x: F.exists(concrete, lambda y: ~relaxed_match(x, y))))
+    concrete = F.transform(F.filter(F.map_values(labels), lambda v: ~is_generic(v)), sanitize)
+
+    def differs(vals):
+        # slice starts count from 1, positions from 0
+        later = lambda i: F.slice(vals, i + 2, F.size(vals))
+        return F.exists(F.transform(vals, lambda x, i: F.exists(later(i), lambda y: ~_relaxed(x, y))), lambda d: d)
+
+    return _true(let(concrete, differs))
 
 
-def trigger(current, labels: Column, always: bool = False) -> Column:
-    """Why the arbiter (or, with ``always``, the guardrail) runs (C11)."""
+def trigger(current, differs, always: bool = False) -> Column:
+    """Why the arbiter (or, with ``always``, the guardrail) runs, given the cues' ``disagreement`` (C11)."""
     return (
         F.when(is_ambiguous(sanitize(current)), "current_ambiguous")
-        .when(disagreement(labels), "cue_disagreement")
+        .when(col(differs), "cue_disagreement")
         .otherwise("always_on" if always else "no_trigger")
     )
 
@@ -274,19 +290,21 @@ def prefer_specific(canon, mask, ray, dot) -> Column:
 
 def choose_mask_label(mask, refined, area) -> Column:
     """Mask label for large masks or a subset of it, else the more specific one (C14)."""
-    m, r = sanitize(mask), sanitize(refined)
     limit = max(0.015, SMALL_AREA * 1.8)
-    return F.when(col(area) > limit, F.coalesce(m, r)).when(subset_match(m, r), m).otherwise(
-        most_specific(F.array(m, r))
-    )
+
+    def pick(m, r):
+        return F.when(col(area) > limit, F.coalesce(m, r)).when(subset_match(m, r), m).otherwise(most_specific(F.array(m, r)))
+
+    return let(sanitize(mask), lambda m: let(sanitize(refined), lambda r: pick(m, r)))
 
 
 def dot_tiebreak(mask, dot, ray) -> Column:
     """The dot label may stand in for a weak mask label if it agrees with the ray label."""
-    d, m, r = sanitize(dot), sanitize(mask), sanitize(ray)
-    return _true(
-        d.isNotNull() & ~is_ambiguous(d) & is_ambiguous(m) & r.isNotNull() & (relaxed_match(d, r) | subset_match(d, r))
-    )
+
+    def judge(d, m, r):
+        return _true(d.isNotNull() & ~is_ambiguous(d) & is_ambiguous(m) & r.isNotNull() & (relaxed_match(d, r) | subset_match(d, r)))
+
+    return let(sanitize(dot), lambda d: let(sanitize(mask), lambda m: let(sanitize(ray), lambda r: judge(d, m, r))))
 
 
 def canonicalize(mask, dot, area, ray=None) -> Column:

@@ -94,7 +94,7 @@ def parse_health(c) -> Column:
 def _final_label(found: Column, raw: Column) -> Column:
     """Found label, else a noun phrase of the whole text; NULL if it is no usable label."""
     first = F.coalesce(_none(found), strict_noun_phrase(raw, 4), clean_label(raw, 4))
-    return let(sanitize(filter_phrase(first)), lambda s: F.when(~is_generic(s), s))
+    return let(let(first, lambda f: sanitize(filter_phrase(f))), lambda s: F.when(~is_generic(s), s))
 
 
 def _sentences(c: Column) -> Column:
@@ -242,14 +242,15 @@ def parse_verdict(c, strict: bool = False) -> Column:
 
 # --- payloads (D9, D10) --------------------------------------------------------------------------------------------
 
-def _number(payload: Column, *paths: str) -> Column:
-    return F.coalesce(*[F.get_json_object(payload, p).try_cast("bigint") for p in paths])
+_USAGE = (
+    "usage struct<prompt_tokens:string,input_tokens:string,completion_tokens:string,output_tokens:string,total_tokens:string,"
+    "cached_input_tokens:string,prompt_tokens_details:struct<cached_tokens:string>>,"
+    "usageMetadata struct<promptTokenCount:string,candidatesTokenCount:string,totalTokenCount:string,cachedContentTokenCount:string>"
+)
 
 
 def extract_usage(payload) -> Column:
     """STRUCT of input, output, cached and total tokens from either usage shape."""
-    p = col(payload)
-    other = F.get_json_object(p, "$.usageMetadata").isNotNull()
 
     def filled(prompt, completion, total, cached, rest):
         inp, out = F.coalesce(prompt, F.lit(0)), F.coalesce(completion, F.lit(0))
@@ -261,21 +262,22 @@ def extract_usage(payload) -> Column:
             F.coalesce(cached, F.lit(0)).alias("cached_input_tokens"), both.alias("total_tokens"),
         )
 
-    a = filled(
-        _number(p, "$.usage.prompt_tokens", "$.usage.input_tokens"),
-        _number(p, "$.usage.completion_tokens", "$.usage.output_tokens"),
-        _number(p, "$.usage.total_tokens"),
-        _number(p, "$.usage.prompt_tokens_details.cached_tokens", "$.usage.cached_input_tokens"),
-        rest=False,
-    )
-    b = filled(
-        _number(p, "$.usageMetadata.promptTokenCount"),
-        _number(p, "$.usageMetadata.candidatesTokenCount"),
-        _number(p, "$.usageMetadata.totalTokenCount"),
-        _number(p, "$.usageMetadata.cachedContentTokenCount"),
-        rest=True,
-    )
-    return F.when(other, b).otherwise(a)
+    def number(holder: Column, *names: str) -> Column:
+        return F.coalesce(*[holder.getField(n).try_cast("bigint") for n in names])
+
+    def read(doc):
+        u, m = doc.getField("usage"), doc.getField("usageMetadata")
+        a = filled(
+            number(u, "prompt_tokens", "input_tokens"), number(u, "completion_tokens", "output_tokens"), number(u, "total_tokens"),
+            F.coalesce(number(u.getField("prompt_tokens_details"), "cached_tokens"), number(u, "cached_input_tokens")), rest=False,
+        )
+        b = filled(
+            number(m, "promptTokenCount"), number(m, "candidatesTokenCount"), number(m, "totalTokenCount"),
+            number(m, "cachedContentTokenCount"), rest=True,
+        )
+        return F.when(m.isNotNull(), b).otherwise(a)
+
+    return let(F.from_json(col(payload), _USAGE), read)
 
 
 def extract_text(payload) -> Column:

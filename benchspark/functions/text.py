@@ -38,16 +38,26 @@ def lower_strip(c) -> Column:
 
 
 def words(c) -> Column:
-    """Split at white space; the empty text gives an empty array."""
-    return F.array_remove(F.split(strip(c), f"{WS}+"), "")
+    """Split at white space; the empty text gives an empty array.
+
+    White space is made plain first: that pattern is compiled once, and a split at one space needs none.
+    """
+    return F.array_remove(F.split(F.regexp_replace(col(c), f"{WS}+", " "), " "), "")
 
 
 def first_word(c) -> Column:
-    return F.try_element_at(words(c), F.lit(1))
+    """First word of a stripped text, without splitting the rest; NULL for the empty text."""
+    return F.nullif(F.regexp_extract(col(c), f"^[^{WS_CHARS}]+", 0), F.lit(""))
 
 
 def last_word(c) -> Column:
-    return F.try_element_at(words(c), F.lit(-1))
+    """Last word of a stripped text, found from its end."""
+    return F.nullif(F.reverse(F.regexp_extract(F.reverse(col(c)), f"^[^{WS_CHARS}]+", 0)), F.lit(""))
+
+
+def more_words_than(c, n: int) -> Column:
+    """Whether a stripped text has more than ``n`` words; looks no further than the next word."""
+    return col(c).rlike(f"^(?:[^{WS_CHARS}]+{WS}+){{{n}}}[^{WS_CHARS}]")
 
 
 def norm_space(c) -> Column:
@@ -89,16 +99,19 @@ def half_even(c, digits: int) -> Column:
     ``bround`` rounds the shortest decimal text, so it takes 0.17605 for a tie although the stored number lies
     beside it. Where the scaled value looks like a tie, the exact product (split into two halves) decides.
     """
-    x = col(c)
     scale = F.lit(float(10**digits))
-    scaled = x * scale
-    low = F.floor(scaled)
-    rest = scaled - low
-    wide = x * F.lit(134217729.0)
-    high = wide - (wide - x)
-    error = (high * scale - scaled) + (x - high) * scale
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (low % 2 != 0))))
-    return (low + F.when(up, 1).otherwise(0)).cast("double") / scale
+
+    def rounded(x):
+        scaled = x * scale
+        low = F.floor(scaled)
+        rest = scaled - low
+        wide = x * F.lit(134217729.0)
+        high = wide - (wide - x)
+        error = (high * scale - scaled) + (x - high) * scale
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (low % 2 != 0))))
+        return (low + F.when(up, 1).otherwise(0)).cast("double") / scale
+
+    return let(col(c), rounded)
 
 
 def half_even_sql(x: str, digits: int) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from benchspark.functions.text import half_even, lower_strip, text
 from benchspark.operators.ranking import exact_quantiles, global_rank, hash_slot, position_slot
+from benchspark.operators.rig import DISTANCE_MAX, DISTANCE_MIN
 
 TASKS = (1, 2, 3, 4)
 
@@ -199,18 +200,20 @@ def last_samples(samples: DataFrame, k: int = 5, pos: str = "pos") -> DataFrame:
 
 
 def distance_summary(gated: DataFrame, distance: str = "median_distance") -> DataFrame:
-    """Seen, accepted and rejected frames with min, quartiles and max of the median distance."""
-    basic = gated.agg(
-        F.struct(
-            F.count("*").alias("seen"), F.count_if("accepted").alias("accepted"),
-            F.count_if(~F.coalesce("accepted", F.lit(False))).alias("rejected"),
-            F.min(distance).alias("min_distance"), F.max(distance).alias("max_distance"),
-        ).alias("b")
-    ).scalar()
-    q = exact_quantiles(gated, distance, linear={"p25": 0.25, "median": 0.5, "p75": 0.75})
-    return q.select(
-        *[basic.getField(c).alias(c) for c in ("seen", "accepted", "rejected", "min_distance", "max_distance")], "p25", "median", "p75"
-    )
+    """Seen, accepted and rejected frames with min, quartiles and max of the median distance.
+
+    Acceptance depends on the distance alone, so all counts come from the counted distances.
+    """
+    good = F.col("v").between(DISTANCE_MIN, DISTANCE_MAX)
+
+    def counts(total, missing):
+        accepted = F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0))
+        return [
+            (total + missing).alias("seen"), accepted.alias("accepted"), (total + missing - accepted).alias("rejected"),
+            F.min("v").alias("min_distance"), F.max("v").alias("max_distance"),
+        ]
+
+    return exact_quantiles(gated, distance, linear={"p25": 0.25, "median": 0.5, "p75": 0.75}, extra=counts)
 
 
 # --- output (F15) --------------------------------------------------------------------------------------------------

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from benchspark.functions.text import (
     accuracy,
     base_name,
+    first_word,
     half_even,
     in_words,
+    last_word,
     let,
     lower_strip,
+    more_words_than,
     strip,
     text,
-    words,
 )
 from benchspark.operators.ranking import global_rank, position_slot
 
@@ -157,25 +159,21 @@ def review_flags(task_id="task_id", question="question", answer="answer") -> Col
     """Names of the checks that a sample trips (H6)."""
     task1 = F.coalesce(F.col(task_id) == 1, F.lit(False))
 
-    def flags(ql, al, toks):
-        first, last = F.try_element_at(toks, F.lit(1)), F.try_element_at(toks, F.lit(-1))
+    def flags(ql, a):
         odd = ql.contains("person with wearing") | ql.endswith(" with") | ql.endswith(" wearing")
         return F.array_compact(
             F.array(
                 F.when(ql == "", "missing_question"),
-                F.when(al == "", "missing_answer"),
-                F.when((F.length(al) <= 3) & (al != ""), "short_answer"),
-                F.when(in_words(last, PREPOSITIONS), "trailing_preposition"),
+                F.when(a == "", "missing_answer"),
+                F.when((F.length(a) <= 3) & (a != ""), "short_answer"),
+                F.when(in_words(F.lower(last_word(a)), PREPOSITIONS), "trailing_preposition"),
                 F.when(task1 & odd, "weird_task1_question"),
-                F.when(task1 & in_words(first, HUMAN_WORDS), "task1_human_label"),
-                F.when(task1 & (F.size(toks) > 6), "task1_long_label"),
+                F.when(task1 & in_words(F.lower(first_word(a)), HUMAN_WORDS), "task1_human_label"),
+                F.when(task1 & more_words_than(a, 6), "task1_long_label"),
             )
         )
 
-    return let(
-        lower_strip(text(answer)),
-        lambda al: let(words(al), lambda toks: let(lower_strip(text(question)), lambda ql: flags(ql, al, toks))),
-    )
+    return let(strip(text(answer)), lambda a: let(lower_strip(text(question)), lambda ql: flags(ql, a)))
 
 
 def sample_uid(*parts) -> Column:
@@ -429,20 +427,26 @@ def score_cube(manifest: DataFrame, predictions: DataFrame, verdicts: DataFrame,
 
 # --- tables (H27-H32) --------------------------------------------------------------------------------------------
 
-def model_scores(cube: DataFrame) -> DataFrame:
-    """Per model: overall accuracy, four task accuracies, their mean over four, counts."""
-    per_task = []
-    for t in TASK_ORDER:
-        here = F.col("task_type") == t
-        c, n = F.sum(F.when(here, F.col("correct"))), F.sum(F.when(here, F.col("total")))
-        per_task.append(F.coalesce(accuracy(c, n), F.lit(0.0)).alias(t))
-    sums = cube.groupBy("model_key").agg(*per_task, F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+def model_scores(cube: DataFrame, scenes: Sequence[str] = ()) -> DataFrame:
+    """Per model in one aggregate: overall accuracy, four task accuracies, their mean over four, counts, and one column
+    per scene (NULL where the scene has no answers)."""
+
+    def share(here: Column) -> Column:
+        return accuracy(F.sum(F.when(here, F.col("correct"))), F.sum(F.when(here, F.col("total"))))
+
+    per_task = [F.coalesce(share(F.col("task_type") == t), F.lit(0.0)).alias(t) for t in TASK_ORDER]
+    names = [f"scene_{s}_accuracy" for s in scenes]
+    per_scene = [
+        F.when(F.max(F.col("scene") == s), share(F.col("scene") == s)).alias(n) for s, n in zip(scenes, names)
+    ]
+    sums = cube.groupBy("model_key").agg(*per_task, *per_scene, F.sum("correct").alias("correct"), F.sum("total").alias("total"))
     mean = sum((F.col(t) for t in TASK_ORDER[1:]), F.col(TASK_ORDER[0])) / len(TASK_ORDER)
     return sums.select(
         "model_key",
         accuracy("correct", "total").alias("overall_accuracy"),
         half_even(mean, 4).alias("avg_task_accuracy"),
         *TASK_ORDER,
+        *names,
         "correct",
         "total",
     )
@@ -464,22 +468,10 @@ def accuracy_table(cube: DataFrame, registry: DataFrame) -> DataFrame:
     return _with_rank(model_scores(cube).join(models, "model_key"))
 
 
-def scene_accuracy(cube: DataFrame, scenes: Sequence[str] | None = None) -> DataFrame:
-    """Accuracy per model and scene; with ``scenes`` given, one column per scene."""
+def scene_accuracy(cube: DataFrame) -> DataFrame:
+    """Accuracy per model and scene as rows (H28); ``model_scores`` has them as columns."""
     long = cube.groupBy("model_key", "scene").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
-    if scenes is None:
-        return long.withColumn("scene_accuracy", accuracy("correct", "total"))
-    cols = []
-    for s in scenes:
-        here = F.col("scene") == s
-        cols.append(
-            accuracy(F.sum(F.when(here, F.col("correct"))), F.sum(F.when(here, F.col("total")))).alias(f"scene_{s}_accuracy")
-        )
-    wide = long.groupBy("model_key").agg(*cols, *[F.max(F.col("scene") == s).alias(f"__has_{s}") for s in scenes])
-    # a scene without answers has no accuracy
-    return wide.select(
-        "model_key", *[F.when(F.col(f"__has_{s}"), F.col(f"scene_{s}_accuracy")).alias(f"scene_{s}_accuracy") for s in scenes]
-    )
+    return long.withColumn("scene_accuracy", accuracy("correct", "total"))
 
 
 def leaderboard(cube: DataFrame, registry: DataFrame, scenes: Sequence[str]) -> DataFrame:
@@ -487,8 +479,7 @@ def leaderboard(cube: DataFrame, registry: DataFrame, scenes: Sequence[str]) ->
     models = registry.select(
         "pos", F.col("key").alias("model_key"), F.col("label").alias("model_label"), "model_id", "engine", "group", "track"
     )
-    scores = model_scores(cube).drop(*TASK_ORDER)
-    return _with_rank(models.join(scores, "model_key").join(scene_accuracy(cube, scenes), "model_key"))
+    return _with_rank(models.join(model_scores(cube, scenes).drop(*TASK_ORDER), "model_key"))
 
 
 def without_models(registry: DataFrame, excluded: Sequence[str]) -> DataFrame:

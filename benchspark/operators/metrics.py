@@ -135,7 +135,8 @@ def cider(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """
     g = counted if counted is not None else grams(rows)
     docs = rows.groupBy("model_key").agg(F.count("*").alias("docs"))
-    df = g.where("r > 0").groupBy("model_key", "n", "gram").agg(F.count("*").alias("df"))
+    # both counters are named so that every use of the grams reads one and the same shuffle
+    df = g.groupBy("model_key", "n", "gram").agg(F.count_if((F.col("r") > 0) & (F.col("c") >= 0)).alias("df")).where("df > 0")
     df = df.join(docs, "model_key")
     is_hot = F.col("df") >= F.greatest(F.lit(HOT_MIN), F.col("docs") * HOT_SHARE)
     keys = ["model_key", "n", "gram"]

@@ -8,7 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from benchspark.functions.text import WS, base_name, in_words, let, lower_strip, strip, text, words
+from benchspark.functions.text import (
+    WS,
+    base_name,
+    first_word,
+    in_words,
+    last_word,
+    let,
+    lower_strip,
+    more_words_than,
+    strip,
+    text,
+    words,
+)
 from benchspark.operators.campaign import HUMAN_WORDS, PREPOSITIONS
 from benchspark.operators.ranking import exact_quantiles
 
@@ -70,20 +82,17 @@ def qa_flags(samples: DataFrame) -> DataFrame:
     a, q = F.col("answer"), F.col("question")
     t1 = F.coalesce(F.col("task_id") == 1, F.lit(False))
     shape = let(
-        lower_strip(text(a)),
-        lambda low: let(
-            words(low),
-            lambda toks: F.struct(
-                F.length(low).alias("chars"),
-                F.size(toks).alias("words"),
-                F.try_element_at(toks, F.lit(1)).alias("first"),
-                F.try_element_at(toks, F.lit(-1)).alias("last"),
-            ),
+        strip(text(a)),
+        lambda x: F.struct(
+            F.length(x).alias("chars"),
+            F.lower(first_word(x)).alias("first"),
+            F.lower(last_word(x)).alias("last"),
+            more_words_than(x, 6).alias("long"),
         ),
     )
     t = samples.withColumn("t", targets()).withColumn("shape", shape)
     chars, first, last = F.col("shape.chars"), F.col("shape.first"), F.col("shape.last")
-    phrase = F.col("shape.words").between(1, 6) & ~in_words(last, PREPOSITIONS) & ~in_words(first, HUMAN_WORDS)
+    phrase = (chars > 0) & ~F.col("shape.long") & ~in_words(last, PREPOSITIONS) & ~in_words(first, HUMAN_WORDS)
     task = F.col("task_id")
 
     def clash(n):
@@ -145,17 +154,13 @@ def examples(flags: DataFrame, per_check: int = 5, order: str = "idx") -> DataFr
 
 def confidence_report(samples: DataFrame, conf: str = "confidence") -> DataFrame:
     """Count, missing, min, median, mean, max and nearest-rank percentiles of a confidence column."""
-    basic = samples.agg(
-        F.count(conf).alias("n"),
-        F.count_if(F.col(conf).isNull()).alias("missing"),
-        F.min(conf).alias("min_conf"),
-        F.avg(conf).alias("mean_conf"),
-        F.max(conf).alias("max_conf"),
-    ).select(F.struct("*").alias("b")).scalar()
     marks = {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)}
-    q = exact_quantiles(samples, conf, linear={"median_conf": 0.5}, nearest=marks)
-    return q.select(
-        *[basic.getField(c).alias(c) for c in ("n", "missing", "min_conf", "mean_conf", "max_conf")], "median_conf", *marks
+    return exact_quantiles(
+        samples, conf, linear={"median_conf": 0.5}, nearest=marks,
+        extra=lambda total, missing: [
+            total.alias("n"), missing.alias("missing"), F.min("v").alias("min_conf"),
+            (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean_conf"), F.max("v").alias("max_conf"),
+        ],
     )
 
 

@@ -57,19 +57,18 @@ def position_slot(pos, width: int = 1 << 18) -> Column:
 
 def _counted(df: DataFrame, value: str) -> DataFrame:
     """Each distinct value once with its number of rows: copies collapse before the shuffle."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    return rows.groupBy("v").agg(F.count("*").alias("n"))
+    return df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
 
-def cumulative_values(counted: DataFrame, slots: int = 256) -> DataFrame:
+def _cumulative(counted: DataFrame, bounds: Column) -> DataFrame:
     """Distinct values with ``below`` (rows with a smaller value) and ``upto`` (rows up to this value).
 
     The distinct values are cut into slots at their own approximate quantiles, so slots are even however they spread.
     """
-    cuts = [i / slots for i in range(1, slots)]
-    bounds = counted.select(F.percentile_approx("v", cuts, 10000)).scalar()
     # place of the value among the cuts; native array functions, as a lambda cannot hold the subquery
-    slotted = counted.withColumn("slot", F.array_position(F.sort_array(F.array_append(bounds, F.col("v"))), F.col("v")))
+    slotted = counted.where(F.col("v").isNotNull()).withColumn(
+        "slot", F.array_position(F.sort_array(F.array_append(bounds, F.col("v"))), F.col("v"))
+    )
     per_slot = slotted.groupBy("slot").agg(F.sum("n").alias("m"))
     offsets = per_slot.select(
         F.col("slot").alias("slot_o"),
@@ -95,12 +94,25 @@ def exact_quantiles(
     linear: dict[str, float] | None = None,
     nearest: dict[str, float] | None = None,
     slots: int = 256,
+    extra=None,
 ) -> DataFrame:
-    """One row of exact quantiles: ``linear`` interpolates, ``nearest`` takes index round-half-even(p*(n-1))."""
+    """One row of exact quantiles: ``linear`` interpolates, ``nearest`` takes index round-half-even(p*(n-1)).
+
+    ``extra(total, missing)`` may add aggregates over the distinct values ``v`` and their counts ``n``. The input is
+    read once; everything else works on its counted values.
+    """
     counted = _counted(df, value)
-    table = cumulative_values(counted, slots)
-    n = counted.agg(F.sum("n")).scalar()
-    outputs = []
+    known = F.col("v").isNotNull()
+    cuts = [i / slots for i in range(1, slots)]
+    facts = counted.select(
+        F.struct(
+            F.percentile_approx("v", cuts, 10000).alias("bounds"),
+            F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("total"),
+            F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("missing"),
+        )
+    ).scalar()
+    n = facts.getField("total")
+    outputs = list(extra(n, facts.getField("missing"))) if extra else []
     for name, p in (linear or {}).items():
         h = F.lit(float(p)) * (n - 1)
         low = _value_at(F.floor(h))
@@ -108,4 +120,4 @@ def exact_quantiles(
         outputs.append((low + (high - low) * (h - F.floor(h))).alias(name))
     for name, p in (nearest or {}).items():
         outputs.append(_value_at(F.bround(F.lit(float(p)) * (n - 1), 0)).alias(name))
-    return table.agg(*outputs)
+    return _cumulative(counted, facts.getField("bounds")).agg(*outputs)

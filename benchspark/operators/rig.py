@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from benchspark.functions.geometry import PLANES, at, azimuth, distance3, wrap_angle
-from benchspark.functions.text import col
+from benchspark.functions.text import col, let
 from benchspark.operators.frames import CAMERAS, frame_id_from_filename, frame_id_text, frame_index
 
 # Limits of a usable rig.
@@ -83,14 +83,18 @@ def rig_scores(centers: DataFrame, keys=("split", "seq")) -> DataFrame:
     )
 
     def stats(m):
-        cs = F.transform(m, lambda e: e["c"])
-        dists = F.flatten(
-            F.transform(cs, lambda a, i: F.transform(F.slice(cs, i + 2, F.greatest(F.size(cs) - i - 1, F.lit(0))), lambda b: distance3(a, b)))
-        )
-        n = F.size(dists)
-        mean = F.aggregate(dists, F.lit(0.0), lambda s, d: s + d) / n
-        var = F.aggregate(F.transform(dists, lambda d: F.pow(d - mean, 2)), F.lit(0.0), lambda s, d: s + d) / n
-        return F.struct(F.array_min(dists).alias("lo"), F.array_max(dists).alias("hi"), mean.alias("mean"), F.sqrt(var).alias("std"))
+        def pair_distances(cs):
+            rest = lambda i: F.slice(cs, i + 2, F.greatest(F.size(cs) - i - 1, F.lit(0)))
+            return F.flatten(F.transform(cs, lambda a, i: F.transform(rest(i), lambda b: distance3(a, b))))
+
+        def spread(ds, mean):
+            var = F.aggregate(ds, F.lit(0.0), lambda s, d: s + F.pow(d - mean, 2)) / F.size(ds)
+            return F.struct(F.array_min(ds).alias("lo"), F.array_max(ds).alias("hi"), mean.alias("mean"), F.sqrt(var).alias("std"))
+
+        def summary(ds):
+            return let(F.aggregate(ds, F.lit(0.0), lambda s, d: s + d) / F.size(ds), lambda mean: spread(ds, mean))
+
+        return let(F.transform(m, lambda e: e["c"]), lambda cs: let(pair_distances(cs), summary))
 
     def score(s):
         floor = F.lit(1e-6)
@@ -162,30 +166,31 @@ def axis_diag(distances: DataFrame, keys=("split", "seq", "frame_id")) -> DataFr
     one = distances.groupBy(*keys, "cam").agg(F.first("center").alias("center"), F.first("eye3d").alias("eye3d"))
     angles = F.struct(cam_pos.alias("pos"), *[azimuth("center", "eye3d", p).alias(p) for p in PLANES])
     packed = one.groupBy(*keys).agg(F.sort_array(F.collect_list(angles)).alias("a")).where(F.size("a") >= MIN_DIAG_CAMS)
-    n = F.size("a")
     rows = packed.select(*keys, "a", F.explode(F.array(*[F.lit(p) for p in PLANES])).alias("plane"))
     az = F.transform(
         "a", lambda e: F.when(F.col("plane") == "xz", e["xz"]).when(F.col("plane") == "xy", e["xy"]).otherwise(e["yz"])
     )
-    rows = rows.withColumn("az", az)
 
-    def gap(i, step):
-        here, there = F.get("az", i), F.get("az", (i + step) % n)
-        return F.abs(wrap_angle(there - here))
+    def gaps(a):
+        n = F.size(a)
+        half = (n / 2).cast("int")
 
-    def mean(arr):
-        return F.aggregate(arr, F.lit(0.0), lambda s, x: s + x) / F.size(arr)
+        def gap(i, step):
+            return F.abs(wrap_angle(F.get(a, (i + step) % n) - F.get(a, i)))
+
+        def mean(arr):
+            return let(arr, lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x))
+
+        return F.struct(
+            n.alias("cams"),
+            mean(F.transform(F.sequence(F.lit(0), n - 1), lambda i: gap(i, F.lit(1)))).alias("adjacent_mean_deg"),
+            F.when(n % 2 == 0, mean(F.transform(F.sequence(F.lit(0), half - 1), lambda i: gap(i, half)))).alias("opposite_mean_deg"),
+        )
 
-    adjacent = F.transform(F.sequence(F.lit(0), n - 1), lambda i: gap(i, F.lit(1)))
-    half = (n / 2).cast("int")
-    opposite = F.when(n % 2 == 0, F.transform(F.sequence(F.lit(0), half - 1), lambda i: gap(i, half)))
-    out = rows.select(
-        *keys, "plane", n.alias("cams"), mean(adjacent).alias("adjacent_mean_deg"),
-        F.when(opposite.isNotNull(), mean(opposite)).alias("opposite_mean_deg"),
+    ratio = F.col("adjacent_mean_deg") / F.greatest(F.col("opposite_mean_deg"), F.lit(1e-6))
+    return rows.select(*keys, "plane", let(az, gaps).alias("g")).select(*keys, "plane", "g.*").withColumn(
+        "adjacent_over_opposite", F.when(F.col("opposite_mean_deg").isNotNull(), ratio)
     )
-    return out.withColumn(
-        "adjacent_over_opposite", F.col("adjacent_mean_deg") / F.greatest(F.col("opposite_mean_deg"), F.lit(1e-6))
-    ).withColumn("adjacent_over_opposite", F.when(F.col("opposite_mean_deg").isNotNull(), F.col("adjacent_over_opposite")))
 
 
 def hash_order(seed: int, *keys) -> Column:

@@ -218,8 +218,8 @@ SELECT pos, CAST((fa IS NOT NULL)::INT + (fc IS NOT NULL)::INT + (fn IS NOT NULL
 )
 def label_maps(spark, sf):
     cues = F.map_from_arrays(F.array(F.lit("mask"), F.lit("dot"), F.lit("ray")), F.array("a", "cue", "noun"))
-    t = texts(spark, sf).withColumn("m", L.informative(cues))
-    return t.select("pos", F.size("m").alias("cues"), L.disagreement(F.col("m")).alias("disagreement"), L.trigger("a", F.col("m")).alias("reason"))
+    t = texts(spark, sf).withColumn("m", L.informative(cues)).withColumn("disagreement", L.disagreement(F.col("m")))
+    return t.select("pos", F.size("m").alias("cues"), "disagreement", L.trigger("a", "disagreement").alias("reason"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["scoring", "freezing", "curation", "assembly", "annotation", "labelling", "answers"]
+MODULES = ["scoring", "freezing", "curation", "assembly", "annotation", "labelling", "answers", "logs"]
 
 
 def query(sql: str | None = None, ctes: tuple[str, ...] = ()):

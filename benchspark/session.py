@@ -19,6 +19,8 @@ def build_session(app_name: str = "benchspark", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a hot join partition even where the split costs one more shuffle
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # small inputs keep their parallelism; on large ones the advisory partition size decides
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
