@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from benchspark.functions.text import col, strip, text, words
 
@@ -97,7 +98,7 @@ def bleu(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     return size.join(precision, "model_key", "left").select("model_key", finite(F.coalesce(score, F.lit(0.0))).alias("bleu"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Length of the longest common token subsequence, bit-parallel over one text."""
     for answers, references in batches:
