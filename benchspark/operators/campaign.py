@@ -143,16 +143,22 @@ def camera_ids(images="input_images", cams="input_cams") -> Column:
     return F.when(F.size(named) > 0, named).otherwise(F.coalesce(F.col(cams), F.array().cast("array<string>")))
 
 
-def missing_files(samples: DataFrame, inventory: DataFrame, key: str = "idx", paths: str = "image_paths") -> DataFrame:
+def row_keys(samples: DataFrame) -> list[str]:
+    """Columns that name a sample: its file where several are read, and its place in it."""
+    return [c for c in ("source", "idx") if c in samples.columns]
+
+
+def missing_files(samples: DataFrame, inventory: DataFrame, paths: str = "image_paths") -> DataFrame:
     """Number of image paths per sample that the inventory does not hold; samples without any are absent (H2).
 
     The inventory is made unique first, so the anti join keeps a row per (sample, path) and a path shared by very
     many samples is split by the adaptive skew rule on the sample side.
     """
+    keys = row_keys(samples)
     known = inventory.select(F.col("path").alias("known")).distinct()
-    used = samples.select(key, F.explode(paths).alias("used"))
+    used = samples.select(*keys, F.explode(paths).alias("used"))
     gone = used.join(known, F.col("used") == F.col("known"), "left_anti")
-    return gone.groupBy(key).agg(F.count("*").alias("missing"))
+    return gone.groupBy(*keys).agg(F.count("*").alias("missing"))
 
 
 def review_flags(task_id="task_id", question="question", answer="answer") -> Column:
@@ -184,7 +190,7 @@ def sample_uid(*parts) -> Column:
 def _prepared(samples: DataFrame) -> DataFrame:
     task_name = F.create_map(*[F.lit(x) for pair in TASK_TYPES.items() for x in pair])
     return samples.select(
-        "idx",
+        *row_keys(samples),
         F.col("is_object") if "is_object" in samples.columns else F.lit(True).alias("is_object"),
         "task_id",
         (F.col("raw_task_id") if "raw_task_id" in samples.columns else F.col("task_id").cast("string")).alias("raw_task_id"),
@@ -208,8 +214,7 @@ def validate(samples: DataFrame, inventory: DataFrame | None = None) -> DataFram
     """
     prepared = _prepared(samples)
     if inventory is not None:
-        gone = missing_files(prepared, inventory).withColumnRenamed("idx", "gone_idx")
-        prepared = prepared.join(gone, F.col("idx") == F.col("gone_idx"), "left").drop("gone_idx")
+        prepared = prepared.join(missing_files(prepared, inventory), row_keys(prepared), "left")
     else:
         prepared = prepared.withColumn("missing", F.lit(None).cast("bigint"))
     reason = (

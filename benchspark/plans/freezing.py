@@ -36,8 +36,8 @@ def invalid_samples(spark, sf):
 
 @query("SELECT idx, missing FROM gone", b.FREEZING[:3])
 def missing_files(spark, sf):
-    s = b.samples(spark, sf).select("idx", campaign.image_paths().alias("image_paths"))
-    return campaign.missing_files(s, b.inventory(spark, sf))
+    s = b.samples(spark, sf).select("source", "idx", campaign.image_paths().alias("image_paths"))
+    return campaign.missing_files(s, b.inventory(spark, sf)).drop("source")
 
 
 @query(
