@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchspark.functions.text import col, strip, text, words
+from benchspark.functions.text import col, let, strip, text, words
 
 # Parameters of the published metrics.
 MAX_N = 4
@@ -48,30 +48,36 @@ def sentence_sim(rows: DataFrame, answer_vec: str = "answer_vec", reference_vec:
     return rows.groupBy("model_key").agg(finite(F.avg(cos)).alias("sentence_sim"))
 
 
-def grams(rows: DataFrame, max_n: int = MAX_N) -> DataFrame:
+def _ngrams(toks: Column) -> Column:
+    """Arrays of 1- to 4-grams: each order is the one below with the next token appended."""
+
+    def longer(shorter, k):
+        head = F.slice(shorter, F.lit(1), F.greatest(F.size(shorter) - 1, F.lit(0)))
+        return F.zip_with(head, F.slice(toks, k, F.size(toks)), lambda g, t: F.concat(g, F.lit(" "), t))
+
+    return let(
+        longer(toks, 2), lambda g2: let(longer(g2, 3), lambda g3: let(longer(g3, 4), lambda g4: F.array(toks, g2, g3, g4)))
+    )
+
+
+def grams(rows: DataFrame) -> DataFrame:
     """Counts of each n-gram in the answer and in the reference of a pair.
 
     All grams of a pair leave one row, so they are counted before they are shuffled.
     """
-
-    def listed(toks, side):
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(max_n)),
-                lambda n: F.when(
-                    F.size(toks) >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), F.size(toks) - n + 1),
-                        lambda i: F.struct(n.alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram"), F.lit(side).alias("side")),
-                    ),
-                ).otherwise(F.array().cast("array<struct<n:int,gram:string,side:int>>")),
-            )
-        )
-
     t = rows.select(
         "model_key", "pair_id", words(norm_answer("answer")).alias("ta"), words(norm_answer("reference")).alias("tr")
+    ).select("model_key", "pair_id", _ngrams(F.col("ta")).alias("ga"), _ngrams(F.col("tr")).alias("gr"))
+    orders = F.array(
+        *[
+            F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), F.get(g, F.lit(n - 1)).alias("grams"))
+            for side, g in ((0, "ga"), (1, "gr"))
+            for n in range(1, MAX_N + 1)
+        ]
+    )
+    exploded = t.select("model_key", "pair_id", F.inline(orders)).select(
+        "model_key", "pair_id", "n", "side", F.explode("grams").alias("gram")
     )
-    exploded = t.select("model_key", "pair_id", F.inline(F.concat(listed(F.col("ta"), 0), listed(F.col("tr"), 1))))
     return exploded.groupBy("model_key", "pair_id", "n", "gram").agg(
         F.sum(1 - F.col("side")).alias("c"), F.sum("side").alias("r")
     )

@@ -448,3 +448,25 @@ SELECT CAST(f AS VARCHAR) AS frame_key,
 )
 def attempt_choice(spark, sf):
     return views.select_attempt(attempt_rows(spark, sf)).select("frame_key", "stage", "label", "mode")
+
+
+@query(
+    f"""WITH r AS (SELECT *, CASE WHEN size % 4 = 0 THEN NULL ELSE cue END AS dot, CASE WHEN size % 3 = 0 THEN 'small cup' END AS same_mr,
+  CASE WHEN size % 5 = 0 THEN 'gray cup' WHEN size % 5 = 1 THEN 'tall jar' END AS same_md, nullif(a, '') AS m FROM texts)
+SELECT pos, CASE WHEN m IS NULL AND dot IS NULL THEN noun WHEN m IS NOT NULL AND same_mr IS NOT NULL THEN same_mr
+  WHEN m IS NOT NULL AND dot IS NOT NULL AND size % 5 = 1 THEN same_md WHEN m IS NOT NULL AND dot IS NOT NULL THEN 'big lamp' ELSE coalesce(m, noun) END AS label,
+  CASE WHEN m IS NULL AND dot IS NULL THEN 'fallback_single' WHEN m IS NOT NULL AND same_mr IS NOT NULL THEN 'judge_mask_ray'
+  WHEN m IS NOT NULL AND dot IS NOT NULL AND size % 5 = 1 THEN 'judge_mask_dot' WHEN m IS NOT NULL AND dot IS NOT NULL THEN 'judge_reconcile_all'
+  ELSE 'fallback_no_consensus' END AS mode FROM r""",
+    ("texts",),
+)
+def triple_cues(spark, sf):
+    """The dressed name is the mask cue, the noun the ray; the size gives the recorded answers ("gray" holds "ray", so
+    that one does not count)."""
+    size = F.col("size")
+    dot = F.when(size % 4 != 0, F.col("cue"))
+    same_mr = F.when(size % 3 == 0, "small cup")
+    same_md = F.when(size % 5 == 0, "gray cup").when(size % 5 == 1, "tall jar")
+    none = F.lit(None).cast("string")
+    t = texts(spark, sf).select("pos", L.triple_cue("noun", "a", dot, same_mr, same_md, none, F.lit("big lamp")).alias("c"))
+    return t.select("pos", "c.label", "c.mode")
