@@ -500,25 +500,27 @@ def task4_samples(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT split, seq, frame_id, cam, label, noun, pos, dist FROM cams WHERE cam = 'Cam1' AND image_path IS NOT NULL AND cx IS NOT NULL)
-SELECT split, seq, frame_id, label AS answer, 'Using all camera views, what is the person wearing ' || noun || ' hat looking at?' AS question, 'Cam1' AS cams,
-  substr(md5('t1|' || split || '|' || seq || '|' || frame_id || '|Cam1|' || label), 1, 12) AS object_id FROM r"""
-    ,
+    """WITH l AS (SELECT f, count(*) AS n, string_agg(cam, ',' ORDER BY cam) AS cams FROM cams WHERE image_path IS NOT NULL GROUP BY 1),
+r AS (SELECT cams.*, l.cams AS listed FROM cams JOIN l USING (f) WHERE cam = 'Cam1' AND cx IS NOT NULL AND l.n >= 2)
+SELECT split, seq, frame_id, label AS answer, 'Using all camera views, what is the person wearing ' || noun || ' hat looking at?' AS question, listed AS cams,
+  substr(md5('t1|' || split || '|' || seq || '|' || frame_id || '|Cam1|' || label), 1, 12) AS object_id FROM r""",
     ("cams",),
 )
 def task1_samples(spark, sf):
-    """The first camera anchors every frame in which it has a point and an image."""
-    c = b.frame_cams(spark, sf).where("cam = 'Cam1' and image_path is not null and coord is not null")
-    image = F.struct("cam", F.col("image_path").alias("image"))
-    frames = c.select(
-        "split", "seq", "frame_id", F.col("cam").alias("anchor_cam"), F.concat("mask_label", F.lit(" hat")).alias("person"),
+    """The first camera anchors every frame in which it has a point and two cameras have images."""
+    c, keys = b.frame_cams(spark, sf), ["split", "seq", "frame_id"]
+    one = c.where("image_path is not null").groupBy(*keys, "cam").agg(F.first("image_path").alias("image"))
+    images = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cam", "image"))).alias("input_images"))
+    anchors = c.where("cam = 'Cam1' and coord is not null").join(images, keys)
+    frames = anchors.select(
+        *keys, F.col("cam").alias("anchor_cam"), F.concat("mask_label", F.lit(" hat")).alias("person"),
         F.col("label").alias("canonical"), F.col("mask_label").alias("anchor_label"), F.col("bbox_gaze_dist_norm").alias("confidence"),
         geo.at("coord", 0).alias("gaze_x"), geo.at("coord", 1).alias("gaze_y"), "mask_area_ratio", geo.valid_box("body").alias("ray_available"),
-        F.array("cam").alias("input_cams"), F.array(image, image).alias("input_images"),
+        F.transform("input_images", lambda i: i["cam"]).alias("input_cams"), "input_images",
     )
     s = samples.build_task1(frames)
     return s.select(
-        "split", "seq", "frame_id", "answer", "question", F.array_join("input_cams", ",").alias("cams"),
+        *keys, "answer", "question", F.array_join("input_cams", ",").alias("cams"),
         F.get_json_object("meta", "$.object_id").alias("object_id"),
     )
 

@@ -248,7 +248,7 @@ def person_texts(spark, sf):
             F.when(size % 2 == 0, " and jeans").otherwise(""), F.when(size % 7 == 0, " red hat").otherwise(""),
         )
     )
-    # the reference keeps "is" in front of "wearing", so it is given the plain form
+    # a person reference does not take "is" off the front of "wearing", so it is given the plain form
     plain = F.regexp_replace(desc, "is wearing", "wearing")
     return texts(spark, sf).select(
         "pos", F.when(size % 5 == 0, "person").otherwise(L.clean_person(desc)).alias("cleaned"), L.person_ref(plain).alias("ref")
