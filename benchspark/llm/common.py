@@ -98,3 +98,35 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts])
+
+
+def append_arrow(df: DataFrame, inputs: list[str], fields: dict[str, str], fn, keep: list[str] | None = None) -> DataFrame:
+    """``df``'s columns ``keep`` (None: all) with the columns ``fields`` (name -> type) that ``fn(*arrays)`` gives for each batch.
+
+    Input columns of a name in ``fields`` are replaced. Narrow: each Arrow batch is worked on where it lies.
+    """
+    kept = [c for c in (keep if keep is not None else df.columns) if c not in fields]
+    inner = df.select(*[F.col(c).alias(f"__in{i}") for i, c in enumerate(inputs)], *kept)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[len(inputs) :]] + [f"`{k}` {v}" for k, v in fields.items()])
+    names = kept + list(fields)
+    n = len(inputs)
+
+    def run(batches):
+        for b in batches:
+            new = fn(*b.columns[:n])
+            yield pa.RecordBatch.from_arrays(list(b.columns[n:]) + list(new), names=names)
+
+    return inner.mapInArrow(run, schema)
+
+
+def hash_sample(df: DataFrame, rows: int, key: str, count: int) -> DataFrame:
+    """About ``rows`` of ``count`` rows, chosen by a hash of ``key``: the same at any partitioning."""
+    cells = 1 << 30
+    if count <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(cells)) < int(cells * rows / count))
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The texts of a column; NULL is the empty text."""
+    return ["" if t is None else t for t in column.to_pylist()]
