@@ -13,6 +13,7 @@ QUERIES = {
     "op5_sharding": "sharding",
     "op6_quality": "quality",
     "op7_langid": "langid",
+    "op8_decontaminate": "decontaminate",
     "op10_licenses": "licenses",
 }
 
