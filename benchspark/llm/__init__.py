@@ -14,6 +14,7 @@ QUERIES = {
     "op6_quality": "quality",
     "op7_langid": "langid",
     "op8_decontaminate": "decontaminate",
+    "op9_ann": "ann",
     "op10_licenses": "licenses",
 }
 
