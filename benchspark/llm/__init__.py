@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module; a module holds ``ORACLES`` where SQL can state its query.
 QUERIES = {
     "op2_toxicity": "toxicity",
+    "op4_html": "html_extract",
     "op5_sharding": "sharding",
     "op6_quality": "quality",
     "op7_langid": "langid",
