@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module; a module holds ``ORACLES`` where SQL can state its query.
 QUERIES = {
+    "op1_bpe": "bpe",
     "op2_toxicity": "toxicity",
     "op4_html": "html_extract",
     "op5_sharding": "sharding",
