@@ -28,21 +28,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeTable:
-    """The rank map as literals: merging tokens a, b gives token c = its rank, for the pair that each token is merged from.
+    """The rank map as one literal: merging tokens a, b gives token c = its rank, for the pair that each token is merged from.
 
-    Spark looks a map literal up by scanning it, so the map is laid out as a perfect hash: ``shift[group(a, b)]`` picks the
-    slot at which ``slots`` holds (a, b, c) packed in one number. A pair that is no merge meets another pair or -1 there.
+    Spark looks a map literal up by scanning it, so the map is laid out as a sparse matrix whose rows overlap: ``cells[a]`` is
+    where row a begins, ``cells[cells[a] + b]`` names the row that owns the place, ``cells[cells[a] + b + width]`` holds c.
     """
 
-    GROUPS, SLOTS = 16381, 131071
-
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
             self.tokens[r] = token
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         pairs = [(*pair, r) for token, r in ranks.items() if len(token) > 1 and (pair := self._last_pair(token, ranks)) is not None]
-        self.shift, self.slots = self._layout(np.array(pairs, np.int64).reshape(-1, 3))
+        self.cells, self.width = self._layout(np.array(pairs, np.int64).reshape(-1, 3), len(self.tokens))
 
     @staticmethod
     def _last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
@@ -58,43 +56,42 @@ class MergeTable:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return ranks[parts[0]], ranks[parts[1]]
 
-    @classmethod
-    def group(cls, a, b):
-        return (a * 40503 + b * 30011) % cls.GROUPS
-
-    @classmethod
-    def slot(cls, a, b, d):
-        return (a * (d + 7919) + b * (d * 5 + 104729)) % cls.SLOTS
-
-    def _layout(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift, slots = np.zeros(self.GROUPS, np.int64), np.full(self.SLOTS, -1, np.int64)
-        if not len(pairs):
-            return shift, slots
-        groups = self.group(pairs[:, 0], pairs[:, 1])
-        order = np.argsort(groups, kind="stable")
-        names, begin, count = np.unique(groups[order], return_index=True, return_counts=True)
+    @staticmethod
+    def _layout(pairs: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+        """First fit of the rows, longest first; a row may begin before the places, where the pad of n cells owns nothing."""
+        size = 4 * n + 2 * len(pairs)
+        begin, owner, value = np.zeros(n, np.int64), np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        rows, start, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+        free = np.ones(size, bool)
+        free[:n] = False
+        base, block = n, 1 << 14
         for k in np.argsort(-count, kind="stable"):
-            own = pairs[order[begin[k] : begin[k] + count[k]]]
-            d = 0
-            while True:
-                at = self.slot(own[:, 0], own[:, 1], d)
-                if (slots[at] < 0).all() and len(set(at.tolist())) == len(at):
-                    break
-                d += 1
-            shift[names[k]] = d
-            slots[at] = (own[:, 0] << 32) | (own[:, 1] << 16) | own[:, 2]
-        return shift, slots
-
-    def rank(self) -> Callable[[Column, Column], Column]:
-        """The rank of two token columns' merge; NONE if there is none."""
-        literal = lambda xs: F.split(F.lit(",".join(map(str, xs.tolist()))), ",").cast("array<bigint>")  # noqa: E731  folded to a literal
-        shift, slots = literal(self.shift), literal(self.slots)
-
-        def rank(a: Column, b: Column) -> Column:
-            found = F.get(slots, self.slot(a, b, F.get(shift, self.group(a, b).cast("int"))).cast("int"))
-            return F.when(F.shiftright(found, 16) == a * 65536 + b, found.bitwiseAND(F.lit(65535))).otherwise(F.lit(NONE).cast("bigint"))
-
-        return rank
+            columns = pairs[start[k] : start[k] + count[k], 1]
+            while not free[base : base + 64].any():
+                base += 64
+            lo, fits = base, np.zeros(0, np.int64)
+            while not len(fits):
+                fits = lo + np.flatnonzero(free[lo : lo + block]) - columns[0]
+                for c in columns[1:]:  # few places are left after some columns
+                    if not len(fits):
+                        break
+                    fits = fits[free[fits + c]]
+                lo += block
+            d = int(fits[0])
+            begin[rows[k]] = d
+            free[d + columns] = False
+            owner[d + columns], value[d + columns] = rows[k], pairs[start[k] : start[k] + count[k], 2]
+        width = int(begin.max()) + n  # no row reads past its own columns
+        return np.concatenate([begin + n, owner[:width], value[:width]]), width
+
+    def literal(self) -> Column:
+        return F.split(F.lit(",".join(map(str, self.cells.tolist()))), ",").cast("array<int>")  # folded to one literal
+
+    def rank(self, cells: Column, a: Column, b: Column) -> Column:
+        """The rank of two tokens' merge; NONE if there is none."""
+        place = F.get(cells, a) + b
+        return F.when(F.get(cells, place) == a, F.get(cells, place + self.width)).otherwise(F.lit(NONE))
 
 
 @lru_cache(maxsize=2)
@@ -103,38 +100,40 @@ def merge_table(path: str) -> MergeTable:
 
 
 def encode_word(word: Column, merges: MergeTable) -> Column:
-    """The tokens of one word (array<bigint>): a fold that merges the leftmost pair of the lowest rank until none is left."""
-    rank = merges.rank()
-    ids = F.split(F.lit(",".join(map(str, merges.byte_ids))), ",").cast("array<bigint>")
+    """The tokens of one word (array<int>): a fold that merges the leftmost pair of the lowest rank until none is left."""
+    ids = F.split(F.lit(",".join(map(str, merges.byte_ids))), ",").cast("array<int>")
     one_char_a_byte = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
     parts = F.transform(F.split(one_char_a_byte, ""), lambda c: F.get(ids, F.ascii(c)))
+    none = F.array().cast("array<int>")
 
     def let(value: Column, then: Callable[[Column], Column]) -> Column:
         return F.get(F.transform(F.array(value), then), 0)
 
-    def merged(acc: Column, low: Column, i: Column) -> Column:
-        left = F.get(acc["parts"], i - 2)
-        right = F.get(acc["parts"], i + 1)
-        none = F.array().cast("array<bigint>")
+    def merged(cells: Column, parts: Column, ranks: Column, low: Column, i: Column) -> Column:
+        right = F.get(parts, i + 1)
         return F.struct(
-            F.concat(F.slice(acc["parts"], F.lit(1), i - 1), F.array(low), F.slice(acc["parts"], i + 2, F.size(acc["parts"]))).alias("parts"),
+            F.concat(F.slice(parts, F.lit(1), i - 1), F.array(low), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
             F.concat(
-                F.slice(acc["ranks"], F.lit(1), F.greatest(i - 2, F.lit(0))),
-                F.when(i > 1, F.array(rank(left, low))).otherwise(none),
-                F.when(right.isNotNull(), F.array(rank(low, right))).otherwise(none),
-                F.slice(acc["ranks"], i + 2, F.size(acc["ranks"])),
+                F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), i - 2), F.array(merges.rank(cells, F.get(parts, i - 2), low)))).otherwise(none),
+                F.when(right.isNotNull(), F.array(merges.rank(cells, low, right))).otherwise(none),
+                F.slice(ranks, i + 2, F.size(ranks)),
             ).alias("ranks"),
         )
 
-    def step(acc: Column, _: Column) -> Column:
-        return let(F.array_min(acc["ranks"]), lambda low: F.when(low.isNull() | (low == NONE), acc).otherwise(let(F.array_position(acc["ranks"], low).cast("int"), lambda i: merged(acc, low, i))))
+    def fold(cells: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            def at(low: Column) -> Column:
+                return let(F.array_position(acc["ranks"], low).cast("int"), lambda i: merged(cells, acc["parts"], acc["ranks"], low, i))
+
+            return let(F.array_min(acc["ranks"]), lambda low: F.when(low < NONE, at(low)).otherwise(acc))
+
+        def run(p: Column) -> Column:
+            ranks = F.slice(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: merges.rank(cells, a, b)), F.lit(1), F.size(p) - 1)
+            return F.aggregate(F.slice(p, 2, F.size(p)), F.struct(p.alias("parts"), ranks.alias("ranks")), step, lambda acc: acc["parts"])
 
-    def fold(p: Column) -> Column:
-        ranks = F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.get(p, i), F.get(p, i + 1)))).otherwise(F.array().cast("array<bigint>"))
-        start = F.struct(p.alias("parts"), ranks.alias("ranks"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(p)), start, step, lambda acc: acc["parts"])
+        return let(parts, run)
 
-    return let(parts, fold)
+    return let(merges.literal(), fold)
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -170,7 +169,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     merges = merge_table(rank_file)
     words = docs.select(F.explode(words_of(F.col(text), pattern)).alias("word"))
     spread = common_words(words, most_common)
-    book = spread.select("word", encode_word(F.col("word"), merges).cast("array<int>").alias("ids")).toArrow().combine_chunks()
+    book = spread.select("word", encode_word(F.col("word"), merges).alias("ids")).toArrow().combine_chunks()
     known = book.column("word").combine_chunks() if book.num_rows else pa.array([], pa.string())
     lists = book.column("ids").combine_chunks() if book.num_rows else pa.array([], pa.list_(pa.int32()))
     offsets = np.asarray(lists.offsets, np.int64) - (lists.offsets[0].as_py() if len(lists) else 0) if len(lists) else np.zeros(1, np.int64)
@@ -231,7 +230,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     carried = [c for c in (keep if keep is not None else docs.columns) if c not in fields]
     inner = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carried)], words_of(F.col(text), pattern).alias("__words"))
     looked = append_arrow(inner, ["__words"], {"__codes": "array<int>", "__rest": "array<string>"}, look_up, keep=[f"__c{i}" for i in range(len(carried))])
-    folded = looked.withColumn("__rest", F.transform("__rest", lambda w: encode_word(w, merges).cast("array<int>")))
+    folded = looked.withColumn("__rest", F.transform("__rest", lambda w: encode_word(w, merges)))
     done = append_arrow(folded, ["__codes", "__rest"], fields, join, keep=[f"__c{i}" for i in range(len(carried))])
     return done.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)], *fields)
 
