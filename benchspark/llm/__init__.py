@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op1_bpe": "bpe",
     "op2_toxicity": "toxicity",
+    "op3_jaccard": "jaccard",
     "op4_html": "html_extract",
     "op5_sharding": "sharding",
     "op6_quality": "quality",
