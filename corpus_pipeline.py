@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links of five-word shingles at 0.8 stays: the one of the smallest id.
 
-    Rows without an id stay; of rows of one id, one stays.
+    Rows without an id stay; repeated rows of the kept id stay together.
     """
     found = jaccard_join(docs, percent=80, size=5).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
