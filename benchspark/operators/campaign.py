@@ -275,20 +275,37 @@ def freeze_meta(validated: DataFrame) -> DataFrame:
 
 # --- answers and verdicts (H19-H26) ------------------------------------------------------------------------------
 
-def pending(manifest: DataFrame, predictions: DataFrame, reset: bool = False, retry_errors: bool = False) -> DataFrame:
-    """Samples of a model that have no answer yet; rows with errors count as answered unless ``retry_errors``."""
+def pending(
+    manifest: DataFrame, predictions: DataFrame, reset: bool = False, retry_errors: bool = False, models: DataFrame | None = None
+) -> DataFrame:
+    """Samples that have no answer yet; rows with errors count as answered unless ``retry_errors``.
+
+    With ``models`` (unique ``model_key``, a registry's few rows) the work list is each sample for each model, and a sample
+    is done for the model that answered it only. A manifest that has ``model_key`` itself is such a list. Without either,
+    ``predictions`` must be those of one model.
+    """
     todo = manifest.where(F.coalesce(F.col("sample_uid"), F.lit("")) != "")
+    if models is not None:
+        keys = models.agg(F.array_sort(F.collect_set("model_key")).alias("ks")).scalar()
+        todo = todo.withColumn("model_key", F.explode(keys))
+    key = ["sample_uid", "model_key"] if "model_key" in todo.columns else ["sample_uid"]
     if reset:
         return todo
     done = predictions.where(text("error") == "") if retry_errors else predictions
-    return todo.join(done.select("sample_uid").distinct(), "sample_uid", "left_anti")
+    return todo.join(done.select(*key).distinct(), key, "left_anti")
 
 
 def combine_answers(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Answer of the primary engine, else of the fallback; both errors are kept when both fail."""
+    """Answer of the primary engine, else of the fallback; both errors are kept when both fail.
+
+    Rows meet on sample and, where both sides have it, model. Of several fallback rows of a key the one of the highest
+    ``pos`` counts, or of the highest answer where there is no ``pos``, so no primary row is multiplied.
+    """
     values = ["inference_answer", "tokens_in", "tokens_out", "error"]
-    fb = fallback.select("sample_uid", F.lit(True).alias("fb"), *[F.col(v).alias(f"fb_{v}") for v in values])
-    j = primary.join(fb, "sample_uid", "left")
+    keys = ["sample_uid"] + ["model_key"] * ("model_key" in primary.columns and "model_key" in fallback.columns)
+    last = F.max_by(F.struct(*values), "pos") if "pos" in fallback.columns else F.max(F.struct(*values))
+    fb = fallback.groupBy(*keys).agg(last.alias("f")).select(*keys, F.lit(True).alias("fb"), *[F.col(f"f.{v}").alias(f"fb_{v}") for v in values])
+    j = primary.join(fb, keys, "left")
     failed = text("error") != ""
     use_fb = failed & F.coalesce(F.col("fb"), F.lit(False)) & (text("fb_error") == "")
     both = failed & F.coalesce(F.col("fb"), F.lit(False)) & ~use_fb
@@ -388,9 +405,10 @@ def latest_verdicts(verdicts: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def latest_manifest(manifest: DataFrame, pos: str = "pos") -> DataFrame:
-    """Last manifest row per uid."""
-    others = [c for c in manifest.columns if c != "sample_uid"]
-    return manifest.groupBy("sample_uid").agg(F.max_by(F.struct(*others), pos).alias("m")).select(
+    """Last manifest row per uid: the highest ``pos``, then the highest content; without ``pos`` the highest content."""
+    others = [c for c in manifest.columns if c not in ("sample_uid", pos)]
+    order = [F.col(pos).alias("__pos")] if pos in manifest.columns else []
+    return manifest.groupBy("sample_uid").agg(F.max(F.struct(*order, *others)).alias("m")).select(
         "sample_uid", *[F.col(f"m.{c}").alias(c) for c in others]
     )
 
@@ -398,11 +416,11 @@ def latest_manifest(manifest: DataFrame, pos: str = "pos") -> DataFrame:
 def eval_rows(manifest: DataFrame, predictions: DataFrame, verdicts: DataFrame, verdict_pos: str = "pos") -> DataFrame:
     """Every prediction found in the manifest with its verdict, or the empty text without one.
 
-    ``manifest`` must hold one row per uid. Both joins have a unique right side, so a uid with very many
-    predictions is only ever split, never multiplied.
+    Of several manifest rows of a uid the last one counts. Both joins have a unique right side, so a uid with very
+    many predictions is only ever split, never multiplied.
     """
     latest = latest_verdicts(verdicts, verdict_pos)
-    rows = judge_input(manifest, predictions).join(latest, ["sample_uid", "model_key"], "left")
+    rows = judge_input(latest_manifest(manifest), predictions).join(latest, ["sample_uid", "model_key"], "left")
     return rows.withColumn("verdict", text("verdict"))
 
 
@@ -421,7 +439,8 @@ def score_cube(manifest: DataFrame, predictions: DataFrame, verdicts: DataFrame,
     pairs = answers.unionByName(marks).groupBy(*keys).agg(
         F.sum("n").alias("n"), F.coalesce(F.max_by("ok", "p"), F.lit(False)).alias("ok")
     )
-    truth = manifest.select("sample_uid", "task_type", "scene")
+    known = [c for c in ("pos",) if c in manifest.columns]
+    truth = latest_manifest(manifest.select("sample_uid", "task_type", "scene", *known))
     return (
         pairs.where("n > 0")
         .join(truth, "sample_uid")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchspark.functions.text import base_name, norm_lower, norm_space, strip, text
+from benchspark.operators.ranking import global_rank
 
 # A row's place over all inputs in one number: source position in the high bits, row in the low 40.
 ROW_BITS = 40
@@ -32,9 +33,15 @@ def identity_key(samples: DataFrame) -> Column:
     return F.sha1(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
 
 
-def content_fp(columns) -> Column:
-    """SHA-1 over the full content with sorted field names."""
-    return F.sha1(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
+def canonical_json(c) -> Column:
+    """JSON text with the keys of every object sorted, at every depth; other text stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(c)), F.col(c))
+
+
+def content_fp(columns, json_columns=("meta",)) -> Column:
+    """SHA-1 over the full content with sorted field names, inside JSON texts too."""
+    parts = [canonical_json(c).alias(c) if c in json_columns else F.col(c) for c in sorted(columns)]
+    return F.sha1(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
 
 
 def with_keys(samples: DataFrame, content: list[str] | None = None) -> DataFrame:
@@ -121,11 +128,19 @@ def conflicts(keyed: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
+def order_columns() -> list[Column]:
+    return [norm_lower("scene"), norm_space("timestamp"), F.coalesce("task_id", F.lit(0)), norm_lower("question"), F.col("identity_key")]
+
+
 def order_samples(samples: DataFrame) -> DataFrame:
     """Deterministic order (G6), a range-partitioned sort."""
-    return samples.orderBy(
-        norm_lower("scene"), norm_space("timestamp"), F.coalesce("task_id", F.lit(0)), norm_lower("question"), "identity_key"
-    )
+    return samples.orderBy(*order_columns())
+
+
+def place_samples(samples: DataFrame) -> DataFrame:
+    """Every sample with its 1-based ``place`` in that order; pieces of one scene, time, task and question are numbered each."""
+    order = order_columns()
+    return global_rank(samples, order=order, slots=order[:4], name="place")
 
 
 def merge_maps(maps: DataFrame, column: str = "stats", pos: str = "source_pos") -> DataFrame:

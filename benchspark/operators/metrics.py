@@ -19,9 +19,6 @@ MAX_N = 4
 ROUGE_BETA = 1.2
 CIDER_SIGMA = 6.0
 CIDER_SCALE = 10.0
-# A gram found in at least this share of a model's references counts as hot in the document-frequency join.
-HOT_SHARE = 1e-3
-HOT_MIN = 1000
 
 
 def norm_answer(c) -> Column:
@@ -137,20 +134,13 @@ def rouge_l(rows: DataFrame) -> DataFrame:
 def cider(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Mean CIDEr-D per model, n = 1..4.
 
-    Document frequencies of hot grams are few: a gram in a share s of the references can occur at most 1/s times the
-    mean text length often. They are broadcast; all other grams meet in an ordinary join.
+    A gram has one document frequency per model, so the join's right side is unique and a hot gram is only ever split.
     """
     g = counted if counted is not None else grams(rows)
     docs = rows.groupBy("model_key").agg(F.count("*").alias("docs"))
-    # both counters are named so that every use of the grams reads one and the same shuffle
-    df = g.groupBy("model_key", "n", "gram").agg(F.count_if((F.col("r") > 0) & (F.col("c") >= 0)).alias("df")).where("df > 0")
-    df = df.join(docs, "model_key")
-    is_hot = F.col("df") >= F.greatest(F.lit(HOT_MIN), F.col("docs") * HOT_SHARE)
     keys = ["model_key", "n", "gram"]
-    hot, cold = df.where(is_hot).select(*keys, "df"), df.where(~is_hot).select(*keys, "df")
-    by_hot = g.join(F.broadcast(hot), keys)
-    by_cold = g.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
-    weighted = by_hot.unionByName(by_cold.select(by_hot.columns)).join(docs, "model_key")
+    df = g.groupBy(*keys).agg(F.count_if(F.col("r") > 0).alias("df"))
+    weighted = g.join(df, keys).join(docs, "model_key")
     idf = F.ln("docs") - F.ln(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))
     v = weighted.select("model_key", "pair_id", "n", (F.col("c") * idf).alias("h"), (F.col("r") * idf).alias("f"))
     per_n = v.groupBy("model_key", "pair_id", "n").agg(

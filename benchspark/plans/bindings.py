@@ -32,7 +32,6 @@ TASK_CASE = _case("o_orderpriority", zip(PRIORITIES, TASK_ORDER), "'other_task'"
 def manifest(spark, sf) -> DataFrame:
     """Orders as manifest rows: priority is the task (the fifth is an unknown one), status the scene."""
     task = F.col("o_orderpriority")
-    kind, number = F, F
     kind = F.lit("other_task")
     number = F.lit(5)
     for i in range(3, -1, -1):
@@ -244,6 +243,8 @@ def merge_samples(spark, sf) -> DataFrame:
         F.lit(" ").alias("timestamp"),
         "question",
         "answer",
+        # the same content with its keys in either order
+        F.when(F.col("idx") % 2 == 0, '{"b":{"y":1,"x":"h"},"a":2}').otherwise('{"a":2,"b":{"x":"h","y":1}}').alias("meta"),
     )
 
 
@@ -372,8 +373,8 @@ def rig_centers(spark, sf) -> DataFrame:
 
 
 def eye_rows(spark, sf) -> DataFrame:
-    """Four frames per rig: the eye point of each comes from one of the rig's vectors."""
-    v = table(spark, sf, "embeddings").where("vec_id % 6 < 4")
+    """Six frames per rig: the eye point of each comes from one of the rig's vectors."""
+    v = table(spark, sf, "embeddings")
     return v.select(
         F.lit("s").alias("split"), F.floor(F.col("vec_id") / 6).cast("string").alias("seq"),
         F.lpad((F.col("vec_id") % 6).cast("string"), 4, "0").alias("frame_id"),
@@ -405,7 +406,7 @@ CTES |= {
     "picked": """SELECT p.rig, p.k, CASE WHEN coalesce(sa, 1e18) <= coalesce(sb, 1e18) THEN a ELSE b END AS c,
   CASE WHEN coalesce(sa, 1e18) <= coalesce(sb, 1e18) THEN 'world_to_cam' ELSE 'cam_to_world' END AS mode,
   coalesce(least(sa, sb) / greatest(sa, sb), 1) AS score_ratio FROM poses p LEFT JOIN scores USING (rig)""",
-    "eyes": """SELECT rig, lpad(CAST(k AS VARCHAR), 4, '0') AS frame_id, [e[21], e[22], e[23]] AS eye FROM centers WHERE k < 4""",
+    "eyes": """SELECT rig, lpad(CAST(k AS VARCHAR), 4, '0') AS frame_id, [e[21], e[22], e[23]] AS eye FROM centers""",
     "dists": """SELECT p.rig, y.frame_id, p.k, p.c, y.eye, sqrt((c[1]-eye[1])**2 + (c[2]-eye[2])**2 + (c[3]-eye[3])**2) AS d
   FROM picked p JOIN eyes y USING (rig)""",
 }

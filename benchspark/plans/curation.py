@@ -68,18 +68,13 @@ def source_counts(spark, sf):
 
 
 @query(
-    """SELECT idx, row_number() OVER (ORDER BY lower(scene), timestamp, coalesce(task_id, 0), question, idx) AS place
-FROM samples ORDER BY place LIMIT 100""",
+    f"""SELECT idx, row_number() OVER (ORDER BY lower(scene), timestamp, coalesce(task_id, 0), lower({b.norm_sql('question')}), idx) AS place
+FROM samples""",
     b.MERGE[:1],
 )
 def first_ordered(spark, sf):
-    """The first hundred samples in merge order; a tie falls to the row number instead of the identity hash."""
-    s = b.samples(spark, sf).withColumn("question", merge.strip("question")).withColumn("identity_key", F.col("idx"))
-    top = merge.order_samples(s).limit(100).select("idx", merge.norm_lower("scene").alias("s"), "timestamp", "task_id", "question")
-    w = F.row_number().over(
-        b.W.orderBy("s", "timestamp", F.coalesce("task_id", F.lit(0)), merge.norm_lower("question"), "idx")
-    )
-    return top.select("idx", w.cast("bigint").alias("place"))
+    """The place of every sample in merge order; a tie falls to the row number instead of the identity hash."""
+    return merge.place_samples(b.samples(spark, sf).withColumn("identity_key", F.col("idx"))).select("idx", "place")
 
 
 @query(

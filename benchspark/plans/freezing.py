@@ -168,12 +168,15 @@ def review_report(spark, sf):
 
 
 @query(
-    """SELECT count(*) AS row_count, count(DISTINCT o_orderkey) AS distinct_keys FROM orders"""
+    """WITH h AS (SELECT CAST('0x' || substr(sha256('{"key":' || o_orderkey || ',"note":' || coalesce('"' || CASE WHEN o_custkey % 3 > 0 THEN o_orderstatus END || '"', 'null')
+    || ',"parts":["' || o_orderpriority || '"' || CASE WHEN o_custkey % 2 = 0 THEN ',"' || o_orderstatus || '"' ELSE '' END || ']}'), 1, 15) AS BIGINT) AS h FROM orders)
+SELECT count(*) AS row_count, bit_xor(h) AS hash_xor, CAST(sum(h % 1000000007) AS BIGINT) AS hash_sum FROM h"""
 )
 def table_fingerprint(spark, sf):
-    """Two readings of one table in different row orders have one fingerprint; the key count ties it to the data."""
-    orders = b.table(spark, sf, "orders")
-    a = inv.fingerprint(orders).select(F.struct("*")).scalar()
-    z = inv.fingerprint(orders.repartition(5, "o_custkey")).select(F.struct("*")).scalar()
-    counted = orders.agg(F.count_distinct("o_orderkey").alias("distinct_keys"))
-    return counted.select(F.when(a == z, a.getField("row_count")).alias("row_count"), "distinct_keys")
+    """Orders with a field that is often missing and a list of one or two words."""
+    status = F.col("o_orderstatus")
+    parts = F.when(F.col("o_custkey") % 2 == 0, F.array("o_orderpriority", status)).otherwise(F.array("o_orderpriority"))
+    rows = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("key"), F.when(F.col("o_custkey") % 3 > 0, status).alias("note"), parts.alias("parts")
+    )
+    return inv.fingerprint(rows)

@@ -224,12 +224,12 @@ def label_maps(spark, sf):
 
 @query(
     """SELECT pos, CASE WHEN noun IS DISTINCT FROM name THEN 1 ELSE 0 END + CASE WHEN sc IS DISTINCT FROM sn THEN 1 ELSE 0 END AS steps,
-  CASE WHEN size % 3 = 0 THEN name || ' on desk' WHEN size % 3 = 1 THEN noun END AS first_after FROM (""" + SANE + ") WHERE sc IS DISTINCT FROM sn",
+  CASE WHEN sc IS DISTINCT FROM sn THEN CASE WHEN size % 3 = 0 THEN name || ' on desk' WHEN size % 3 = 1 THEN noun END WHEN noun IS DISTINCT FROM name THEN name END AS first_after FROM (""" + SANE + ")",
     ("texts",),
 )
 def label_changes(spark, sf):
     flow = L.label_flow([("cue", "noun", "cue", "name"), ("same", "noun", "noun", None), ("name", "noun", "name", None)])
-    t = texts(spark, sf).withColumn("f", flow).where(F.get("f", F.lit(0))["stage"] == "cue")
+    t = texts(spark, sf).withColumn("f", flow)
     return t.select("pos", F.size("f").alias("steps"), F.get("f", F.lit(0))["after"].alias("first_after"))
 
 

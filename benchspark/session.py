@@ -31,11 +31,17 @@ def build_session(app_name: str = "benchspark", master: str | None = None, **con
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder under the cluster's ``spark.checkpoint.dir``; where that is unset, a local one in local mode only.
+
+    Executors of a cluster would each write to a disk of their own, so a cluster without the setting is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="benchspark-")
         spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")

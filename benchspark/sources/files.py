@@ -123,12 +123,13 @@ def read_per_model(spark: SparkSession, folder: str, schema=PREDICTION) -> DataF
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Review decisions from CSV, a JSON list, ``{"decisions": [...]}`` or a map of bundle to decision.
 
-    ``pos`` is the row's place in the file; the last row of a bundle counts.
+    ``pos`` is the row's place in the file; the last row of a bundle counts. Absent CSV columns are NULL.
     """
     columns = ["bundle_id", "decision", "note", "reviewer", "updated_at"]
     if not path.lower().endswith(".json"):
-        raw = spark.read.option("header", True).option("multiLine", True).schema(DECISION).csv(path)
-        return raw.select(*columns, F.monotonically_increasing_id().alias("pos"))
+        raw = spark.read.option("header", True).option("multiLine", True).csv(path)  # names decide, whatever their order
+        found = [F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns]
+        return raw.select(*found, F.monotonically_increasing_id().alias("pos"))
     doc = spark.read.option("wholetext", True).text(path)
     row = "struct<bundle_id:string,decision:string,note:string,reviewer:string,updated_at:string>"
     is_list = F.ltrim(F.col("value")).startswith("[")

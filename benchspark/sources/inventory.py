@@ -15,9 +15,12 @@ PARAMETER_WORDS = ["calib", "calibration", "extri", "extr", "camera", "param", "
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and two order-free sums of row hashes: equal tables give equal rows, whatever their file layout."""
-    names = sorted(df.columns)
-    row = F.xxhash64(*[F.col(c) for c in names])
+    """Row count and two order-free sums of row hashes: equal tables give equal rows, whatever their file layout.
+
+    A row's hash is the first 60 bits of the SHA-256 of its JSON with sorted names; NULLs and the borders of lists show in it.
+    """
+    body = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    row = F.conv(F.substring(F.sha2(body, 256), 1, 15), 16, 10).cast("bigint")
     # the sum is taken over a reduced hash so that it cannot overflow
     return df.select(row.alias("h")).agg(
         F.count("*").alias("row_count"),
