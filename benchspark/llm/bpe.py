@@ -18,6 +18,8 @@ from benchspark.llm.common import append_arrow, staged, table
 
 #: Most frequent words that are encoded once and broadcast: at most so many, of at most so many bytes each.
 COMMON_WORDS, COMMON_BYTES = 1 << 20, 64
+#: Words whose ids are put together at once.
+JOIN_WORDS = 200_000
 NONE = (1 << 31) - 1
 
 
@@ -173,11 +175,12 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     known = book.column("word").combine_chunks() if book.num_rows else pa.array([], pa.string())
     lists = book.column("ids").combine_chunks() if book.num_rows else pa.array([], pa.list_(pa.int32()))
     offsets = np.asarray(lists.offsets, np.int64) - (lists.offsets[0].as_py() if len(lists) else 0) if len(lists) else np.zeros(1, np.int64)
-    shared = spark.sparkContext.broadcast((known.cast(pa.string()), offsets, np.asarray(lists.flatten(), np.int32), pa.array(merges.tokens, pa.binary())))
+    shared = spark.sparkContext.broadcast(known.cast(pa.string()))
+    shared_ids = spark.sparkContext.broadcast((offsets.astype(np.int32), np.asarray(lists.flatten(), np.int32).astype(np.uint16), pa.array(merges.tokens, pa.binary())))
 
     def look_up(column):
         flat = column.flatten()
-        code = pc.index_in(flat.cast(pa.string()), value_set=shared.value[0])
+        code = pc.index_in(flat.cast(pa.string()), value_set=shared.value)
         missing = pc.is_null(code).to_numpy(zero_copy_only=False)
         code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False).copy()
         ends = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py() if len(column) else np.zeros(1, np.int64)
@@ -194,13 +197,23 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code, pa.int32())), pa.array(rest, pa.list_(pa.string()))
 
     def join(codes, rest):
-        known, offsets, values, tokens = shared.value
+        """In runs of rows of about JOIN_WORDS words, as each word's ids and bytes are spread out."""
+        ends = np.asarray(codes.offsets, np.int64)
+        parts, at = [], 0
+        while at < len(codes) or not parts:
+            to = min(len(codes), max(at + 1, int(np.searchsorted(ends, ends[at] + JOIN_WORDS, side="right")) - 1))
+            parts.append(join_rows(codes.slice(at, to - at), rest.slice(at, to - at)))
+            at = to
+        return [pa.concat_arrays([p[i] for p in parts]) for i in range(len(parts[0]))]
+
+    def join_rows(codes, rest):
+        offsets, values, tokens = shared_ids.value
         code = codes.flatten().to_numpy(zero_copy_only=False)
         ends = np.asarray(codes.offsets, np.int64) - codes.offsets[0].as_py() if len(codes) else np.zeros(1, np.int64)
         inner = rest.flatten()  # array<int> of each rare word, in the rows' order
         inner_off = np.asarray(inner.offsets, np.int64) if len(inner) else np.zeros(1, np.int64)
         rest_off = np.asarray(rest.offsets, np.int64) - rest.offsets[0].as_py() if len(rest) else np.zeros(1, np.int64)
-        pool = np.concatenate([values, np.asarray(inner.values, np.int32) if len(inner) else np.zeros(0, np.int32)])
+        own = np.asarray(inner.values, np.int32) if len(inner) else np.zeros(0, np.int32)
         row = np.repeat(np.arange(len(codes)), np.diff(ends))
         rare = code < 0
         at = np.empty(len(code), np.int64)
@@ -208,10 +221,13 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
         at[~rare] = offsets[code[~rare]]
         length[~rare] = offsets[code[~rare] + 1] - at[~rare]
         which = rest_off[row[rare]] - 1 - code[rare]
-        at[rare] = len(values) + inner_off[which]
+        at[rare] = inner_off[which]
         length[rare] = inner_off[which + 1] - inner_off[which]
         stop = np.concatenate([[0], np.cumsum(length)])
-        ids = pool[np.repeat(at - stop[:-1], length) + np.arange(stop[-1])]
+        place = np.repeat(at - stop[:-1], length) + np.arange(stop[-1])
+        is_rare = np.repeat(rare, length)
+        ids = np.empty(len(place), np.int32)
+        ids[~is_rare], ids[is_rare] = values[place[~is_rare]], own[place[is_rare]]
         cut = stop[ends]
         pieces = tokens.take(pa.array(ids)).cast(pa.large_binary())
         where = np.frombuffer(pieces.buffers()[1], np.int64)[: len(ids) + 1]

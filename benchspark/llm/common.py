@@ -48,7 +48,7 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         n = max(n, CHUNK_BYTES + 1)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
@@ -94,7 +94,7 @@ def word_spans(sep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte runs, A-Z as a-z: differences of one running polynomial sum."""
-    power, inverse = _powers(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts])

@@ -3,14 +3,14 @@ hash-joined, and the fillings of the slots must be consistent."""
 
 from __future__ import annotations
 
-import re
+import sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchspark.llm.common import mix, staged, strings, table
+from benchspark.llm.common import mix, powers, staged, strings, table, word_spans
 
 #: Words in a window. Shorter items are one window of their whole length.
 WINDOW = 8
@@ -21,82 +21,130 @@ MIN_COVER = 0.5
 #: Bits of the filter over the benchmark's window hashes: fixed, so what is broadcast does not grow.
 FILTER_BITS = 1 << 23
 
-TOKEN = re.compile(r"\w+", re.UNICODE)
 # Unit words and number words that are slots.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds metre metres meter meters mile miles gram grams kilogram kilograms litre litres liter liters pound pounds dollar dollars cent cents euro euros percent degree degrees usd eur kmh mph kb mb gb tb".split())
 NUMBERS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
-_SLOT_HASH = {NUMBER: 0x51ED270B9D2C5A11, NAME: 0x7C15E8A3B4D96F27, UNIT: 0x2545F4914F6CDD1D}
+#: Code points of texts worked on at once; a longer text is worked on alone.
+CHUNK = 1 << 19
+_TABLES: dict[str, np.ndarray] = {}
 
 
-def canonical(text: str) -> tuple[list[str], np.ndarray]:
-    """Lower-cased words and their slot types.
+def _tables() -> dict[str, np.ndarray]:
+    """By code point: hash of the lower case, and whether it is part of a word, a digit, a capital, the end of a sentence."""
+    if not _TABLES:
+        n = sys.maxunicode + 1
+        chars = [chr(c) for c in range(n)]
+        lower = np.arange(n, dtype=np.uint64)
+        for c, x in enumerate(chars):
+            if x.isupper() and len(x.lower()) == 1:
+                lower[c] = ord(x.lower())
+        _TABLES["hash"] = mix(lower + np.uint64(0x51ED))
+        _TABLES["word"] = np.fromiter((x.isalnum() or x == "_" for x in chars), bool, n)
+        _TABLES["digit"] = np.fromiter((x.isdigit() for x in chars), bool, n)
+        _TABLES["upper"] = np.fromiter((x.isupper() for x in chars), bool, n)
+        _TABLES["stop"] = np.isin(np.arange(n), [ord(x) for x in ".!?\n:;|\""])
+    return _TABLES
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
+def _hash_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    power, inverse = powers(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_tables()["hash"][codes] * power[: len(codes)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts])
+
+
+def _hash_set(words: frozenset[str]) -> np.ndarray:
+    codes = [_codes(w) for w in sorted(words)]
+    size = np.array([len(c) for c in codes])
+    ends = np.cumsum(size)
+    return _hash_runs(np.concatenate(codes), ends - size, ends)
+
+
+class Words:
+    """The words of a run of texts: where they lie, whose they are, their slot types, and their hashes plain and as slots.
 
     A number is a word with a digit or a number word; a unit is a unit word right after a number; a name is a capitalised word
     that does not begin a sentence and is not all capitals.
     """
-    words, kinds, end = [], [], 0
-    for m in TOKEN.finditer(text):
-        w = m.group()
-        low = w.lower()
-        if not low.isalpha() and any(c.isdigit() for c in low) or low in NUMBERS:
-            kind = NUMBER
-        elif low in UNITS and kinds and kinds[-1] == NUMBER:
-            kind = UNIT
-        elif w[0].isupper() and not (len(w) > 1 and w.isupper()) and words and not (set(text[end : m.start()]) & set(".!?\n:;|\"")):
-            kind = NAME
-        else:
-            kind = PLAIN
-        words.append(low)
-        kinds.append(kind)
-        end = m.end()
-    return words, np.array(kinds, np.int8)
-
-
-def _hash_words(words: list[str], kinds: np.ndarray, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    import xxhash
-
-    if len(memo) > 200_000:
-        memo.clear()
-    get, digest = memo.get, xxhash.xxh64_intdigest
-    plain = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            h = memo[w] = digest(w)
-        plain[i] = h
-    slots = plain.copy()
-    for k, h in _SLOT_HASH.items():
-        slots[kinds == k] = h
-    return plain, slots
-
-
-def windows(text: str, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """(hash, start) of the windows of a text: its template windows, and where they differ its literal ones."""
-    words, kinds = canonical(text)
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), words, kinds
-    plain, slots = _hash_words(words, kinds, memo)
-    n = min(WINDOW, len(words))
-    count = len(words) - n + 1
-    hashes = []
-    for h in (slots, plain):
-        acc = np.full(count, n, np.uint64)
-        for j in range(n):
-            acc = acc * np.uint64(0x9E3779B97F4A7C15) + mix(h[j : j + count] + np.uint64(j))
-        hashes.append(mix(acc))
-    is_slot = np.concatenate([[0], np.cumsum(kinds != PLAIN)])
-    slotted = is_slot[n:] - is_slot[:-n]
-    distinct = np.ones(count, bool) if n < WINDOW else _varied(plain, n, count)
-    tpl = np.flatnonzero(distinct & ((n - slotted >= LEAST_PLAIN) | (slotted == 0)))
-    lit = np.flatnonzero(distinct & (slotted > 0))
-    return np.concatenate([hashes[0][tpl], hashes[1][lit]]), np.concatenate([tpl, lit]), words, kinds
-
-
-def _varied(h: np.ndarray, n: int, count: int) -> np.ndarray:
-    """Whether a window has at least LEAST_PLAIN changes of word, which a repeated word has not."""
-    change = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
-    return change[n - 1 : n - 1 + count] - change[:count] >= LEAST_PLAIN - 1
+
+    def __init__(self, texts: list[str]):
+        self.joined = "".join(texts)
+        codes, t = _codes(self.joined), _tables()
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        self.starts, self.ends, self.doc = word_spans(~t["word"][codes], offsets)
+        starts, ends, doc, n = self.starts, self.ends, self.doc, len(self.starts)
+        self.plain = _hash_runs(codes, starts, ends)
+        kinds = np.zeros(n, np.int8)
+        if n:
+            digits, uppers, stops = _sums(t["digit"][codes]), _sums(t["upper"][codes]), _sums(t["stop"][codes])
+            same = np.zeros(n, bool)
+            same[1:] = doc[1:] == doc[:-1]
+            before = np.concatenate([[0], ends[:-1]])
+            all_capitals = (uppers[ends] - uppers[starts] == ends - starts) & (ends - starts > 1)
+            kinds[t["upper"][codes[starts]] & ~all_capitals & same & (stops[starts] == stops[before])] = NAME
+            if "numbers" not in _TABLES:
+                _TABLES["numbers"], _TABLES["units"] = _hash_set(NUMBERS), _hash_set(UNITS)
+            kinds[(digits[ends] > digits[starts]) | np.isin(self.plain, _TABLES["numbers"])] = NUMBER
+            unit = np.isin(self.plain, _TABLES["units"]) & same & (kinds != NUMBER)
+            unit[1:] &= kinds[:-1] == NUMBER
+            kinds[unit] = UNIT
+        self.kinds = kinds
+        self.slots = self.plain.copy()
+        for k in (NUMBER, NAME, UNIT):
+            self.slots[kinds == k] = mix(np.array([k], np.uint64))[0]
+
+    def text(self, first: int, n: int) -> list[str]:
+        return [self.joined[a:b].lower() for a, b in zip(self.starts[first : first + n], self.ends[first : first + n])]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, number of words) of the template windows, and where they differ of the literal ones."""
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(self.doc):
+            first = np.searchsorted(self.doc, np.arange(self.doc[-1] + 2))
+            for n in range(1, WINDOW):  # a text shorter than a window is one window of its own length
+                parts.append(self._windows(first[:-1][np.diff(first) == n], n))
+            parts.append(self._windows(np.flatnonzero(self.doc[: max(0, len(self.doc) - WINDOW + 1)] == self.doc[WINDOW - 1 :]), WINDOW))
+        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+
+    def _windows(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slot = _sums(self.kinds != PLAIN)
+        slotted = slot[at + n] - slot[at]
+        fine = np.ones(len(at), bool)
+        if n == WINDOW:  # a window of one repeated word says nothing
+            change = np.zeros(len(self.plain), np.int64)
+            change[1:] = np.cumsum(self.plain[1:] != self.plain[:-1])
+            fine = change[at + n - 1] - change[at] >= LEAST_PLAIN - 1
+        out = []
+        for h, which in ((self.slots, fine & ((n - slotted >= LEAST_PLAIN) | (slotted == 0))), (self.plain, fine & (slotted > 0))):
+            some = at[which]
+            acc = np.full(len(some), n, np.uint64)
+            for j in range(n):
+                acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[some + j]
+            out.append((mix(acc), some, np.full(len(some), n)))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
+def _runs(texts: list[str]):
+    """(first, last) of runs of texts of about CHUNK code points."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, len(texts)
 
 
 WINDOW_ROW = "h long, start int, words array<string>, kinds binary"
@@ -109,26 +157,23 @@ def _rows(table_: DataFrame, text: str, key: str, bits: bytes | None) -> DataFra
 
     def run(batches):
         mask = np.frombuffer(shared.value, np.uint8) if shared is not None else None
-        memo: dict[str, int] = {}
         for b in batches:
-            keys, hs, at, ws, ks = [], [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), strings(b.column(1))):
-                h, start, words, kinds = windows(t, memo)
-                if mask is not None and len(h):
+            texts = strings(b.column(1))
+            for lo, hi in _runs(texts):
+                w = Words(texts[lo:hi])
+                h, at, n = w.windows()
+                if mask is not None:
                     cell = (h >> np.uint64(41)).astype(np.int64)
-                    hit = (mask[cell >> 3] >> (cell & 7)) & 1 == 1
-                    h, start = h[hit], start[hit]
-                n = min(WINDOW, len(words))
-                keys += [k] * len(h)
-                hs.append(h.view(np.int64))
-                at.append(start)
-                ws += [words[s : s + n] for s in start]
-                ks += [kinds[s : s + n].tobytes() for s in start]
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, b.schema.field(0).type), pa.array(np.concatenate(hs)), pa.array(np.concatenate(at), pa.int32()), pa.array(ws, pa.list_(pa.string())), pa.array(ks, pa.binary())],
-                    names=[key, "h", "start", "words", "kinds"],
-                )
+                    hit = (mask[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+                    h, at, n = h[hit], at[hit], n[hit]
+                if len(h):
+                    begin = np.searchsorted(w.doc, w.doc[at])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(lo + w.doc[at])), pa.array(h.view(np.int64)), pa.array(at - begin, pa.int32()),
+                         pa.array([w.text(i, k) for i, k in zip(at.tolist(), n.tolist())], pa.list_(pa.string())),
+                         pa.array([w.kinds[i : i + k].tobytes() for i, k in zip(at.tolist(), n.tolist())], pa.binary())],
+                        names=[key, "h", "start", "words", "kinds"],
+                    )
 
     return table_.select(key, text).mapInArrow(run, f"`{key}` {key_type}, {WINDOW_ROW}")
 

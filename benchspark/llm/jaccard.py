@@ -101,9 +101,9 @@ def _features(percent: int, size: int):
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over the undirected edges (a, b), by alternating large and small stars.
+    """(id, component): the smallest id reachable over the undirected edges (a, b), for all ids that it is not itself.
 
-    Every round is staged; a node's edges are only aggregated, never gathered.
+    Large and small stars alternate until no edge moves. Every round is staged; a node's edges are only aggregated, never gathered.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
