@@ -220,10 +220,6 @@ def relaxed_match(a, b) -> Column:
     return let(sanitize(a), lambda x: let(sanitize(b), lambda y: _relaxed(x, y)))
 
 
-def label_root(c) -> Column:
-    return let(sanitize(c), lambda s: sanitize(_before_on(s)))
-
-
 def equivalent(a, b) -> Column:
     """Relaxed match of labels or roots, or of the roots with furniture aliases resolved."""
     alias = F.create_map(*[F.lit(v) for pair in ALIASES.items() for v in pair])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from benchspark.functions.text import (
@@ -20,7 +21,6 @@ from benchspark.functions.text import (
     strip,
     text,
 )
-from benchspark.operators.ranking import global_rank, position_slot
 
 # Task ids, their types and the order of the accuracy columns.
 TASK_TYPES = {
@@ -477,13 +477,9 @@ def model_scores(cube: DataFrame, scenes: Sequence[str] = ()) -> DataFrame:
 
 
 def _with_rank(table: DataFrame) -> DataFrame:
-    """1..N by mean accuracy, ties in registry order. Accuracies have four places, so slots are exact."""
-    acc = F.col("avg_task_accuracy")
-    return global_rank(
-        table,
-        order=[acc.desc(), F.col("pos")],
-        slots=[-F.round(acc * 10000).cast("int"), position_slot("pos")],
-    )
+    """1..N by mean accuracy, ties in registry order. One row per registered model, so one small window numbers them."""
+    place = F.row_number().over(W.orderBy(F.col("avg_task_accuracy").desc(), "pos"))
+    return table.withColumn("rank", place.cast("bigint"))
 
 
 def accuracy_table(cube: DataFrame, registry: DataFrame) -> DataFrame:

@@ -114,11 +114,6 @@ def normalize_decisions(decisions: DataFrame, pos: str = "pos") -> DataFrame:
     return last.select("bundle_id", *[F.col(f"d.{n}").alias(n) for n in names])
 
 
-def _decided(manifest: DataFrame, decisions: DataFrame) -> DataFrame:
-    d = decisions.select("bundle_id", F.col("decision").alias("found"))
-    return manifest.withColumn("bundle_id", bundle_id()).join(d, "bundle_id", "left")
-
-
 def apply_review(manifest: DataFrame, decisions: DataFrame) -> DataFrame:
     """Manifest without the rejected bundles (H15); ``decisions`` from ``normalize_decisions``."""
     rejected = decisions.where("decision = 'reject'").select("bundle_id")

@@ -53,8 +53,12 @@ def _line_pos():
 
 def predictions(spark, sf) -> DataFrame:
     """Line items as answers: supplier is the model; flag A means a blank answer with an error."""
+    return prediction_columns(table(spark, sf, "lineitem"))
+
+
+def prediction_columns(lines: DataFrame) -> DataFrame:
     blank = F.col("l_returnflag") == "A"
-    return table(spark, sf, "lineitem").select(
+    return lines.select(
         F.col("l_orderkey").cast("string").alias("sample_uid"),
         F.col("l_suppkey").cast("string").alias("model_key"),
         F.col("l_suppkey").cast("string").alias("model_id"),

@@ -18,15 +18,18 @@ def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS sample_uid, CAST(l_suppkey AS VARCHAR) AS model_key FROM lineitem")
+@query(
+    """SELECT sample_uid, model_key, min(pos) AS pos, arg_min(inference_answer, pos) AS inference_answer, arg_min(error, pos) AS error
+FROM predictions GROUP BY 1, 2""",
+    b.SCORING[:2],
+)
 def stream_first_rows(spark, sf):
-    """Predictions, each sample and model once."""
-    s = stream_table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("sample_uid"), F.col("l_suppkey").cast("string").alias("model_key"), "l_returnflag"
-    )
+    """Predictions, the first of each sample and model with its answer."""
+    lines = stream_table(spark, sf, "lineitem")
+    s = b.prediction_columns(lines).select("sample_uid", "model_key", "pos", "inference_answer", "error")
     out = shared_dir(spark, "predictions")
-    logs.append_table(logs.ingest_first(s), f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/table").select("sample_uid", "model_key")
+    logs.ingest_first(s, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/table").select(*s.columns)
 
 
 @query(ERROR_SUMMARY)

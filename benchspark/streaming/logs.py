@@ -1,7 +1,7 @@
 """Append logs as streams.
 
-The logs never forget an id, so duplicates are dropped without a watermark; the state is one entry per sample and
-model, or per accepted frame.
+The logs never forget an id, so duplicates are dropped without a watermark: answers against the stored table, accepted
+frames by stream state (which belongs in a RocksDB state store on a cluster).
 """
 
 from __future__ import annotations
@@ -13,15 +13,27 @@ from pyspark.sql.streaming import StreamingQuery
 from benchspark.operators.assemble import error_summary, progress
 
 
-def ingest_first(stream: DataFrame, keys=("sample_uid", "model_key")) -> DataFrame:
-    """First row of every sample and model."""
-    return stream.dropDuplicates(list(keys))
+def ingest_first(
+    stream: DataFrame, path: str, checkpoint: str, keys=("sample_uid", "model_key"), pos: str = "pos", available_now: bool = True
+) -> StreamingQuery:
+    """First row of every sample and model (S1), in one folder per micro-batch under ``path``.
 
+    Within a micro-batch the row of the lowest ``pos`` is kept, then the one of the lowest content; a key that an earlier
+    batch has stored is dropped. The stored table takes the place of stream state, so nothing of it lies on the heap, and a
+    repeated batch replaces its folder.
+    """
+    keys = list(keys)
+    others = [c for c in stream.columns if c not in (*keys, pos)]
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy(*keys).agg(F.min(F.struct(pos, *others)).alias("r")).select(*keys, "r.*")
+        if batch_id > 0:
+            stored = batch.sparkSession.read.parquet(path).where(F.col("batch") < batch_id).select(*keys)
+            first = first.join(stored, keys, "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def append_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append a stream to a Parquet table; the checkpoint makes each input row count once."""
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if available_now else writer).start(path)
+    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def error_counts(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -44,7 +44,8 @@ def test_logs_and_decisions(spark, tmp_path):
     (tmp_path / "d1.json").write_text(json.dumps([{"bundle_id": "b1", "decision": "yes"}, {"bundle_id": "b2", "decision": "no"}]))
     (tmp_path / "d2.json").write_text(json.dumps({"decisions": [{"bundle_id": k, "decision": v} for k, v in want.items()]}))
     (tmp_path / "d3.json").write_text(json.dumps({"b1": {"decision": "yes"}, "b2": "no"}))
-    for name in ("d.csv", "d1.json", "d2.json", "d3.json"):
+    (tmp_path / "d2.csv").write_text("reviewer,bundle_id,decision\nann,b1,yes\n,b2,no\n")
+    for name in ("d.csv", "d2.csv", "d1.json", "d2.json", "d3.json"):
         assert {r.bundle_id: r.decision for r in files.read_decisions(spark, str(tmp_path / name)).collect()} == want, name
     df = spark.createDataFrame([("s", 1)], "a string, b int")
     files.write_jsonl(df, str(tmp_path / "out"))
@@ -91,12 +92,13 @@ def test_inventory_choices(spark):
 
 def test_ingest_keeps_the_first_row_over_restarts(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    rows = lambda *r: spark.createDataFrame(list(r), "sample_uid string, model_key string, v int")
-    rows(("a", "m", 1), ("b", "m", 2), ("a", "n", 3)).coalesce(1).write.json(src)
-    read = lambda: spark.readStream.schema("sample_uid string, model_key string, v int").json(src)
-    logs.append_table(logs.ingest_first(read()), out, ck).awaitTermination()
-    rows(("a", "m", 9), ("c", "m", 4)).coalesce(1).write.mode("append").json(src)
-    logs.append_table(logs.ingest_first(read()), out, ck).awaitTermination()
+    schema = "sample_uid string, model_key string, pos int, v int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    rows(("a", "m", 2, 8), ("a", "m", 1, 1), ("b", "m", 1, 2), ("a", "n", 1, 3), ("b", "m", 5, 0)).coalesce(1).write.json(src)
+    read = lambda: spark.readStream.schema(schema).json(src)
+    logs.ingest_first(read(), out, ck).awaitTermination()
+    rows(("a", "m", 0, 9), ("c", "m", 1, 4)).coalesce(1).write.mode("append").json(src)
+    logs.ingest_first(read(), out, ck).awaitTermination()
     got = sorted((r.sample_uid, r.model_key, r.v) for r in spark.read.parquet(out).collect())
     assert got == [("a", "m", 1), ("a", "n", 3), ("b", "m", 2), ("c", "m", 4)]
 

@@ -314,3 +314,51 @@ def test_query_camera_prefers(spark):
     assert decisions.pick_query_cam(df).first().query_cam == "Cam3"
     assert decisions.pick_query_cam(df, "object").first().query_cam == "Cam2"
     assert decisions.pick_query_cam(df, "object", checks=1).count() == 0
+
+
+def test_fingerprint_sees_nulls_and_borders(spark):
+    from benchspark.sources import inventory
+
+    schema = "a string, b string, c array<string>, d array<string>"
+    tables = [spark.createDataFrame([r], schema) for r in [(None, "a", ["x"], ["y"]), ("a", None, ["x", "y"], []), ("a", None, ["x"], ["y"])]]
+    assert len({tuple(inventory.fingerprint(t).first()) for t in tables}) == 3
+    assert inventory.fingerprint(tables[0]).first() == inventory.fingerprint(tables[0].repartition(3)).first()
+
+
+def test_each_model_has_its_own_work_and_answers(spark):
+    manifest = spark.createDataFrame([("s1",), ("s2",)], "sample_uid string")
+    done = spark.createDataFrame([("s1", "m1", "")], "sample_uid string, model_key string, error string")
+    models = spark.createDataFrame([("m1",), ("m2",)], "model_key string")
+    todo = {(r.sample_uid, r.model_key) for r in campaign.pending(manifest, done, models=models).collect()}
+    assert todo == {("s2", "m1"), ("s1", "m2"), ("s2", "m2")}
+    schema = "sample_uid string, model_key string, pos int, inference_answer string, tokens_in int, tokens_out int, error string"
+    primary = spark.createDataFrame([("s", "m1", 1, "", 1, 1, "bad"), ("s", "m2", 1, "", 1, 1, "bad")], schema)
+    fallback = spark.createDataFrame([("s", "m1", 1, "old", 1, 1, ""), ("s", "m1", 2, "one", 1, 1, ""), ("s", "m2", 1, "two", 1, 1, "")], schema)
+    got = sorted((r.model_key, r.inference_answer, r.error) for r in campaign.combine_answers(primary, fallback).collect())
+    assert got == [("m1", "one", ""), ("m2", "two", "")]
+
+
+def test_the_last_manifest_row_counts(spark):
+    columns = "sample_uid string, task_id int, task_type string, scene string, question string, groundtruth_answer string, pos int"
+    manifest = spark.createDataFrame([("s", 1, campaign.TASK_ORDER[0], "old", "q", "g", 1), ("s", 1, campaign.TASK_ORDER[0], "new", "q", "g", 2)], columns)
+    preds = spark.createDataFrame([("s", "m", "", 1, "x", "", 0.1)], PRED)
+    verdicts = spark.createDataFrame([("s", "m", 1, "correct", "")], VERD)
+    assert [(r.scene, r.total, r.correct) for r in campaign.score_cube(manifest, preds, verdicts).collect()] == [("new", 1, 1)]
+    assert [r.scene for r in campaign.eval_rows(manifest, preds, verdicts).collect()] == ["new"]
+
+
+def test_content_ignores_the_key_order_of_nested_json(spark):
+    df = spark.createDataFrame([('{"a":1,"b":{"x":1,"y":2}}',), ('{"b":{"y":2,"x":1},"a":1}',), ("no json",)], "meta string")
+    assert len({r.f for r in df.select(merge.content_fp(["meta"]).alias("f")).collect()}) == 2
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from benchspark.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context), "x")
