@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from benchspark.llm.common import append_arrow, mix, staged, table, text_chunks, word_hashes, word_spans
 
-#: Minimum number of equal slices that a link must show.
+#: Slices at least that a link must have in common.
 LEAST_SLICES = 3
 #: Keys by which similar documents meet a leader, and how many of them leader and member must share.
 SKETCH, SHARED_KEYS = 8, 5
@@ -50,52 +50,76 @@ def size_classes(percent: int, top: int = 1 << 40) -> np.ndarray:
 
 
 class Slicer:
-    """Cuts a set into m slices by hash. Two linked sets of one label differ in at most m - LEAST_SLICES tokens, so at least
-    LEAST_SLICES of their slices are equal. A set has a label for its size class and one for the class below."""
+    """Cuts a set into slices by hash. Two linked sets of one label differ in at most H tokens, so in at most H slices: of any
+    H + 1 slices one is equal, and of the m = H + ``least`` slices at least ``least`` are. A set has a label for its size class
+    and one for the class below."""
 
     def __init__(self, percent: int):
         self.percent, self.bounds = percent, size_classes(percent)
 
-    def slices(self, label: int) -> int:
+    def plan(self, label: int) -> tuple[int, int]:
+        """(H, least) of a label: as many slices again as may differ, so that unlinked sets fall short by far."""
         most = int(self.bounds[label + 2] - 1)
         differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        return differ + LEAST_SLICES
+        return differ, max(differ, LEAST_SLICES)
 
-    def tokens(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """(slice tokens under both labels, most empty slices of a label)."""
+    def slices(self, s: np.ndarray) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """(label, least, empty slices, slice numbers, slice tokens) under both labels."""
         if not len(s):
-            return np.zeros(0, np.uint64), 0
+            return []
         own = int(np.searchsorted(self.bounds, len(s), side="right")) - 1
-        found, empty = [], 0
-        for label in {max(own - 1, 0), own}:
-            m = self.slices(label)
+        found = []
+        for label in sorted({max(own - 1, 0), own}):
+            differ, least = self.plan(label)
+            m = differ + least
             at = ((s >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             named = at[order]
             cut = np.flatnonzero(np.diff(named, prepend=-1))
             total = np.add.reduceat(mix(s[order] + np.uint64(label + 1)), cut)
-            found.append(mix(total + named[cut].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(label)))
-            empty = max(empty, m - len(cut))
-            if m - len(cut) >= LEAST_SLICES:  # rare: equal empty slices may then be all that two sets share
-                none = np.setdiff1d(np.arange(m), named[cut]).astype(np.uint64)
-                found.append(mix(none * np.uint64(0x165667B19E3779F9) + np.uint64(label + (1 << 40))))
-        return np.concatenate(found), empty
+            number = named[cut]
+            token = mix(total + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(label))
+            found.append((label, least, m - len(cut), number, token))
+        return found
+
+    def probes(self, s: np.ndarray) -> np.ndarray:
+        """Tokens of each label's first H + 1 slices that are not empty: up to there linked sets differ in H slices at most, so
+        one of the others is equal. A set of fewer slices has all of them, with the empty ones."""
+        out = [np.zeros(0, np.uint64)]
+        for label, least, empty, number, token in self.slices(s):
+            differ, _ = self.plan(label)
+            out.append(token[: differ + 1])
+            if len(token) <= differ:
+                out.append(self._empty(label, number))
+        return np.concatenate(out)
+
+    def _empty(self, label: int, number: np.ndarray) -> np.ndarray:
+        none = np.setdiff1d(np.arange(sum(self.plan(label))), number).astype(np.uint64)
+        return mix(none * np.uint64(0x165667B19E3779F9) + np.uint64(label + (1 << 40)))
+
+    def tokens(self, s: np.ndarray) -> list[tuple[int, int, int]]:
+        """(label, needed, token) of all slices; ``needed`` equal ones at least belong to a link, empty slices left out. Where
+        all of them may be empty, empty slices are tokens as well and one is needed."""
+        out = []
+        for label, least, empty, number, token in self.slices(s):
+            if empty >= least:
+                token = np.concatenate([token, self._empty(label, number)])
+            out += [(label, max(1, least - empty), t) for t in token.view(np.int64).tolist()]
+        return out
 
 
 def _features(percent: int, size: int):
     slicer = Slicer(percent)
 
     def run(column):
-        n, a, b, keys, tokens, empty = [], [], [], [], [], []
+        n, a, b, keys, probes = [], [], [], [], []
         for s in shingle_sets(column, size):
-            t, e = slicer.tokens(s)
             n.append(len(s))
             a.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
             b.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
             keys.append((s[:, None] * _SEEDS).min(0).view(np.int64) if len(s) else None)
-            tokens.append(t.view(np.int64))
-            empty.append(e)
-        return pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64())), pa.array(empty, pa.int32())
+            probes.append(slicer.probes(s).view(np.int64))
+        return pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(probes, pa.list_(pa.int64()))
 
     return run
 
@@ -130,21 +154,28 @@ def _bits_of(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, s): the sets of the rows named in ``ids``, as bytes. Texts that the fixed filter keeps out are not hashed."""
+def _sets_of(docs: DataFrame, ids: DataFrame, percent: int, size: int) -> DataFrame:
+    """(id, s, slices): the sets of the rows named in ``ids`` as bytes, and their slices. Texts that the fixed filter keeps
+    out are not hashed."""
     shared = docs.sparkSession.sparkContext.broadcast(_bits_of(ids))
+    slicer = Slicer(percent)
+    kind = pa.list_(pa.struct([("label", pa.int32()), ("needed", pa.int32()), ("token", pa.int64())]))
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             cell = b.column("cell").to_numpy(zero_copy_only=False)
-            some = pa.array(np.flatnonzero((bits[cell >> 3] >> (cell & 7)) & 1))
-            if len(some):
-                part = b.take(some)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("t"), size)], pa.binary())], names=["id", "s"])
+            some = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+            for lo in range(0, len(some), 256):
+                part = b.take(pa.array(some[lo : lo + 256]))
+                sets = shingle_sets(part.column("t"), size)
+                slices = [[{"label": x, "needed": y, "token": z} for x, y, z in slicer.tokens(s)] for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(slices, kind)], names=["id", "s", "slices"])
 
-    hashed = docs.filter("id is not null").select("id", "t", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("cell")).mapInArrow(run, "id long, s binary")
-    return hashed.join(ids, "id").groupBy("id").agg(F.min("s").alias("s"))
+    hashed = docs.filter("id is not null").select("id", "t", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("cell"))
+    hashed = hashed.mapInArrow(run, "id long, s binary, slices array<struct<label:int,needed:int,token:bigint>>")
+    one = hashed.join(ids, "id").groupBy("id").agg(F.min("s").alias("s"), F.min("slices").alias("slices"))
+    return one.select("id", "s", "slices", (F.length("s") / 8).cast("long").alias("n"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -166,15 +197,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id): one row per row of ``docs``, linked at 100 * |A & B| >= percent * |A | B|.
 
-    1. One pass hashes every text's word n-grams; equal sets are one class, named by its smallest id.
-    2. A set is cut into slices by hash, as many as two linked sets can differ in, and LEAST_SLICES more, so linked sets share
-       that many slices (see ``Slicer``). Slices are the tokens of the matrix: two texts that share only a passage rarely have
-       a slice in common, so a hot passage makes no hot token.
-    3. Leaders gather groups: members that share most min-hash keys with a leader are verified against it, and verified links
-       are contracted to groups. A large group of copies is linked in a number of pairs in proportion to its members.
-    4. The matrix holds each slice once per group. A query's number of slices in another group's union bounds what it can
-       share with any member: below LEAST_SLICES the group is not opened. In opened groups, members that reach the bound
-       themselves are verified exactly. Pairs inside a group are connected already and are not expanded.
+    1. One pass hashes every text's word n-grams; equal sets are one class, named by its smallest id. Sets are cut into slices
+       by hash (see ``Slicer``): texts that share only a passage rarely have a slice in common, so a hot passage makes no hot
+       token. Of H + 1 slices linked sets share one; a class that shares none of them with another class is done.
+    2. The other classes' slices are the tokens of the matrix. A class whose slices in other classes are fewer than a link
+       needs is done; a token's frequency orders the rest.
+    3. Leaders gather groups: the members of a bucket of equal min-hash keys that are like its most shared member are verified
+       against it, and verified links are contracted to groups. So a large group of copies costs pairs in proportion to its
+       members.
+    4. The matrix holds each token once per group. Of k tokens that may match, a query looks up the k - needed + 1 rarest, as
+       does the other side; what meets no group there cannot link. Then the query's tokens in the union of a group bound what
+       it can share with any member: below ``needed`` the group is not opened. Members of opened groups that share a looked-up
+       token are verified exactly. Pairs inside a group are connected already and are not expanded.
     5. Components of all verified links are the result. n_links counts the verified links of the class.
 
     Defined results: texts without words (NULL and empty ones too) have no set, link with nothing and are components of their
@@ -182,24 +216,29 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     member each; ties cannot occur; other columns do not matter; a table without rows gives none.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    fields = {"n": "bigint", "d1": "bigint", "d2": "bigint", "keys": "array<bigint>", "tokens": "array<bigint>", "empty": "int"}
+    fields = {"n": "bigint", "d1": "bigint", "d2": "bigint", "keys": "array<bigint>", "probes": "array<bigint>"}
     feats = staged(append_arrow(base, ["t"], fields, _features(percent, size), keep=["id"]), "jaccard-features")
     digest = ["d1", "d2", "n"]
-    classes = staged(feats.filter("n > 0").groupBy(*digest).agg(F.min("id").alias("rep"), F.min("keys").alias("keys"), F.min("empty").alias("empty")).filter("rep is not null"), "jaccard-classes")
-
-    # slices held by more than one class
-    held = feats.filter("n > 0").select("d1", F.explode("tokens").alias("token"))
-    multi = held.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi").select("token")
-    shared = held.join(multi, "token").distinct().join(classes.select("d1", "rep", "n", "empty"), "d1").select("token", "rep", "n", "empty")
-    columns = staged(shared, "jaccard-slices")
-    need = F.greatest(F.lit(1), F.lit(LEAST_SLICES) - F.col("empty"))
-    able = columns.groupBy("rep").agg(F.count("*").alias("k"), F.first("empty").alias("empty")).filter(F.col("k") >= need).select(F.col("rep").alias("id"))
-    able = staged(able, "jaccard-able")
-    sets = staged(_sets_of(base, able, size), "jaccard-sets")
-
-    # groups: members verified against leaders
-    keyed = classes.join(able, classes["rep"] == able["id"], "left_semi").select("rep", "n", "keys", F.posexplode("keys").alias("k", "key"))
-    leaders = keyed.groupBy("k", "key").agg(F.min(F.struct("rep", "keys", "n")).alias("lead"))
+    classes = staged(feats.filter("n > 0").groupBy(*digest).agg(F.min("id").alias("rep"), F.min("keys").alias("keys")).filter("rep is not null"), "jaccard-classes")
+
+    # classes that share a probe with another one
+    held = feats.filter("n > 0").select("d1", F.explode("probes").alias("token"))
+    mark = F.col("d1").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    multi = held.groupBy("token").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo < hi").select("token")
+    maybe = held.join(multi, "token", "left_semi").select("d1").distinct().join(classes.select("d1", "rep"), "d1").select(F.col("rep").alias("id"))
+    sets = staged(_sets_of(base, staged(maybe, "jaccard-maybe"), percent, size), "jaccard-sets")
+
+    # their slices that stand in more than one class, and those that have as many as a link needs
+    slices = sets.select(F.col("id").alias("rep"), "n", F.explode("slices").alias("x")).select("rep", "n", "x.*")
+    often = slices.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    common = slices.join(often, "token")
+    enough = common.groupBy("rep", "label").agg(F.count("*").alias("k")).filter("k > 0")
+    columns = staged(common.join(enough, ["rep", "label"]).filter(F.col("k") >= F.col("needed")), "jaccard-columns")
+
+    # groups: members verified against the most shared member of their bucket
+    share = columns.groupBy("rep").agg(F.max(F.col("k") / F.col("needed")).alias("share"))
+    keyed = classes.join(share, "rep").select("rep", "n", "share", "keys", F.posexplode("keys").alias("k", "key"))
+    leaders = keyed.groupBy("k", "key").agg(F.min(F.struct((-F.col("share")).alias("share"), "rep", "keys", "n")).alias("lead"))
     met = keyed.join(leaders, ["k", "key"]).filter(F.col("rep") != F.col("lead.rep"))
     alike = F.aggregate(F.zip_with("keys", "lead.keys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = met.filter((100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & (alike >= SHARED_KEYS)).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
@@ -207,19 +246,22 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     groups = connected_components(links)
 
     # the matrix, its bound, and the opened groups
-    member = columns.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", "empty", F.coalesce("component", "rep").alias("group"))
-    member = staged(member, "jaccard-members")
+    member = columns.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "label", "token", "needed", "n", "k", "df", F.coalesce("component", "rep").alias("group"))
+    order = F.row_number().over(Window.partitionBy("rep", "label").orderBy("df", "token"))
+    member = staged(member.withColumn("looked_up", order <= F.col("k") - F.col("needed") + 1), "jaccard-members")
     matrix = member.select("token", "group").distinct()
-    wide = matrix.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("token")
-    asked = member.join(wide, "token")
-    other = matrix.join(wide, "token").select("token", F.col("group").alias("other"))
-    bound = asked.join(other, "token").filter("group <> other").groupBy("rep", "other").agg(F.count("*").alias("k"), F.first("empty").alias("empty"))
-    opened = bound.filter(F.col("k") >= need).select("rep", "other")
-    query = asked.join(opened, "rep").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), "empty", F.col("other").alias("group"))
+    rare = member.filter("looked_up")
+    wide = rare.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("token")
+    asked = staged(rare.join(wide, "token").select("rep", "label", "token", "needed", "n", "group"), "jaccard-asked")
+    there = asked.select("token", F.col("group").alias("other")).distinct()
+    met = staged(asked.join(there, "token").filter("group <> other").select("rep", "label", "other").distinct(), "jaccard-met")
+    bound = member.join(met, ["rep", "label"]).join(matrix.withColumnRenamed("group", "other"), ["token", "other"]).groupBy("rep", "label", "other").agg(F.count("*").alias("k"), F.max("needed").alias("needed"))
+    opened = bound.filter(F.col("k") >= F.col("needed")).select("rep", "label", "other")
+    query = asked.join(opened, ["rep", "label"]).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("other").alias("group"))
     seen = asked.select("token", "group", F.col("rep").alias("b"), F.col("n").alias("nb"))
     pairs = query.join(seen, ["token", "group"]).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("empty").alias("empty")).filter(F.col("k") >= need)
-    more = _linked(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, percent)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = _linked(pairs, sets, percent)
     all_links = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(more).distinct(), "jaccard-all-links")
 
     component = connected_components(all_links).withColumnRenamed("id", "rep")
