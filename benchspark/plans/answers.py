@@ -56,14 +56,17 @@ def parse_teacher(spark, sf):
 
 
 @query(
-    """SELECT pos, CASE WHEN k = 4 THEN lab WHEN k = 5 THEN 'The ' || lab END AS final_label, CASE WHEN k = 4 THEN conf ELSE 'LOW' END AS confidence,
+    """SELECT pos, CASE k WHEN 0 THEN fields || ' fits The' WHEN 2 THEN 'Sure ' || fields || ' fits' WHEN 3 THEN 'finallabel ' || lab || ' qwenverdict'
+    WHEN 4 THEN lab WHEN 5 THEN 'The ' || lab END AS final_label, CASE WHEN k = 4 THEN conf ELSE 'LOW' END AS confidence,
   CASE WHEN k = 4 THEN why END AS rationale, CASE WHEN k = 4 THEN 'SWITCH_LABEL' ELSE 'UNSURE' END AS decision, 'UNCLEAR' AS scene_setting,
-  CASE WHEN k = 4 THEN 'YES' ELSE 'UNCLEAR' END AS scene_fit_current, 'UNCLEAR' AS scene_fit_proposed FROM teacher WHERE k >= 4""",
+  CASE WHEN k = 4 THEN 'YES' ELSE 'UNCLEAR' END AS scene_fit_current, 'UNCLEAR' AS scene_fit_proposed
+  FROM (SELECT *, 'finallabel' || lab || 'qwenverdict' || CASE verdict WHEN 'CORRECT' THEN 'correct' WHEN 'UNCLEAR' THEN 'perhaps' ELSE verdict END || 'confidence'
+    || CASE conf WHEN 'MEDIUM' THEN 'medium' WHEN 'LOW' THEN 'sure' ELSE conf END || 'scenesettingkitchenrationaleIt' AS fields FROM teacher)""",
     ("teacher",),
 )
 def parse_keyed(spark, sf):
-    rows = teacher_rows(spark, sf).where("pos % 7 >= 4")
-    return R.parse_keyed(rows, "guardrail").drop("raw", "target_local_context")
+    """An answer without keyed lines falls back to its first words, whatever they are."""
+    return R.parse_keyed(teacher_rows(spark, sf), "guardrail").drop("raw", "target_local_context")
 
 
 @query(

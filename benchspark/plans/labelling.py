@@ -236,7 +236,7 @@ def label_changes(spark, sf):
 @query(
     """SELECT pos, CASE WHEN size % 5 = 0 THEN 'person' ELSE noun || ' shirt' || CASE WHEN size % 2 = 0 THEN ' and jeans' ELSE '' END
     || CASE WHEN size % 7 = 0 THEN ' red hat' ELSE '' END END AS cleaned,
-  CASE WHEN size % 5 = 0 THEN 'the person' ELSE 'the person wearing ' || noun || ' shirt' || CASE WHEN size % 2 = 0 AND size % 7 = 0 THEN ', and jeans, and red hat'
+  CASE WHEN size % 5 = 0 THEN 'the person' ELSE 'the person wearing ' || CASE WHEN size % 3 = 0 THEN 'is wearing ' ELSE '' END || noun || ' shirt' || CASE WHEN size % 2 = 0 AND size % 7 = 0 THEN ', and jeans, and red hat'
     WHEN size % 2 = 0 THEN ' and and jeans' WHEN size % 7 = 0 THEN ' and red hat' ELSE '' END END AS ref FROM texts""",
     ("texts",),
 )
@@ -248,11 +248,8 @@ def person_texts(spark, sf):
             F.when(size % 2 == 0, " and jeans").otherwise(""), F.when(size % 7 == 0, " red hat").otherwise(""),
         )
     )
-    # a person reference does not take "is" off the front of "wearing", so it is given the plain form
-    plain = F.regexp_replace(desc, "is wearing", "wearing")
-    return texts(spark, sf).select(
-        "pos", F.when(size % 5 == 0, "person").otherwise(L.clean_person(desc)).alias("cleaned"), L.person_ref(plain).alias("ref")
-    )
+    # a person reference does not take "is" off the front of "wearing"
+    return texts(spark, sf).select("pos", L.clean_person(desc).alias("cleaned"), L.person_ref(desc).alias("ref"))
 
 
 @query(
