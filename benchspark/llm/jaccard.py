@@ -4,6 +4,7 @@ tokens, the overlap of a query with the union bounds its overlap with every memb
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ LEAST_SLICES = 3
 SKETCH, SHARED_KEYS = 8, 5
 #: Bits of the filter over candidate ids: fixed, so what is broadcast does not grow.
 FILTER_BITS = 1 << 23
+#: Likewise over repeated tokens, as a power of two.
+PROBE_BITS = 26
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -83,11 +86,12 @@ class Slicer:
         return found
 
     def probes(self, s: np.ndarray) -> np.ndarray:
-        """Tokens of each label's first H + 1 slices that are not empty: up to there linked sets differ in H slices at most, so
-        one of the others is equal. A set of fewer slices has all of them, with the empty ones."""
+        """Tokens of each label's first slices that are not empty, one more than this set can differ in from a linked one: up to
+        there one of both sets' slices is equal. A set of fewer slices has all of them, with the empty ones."""
         out = [np.zeros(0, np.uint64)]
-        for label, least, empty, number, token in self.slices(s):
-            differ, _ = self.plan(label)
+        for label, _, _, number, token in self.slices(s):
+            partner = min(100 * len(s) // self.percent, int(self.bounds[label + 2] - 1))
+            differ = (len(s) + partner) * (100 - self.percent) // (100 + self.percent)
             out.append(token[: differ + 1])
             if len(token) <= differ:
                 out.append(self._empty(label, number))
@@ -145,37 +149,68 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _bits_of(ids: DataFrame) -> bytes:
-    """One bit per hashed id: at most FILTER_BITS / 32768 bitmaps of 4 KB reach the driver."""
-    cell = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in ids.groupBy(F.shiftright(cell, 15).alias("part")).agg(F.bitmap_construct_agg(cell.bitwiseAND(F.lit(32767))).alias("bits")).collect():
+def _bits(cells: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of the column ``cell`` (0 to size - 1): at most size / 32768 pieces of 4 KB reach the driver."""
+    out = np.zeros(size // 8, np.uint8)
+    for r in cells.groupBy(F.shiftright("cell", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(F.lit(32767))).alias("bits")).collect():
         out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.tobytes()
+    return out
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, percent: int, size: int) -> DataFrame:
-    """(id, s, slices): the sets of the rows named in ``ids`` as bytes, and their slices. Texts that the fixed filter keeps
-    out are not hashed."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bits_of(ids))
-    slicer = Slicer(percent)
-    kind = pa.list_(pa.struct([("label", pa.int32()), ("needed", pa.int32()), ("token", pa.int64())]))
+def _in_bits(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def _repeated(rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows`` whose ``token`` stands in more than one of them, with the count ``df``.
+
+    Only tokens and counts are shuffled for all rows; a bitmap of the repeated tokens lets few others through to the exact join.
+    """
+    often = staged(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), purpose)
+    cell = F.shiftrightunsigned("token", 64 - PROBE_BITS)
+    shared = rows.sparkSession.sparkContext.broadcast(_bits(often.select(cell.alias("cell")), 1 << PROBE_BITS).tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_be(tokens: pd.Series) -> pd.Series:
+        bits = np.frombuffer(shared.value, np.uint8)
+        return pd.Series(_in_bits(bits, (tokens.to_numpy().view(np.uint64) >> np.uint64(64 - PROBE_BITS)).astype(np.int64)))
+
+    return rows.filter(may_be("token")).join(often, "token")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, s): the sets of the rows named in ``ids`` as bytes. Texts that the fixed filter keeps out are not hashed."""
+    cell = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(ids.select(cell.alias("cell")), FILTER_BITS).tobytes())
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             cell = b.column("cell").to_numpy(zero_copy_only=False)
-            some = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+            some = np.flatnonzero(_in_bits(bits, cell))
             for lo in range(0, len(some), 256):
                 part = b.take(pa.array(some[lo : lo + 256]))
-                sets = shingle_sets(part.column("t"), size)
-                slices = [[{"label": x, "needed": y, "token": z} for x, y, z in slicer.tokens(s)] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(slices, kind)], names=["id", "s", "slices"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("t"), size)], pa.binary())], names=["id", "s"])
+
+    hashed = docs.filter("id is not null").select("id", "t", cell.alias("cell")).mapInArrow(run, "id long, s binary")
+    return hashed.join(ids, "id").groupBy("id").agg(F.min("s").alias("s"))
+
+
+def _slices_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, label, needed, token): the slices of the sets, one a row."""
+    slicer = Slicer(percent)
+
+    def run(batches):
+        for b in batches:
+            for i, s in zip(b.column("id").to_pylist(), b.column("s")):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                label, needed, token = (np.array(x) for x in zip(*slicer.tokens(s)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(token), i)), pa.array(np.full(len(token), len(s))), pa.array(label, pa.int32()), pa.array(needed, pa.int32()), pa.array(token)],
+                    names=["rep", "n", "label", "needed", "token"],
+                )
 
-    hashed = docs.filter("id is not null").select("id", "t", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("cell"))
-    hashed = hashed.mapInArrow(run, "id long, s binary, slices array<struct<label:int,needed:int,token:bigint>>")
-    one = hashed.join(ids, "id").groupBy("id").agg(F.min("s").alias("s"), F.min("slices").alias("slices"))
-    return one.select("id", "s", "slices", (F.length("s") / 8).cast("long").alias("n"))
+    return sets.mapInArrow(run, "rep long, n long, label int, needed int, token long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,8 +219,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -221,17 +256,13 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     digest = ["d1", "d2", "n"]
     classes = staged(feats.filter("n > 0").groupBy(*digest).agg(F.min("id").alias("rep"), F.min("keys").alias("keys")).filter("rep is not null"), "jaccard-classes")
 
-    # classes that share a probe with another one
+    # classes that share a probe with another row
     held = feats.filter("n > 0").select("d1", F.explode("probes").alias("token"))
-    mark = F.col("d1").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    multi = held.groupBy("token").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo < hi").select("token")
-    maybe = held.join(multi, "token", "left_semi").select("d1").distinct().join(classes.select("d1", "rep"), "d1").select(F.col("rep").alias("id"))
-    sets = staged(_sets_of(base, staged(maybe, "jaccard-maybe"), percent, size), "jaccard-sets")
+    maybe = _repeated(held, "jaccard-probes").select("d1").distinct().join(classes.select("d1", "rep"), "d1").select(F.col("rep").alias("id"))
+    sets = staged(_sets_of(base, staged(maybe, "jaccard-maybe"), size), "jaccard-sets")
 
     # their slices that stand in more than one class, and those that have as many as a link needs
-    slices = sets.select(F.col("id").alias("rep"), "n", F.explode("slices").alias("x")).select("rep", "n", "x.*")
-    often = slices.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    common = slices.join(often, "token")
+    common = staged(_repeated(staged(_slices_of(sets, percent), "jaccard-slices"), "jaccard-often"), "jaccard-common")
     enough = common.groupBy("rep", "label").agg(F.count("*").alias("k")).filter("k > 0")
     columns = staged(common.join(enough, ["rep", "label"]).filter(F.col("k") >= F.col("needed")), "jaccard-columns")
 
