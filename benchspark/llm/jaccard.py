@@ -273,6 +273,11 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     met = keyed.join(leaders, ["k", "key"]).filter(F.col("rep") != F.col("lead.rep"))
     alike = F.aggregate(F.zip_with("keys", "lead.keys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = met.filter((100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & (alike >= SHARED_KEYS)).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
+    # and against the most shared holder of each token, where it is the one of as many tokens as a link needs: few by count
+    ranked = columns.select("token", "rep", "label", "needed", (F.col("k") / F.col("needed")).alias("share"))
+    hubs = ranked.groupBy("token").agg(F.min(F.struct((-F.col("share")).alias("share"), "rep")).alias("hub")).select("token", F.col("hub.rep").alias("hub"))
+    best = ranked.join(hubs, "token").filter("rep <> hub").groupBy("rep", "label", "needed", "hub").agg(F.count("*").alias("m")).filter("m >= needed")
+    near = near.union(best.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).distinct()
     links = staged(_linked(near, sets, percent), "jaccard-links")
     groups = connected_components(links)
 
