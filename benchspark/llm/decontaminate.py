@@ -7,7 +7,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from benchspark.llm.common import mix, powers, staged, strings, table, word_spans
@@ -72,10 +72,10 @@ def _hash_set(words: frozenset[str]) -> np.ndarray:
 
 
 class Words:
-    """The words of a run of texts: where they lie, whose they are, their slot types, and their hashes plain and as slots.
+    """The words of a run of texts: where they lie, whose they are, their slot types, and their hashes.
 
-    A number is a word with a digit or a number word; a unit is a unit word right after a number; a name is a capitalised word
-    that does not begin a sentence and is not all capitals.
+    A number is a word with a digit or a number word; units are the unit words right after a number; a name is a capitalised
+    word that does not begin a sentence and is not all capitals.
     """
 
     def __init__(self, texts: list[str]):
@@ -86,53 +86,87 @@ class Words:
         starts, ends, doc, n = self.starts, self.ends, self.doc, len(self.starts)
         self.plain = _hash_runs(codes, starts, ends)
         kinds = np.zeros(n, np.int8)
+        self.joins = np.zeros(n, bool)
         if n:
             digits, uppers, stops = _sums(t["digit"][codes]), _sums(t["upper"][codes]), _sums(t["stop"][codes])
             same = np.zeros(n, bool)
             same[1:] = doc[1:] == doc[:-1]
             before = np.concatenate([[0], ends[:-1]])
             all_capitals = (uppers[ends] - uppers[starts] == ends - starts) & (ends - starts > 1)
-            kinds[t["upper"][codes[starts]] & ~all_capitals & same & (stops[starts] == stops[before])] = NAME
+            goes_on = same & (stops[starts] == stops[before])
+            kinds[t["upper"][codes[starts]] & ~all_capitals & goes_on] = NAME
             if "numbers" not in _TABLES:
                 _TABLES["numbers"], _TABLES["units"] = _hash_set(NUMBERS), _hash_set(UNITS)
             kinds[(digits[ends] > digits[starts]) | np.isin(self.plain, _TABLES["numbers"])] = NUMBER
-            unit = np.isin(self.plain, _TABLES["units"]) & same & (kinds != NUMBER)
-            unit[1:] &= kinds[:-1] == NUMBER
-            kinds[unit] = UNIT
-        self.kinds = kinds
-        self.slots = self.plain.copy()
-        for k in (NUMBER, NAME, UNIT):
-            self.slots[kinds == k] = mix(np.array([k], np.uint64))[0]
+            units = np.flatnonzero(np.isin(self.plain, _TABLES["units"]) & same & (kinds != NUMBER))
+            new = units[kinds[units - 1] == NUMBER]
+            while len(new):
+                kinds[new] = UNIT
+                units = units[kinds[units] != UNIT]
+                new = units[kinds[units - 1] == UNIT]
+            # words that may be of one slot with the word before; one sign inside a number, as in 3.5, ends no sentence
+            point = t["digit"][codes[np.maximum(before - 1, 0)]] & t["digit"][codes[starts]] & (starts - before == 1)
+            self.joins = goes_on | (same & point)
+        self.forms = [kinds]
 
     def text(self, first: int, n: int) -> list[str]:
         return [self.joined[a:b].lower() for a, b in zip(self.starts[first : first + n], self.ends[first : first + n])]
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first word, number of words) of the template windows, and where they differ of the literal ones."""
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        if len(self.doc):
-            first = np.searchsorted(self.doc, np.arange(self.doc[-1] + 2))
-            for n in range(1, WINDOW):  # a text shorter than a window is one window of its own length
-                parts.append(self._windows(first[:-1][np.diff(first) == n], n))
-            parts.append(self._windows(np.flatnonzero(self.doc[: max(0, len(self.doc) - WINDOW + 1)] == self.doc[WINDOW - 1 :]), WINDOW))
-        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
-
-    def _windows(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        slot = _sums(self.kinds != PLAIN)
-        slotted = slot[at + n] - slot[at]
-        fine = np.ones(len(at), bool)
-        if n == WINDOW:  # a window of one repeated word says nothing
-            change = np.zeros(len(self.plain), np.int64)
-            change[1:] = np.cumsum(self.plain[1:] != self.plain[:-1])
-            fine = change[at + n - 1] - change[at] >= LEAST_PLAIN - 1
-        out = []
-        for h, which in ((self.slots, fine & ((n - slotted >= LEAST_PLAIN) | (slotted == 0))), (self.plain, fine & (slotted > 0))):
-            some = at[which]
-            acc = np.full(len(some), n, np.uint64)
-            for j in range(n):
-                acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[some + j]
-            out.append((mix(acc), some, np.full(len(some), n)))
-        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+    def _tokens(self, kinds: np.ndarray) -> np.ndarray:
+        """First words of the tokens: a run of words of one slot type is one token."""
+        first = np.ones(len(kinds), bool)
+        first[1:] = (kinds[1:] == PLAIN) | (kinds[1:] != kinds[:-1]) | ~self.joins[1:]
+        return np.flatnonzero(first)
+
+    def windows(self):
+        """(hashes, first words, last words that they stand for, rows of (words, slot types), form) of the windows by form.
+
+        Form 0 has the words as they are, at every word. The others have tokens, where they hold a slot; such a window stands
+        for the windows that begin in its first token, the last one of a text for all that follow. A text shorter than a window
+        is one window of its own length.
+        """
+        if not len(self.doc):
+            return
+        every = np.arange(len(self.doc))
+        texts = np.searchsorted(self.doc, np.arange(self.doc[-1] + 2))
+        full = np.maximum(texts[1:] - WINDOW, texts[:-1])  # first word of the last window of a text
+        for form, kinds in enumerate([np.zeros(len(self.doc), np.int8), *self.forms]):
+            at = self._tokens(kinds) if form else every
+            doc, kind = self.doc[at], kinds[at]
+            h = self.plain[at]
+            for k in (NUMBER, NAME, UNIT):
+                h[kind == k] = mix(np.array([k], np.uint64))[0]
+            bounds = np.append(at, len(self.doc))
+            slot = _sums(kind != PLAIN)
+            change = np.zeros(len(at), np.int64)
+            change[1:] = np.cumsum(h[1:] != h[:-1])
+            first = np.searchsorted(doc, np.arange(doc[-1] + 2))
+            for n in range(1, WINDOW + 1):
+                if n == WINDOW:
+                    begin = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :])
+                else:
+                    begin = first[:-1][np.diff(first) == n]
+                slotted = slot[begin + n] - slot[begin]
+                fine = (slotted > 0) & (n - slotted >= LEAST_PLAIN) if form else np.ones(len(begin), bool)
+                if n == WINDOW:  # a window of one repeated word says nothing
+                    fine &= change[begin + n - 1] - change[begin] >= LEAST_PLAIN - 1
+                begin = begin[fine]
+                if not len(begin):
+                    continue
+                acc = np.full(len(begin), n, np.uint64)
+                for j in range(n):
+                    acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[begin + j]
+                last = at[begin]
+                if form:
+                    own = doc[begin]
+                    ends = begin + n == first[own + 1]
+                    last = np.where(ends, full[own], np.minimum(bounds[begin + 1] - 1, full[own]))
+
+                def row(i: int, kind=kind, bounds=bounds, begin=begin, n=n):
+                    cut = bounds[begin[i] : begin[i] + n + 1].tolist()
+                    return [" ".join(self.text(x, y - x)) for x, y in zip(cut[:-1], cut[1:])], kind[begin[i] : begin[i] + n].tobytes()
+
+                yield mix(acc), at[begin], np.maximum(last, at[begin]), row, form
 
 
 def _runs(texts: list[str]):
@@ -147,11 +181,11 @@ def _runs(texts: list[str]):
         yield first, len(texts)
 
 
-WINDOW_ROW = "h long, start int, words array<string>, kinds binary"
+WINDOW_ROW = "h long, start int, last int, words array<string>, kinds binary, form int"
 
 
 def _rows(table_: DataFrame, text: str, key: str, bits: bytes | None) -> DataFrame:
-    """(key, h, start, words, kinds) of the windows; with ``bits`` only of those that may be in the benchmark."""
+    """(key, h, start, last, words, kinds, form) of the windows; with ``bits`` only of those that may be in the benchmark."""
     shared = table_.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
     key_type = table_.schema[key].dataType.simpleString()
 
@@ -161,19 +195,20 @@ def _rows(table_: DataFrame, text: str, key: str, bits: bytes | None) -> DataFra
             texts = strings(b.column(1))
             for lo, hi in _runs(texts):
                 w = Words(texts[lo:hi])
-                h, at, n = w.windows()
-                if mask is not None:
-                    cell = (h >> np.uint64(41)).astype(np.int64)
-                    hit = (mask[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-                    h, at, n = h[hit], at[hit], n[hit]
-                if len(h):
-                    begin = np.searchsorted(w.doc, w.doc[at])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(lo + w.doc[at])), pa.array(h.view(np.int64)), pa.array(at - begin, pa.int32()),
-                         pa.array([w.text(i, k) for i, k in zip(at.tolist(), n.tolist())], pa.list_(pa.string())),
-                         pa.array([w.kinds[i : i + k].tobytes() for i, k in zip(at.tolist(), n.tolist())], pa.binary())],
-                        names=[key, "h", "start", "words", "kinds"],
-                    )
+                for h, at, last, row, form in w.windows():
+                    some = np.arange(len(h))
+                    if mask is not None:
+                        cell = (h >> np.uint64(41)).astype(np.int64)
+                        some = np.flatnonzero((mask[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+                    if len(some):
+                        h, at, last = h[some], at[some], last[some]
+                        begin = np.searchsorted(w.doc, w.doc[at])
+                        words, kinds = zip(*[row(i) for i in some.tolist()])
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(pa.array(lo + w.doc[at])), pa.array(h.view(np.int64)), pa.array(at - begin, pa.int32()), pa.array(last - begin, pa.int32()),
+                             pa.array(list(words), pa.list_(pa.string())), pa.array(list(kinds), pa.binary()), pa.array(np.full(len(some), form), pa.int32())],
+                            names=[key, "h", "start", "last", "words", "kinds", "form"],
+                        )
 
     return table_.select(key, text).mapInArrow(run, f"`{key}` {key_type}, {WINDOW_ROW}")
 
@@ -191,37 +226,55 @@ def _filter_bits(index: DataFrame) -> bytes:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", min_cover: float = MIN_COVER) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, cover, n_refilled, kind) of the documents that hold an item.
 
-    Both sides become windows of template words. A filter of fixed size over the benchmark's window hashes is broadcast, so
-    that only windows that may match leave the scan of the documents; the hash join then decides exactly, by words and slot
-    types. A document holds an item if, on windows that lie at one distance from the item's, it covers at least ``min_cover``
-    of the item's windows, and if over these windows each filling of a slot in the item always meets the same filling in the
-    document (a renamed or re-numbered question passes, a text with other words in arbitrary places does not). ``kind`` is
-    ``verbatim`` where all fillings are equal and ``refilled`` otherwise.
+    Both sides become windows of words and windows of template tokens, a token being a plain word or a run of number, name or
+    unit words. A filter of fixed size over the benchmark's window hashes is broadcast, so that only windows that may match
+    leave the scan of the documents; the hash join then decides exactly, by words and slot types. A document holds an item if,
+    on windows that lie at one distance from the item's or at neighbouring ones (steps of at most half the item, so that words
+    may be inserted or left out), it covers at least ``min_cover`` of the item's windows, and if over these windows each
+    filling of a slot in the item always meets the same filling in the document (a renamed or re-numbered question passes, a
+    text with other words in arbitrary places does not). ``kind`` is ``verbatim`` where all fillings are equal and ``refilled``
+    otherwise.
 
     Defined results: NULL or empty texts hold nothing and match nothing; items of fewer than 8 words are one window, matched
     only by equally long texts; rows with NULL ids are skipped; repeated documents or items of one id count once; windows of
     one repeated word are ignored; tables without rows give no rows.
     """
     items = staged(_rows(benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")), "t", "item_id", None), "benchmark-windows")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("start").alias("item_windows"))
+    sizes = items.filter("form = 0").groupBy("item_id").agg(F.countDistinct("start").alias("item_windows"))
     found = _rows(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t", "doc_id", _filter_bits(items))
-    index = items.select("item_id", "h", F.col("start").alias("item_start"), F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds"))
+    index = items.join(sizes, "item_id").select(
+        "item_id", "item_windows", "h", F.col("start").alias("item_start"), F.col("last").alias("item_last"),
+        F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds"), F.col("form").alias("item_form"),
+    )
     slots = F.transform(F.sequence(F.lit(1), F.length("kinds")), lambda i: F.substring("kinds", i, F.lit(1)) != F.lit(b"\x00"))
     both = (
         found.join(index, "h")
-        .withColumn("slot", slots)
-        .filter(F.size("words") == F.size("item_words"))
-        .withColumn("pairs", F.arrays_zip(F.col("item_words").alias("a"), F.col("words").alias("b"), F.col("slot").alias("s")))
-        .filter((F.col("words") == F.col("item_words")) | (F.col("kinds") == F.col("item_kinds")) & F.forall("pairs", lambda p: p["s"] | (p["a"] == p["b"])))
+        .filter((F.size("words") == F.size("item_words")) & (F.col("kinds") == F.col("item_kinds")))
+        .withColumn("pairs", F.arrays_zip(F.col("item_words").alias("a"), F.col("words").alias("b"), slots.alias("s")))
+        .filter(F.forall("pairs", lambda p: p["s"] | (p["a"] == p["b"])))
         .withColumn("swaps", F.array_distinct(F.transform(F.filter("pairs", lambda p: p["s"]), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))))
     )
-    line = ["doc_id", "item_id", (F.col("start") - F.col("item_start")).alias("shift")]
-    covered = both.groupBy(*line, "item_start").agg(F.min("swaps").alias("swaps")).groupBy("doc_id", "item_id", "shift").agg(
-        F.count("*").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("swaps"))).alias("swaps")  # an item's words bound the list
+    pair = ["doc_id", "item_id", "item_windows"]
+    form = F.greatest("form", "item_form")
+    at = both.select(*pair, (F.col("start") - F.col("item_start")).alias("shift"), form.alias("form"), "swaps", F.explode(F.sequence("item_start", "item_last")).alias("at"))
+    at = at.groupBy(*pair, "shift", "at").agg(F.max(F.col("form") == 0).alias("literal"), F.min(F.when(F.col("form") == 1, F.col("swaps"))).alias("s1"))
+    # runs of neighbouring shifts: one document's matches of one item bound the window
+    order = Window.partitionBy(*pair).orderBy("shift", "at")
+    gap = F.col("shift") - F.lag("shift").over(order)
+    steps = at.withColumn("new", (gap > F.greatest(F.lit(WINDOW), F.floor((F.col("item_windows") + WINDOW - 1) / 2))).cast("int"))
+    steps = steps.withColumn("near", F.sum(F.coalesce("new", F.lit(0))).over(order)).withColumn("support", F.count("*").over(Window.partitionBy(*pair, "shift")))
+    # every shift by itself, and every run of shifts with the window of its fullest shift at each place
+    line = ["level", "whole", "line"]
+    lines = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(w).alias("whole"), F.col(c).cast("long").alias("line")) for n in (1,) for w, c in ((False, "shift"), (True, "near"))]))
+    each = steps.withColumn("l", lines).select(*pair, "l.*", "at", "support", "literal", F.coalesce("s1", F.array().cast("array<struct<a:string,b:string>>")).alias("swaps"))
+    picked = each.groupBy(*pair, *line, "at").agg(F.max(F.struct("support", "literal", "swaps")).alias("m"))
+    covered = picked.groupBy(*pair, *line).agg(
+        F.count("*").alias("n_all"), F.array_distinct(F.flatten(F.collect_set("m.swaps"))).alias("swaps")  # an item's words bound the list
     )
     consistent = F.size("swaps") == F.size(F.array_distinct(F.transform("swaps", lambda p: p["a"])))
     refilled = F.size(F.filter("swaps", lambda p: p["a"] != p["b"]))
-    kept = covered.filter(consistent).withColumn("n_refilled", refilled).join(sizes, "item_id").withColumn("cover", F.col("n_windows") / F.col("item_windows")).filter(F.col("cover") >= min_cover)
+    kept = covered.filter(consistent).withColumn("n_refilled", refilled).withColumn("n_windows", F.least("n_all", "item_windows"))
+    kept = kept.withColumn("cover", F.col("n_windows") / F.col("item_windows")).filter(F.col("cover") >= min_cover)
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("n_refilled")).alias("less"), "item_windows", "cover")).alias("m"))
     return best.select(
         "doc_id", "item_id", F.col("m.n_windows"), F.col("m.item_windows"), F.col("m.cover"), (-F.col("m.less")).cast("int").alias("n_refilled"),

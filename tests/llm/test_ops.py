@@ -246,6 +246,22 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.find_contamination(none, bench).count() == decontaminate.find_contamination(odd, bench.limit(0)).count() == 0
 
 
+LONG_ITEM = "we know that John pays 12 dollars for the bread which his friend Mary sells near the river in Paris every day of the year"
+
+
+def contaminated(spark, item, *texts):
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = decontaminate.find_contamination(rows_of(spark, list(enumerate(texts))), bench).collect()
+    return {r.doc_id: r.kind for r in found}
+
+
+def test_decontamination_of_other_word_counts(spark):
+    swap = LONG_ITEM.replace("12", "1,250").replace("John", "Anna").replace("Mary", "Mary Ann").replace("Paris", "New York")
+    inserted = LONG_ITEM.replace("his friend", "his old friend")
+    texts = (LONG_ITEM, f"So {swap}.", LONG_ITEM.replace("12", "3.5").replace("Mary", "Mary Ann"), inserted, inserted.replace("12", "3.5"), swap.replace(" the", " a"))
+    assert contaminated(spark, LONG_ITEM, *texts) == {0: "verbatim", 1: "refilled", 2: "refilled", 3: "verbatim", 4: "refilled"}
+
+
 def test_decontamination_finds_all_passages(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
