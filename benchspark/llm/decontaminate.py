@@ -232,8 +232,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     on windows that lie at one distance from the item's or at neighbouring ones (steps of at most half the item, so that words
     may be inserted or left out), it covers at least ``min_cover`` of the item's windows, and if over these windows each
     filling of a slot in the item always meets the same filling in the document (a renamed or re-numbered question passes, a
-    text with other words in arbitrary places does not). ``kind`` is ``verbatim`` where all fillings are equal and ``refilled``
-    otherwise.
+    text with other words in arbitrary places does not). Where fillings contradict each other, the windows that are equal word
+    for word must reach the cover alone, and only they are counted. ``kind`` is ``verbatim`` where all fillings of the counted
+    windows are equal and ``refilled`` otherwise.
 
     Defined results: NULL or empty texts hold nothing and match nothing; items of fewer than 8 words are one window, matched
     only by equally long texts; rows with NULL ids are skipped; repeated documents or items of one id count once; windows of
@@ -269,11 +270,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     each = steps.withColumn("l", lines).select(*pair, "l.*", "at", "support", "literal", F.coalesce("s1", F.array().cast("array<struct<a:string,b:string>>")).alias("swaps"))
     picked = each.groupBy(*pair, *line, "at").agg(F.max(F.struct("support", "literal", "swaps")).alias("m"))
     covered = picked.groupBy(*pair, *line).agg(
-        F.count("*").alias("n_all"), F.array_distinct(F.flatten(F.collect_set("m.swaps"))).alias("swaps")  # an item's words bound the list
+        F.count("*").alias("n_all"), F.count_if("m.literal").alias("n_literal"), F.array_distinct(F.flatten(F.collect_set("m.swaps"))).alias("swaps")  # an item's words bound the list
     )
     consistent = F.size("swaps") == F.size(F.array_distinct(F.transform("swaps", lambda p: p["a"])))
     refilled = F.size(F.filter("swaps", lambda p: p["a"] != p["b"]))
-    kept = covered.filter(consistent).withColumn("n_refilled", refilled).withColumn("n_windows", F.least("n_all", "item_windows"))
+    # where fillings contradict each other, only the windows that are equal word for word count
+    kept = covered.withColumn("n_refilled", F.when(consistent, refilled).otherwise(0)).withColumn("n_windows", F.least(F.when(consistent, F.col("n_all")).otherwise(F.col("n_literal")), "item_windows"))
     kept = kept.withColumn("cover", F.col("n_windows") / F.col("item_windows")).filter(F.col("cover") >= min_cover)
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("n_refilled")).alias("less"), "item_windows", "cover")).alias("m"))
     return best.select(

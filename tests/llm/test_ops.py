@@ -262,6 +262,11 @@ def test_decontamination_of_other_word_counts(spark):
     assert contaminated(spark, LONG_ITEM, *texts) == {0: "verbatim", 1: "refilled", 2: "refilled", 3: "verbatim", 4: "refilled"}
 
 
+def test_decontamination_of_a_near_copy(spark):
+    item = "Tom has 12 red apples and " + LONG_ITEM
+    assert contaminated(spark, item, item, item.replace("has 12", "has 13")) == {0: "verbatim", 1: "verbatim"}
+
+
 def test_decontamination_finds_all_passages(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
