@@ -75,7 +75,8 @@ class Words:
     """The words of a run of texts: where they lie, whose they are, their slot types, and their hashes.
 
     A number is a word with a digit or a number word; units are the unit words right after a number; a name is a capitalised
-    word that does not begin a sentence and is not all capitals.
+    word that is not all capitals and does not begin a sentence, or begins one and stands elsewhere in its text as a name and
+    never in lower case. In a second form every capitalised word that begins a sentence is a name.
     """
 
     def __init__(self, texts: list[str]):
@@ -94,7 +95,12 @@ class Words:
             before = np.concatenate([[0], ends[:-1]])
             all_capitals = (uppers[ends] - uppers[starts] == ends - starts) & (ends - starts > 1)
             goes_on = same & (stops[starts] == stops[before])
-            kinds[t["upper"][codes[starts]] & ~all_capitals & goes_on] = NAME
+            capital = t["upper"][codes[starts]]
+            kinds[capital & ~all_capitals & goes_on] = NAME
+            key = self.plain + doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            begins = np.flatnonzero(capital & ~all_capitals & ~goes_on)
+            known = begins[np.isin(key[begins], key[kinds == NAME])]
+            kinds[known[~np.isin(key[known], key[~capital])]] = NAME
             if "numbers" not in _TABLES:
                 _TABLES["numbers"], _TABLES["units"] = _hash_set(NUMBERS), _hash_set(UNITS)
             kinds[(digits[ends] > digits[starts]) | np.isin(self.plain, _TABLES["numbers"])] = NUMBER
@@ -107,7 +113,10 @@ class Words:
             # words that may be of one slot with the word before; one sign inside a number, as in 3.5, ends no sentence
             point = t["digit"][codes[np.maximum(before - 1, 0)]] & t["digit"][codes[starts]] & (starts - before == 1)
             self.joins = goes_on | (same & point)
-        self.forms = [kinds]
+        wild = kinds.copy()
+        if n:
+            wild[begins[kinds[begins] == PLAIN]] = NAME
+        self.forms = [kinds, wild]
 
     def text(self, first: int, n: int) -> list[str]:
         return [self.joined[a:b].lower() for a, b in zip(self.starts[first : first + n], self.ends[first : first + n])]
@@ -121,8 +130,8 @@ class Words:
     def windows(self):
         """(hashes, first words, last words that they stand for, rows of (words, slot types), form) of the windows by form.
 
-        Form 0 has the words as they are, at every word. The others have tokens, where they hold a slot; such a window stands
-        for the windows that begin in its first token, the last one of a text for all that follow. A text shorter than a window
+        Form 0 has the words as they are, at every word. The others have tokens, where they hold a slot (form 2: a slot that form
+        1 has not); such a window stands for the windows that begin in its first token, the last one of a text for all that follow. A text shorter than a window
         is one window of its own length.
         """
         if not len(self.doc):
@@ -138,6 +147,10 @@ class Words:
                 h[kind == k] = mix(np.array([k], np.uint64))[0]
             bounds = np.append(at, len(self.doc))
             slot = _sums(kind != PLAIN)
+            # a token is the same in form 1 if its words are of its type there, too
+            other = _sums(kinds != self.forms[0])
+            differs = other[bounds[1:]] > other[bounds[:-1]]
+            more = _sums(differs if form == 2 else kind != PLAIN)
             change = np.zeros(len(at), np.int64)
             change[1:] = np.cumsum(h[1:] != h[:-1])
             first = np.searchsorted(doc, np.arange(doc[-1] + 2))
@@ -147,7 +160,7 @@ class Words:
                 else:
                     begin = first[:-1][np.diff(first) == n]
                 slotted = slot[begin + n] - slot[begin]
-                fine = (slotted > 0) & (n - slotted >= LEAST_PLAIN) if form else np.ones(len(begin), bool)
+                fine = (more[begin + n] > more[begin]) & (n - slotted >= LEAST_PLAIN) if form else np.ones(len(begin), bool)
                 if n == WINDOW:  # a window of one repeated word says nothing
                     fine &= change[begin + n - 1] - change[begin] >= LEAST_PLAIN - 1
                 begin = begin[fine]
@@ -232,8 +245,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     on windows that lie at one distance from the item's or at neighbouring ones (steps of at most half the item, so that words
     may be inserted or left out), it covers at least ``min_cover`` of the item's windows, and if over these windows each
     filling of a slot in the item always meets the same filling in the document (a renamed or re-numbered question passes, a
-    text with other words in arbitrary places does not). Where fillings contradict each other, the windows that are equal word
-    for word must reach the cover alone, and only they are counted. ``kind`` is ``verbatim`` where all fillings of the counted
+    text with other words in arbitrary places does not). Capitalised words that begin a sentence are slots as well
+    where the cover needs them. Where fillings contradict each other, the windows that are equal word for word must reach the
+    cover alone, and only they are counted. ``kind`` is ``verbatim`` where all fillings of the counted
     windows are equal and ``refilled`` otherwise.
 
     Defined results: NULL or empty texts hold nothing and match nothing; items of fewer than 8 words are one window, matched
@@ -258,16 +272,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     pair = ["doc_id", "item_id", "item_windows"]
     form = F.greatest("form", "item_form")
     at = both.select(*pair, (F.col("start") - F.col("item_start")).alias("shift"), form.alias("form"), "swaps", F.explode(F.sequence("item_start", "item_last")).alias("at"))
-    at = at.groupBy(*pair, "shift", "at").agg(F.max(F.col("form") == 0).alias("literal"), F.min(F.when(F.col("form") == 1, F.col("swaps"))).alias("s1"))
+    at = at.groupBy(*pair, "shift", "at").agg(F.max(F.col("form") == 0).alias("literal"), F.min(F.when(F.col("form") == 1, F.col("swaps"))).alias("s1"), F.min(F.when(F.col("form") == 2, F.col("swaps"))).alias("s2"))
     # runs of neighbouring shifts: one document's matches of one item bound the window
     order = Window.partitionBy(*pair).orderBy("shift", "at")
     gap = F.col("shift") - F.lag("shift").over(order)
     steps = at.withColumn("new", (gap > F.greatest(F.lit(WINDOW), F.floor((F.col("item_windows") + WINDOW - 1) / 2))).cast("int"))
     steps = steps.withColumn("near", F.sum(F.coalesce("new", F.lit(0))).over(order)).withColumn("support", F.count("*").over(Window.partitionBy(*pair, "shift")))
-    # every shift by itself, and every run of shifts with the window of its fullest shift at each place
+    # without and with the wildcards of form 2: every shift by itself, and every run of shifts with the window of its fullest shift at each place
     line = ["level", "whole", "line"]
-    lines = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(w).alias("whole"), F.col(c).cast("long").alias("line")) for n in (1,) for w, c in ((False, "shift"), (True, "near"))]))
-    each = steps.withColumn("l", lines).select(*pair, "l.*", "at", "support", "literal", F.coalesce("s1", F.array().cast("array<struct<a:string,b:string>>")).alias("swaps"))
+    lines = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(w).alias("whole"), F.col(c).cast("long").alias("line")) for n in (1, 2) for w, c in ((False, "shift"), (True, "near"))]))
+    each = steps.withColumn("l", lines).filter((F.col("l.level") == 2) | F.col("literal") | F.col("s1").isNotNull()).select(*pair, "l.*", "at", "support", "literal", F.coalesce(F.when(F.col("l.level") == 2, F.col("s2")), "s1", F.array().cast("array<struct<a:string,b:string>>")).alias("swaps"))
     picked = each.groupBy(*pair, *line, "at").agg(F.max(F.struct("support", "literal", "swaps")).alias("m"))
     covered = picked.groupBy(*pair, *line).agg(
         F.count("*").alias("n_all"), F.count_if("m.literal").alias("n_literal"), F.array_distinct(F.flatten(F.collect_set("m.swaps"))).alias("swaps")  # an item's words bound the list

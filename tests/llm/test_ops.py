@@ -267,6 +267,13 @@ def test_decontamination_of_a_near_copy(spark):
     assert contaminated(spark, item, item, item.replace("has 12", "has 13")) == {0: "verbatim", 1: "verbatim"}
 
 
+def test_decontamination_of_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples in the bag. Tom gives 2 apples to his sister. Tom eats one more of them later. How many apples are left in the bag now?"
+    ana = item.replace("Tom", "Ana").replace("5", "7")
+    mixed = item.replace("Tom has", "Ana has").replace("Tom gives", "Ben gives").replace("Tom eats", "Eva eats").replace("5", "7")
+    assert contaminated(spark, item, item, f"Question: {ana} We asked Ana.", f"Once {ana}", mixed) == {0: "verbatim", 1: "refilled", 2: "refilled"}
+
+
 def test_decontamination_finds_all_passages(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
