@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from benchspark.llm.common import mix, powers, staged, strings, table, word_spans
 
-#: Words in a window. Shorter items are one window of their whole length.
+#: Words in a window. Shorter items are one window of their whole length; documents then have windows of that length as well.
 WINDOW = 8
 #: Words of a window that must be plain words, so that a window of slots alone says nothing.
 LEAST_PLAIN = 4
@@ -127,12 +127,12 @@ class Words:
         first[1:] = (kinds[1:] == PLAIN) | (kinds[1:] != kinds[:-1]) | ~self.joins[1:]
         return np.flatnonzero(first)
 
-    def windows(self):
+    def windows(self, short: list[int] | None = None):
         """(hashes, first words, last words that they stand for, rows of (words, slot types), form) of the windows by form.
 
         Form 0 has the words as they are, at every word. The others have tokens, where they hold a slot (form 2: a slot that form
         1 has not); such a window stands for the windows that begin in its first token, the last one of a text for all that follow. A text shorter than a window
-        is one window of its own length.
+        is one window of its own length; with ``short`` the windows of those lengths, too, are taken everywhere instead.
         """
         if not len(self.doc):
             return
@@ -155,8 +155,10 @@ class Words:
             change[1:] = np.cumsum(h[1:] != h[:-1])
             first = np.searchsorted(doc, np.arange(doc[-1] + 2))
             for n in range(1, WINDOW + 1):
-                if n == WINDOW:
+                if n == WINDOW or short is not None and n in short:
                     begin = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :])
+                elif short is not None:
+                    continue
                 else:
                     begin = first[:-1][np.diff(first) == n]
                 slotted = slot[begin + n] - slot[begin]
@@ -197,7 +199,7 @@ def _runs(texts: list[str]):
 WINDOW_ROW = "h long, start int, last int, words array<string>, kinds binary, form int"
 
 
-def _rows(table_: DataFrame, text: str, key: str, bits: bytes | None) -> DataFrame:
+def _rows(table_: DataFrame, text: str, key: str, bits: bytes | None, short: list[int] | None = None) -> DataFrame:
     """(key, h, start, last, words, kinds, form) of the windows; with ``bits`` only of those that may be in the benchmark."""
     shared = table_.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
     key_type = table_.schema[key].dataType.simpleString()
@@ -208,7 +210,7 @@ def _rows(table_: DataFrame, text: str, key: str, bits: bytes | None) -> DataFra
             texts = strings(b.column(1))
             for lo, hi in _runs(texts):
                 w = Words(texts[lo:hi])
-                for h, at, last, row, form in w.windows():
+                for h, at, last, row, form in w.windows(short):
                     some = np.arange(len(h))
                     if mask is not None:
                         cell = (h >> np.uint64(41)).astype(np.int64)
@@ -250,13 +252,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     cover alone, and only they are counted. ``kind`` is ``verbatim`` where all fillings of the counted
     windows are equal and ``refilled`` otherwise.
 
-    Defined results: NULL or empty texts hold nothing and match nothing; items of fewer than 8 words are one window, matched
-    only by equally long texts; rows with NULL ids are skipped; repeated documents or items of one id count once; windows of
+    Defined results: NULL or empty texts hold nothing and match nothing; items of fewer than 8 words are one window,
+    looked for at every word of the documents; rows with NULL ids are skipped; repeated documents or items of one id count once; windows of
     one repeated word are ignored; tables without rows give no rows.
     """
     items = staged(_rows(benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")), "t", "item_id", None), "benchmark-windows")
     sizes = items.filter("form = 0").groupBy("item_id").agg(F.countDistinct("start").alias("item_windows"))
-    found = _rows(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t", "doc_id", _filter_bits(items))
+    short = sorted(r[0] for r in items.select(F.size("words").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # at most WINDOW - 1 numbers
+    found = _rows(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t", "doc_id", _filter_bits(items), short)
     index = items.join(sizes, "item_id").select(
         "item_id", "item_windows", "h", F.col("start").alias("item_start"), F.col("last").alias("item_last"),
         F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds"), F.col("form").alias("item_form"),

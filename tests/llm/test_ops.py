@@ -274,6 +274,13 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     assert contaminated(spark, item, item, f"Question: {ana} We asked Ana.", f"Once {ana}", mixed) == {0: "verbatim", 1: "refilled", 2: "refilled"}
 
 
+def test_decontamination_of_short_items(spark):
+    item = "Which river flows through Paris?"
+    texts = (item, f"A long document begins here and goes on. {item} It ends with an answer.", "Which river flows through it, Paris?", "and so we ask which river flows through paris")
+    assert contaminated(spark, item, *texts) == {0: "verbatim", 1: "verbatim", 3: "verbatim"}
+    assert contaminated(spark, "What is the capital of France?", "One asks: What is the capital of Spain?", "the capital of France is what") == {0: "refilled"}
+
+
 def test_decontamination_finds_all_passages(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
