@@ -75,9 +75,12 @@ def document_frequency(indexed: DataFrame) -> tuple[int, dict[str, int]]:
 
 
 def _starts(notice: Notice, idf: dict[str, float], lookups: int | None) -> Column:
-    """Starts at which the notice's rarest words (all of them if ``lookups`` is None) stand at their relative places."""
-    rare = sorted(notice.words.items(), key=lambda x: (-idf[x[1]], x[0]))[:lookups]
+    """Starts at which the notice's rarest mandatory words (all words if ``lookups`` is None) stand at their relative places.
 
+    Mandatory words stand wherever the notice is found, so no start that can pass is left out.
+    """
+    asked = {o: w for o, w in notice.words.items() if lookups is None or o in notice.must}
+    rare = sorted(asked.items(), key=lambda x: (-idf[x[1]], x[0]))[:lookups]
 
     def starts(offset: int, word: str) -> Column:
         return F.transform(F.filter("hits", lambda h: h.w == F.lit(word)), lambda h: h.i - F.lit(offset))
@@ -110,7 +113,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", carry: list[str] | None =
     """The columns ``carry`` of ``docs`` (None: all) with ``_n_words``, ``_starts`` (of base phrases), ``_base_labels``, ``_labels``, ``_score``.
 
     The places of all notice words are staged in one pass; their document frequencies over all rows rank them. Per row and
-    notice the ``lookups`` rarest words are looked up, their places less their offsets are intersected, and at the starts
+    notice the ``lookups`` rarest words of its key phrases are looked up, their places less their offsets are intersected, and at the starts
     left the other words and the mandatory key phrases are checked. Base phrases intersect all their words, so every place
     counts. Everything after the count of frequencies is narrow.
 

@@ -338,6 +338,14 @@ def test_licenses(spark, docs, odd, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_that_lack_a_rare_word(spark):
+    own = rows_of(spark, [
+        (1, "Use in source and binary forms, with or without modification, are permitted"), (2, "is hereby granted, free of charge, to any person obtaining a copy of this software"),
+        (3, "Redistribution and use in source and binary form, with or without modification, are permitted"), (4, "in source and binary forms"),
+    ])
+    assert {r.doc_id: r._labels for r in licenses.scan_licenses(own).collect()} == {1: ["bsd"], 2: ["mit-text"], 3: [], 4: []}
+
+
 def test_crc_of_id(spark):
     from benchspark.llm.common import crc_of_id
 
