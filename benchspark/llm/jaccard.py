@@ -17,6 +17,10 @@ LEAST_SLICES = 3
 SKETCH, SHARED_KEYS = 8, 5
 #: Bits of the filter over candidate ids: fixed, so what is broadcast does not grow.
 FILTER_BITS = 1 << 23
+#: Sets and bytes of sets in a block of a group whose links are counted.
+BLOCK_SETS, BLOCK_BYTES = 1024, 1 << 23
+#: Tokens counted at once for two blocks.
+BLOCK_TOKENS = 4096
 #: Likewise over repeated tokens, as a power of two.
 PROBE_BITS = 26
 _SEP = np.zeros(256, bool)
@@ -229,6 +233,61 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """|a & b| of every a in ``x`` and b in ``y``, by runs of the tokens that both sides have."""
+    flat = []
+    for side in (x, y):
+        token, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(a) for a in side])
+        order = np.argsort(token, kind="stable")
+        flat.append((token[order], owner[order]))
+    shared = np.intersect1d(flat[0][0], flat[1][0])
+    out = np.zeros((len(x), len(y)), np.int64)
+    for lo in range(0, len(shared), BLOCK_TOKENS):
+        some = shared[lo : lo + BLOCK_TOKENS]
+        dense = []
+        for side, (token, owner) in zip((x, y), flat):
+            a, b = np.searchsorted(token, some[0]), np.searchsorted(token, some[-1], side="right")
+            at = np.searchsorted(some, token[a:b])
+            fits = some[at] == token[a:b]
+            m = np.zeros((len(side), len(some)), np.float32)
+            m[owner[a:b][fits], at[fits]] = 1
+            dense.append(m)
+        out += np.rint(dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _degrees_inside(groups: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(rep, links): for each set of a group the ``rows`` (rep, m) of the sets of its group that link with it, counted exactly.
+
+    A group is dealt to blocks of bounded size; every two blocks are one piece of work.
+    """
+    named = groups.select("id", F.col("component").alias("group")).union(groups.select(F.col("component").alias("id"), F.col("component").alias("group"))).distinct()
+    members = named.join(sets, "id").join(rows.withColumnRenamed("rep", "id"), "id")
+    sizes = named.join(sets, "id").groupBy("group").agg(
+        F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum(F.length("s")) / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
+    )
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pieces = other.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "m", "s")
+
+    def run(piece: pd.DataFrame) -> pd.DataFrame:
+        x, y = piece[piece["block"] == piece["i"]], piece[piece["block"] == piece["j"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+        a, b = ([np.frombuffer(v, np.uint64) for v in side["s"]] for side in (x, y))
+        both = _overlaps(a, b)
+        linked = 100 * both >= percent * (np.array([len(v) for v in a])[:, None] + np.array([len(v) for v in b])[None, :] - both)
+        one = piece["i"].iloc[0] == piece["j"].iloc[0]
+        if one:
+            np.fill_diagonal(linked, False)
+        out = [pd.DataFrame({"rep": x["id"].to_numpy(), "links": linked @ y["m"].to_numpy()})]
+        if not one:
+            out.append(pd.DataFrame({"rep": y["id"].to_numpy(), "links": linked.T @ x["m"].to_numpy()}))
+        return pd.concat(out)
+
+    return pieces.groupBy("group", "i", "j").applyInPandas(run, "rep long, links long")
+
+
 def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id): one row per row of ``docs``, linked at 100 * |A & B| >= percent * |A | B|.
 
@@ -243,8 +302,9 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     4. The matrix holds each token once per group. Of k tokens that may match, a query looks up the k - needed + 1 rarest, as
        does the other side; what meets no group there cannot link. Then the query's tokens in the union of a group bound what
        it can share with any member: below ``needed`` the group is not opened. Members of opened groups that share a looked-up
-       token are verified exactly. Pairs inside a group are connected already and are not expanded.
-    5. Components of all verified links are the result. n_links counts the verified links of the class.
+       token are verified exactly. Pairs inside a group are connected already and are not looked up.
+    5. Components of all verified links are the result. n_links counts the other rows with an id whose sets link, equal sets
+       too: inside groups by overlaps of two blocks of sets at a time, across groups by the verified links.
 
     Defined results: texts without words (NULL and empty ones too) have no set, link with nothing and are components of their
     own; rows with NULL ids belong to the component of their class if that has an id, else to none; equal ids are one class
@@ -254,7 +314,7 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     fields = {"n": "bigint", "d1": "bigint", "d2": "bigint", "keys": "array<bigint>", "probes": "array<bigint>"}
     feats = staged(append_arrow(base, ["t"], fields, _features(percent, size), keep=["id"]), "jaccard-features")
     digest = ["d1", "d2", "n"]
-    classes = staged(feats.filter("n > 0").groupBy(*digest).agg(F.min("id").alias("rep"), F.min("keys").alias("keys")).filter("rep is not null"), "jaccard-classes")
+    classes = staged(feats.filter("n > 0").groupBy(*digest).agg(F.min("id").alias("rep"), F.min("keys").alias("keys"), F.count("id").alias("m")).filter("rep is not null"), "jaccard-classes")
 
     # classes that share a probe with another row
     held = feats.filter("n > 0").select("d1", F.explode("probes").alias("token"))
@@ -297,15 +357,17 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     seen = asked.select("token", "group", F.col("rep").alias("b"), F.col("n").alias("nb"))
     pairs = query.join(seen, ["token", "group"]).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = _linked(pairs, sets, percent)
+    more = staged(_linked(pairs, sets, percent), "jaccard-more")
     all_links = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(more).distinct(), "jaccard-all-links")
 
     component = connected_components(all_links).withColumnRenamed("id", "rep")
-    degree = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.select(*digest, "rep").join(component, "rep", "left").join(degree, "rep", "left")
-    named = named.select(*digest, F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = classes.select("rep", "m")
+    across = more.select("a", F.col("b").alias("rep")).union(more.select(F.col("b").alias("a"), F.col("a").alias("rep"))).join(rows, "rep").select(F.col("a").alias("rep"), F.col("m").alias("links"))
+    degree = _degrees_inside(groups, sets, rows, percent).union(across).groupBy("rep").agg(F.sum("links").alias("links"))
+    named = classes.select(*digest, "rep", "m").join(component, "rep", "left").join(degree, "rep", "left")
+    named = named.select(*digest, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("m")).alias("n_links"))
     return feats.select("id", *digest).join(named, digest, "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.col("n_links") - F.col("id").isNotNull().cast("int"), F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
     )
 

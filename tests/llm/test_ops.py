@@ -156,6 +156,22 @@ def test_jaccard_is_brute_force(spark, percent, k):
     assert [r.component_id for r in got if r.doc_id is None] == [904]
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16, raising=False)
+    rng = random.Random(9)
+    text = [f"w{rng.randrange(300)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(text)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(300)}"
+        rows += [(len(rows) + k, " ".join(copy)) for k in range(1 + i % 2)]
+    rows += [(500, "only one"), (501, "own text"), (502, "own text"), (503, None), (None, "own text")]
+    sets = [(i, shingles(t, 3)) for i, t in rows]
+    want = {i: sum(j is not None and j != i and bool(a and b) and 100 * len(a & b) >= 90 * len(a | b) for j, b in sets) for i, a in sets}
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_join(rows_of(spark, rows)).collect()} == want
+
+
 def test_jaccard_odd(spark, odd, none):
     got = jaccard.jaccard_join(odd).collect()
     assert len(got) == 10
