@@ -19,6 +19,7 @@ QUERIES = {
     "op8_decontaminate": "decontaminate",
     "op9_ann": "ann",
     "op10_licenses": "licenses",
+    "op11_whitening": "whitening",
 }
 
 
