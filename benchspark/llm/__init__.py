@@ -20,6 +20,7 @@ QUERIES = {
     "op9_ann": "ann",
     "op10_licenses": "licenses",
     "op11_whitening": "whitening",
+    "op12_runs": "runs",
 }
 
 
