@@ -21,6 +21,7 @@ QUERIES = {
     "op10_licenses": "licenses",
     "op11_whitening": "whitening",
     "op12_runs": "runs",
+    "op13_mixing": "mixing",
 }
 
 
