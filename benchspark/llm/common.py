@@ -25,7 +25,18 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the folders of staged tables that nothing reads any more; other tables are left alone."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def crc_of_id(doc_id="doc_id"):

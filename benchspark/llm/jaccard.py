@@ -9,20 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from benchspark.llm.common import append_arrow, mix, staged, table, text_chunks, word_hashes, word_spans
-
-#: Slices at least that a link must have in common.
-LEAST_SLICES = 3
-#: Keys by which similar documents meet a leader, and how many of them leader and member must share.
-SKETCH, SHARED_KEYS = 8, 5
+from benchspark.llm.common import append_arrow, dropped, mix, staged, table, text_chunks, word_hashes, word_spans
+
+#: Keys by which similar documents meet a leader.
+SKETCH = 8
+#: Rounds in which every class is held against one best class outside its group, before all that is left is looked up.
+HUB_ROUNDS = 2
+#: Cells of the table of counts that orders tokens from rare to frequent, and cells of one of its pieces. Fixed: what is
+#: broadcast (a byte a cell) does not grow. Any table gives right results, a full one only more candidates.
+COUNT_BITS, PIECE_BITS = 21, 14
 #: Bits of the filter over candidate ids: fixed, so what is broadcast does not grow.
 FILTER_BITS = 1 << 23
+#: Bits of the filter over tokens that several groups have, as a power of two.
+PROBE_BITS = 26
 #: Sets and bytes of sets in a block of a group whose links are counted.
 BLOCK_SETS, BLOCK_BYTES = 1024, 1 << 23
 #: Tokens counted at once for two blocks.
 BLOCK_TOKENS = 4096
-#: Likewise over repeated tokens, as a power of two.
-PROBE_BITS = 26
+#: A group's union lies in pieces of about so many tokens.
+UNION_TOKENS = 1 << 16
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -48,88 +53,59 @@ def shingle_sets(column: pa.Array, size: int = 3) -> list[np.ndarray]:
     return out
 
 
-def size_classes(percent: int, top: int = 1 << 40) -> np.ndarray:
-    """Least sizes of the classes: sets of a Jaccard similarity of ``percent`` are at most one class apart."""
-    bounds = [1]
-    while bounds[-1] < top:
-        bounds.append(bounds[-1] * 100 // percent + 1)
-    return np.array(bounds, np.int64)
-
-
-class Slicer:
-    """Cuts a set into slices by hash. Two linked sets of one label differ in at most H tokens, so in at most H slices: of any
-    H + 1 slices one is equal, and of the m = H + ``least`` slices at least ``least`` are. A set has a label for its size class
-    and one for the class below."""
-
-    def __init__(self, percent: int):
-        self.percent, self.bounds = percent, size_classes(percent)
-
-    def plan(self, label: int) -> tuple[int, int]:
-        """(H, least) of a label: as many slices again as may differ, so that unlinked sets fall short by far."""
-        most = int(self.bounds[label + 2] - 1)
-        differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        return differ, max(differ, LEAST_SLICES)
-
-    def slices(self, s: np.ndarray) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
-        """(label, least, empty slices, slice numbers, slice tokens) under both labels."""
-        if not len(s):
-            return []
-        own = int(np.searchsorted(self.bounds, len(s), side="right")) - 1
-        found = []
-        for label in sorted({max(own - 1, 0), own}):
-            differ, least = self.plan(label)
-            m = differ + least
-            at = ((s >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            named = at[order]
-            cut = np.flatnonzero(np.diff(named, prepend=-1))
-            total = np.add.reduceat(mix(s[order] + np.uint64(label + 1)), cut)
-            number = named[cut]
-            token = mix(total + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(label))
-            found.append((label, least, m - len(cut), number, token))
-        return found
-
-    def probes(self, s: np.ndarray) -> np.ndarray:
-        """Tokens of each label's first slices that are not empty, one more than this set can differ in from a linked one: up to
-        there one of both sets' slices is equal. A set of fewer slices has all of them, with the empty ones."""
-        out = [np.zeros(0, np.uint64)]
-        for label, _, _, number, token in self.slices(s):
-            partner = min(100 * len(s) // self.percent, int(self.bounds[label + 2] - 1))
-            differ = (len(s) + partner) * (100 - self.percent) // (100 + self.percent)
-            out.append(token[: differ + 1])
-            if len(token) <= differ:
-                out.append(self._empty(label, number))
-        return np.concatenate(out)
-
-    def _empty(self, label: int, number: np.ndarray) -> np.ndarray:
-        none = np.setdiff1d(np.arange(sum(self.plan(label))), number).astype(np.uint64)
-        return mix(none * np.uint64(0x165667B19E3779F9) + np.uint64(label + (1 << 40)))
-
-    def tokens(self, s: np.ndarray) -> list[tuple[int, int, int]]:
-        """(label, needed, token) of all slices; ``needed`` equal ones at least belong to a link, empty slices left out. Where
-        all of them may be empty, empty slices are tokens as well and one is needed."""
-        out = []
-        for label, least, empty, number, token in self.slices(s):
-            if empty >= least:
-                token = np.concatenate([token, self._empty(label, number)])
-            out += [(label, max(1, least - empty), t) for t in token.view(np.int64).tolist()]
-        return out
-
-
-def _features(percent: int, size: int):
-    slicer = Slicer(percent)
-
-    def run(column):
-        n, a, b, keys, probes = [], [], [], [], []
-        for s in shingle_sets(column, size):
-            n.append(len(s))
-            a.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-            b.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-            keys.append((s[:, None] * _SEEDS).min(0).view(np.int64) if len(s) else None)
-            probes.append(slicer.probes(s).view(np.int64))
-        return pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(probes, pa.list_(pa.int64()))
-
-    return run
+def looked_up(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probes, index): how many of a set's n tokens, first in the common order, are looked up and how many are held in the matrix.
+
+    Of two linked sets the larger one shares at least percent % of its tokens, the smaller one at least 2 * percent / (100 + percent)
+    of its own. So their first common token is among the larger one's probes and among the smaller one's index tokens.
+    """
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _name(s: np.ndarray) -> bytes:
+    """A set's class: 128 bits of its tokens."""
+    return int(mix(s).sum(dtype=np.uint64)).to_bytes(8, "big") + int(mix(s + np.uint64(1)).sum(dtype=np.uint64)).to_bytes(8, "big")
+
+
+def _features(base: DataFrame, size: int) -> DataFrame:
+    """(id, n, c, keys) of every row, and beside them rows (piece, counts) of each task's counts of its tokens' cells."""
+
+    def run(batches):
+        cells = np.zeros(1 << COUNT_BITS, np.uint32)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                sets = shingle_sets(part.column("t"), size)
+                n = [len(s) for s in sets]
+                if sum(n):
+                    cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
+                c = pa.array([_name(s) if len(s) else None for s in sets], pa.binary())
+                keys = pa.array([(s[:, None] * _SEEDS).min(0).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
+                none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), c, keys, *none], names=names)
+        pieces = cells.reshape(-1, 1 << PIECE_BITS)
+        some = np.flatnonzero(pieces.any(axis=1))
+        none = pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], names=names)
+
+    names = ["id", "n", "c", "keys", "piece", "counts"]
+    return base.mapInArrow(run, "id long, n long, c binary, keys array<long>, piece int, counts binary")
+
+
+def _ranks(counts: DataFrame) -> np.ndarray:
+    """One byte a cell that grows with the logarithm of its count, added up over all tasks piece by piece."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << PIECE_BITS, np.uint64)
+        for v in rows["counts"]:
+            total += np.frombuffer(v, np.uint32)
+        rank = np.minimum(255, 8 * np.log2(total + 1.0)).astype(np.uint8)
+        return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "ranks": [rank.tobytes()]})
+
+    out = np.zeros((1 << (COUNT_BITS - PIECE_BITS), 1 << PIECE_BITS), np.uint8)
+    for r in counts.groupBy("piece").applyInPandas(add, "piece int, ranks binary").collect():
+        out[r["piece"]] = np.frombuffer(r["ranks"], np.uint8)
+    return out.reshape(-1)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -146,7 +122,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = near.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = staged(small, "edges")
+        old, edges = edges, staged(small, "edges")
+        dropped(old)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
@@ -165,60 +142,42 @@ def _in_bits(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
 
-def _repeated(rows: DataFrame, purpose: str) -> DataFrame:
-    """``rows`` whose ``token`` stands in more than one of them, with the count ``df``.
-
-    Only tokens and counts are shuffled for all rows; a bitmap of the repeated tokens lets few others through to the exact join.
-    """
-    often = staged(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), purpose)
+def _token_filter(tokens: DataFrame):
+    """A Python function that tells which 64-bit tokens may be among the column ``token``, by a broadcast bitmap of fixed size."""
     cell = F.shiftrightunsigned("token", 64 - PROBE_BITS)
-    shared = rows.sparkSession.sparkContext.broadcast(_bits(often.select(cell.alias("cell")), 1 << PROBE_BITS).tobytes())
+    shared = tokens.sparkSession.sparkContext.broadcast(_bits(tokens.select(cell.alias("cell")), 1 << PROBE_BITS).tobytes())
+    return lambda t: _in_bits(np.frombuffer(shared.value, np.uint8), (t >> np.uint64(64 - PROBE_BITS)).astype(np.int64))
 
-    @F.pandas_udf("boolean")
-    def may_be(tokens: pd.Series) -> pd.Series:
-        bits = np.frombuffer(shared.value, np.uint8)
-        return pd.Series(_in_bits(bits, (tokens.to_numpy().view(np.uint64) >> np.uint64(64 - PROBE_BITS)).astype(np.int64)))
 
-    return rows.filter(may_be("token")).join(often, "token")
+def _texts_of(docs: DataFrame, ids: DataFrame, size: int, out, schema: str) -> DataFrame:
+    """Rows (c, ``schema``) that ``out`` makes of the sets of the rows whose id is in ``ids``, one per class.
 
-
-def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, s): the sets of the rows named in ``ids`` as bytes. Texts that the fixed filter keeps out are not hashed."""
+    The fixed filter lets few other texts through to be hashed; equal sets collapse on the map side.
+    """
     cell = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     shared = docs.sparkSession.sparkContext.broadcast(_bits(ids.select(cell.alias("cell")), FILTER_BITS).tobytes())
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            cell = b.column("cell").to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(_in_bits(bits, cell))
+            some = np.flatnonzero(_in_bits(bits, b.column("cell").to_numpy(zero_copy_only=False)))
             for lo in range(0, len(some), 256):
-                part = b.take(pa.array(some[lo : lo + 256]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("t"), size)], pa.binary())], names=["id", "s"])
+                sets = [s for s in shingle_sets(b.column("t").take(pa.array(some[lo : lo + 256])), size) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([out(s) for s in sets], pa.binary())], names=["c", "n", "s"])
 
-    hashed = docs.filter("id is not null").select("id", "t", cell.alias("cell")).mapInArrow(run, "id long, s binary")
-    return hashed.join(ids, "id").groupBy("id").agg(F.min("s").alias("s"))
+    hashed = docs.filter("id is not null").select("t", cell.alias("cell")).mapInArrow(run, f"c binary, n long, {schema}")
+    return hashed.groupBy("c").agg(F.first("n").alias("n"), F.first("s").alias("s"))
 
 
-def _slices_of(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, label, needed, token): the slices of the sets, one a row."""
-    slicer = Slicer(percent)
-
-    def run(batches):
-        for b in batches:
-            for i, s in zip(b.column("id").to_pylist(), b.column("s")):
-                s = np.frombuffer(s.as_buffer(), np.uint64)
-                label, needed, token = (np.array(x) for x in zip(*slicer.tokens(s)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(token), i)), pa.array(np.full(len(token), len(s))), pa.array(label, pa.int32()), pa.array(needed, pa.int32()), pa.array(token)],
-                    names=["rep", "n", "label", "needed", "token"],
-                )
-
-    return sets.mapInArrow(run, "rep long, n long, label int, needed int, token long")
+def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """(c, s): the sets of the classes named in ``names``, as bytes."""
+    some = names.distinct().join(classes.select("c", "rep"), "c")
+    found = _texts_of(docs, some.select(F.col("rep").alias("id")), size, lambda s: s.tobytes(), "s binary")
+    return found.select("c", "s").join(names.distinct(), "c", "left_semi")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets link, counted exactly."""
+    """Of the pairs (a, b) of classes those whose sets link, counted exactly."""
 
     def run(batches):
         for batch in batches:
@@ -229,8 +188,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -257,121 +216,199 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _degrees_inside(groups: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(rep, links): for each set of a group the ``rows`` (rep, m) of the sets of its group that link with it, counted exactly.
+    """(c, links): for each set of a group the ``rows`` (c, m) of the sets of its group that link with it, counted exactly.
 
     A group is dealt to blocks of bounded size; every two blocks are one piece of work.
     """
-    named = groups.select("id", F.col("component").alias("group")).union(groups.select(F.col("component").alias("id"), F.col("component").alias("group"))).distinct()
-    members = named.join(sets, "id").join(rows.withColumnRenamed("rep", "id"), "id")
-    sizes = named.join(sets, "id").groupBy("group").agg(
+    named = groups.select(F.col("id").alias("c"), F.col("component").alias("group")).union(groups.select(F.col("component").alias("c"), F.col("component").alias("group"))).distinct()
+    members = named.join(sets, "c").join(rows, "c")
+    sizes = named.join(sets, "c").groupBy("group").agg(
         F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum(F.length("s")) / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
     )
-    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pieces = other.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "m", "s")
+    pieces = other.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "m", "s")
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         x, y = piece[piece["block"] == piece["i"]], piece[piece["block"] == piece["j"]]
         if not len(x) or not len(y):
-            return pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+            return pd.DataFrame({"c": np.zeros(0, object), "links": np.zeros(0, np.int64)})
         a, b = ([np.frombuffer(v, np.uint64) for v in side["s"]] for side in (x, y))
         both = _overlaps(a, b)
         linked = 100 * both >= percent * (np.array([len(v) for v in a])[:, None] + np.array([len(v) for v in b])[None, :] - both)
         one = piece["i"].iloc[0] == piece["j"].iloc[0]
         if one:
             np.fill_diagonal(linked, False)
-        out = [pd.DataFrame({"rep": x["id"].to_numpy(), "links": linked @ y["m"].to_numpy()})]
+        out = [pd.DataFrame({"c": x["c"].to_numpy(), "links": linked @ y["m"].to_numpy()})]
         if not one:
-            out.append(pd.DataFrame({"rep": y["id"].to_numpy(), "links": linked.T @ x["m"].to_numpy()}))
+            out.append(pd.DataFrame({"c": y["c"].to_numpy(), "links": linked.T @ x["m"].to_numpy()}))
         return pd.concat(out)
 
-    return pieces.groupBy("group", "i", "j").applyInPandas(run, "rep long, links long")
+    return pieces.groupBy("group", "i", "j").applyInPandas(run, "c binary, links long")
+
 
+def _best(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for every class the class outside its group that is the hub of most of its tokens, a hub being a token's least class."""
+    hubs = rows.groupBy("token").agg(F.min(F.struct("c", "g", "n")).alias("hub"))
+    met = rows.join(hubs, "token").filter((F.col("g") != F.col("hub.g")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    shared = met.groupBy("c", F.col("hub.c").alias("b")).agg(F.count("*").alias("k"))
+    return shared.groupBy(F.col("c").alias("a")).agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
 
-def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+
+def _regrouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the groups of now, without the tokens that one group alone has."""
+    now = rows.drop("g").join(groups.select(F.col("id").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
+    own = Window.partitionBy("token")
+    return now.withColumn("_lo", F.min("g").over(own)).withColumn("_hi", F.max("g").over(own)).filter("_lo < _hi").drop("_lo", "_hi")
+
+
+def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str = "text", doc_id: str = "doc_id", links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id): one row per row of ``docs``, linked at 100 * |A & B| >= percent * |A | B|.
 
-    1. One pass hashes every text's word n-grams; equal sets are one class, named by its smallest id. Sets are cut into slices
-       by hash (see ``Slicer``): texts that share only a passage rarely have a slice in common, so a hot passage makes no hot
-       token. Of H + 1 slices linked sets share one; a class that shares none of them with another class is done.
-    2. The other classes' slices are the tokens of the matrix. A class whose slices in other classes are fewer than a link
-       needs is done; a token's frequency orders the rest.
-    3. Leaders gather groups: the members of a bucket of equal min-hash keys that are like its most shared member are verified
-       against it, and verified links are contracted to groups. So a large group of copies costs pairs in proportion to its
-       members.
-    4. The matrix holds each token once per group. Of k tokens that may match, a query looks up the k - needed + 1 rarest, as
-       does the other side; what meets no group there cannot link. Then the query's tokens in the union of a group bound what
-       it can share with any member: below ``needed`` the group is not opened. Members of opened groups that share a looked-up
-       token are verified exactly. Pairs inside a group are connected already and are not looked up.
-    5. Components of all verified links are the result. n_links counts the other rows with an id whose sets link, equal sets
-       too: inside groups by overlaps of two blocks of sets at a time, across groups by the verified links.
+    1. One pass hashes every text's word n-grams: the tokens. Equal sets are one class, named by 128 bits of its tokens. Beside
+       its rows each task leaves counts of its tokens' cells in a table of fixed size; the table orders tokens from rare to
+       frequent, ties by hash.
+    2. Leaders gather groups: each class is verified against the least class of the buckets of equal min-hash keys that it shares
+       most of; verified links are contracted to groups. A large group of near copies costs pairs in proportion to its members.
+    3. Of each class the first tokens in the common order are looked up, and fewer of them held (see ``looked_up``), as arrays
+       beside the class. Only tokens that several groups have become rows. A passage that many texts share is frequent, so it
+       is looked up only where it makes up nearly all of a set.
+    4. Each class is verified against the one hub outside its group that it shares most tokens with, twice; that leaves few
+       groups that are alike. The matrix then holds each token once per group, with the group's bounds on size and place. A query
+       that meets a group there is bounded by its overlap with the union of the group's tokens; below what a link needs the group
+       is not opened. Members of opened groups that share a looked-up token are verified exactly.
+    5. Components of all verified links are the result. n_links (if ``links``) counts the other rows with an id whose sets link,
+       equal sets too: inside groups by overlaps of two blocks of sets at a time, across groups by the verified links.
+
+    Staged tables are deleted once what follows them is written.
 
     Defined results: texts without words (NULL and empty ones too) have no set, link with nothing and are components of their
-    own; rows with NULL ids belong to the component of their class if that has an id, else to none; equal ids are one class
-    member each; ties cannot occur; other columns do not matter; a table without rows gives none.
+    own; rows with NULL ids belong to the component of their class if that has an id, else to none; rows that repeat an id with
+    other texts are rows of their own; other columns do not matter; a table without rows gives none.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    fields = {"n": "bigint", "d1": "bigint", "d2": "bigint", "keys": "array<bigint>", "probes": "array<bigint>"}
-    feats = staged(append_arrow(base, ["t"], fields, _features(percent, size), keep=["id"]), "jaccard-features")
-    digest = ["d1", "d2", "n"]
-    classes = staged(feats.filter("n > 0").groupBy(*digest).agg(F.min("id").alias("rep"), F.min("keys").alias("keys"), F.count("id").alias("m")).filter("rep is not null"), "jaccard-classes")
-
-    # classes that share a probe with another row
-    held = feats.filter("n > 0").select("d1", F.explode("probes").alias("token"))
-    maybe = _repeated(held, "jaccard-probes").select("d1").distinct().join(classes.select("d1", "rep"), "d1").select(F.col("rep").alias("id"))
-    sets = staged(_sets_of(base, staged(maybe, "jaccard-maybe"), size), "jaccard-sets")
-
-    # their slices that stand in more than one class, and those that have as many as a link needs
-    common = staged(_repeated(staged(_slices_of(sets, percent), "jaccard-slices"), "jaccard-often"), "jaccard-common")
-    enough = common.groupBy("rep", "label").agg(F.count("*").alias("k")).filter("k > 0")
-    columns = staged(common.join(enough, ["rep", "label"]).filter(F.col("k") >= F.col("needed")), "jaccard-columns")
-
-    # groups: members verified against the most shared member of their bucket
-    share = columns.groupBy("rep").agg(F.max(F.col("k") / F.col("needed")).alias("share"))
-    keyed = classes.join(share, "rep").select("rep", "n", "share", "keys", F.posexplode("keys").alias("k", "key"))
-    leaders = keyed.groupBy("k", "key").agg(F.min(F.struct((-F.col("share")).alias("share"), "rep", "keys", "n")).alias("lead"))
-    met = keyed.join(leaders, ["k", "key"]).filter(F.col("rep") != F.col("lead.rep"))
-    alike = F.aggregate(F.zip_with("keys", "lead.keys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = met.filter((100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & (alike >= SHARED_KEYS)).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
-    # and against the most shared holder of each token, where it is the one of as many tokens as a link needs: few by count
-    ranked = columns.select("token", "rep", "label", "needed", (F.col("k") / F.col("needed")).alias("share"))
-    hubs = ranked.groupBy("token").agg(F.min(F.struct((-F.col("share")).alias("share"), "rep")).alias("hub")).select("token", F.col("hub.rep").alias("hub"))
-    best = ranked.join(hubs, "token").filter("rep <> hub").groupBy("rep", "label", "needed", "hub").agg(F.count("*").alias("m")).filter("m >= needed")
-    near = near.union(best.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).distinct()
-    links = staged(_linked(near, sets, percent), "jaccard-links")
-    groups = connected_components(links)
+    written = staged(_features(base, size), "jaccard-features")
+    feats = written.filter("piece is null").select("id", "n", "c")
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(written.filter("piece is not null").select("piece", "counts")).tobytes())
+    having = written.filter("piece is null and c is not null")
+    classes = staged(having.groupBy("c").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("id").alias("m"), F.first("keys").alias("keys")).filter("rep is not null"), "jaccard-classes")
+
+    # groups: each class against the least class of its buckets
+    keyed = classes.select("c", "n", F.posexplode("keys").alias("k", "key"))
+    lead = keyed.groupBy("k", "key").agg(F.min(F.struct("c", "n")).alias("lead"), F.count("*").alias("many")).filter("many > 1")
+    met = keyed.join(lead, ["k", "key"]).filter((F.col("c") != F.col("lead.c")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
+    alike = met.groupBy("c", F.col("lead.c").alias("b")).agg(F.count("*").alias("k")).groupBy(F.col("c").alias("a")).agg(F.max(F.struct("k", "b")).alias("m"))
+    near = staged(alike.select("a", F.col("m.b").alias("b")), "jaccard-near")
+    both = lambda pairs: pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
+    verified = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sets = staged(_sets_of(base, classes, both(pairs), size), "jaccard-sets")
+        verified.append(staged(_linked(pairs, sets, percent), "jaccard-links"))
+        dropped(sets, pairs)
+        return verified[-1]
+
+    def groups_now() -> DataFrame:
+        found = verified[0]
+        for more in verified[1:]:
+            found = found.union(more)
+        return staged(connected_components(found), "jaccard-groups")
+
+    verify(near)
+    groups = groups_now()
+
+    # the first tokens of every class, in the common order, and those of them that several groups have
+    def first(s: np.ndarray) -> bytes:
+        rank = np.frombuffer(ranks.value, np.uint8)[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+        probes, _ = looked_up(np.int64(len(s)), percent)
+        return s[np.lexsort((s, rank))[:probes]].tobytes()
+
+    heads = _texts_of(base, classes.select(F.col("rep").alias("id")), size, first, "s binary")
+    heads = heads.join(groups.select(F.col("id").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
+    heads = staged(heads, "jaccard-heads")
+
+    def rows_of(keep):
+        def run(batches):
+            for b in batches:
+                token, owner, place = [], [], []
+                for i, s in enumerate(b.column("s")):
+                    t = np.frombuffer(s.as_buffer(), np.uint64)
+                    at = np.flatnonzero(keep(t)) if keep else np.arange(len(t))
+                    token.append(t[at])
+                    owner.append(np.full(len(at), i))
+                    place.append(at)
+                owner = pa.array(np.concatenate(owner) if owner else np.zeros(0, np.int64))
+                columns = [pa.array((np.concatenate(token) if token else np.zeros(0, np.uint64)).view(np.int64)), pa.array((np.concatenate(place) if place else np.zeros(0, np.int64)).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns + [b.column(k).take(owner) for k in ("c", "g", "n")], names=["token", "at", "c", "g", "n"])
+
+        return heads.mapInArrow(run, "token long, at int, c binary, g binary, n long")
+
+    short = rows_of(None).select("token", F.xxhash64("g").alias("g"))
+    often = staged(short.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token"), "jaccard-often")
+    rows = staged(rows_of(_token_filter(often)).join(often, "token"), "jaccard-rows")
+    dropped(heads, often)
+    for _ in range(HUB_ROUNDS):
+        verify(staged(_best(rows, percent), "jaccard-best"))
+        old, before = groups, rows
+        groups = groups_now()
+        rows = staged(_regrouped(rows, groups), "jaccard-rows")
+        dropped(old, before)
 
     # the matrix, its bound, and the opened groups
-    member = columns.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "label", "token", "needed", "n", "k", "df", F.coalesce("component", "rep").alias("group"))
-    order = F.row_number().over(Window.partitionBy("rep", "label").orderBy("df", "token"))
-    member = staged(member.withColumn("looked_up", order <= F.col("k") - F.col("needed") + 1), "jaccard-members")
-    matrix = member.select("token", "group").distinct()
-    rare = member.filter("looked_up")
-    wide = rare.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("token")
-    asked = staged(rare.join(wide, "token").select("rep", "label", "token", "needed", "n", "group"), "jaccard-asked")
-    there = asked.select("token", F.col("group").alias("other")).distinct()
-    met = staged(asked.join(there, "token").filter("group <> other").select("rep", "label", "other").distinct(), "jaccard-met")
-    bound = member.join(met, ["rep", "label"]).join(matrix.withColumnRenamed("group", "other"), ["token", "other"]).groupBy("rep", "label", "other").agg(F.count("*").alias("k"), F.max("needed").alias("needed"))
-    opened = bound.filter(F.col("k") >= F.col("needed")).select("rep", "label", "other")
-    query = asked.join(opened, ["rep", "label"]).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("other").alias("group"))
-    seen = asked.select("token", "group", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = query.join(seen, ["token", "group"]).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    probes, held = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1), (F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1)
+    needed = F.ceil(percent * F.col("n") / 100).cast("long")
+    index = rows.filter(F.col("at") < held)
+    matrix = index.groupBy("token", F.col("g").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("from"))
+    meets = (F.col("g") != F.col("other")) & (F.col("lo") <= F.col("n")) & (100 * F.col("hi") >= percent * F.col("n"))
+    fits = F.least(F.col("hi") - F.col("from"), F.col("n") - F.col("at")) >= needed
+    asked = rows.filter(F.col("at") < probes).join(matrix, "token").filter(meets & fits)
+    met = staged(asked.select("c", "n", "other").distinct(), "jaccard-met")
+    many = staged(rows.select("c", F.col("g").alias("other")).distinct().join(met.select("other").distinct(), "other", "left_semi"), "jaccard-members")
+    sets = staged(_sets_of(base, classes, met.select("c").union(many.select("c")), size), "jaccard-sets")
+    wide = many.groupBy("other").count().filter("count > 1").select("other")
+    tokens = lambda s: F.explode(_longs(s)).alias("token")
+    union = many.join(wide, "other").join(sets, "c").select("other", tokens(F.col("s"))).distinct()
+    bounded = met.join(wide, "other").join(sets, "c").select("c", "n", "other", tokens(F.col("s")))
+    enough = bounded.join(union, ["other", "token"]).groupBy("c", "n", "other").agg(F.count("*").alias("k")).filter(F.col("k") >= needed).select("c", "n", "other")
+    opened = met.join(wide, "other", "left_anti").select("c", "n", "other").union(enough)
+    query = rows.filter(F.col("at") < probes).join(opened.select("c", "other"), "c").select("token", "other", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    seen = index.select("token", F.col("g").alias("other"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    shared = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    pairs = query.join(seen, ["token", "other"]).filter((F.col("nb") <= F.col("na")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= shared))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = staged(_linked(pairs, sets, percent), "jaccard-more")
-    all_links = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(more).distinct(), "jaccard-all-links")
-
-    component = connected_components(all_links).withColumnRenamed("id", "rep")
-    rows = classes.select("rep", "m")
-    across = more.select("a", F.col("b").alias("rep")).union(more.select(F.col("b").alias("a"), F.col("a").alias("rep"))).join(rows, "rep").select(F.col("a").alias("rep"), F.col("m").alias("links"))
-    degree = _degrees_inside(groups, sets, rows, percent).union(across).groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.select(*digest, "rep", "m").join(component, "rep", "left").join(degree, "rep", "left")
-    named = named.select(*digest, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("m")).alias("n_links"))
-    return feats.select("id", *digest).join(named, digest, "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.col("n_links") - F.col("id").isNotNull().cast("int"), F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
+    dropped(sets, met, many, rows)
+    inside = groups
+    verified.append(more)
+
+    near_by = classes.select("c", "rep", "m").join(groups_now().withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    least = near_by.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = near_by.join(least, "component").select("c", "m", "component_id")
+    if links:
+        of = classes.select("c", "m")
+        across = more.select("a", F.col("b").alias("c")).union(more.select(F.col("b").alias("a"), F.col("a").alias("c"))).join(of, "c").select(F.col("a").alias("c"), F.col("m").alias("links"))
+        members = inside.select(F.col("id").alias("c")).union(inside.select(F.col("component").alias("c")))
+        sets = staged(_sets_of(base, classes, members, size), "jaccard-sets")
+        degree = _degrees_inside(inside, sets, of, percent).union(across).groupBy("c").agg(F.sum("links").alias("links"))
+        named = named.join(degree, "c", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("m"))
+        own = [F.coalesce(F.col("n_links") - F.col("id").isNotNull().cast("int"), F.lit(0)).cast("long").alias("n_links")]
+    else:
+        own = []
+    return feats.join(named, "c", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), *own, F.coalesce("component_id", "id").alias("component_id")
     )
 
 
+def _longs(s):
+    """The 64-bit words of a set's bytes, as an array."""
+
+    @F.pandas_udf("array<long>")
+    def read(v: pd.Series) -> pd.Series:
+        return v.map(lambda b: np.frombuffer(b, np.int64))
+
+    return read(s)
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of three-word shingles at 0.9."""
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")

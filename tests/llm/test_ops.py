@@ -180,6 +180,27 @@ def test_jaccard_odd(spark, odd, none):
     assert jaccard.jaccard_join(none).count() == 0
 
 
+def test_jaccard_ids_with_two_texts(spark):
+    """A repeated id with two texts is two rows: no link of either is lost."""
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    got = jaccard.jaccard_join(rows_of(spark, [(5, a), (5, b), (6, a + " more"), (7, b + " more")])).collect()
+    assert {(r.doc_id, r.component_id, r.n_links) for r in got} == {(5, 5, 1), (6, 5, 1), (7, 5, 1)}
+
+
+def test_jaccard_of_chained_groups(spark, monkeypatch):
+    """Chains of near copies and shared passages, with every token in one cell of the order: still brute force."""
+    monkeypatch.setattr(jaccard, "COUNT_BITS", 2)
+    monkeypatch.setattr(jaccard, "PIECE_BITS", 1)
+    rng = random.Random(11)
+    text, rows = [f"w{rng.randrange(500)}" for _ in range(90)], []
+    for i in range(60):
+        text[rng.randrange(len(text))] = f"v{rng.randrange(500)}"
+        rows.append((200 - i, " ".join(text)))
+    rows += [(300 + i, " ".join(text[:70] + [f"u{rng.randrange(900)}" for _ in range(rng.randint(1, 12))])) for i in range(60)]
+    got = jaccard.jaccard_join(rows_of(spark, rows)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows, 90, 3)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in jaccard.connected_components(edges).collect()}
