@@ -16,16 +16,21 @@ from benchspark.llm.langid import fit_centroids, identify_language
 from benchspark.llm.quality import fit_quality, score_quality
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, so that no name of a document's column meets a name that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those too far from every centroid of the languages learned from these rows."""
     model = fit_centroids(docs.filter(crc_of_id() % 5 != 0))
-    return identify_language(docs, model).filter(~F.col("lang_rejected")).select(*docs.columns)
+    return identify_language(packed(docs), model, text="_row.text", keep=["_row"]).filter(~F.col("lang_rejected")).select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts scored below 0.5 by a model of the labels of these rows."""
     model = fit_quality(docs, table(spark, sf_dir, "labels").filter(crc_of_id() % 3 != 1))
-    return score_quality(docs, model).filter(F.col("quality_score") >= 0.5).select(*docs.columns)
+    return score_quality(packed(docs), model, text="_row.text", keep=["_row"]).filter(F.col("quality_score") >= 0.5).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +38,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id stay; repeated rows of the kept id stay together.
     """
-    found = jaccard_join(docs, percent=80, size=5).filter("doc_id <> component_id").select("doc_id").distinct()
+    found = jaccard_join(docs, percent=80, size=5, links=False).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    found = staged(find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item. Texts are looked at by their digest, so rows without an id are searched too."""
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    texts = docs.select(digest.alias("doc_id"), "text")
+    found = staged(find_contamination(texts, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
+    rows = packed(docs).withColumn("_text", F.md5(F.coalesce(F.col("_row.text"), F.lit("")).cast("binary")))
+    return rows.join(found, rows["_text"] == found["doc_id"], "left_anti").select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
