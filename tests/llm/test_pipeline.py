@@ -1,4 +1,6 @@
-"""The pipeline keeps clean rows, drops what each stage is for, and equals its stages run by hand."""
+"""The pipeline keeps clean rows, drops what each stage is for, keeps columns as they are, and ends on odd rows."""
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from benchspark.llm import common
@@ -30,3 +32,23 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """run over NULL ids and texts, repeated and long rows, and columns of names that the operators use."""
+    docs = common.table(spark, SF, "documents").filter("doc_id < 150")
+    item = common.table(spark, SF, "benchmark").orderBy("item_id").first().text
+    some = docs.filter("lang = 'en' and n_chars > 1500").orderBy("doc_id").first()
+    extra = [(None, some.text + " " + item, "en", "x", 1), (None, None, "en", "x", 1), (9001, "", None, None, 0), (9002, "one " + "word " * 30000, "en", "x", 1), (9003, some.text, "en", "x", 1), (9003, some.text, "en", "x", 1)]
+    rows = docs.union(spark.createDataFrame(extra, docs.schema))
+    for name in ("lang_pred", "lang_score", "lang_rejected", "quality_score", "_row", "_text", "n_links"):
+        rows = rows.withColumn(name, F.lit("own"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        common.table(spark, SF, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    ids = [r.doc_id for r in out.collect()]
+    assert None not in ids and 9001 not in ids and 9003 not in ids and len(ids) > 50
+    kept = corpus_pipeline.language(spark, rows, str(tmp_path))
+    assert kept.columns == rows.columns and {r.lang_score for r in kept.select("lang_score").distinct().collect()} == {"own"}
