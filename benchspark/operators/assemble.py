@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchspark.functions.text import half_even, lower_strip, text
+from benchspark.functions.text import half_even, lower_strip, portable_hash, text
 from benchspark.operators.ranking import exact_quantiles, global_rank, hash_slot, position_slot
 from benchspark.operators.rig import DISTANCE_MAX, DISTANCE_MIN
 
@@ -36,9 +36,8 @@ def interleave(sequences: DataFrame, seed: int = 42, split: str = "split", key:
 
     A split of any size is ranked by slices of the hash range, not in one task. ``turn`` then ``split`` is the order.
     """
-    h = F.xxhash64(F.lit(seed), F.col(split), F.col(key))
-    hashed = sequences.withColumn("__h", h)
-    ranked = global_rank(hashed, order=[F.col("__h"), F.col(key)], slots=[hash_slot("__h")], within=[split], name="turn")
+    hashed = sequences.withColumn("__h", portable_hash(F.lit(seed), split, key))
+    ranked = global_rank(hashed, order=[F.col("__h"), F.col(key)], slots=[hash_slot("__h", width=60)], within=[split], name="turn")
     return ranked.drop("__h")
 
 
@@ -163,35 +162,71 @@ def early_warning(frames: DataFrame, after: int = WARN_FRAMES, rate: float = WAR
     )
 
 
-def progress(samples: DataFrame, every: int = 5, pos: str = "pos") -> DataFrame:
-    """Counts per task at each ``every``-th accepted sample.
-
-    ``pos`` is a unique position. Running counts are kept per position slot and lifted by the counts of earlier slots.
-    """
+def _running(rows: DataFrame, pos: str, values: dict[str, Column]) -> DataFrame:
+    """``pos`` and the running sums of ``values`` up to each row: kept per position slot, lifted by the sums of earlier slots."""
     from pyspark.sql import Window as W
 
-    slot = position_slot(pos)
-    rows = samples.select(F.col(pos).alias("pos"), "task_id", slot.alias("slot"))
-    flags = [F.sum(F.when(F.col("task_id") == t, 1).otherwise(0)).alias(f"m{t}") for t in TASKS]
-    per_slot = rows.groupBy("slot").agg(F.count("*").alias("m"), *flags)
+    slotted = rows.select(F.col(pos).alias("pos"), position_slot(pos).alias("slot"), *[v.cast("bigint").alias(n) for n, v in values.items()])
+    per_slot = slotted.groupBy("slot").agg(*[F.sum(n).alias(n) for n in values])
     before = W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slot.select(
-        F.col("slot").alias("slot_o"),
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_o") for c in ("m", *[f"m{t}" for t in TASKS])],
-    )
+    offsets = per_slot.select(F.col("slot").alias("slot_o"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_o") for n in values])
     inside = W.partitionBy("slot").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    local = rows.select(
-        "pos", "slot", F.count("*").over(inside).alias("n"),
-        *[F.sum(F.when(F.col("task_id") == t, 1).otherwise(0)).over(inside).alias(f"n{t}") for t in TASKS],
-    )
-    return (
-        local.join(offsets, F.col("slot") == F.col("slot_o"))
-        .select(
-            "pos", (F.col("n") + F.col("m_o")).alias("total_accepts"),
-            *[(F.col(f"n{t}") + F.col(f"m{t}_o")).alias(f"task{t}") for t in TASKS],
-        )
-        .where(F.col("total_accepts") % every == 0)
-    )
+    local = slotted.select("pos", "slot", *[F.sum(n).over(inside).alias(n) for n in values])
+    return local.join(offsets, F.col("slot") == F.col("slot_o")).select("pos", *[(F.col(n) + F.col(f"{n}_o")).alias(n) for n in values])
+
+
+def _task_flags() -> dict[str, Column]:
+    return {"total_accepts": F.lit(1)} | {f"task{t}": F.when(F.col("task_id") == t, 1).otherwise(0) for t in TASKS}
+
+
+def progress(samples: DataFrame, every: int = 5, pos: str = "pos", rejects: DataFrame | None = None, last: int = 0, start=None) -> DataFrame:
+    """Counts per task at each ``every``-th accepted sample.
+
+    ``pos`` is a unique position. With ``rejects`` (a log with the same clock ``pos``) a snapshot has ``rejects``, how many were
+    refused up to it: both logs are one ordered log of flags, so the as-of merge is the same running sum. With ``last`` it has
+    ``last_samples``, the positions of the last so many samples, latest first: a sample belongs to the next few snapshots only,
+    which follow from its own rank, so snapshots gather at most ``last`` rows each. ``start`` is a row of ``running_totals`` of
+    an earlier part of the log.
+    """
+    flags = _task_flags()
+    rows = samples.select(F.col(pos).alias("pos"), F.lit(True).alias("accepted"), *[v.alias(n) for n, v in flags.items()])
+    names = list(flags)
+    if rejects is not None:
+        zero = [F.lit(0).alias(n) for n in names]
+        rows = rows.withColumn("rejects", F.lit(0)).unionByName(rejects.select(F.col(pos).alias("pos"), F.lit(False).alias("accepted"), *zero, F.lit(1).alias("rejects")))
+        # a reject at the very position of a sample counts with it
+        rows = rows.groupBy("pos").agg(F.max("accepted").alias("accepted"), *[F.sum(n).alias(n) for n in [*names, "rejects"]])
+        names.append("rejects")
+    counted = _running(rows.withColumn("accepted", F.col("accepted").cast("int")).withColumn("__key", F.col("pos")), "__key", {n: F.col(n) for n in names} | {"was": F.col("accepted")})
+    if start is not None:
+        counted = counted.select("pos", *[(F.col(n) + F.lit(start[n] if n in start else 0)).alias(n) for n in names], "was")
+    if rejects is not None:
+        accepted = counted.join(samples.select(F.col(pos).alias("pos")), "pos", "left_semi")
+    else:
+        accepted = counted
+    shots = accepted.where(F.col("total_accepts") % every == 0).select("pos", *names)
+    if not last:
+        return shots
+    rank = F.col("total_accepts")
+    first = F.ceil(rank / every) * every  # the first snapshot at or after the sample
+    member = accepted.select("pos", rank.alias("rank"), F.explode(F.when(first < rank + last, F.sequence(first, rank + last - 1, F.lit(every).cast("bigint")))).alias("total_accepts"))
+    if start is not None and start["last_samples"]:
+        old = [(p, start["total_accepts"] - i) for i, p in enumerate(start["last_samples"])]
+        held = samples.sparkSession.createDataFrame([(p, r, t) for p, r in old for t in range(-(-r // every) * every, r + last, every)], "pos bigint, rank bigint, total_accepts bigint")
+        member = member.unionByName(held)
+    latest = member.groupBy("total_accepts").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("rank", "pos")))), lambda e: e["pos"]).alias("last_samples"))
+    return shots.join(latest, "total_accepts").select("pos", *names, "last_samples")
+
+
+def running_totals(samples: DataFrame, last: int = 5, pos: str = "pos", start=None) -> DataFrame:
+    """One row: the counts of ``progress`` and the last ``last`` positions after all samples, on top of ``start`` (S3)."""
+    flags = _task_flags()
+    row = samples.agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("bigint").alias(n) for n, v in flags.items()]).first()
+    counts = {n: row[n] + (start[n] if start is not None else 0) for n in flags}
+    latest = [r["pos"] for r in samples.select(F.col(pos).cast("bigint").alias("pos")).orderBy(F.desc("pos")).limit(last).collect()]
+    latest = (latest + list(start["last_samples"] if start is not None else []))[:last]
+    schema = ", ".join(f"{n} bigint" for n in flags) + ", last_samples array<bigint>"
+    return samples.sparkSession.createDataFrame([(*counts.values(), latest)], schema)
 
 
 def last_samples(samples: DataFrame, k: int = 5, pos: str = "pos") -> DataFrame:

@@ -167,7 +167,7 @@ def distractor_points(frames: DataFrame, seed: int = 42, w: int = 1000, h: int =
     fixed += [(F.lit(w * a), F.lit(h * b)) for a, b in shares]
 
     def uniform(i, side, size):
-        share = F.pmod(F.xxhash64(F.lit(seed), F.lit(side), i, *[F.col(k) for k in keys]), F.lit(1 << 31)) / float(1 << 31)
+        share = F.pmod(hash_order(seed, F.lit(side), i, *keys), F.lit(1 << 31)) / float(1 << 31)
         return F.lit(EDGE_PAD) + share * F.lit(max(0.0, size - 1 - 2 * EDGE_PAD))
 
     drawn = F.transform(

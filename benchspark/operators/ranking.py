@@ -45,9 +45,9 @@ def global_rank(
     )
 
 
-def hash_slot(hash_col, bits: int = 12) -> Column:
-    """Slot for an order by a signed 64-bit hash: its top bits. Hash order is uniform, so slots are even."""
-    return F.shiftright(F.col(hash_col) if isinstance(hash_col, str) else hash_col, 64 - bits)
+def hash_slot(hash_col, bits: int = 12, width: int = 64) -> Column:
+    """Slot for an order by a hash of ``width`` bits: its top bits. Hash order is uniform, so slots are even."""
+    return F.shiftright(F.col(hash_col) if isinstance(hash_col, str) else hash_col, width - bits)
 
 
 def position_slot(pos, width: int = 1 << 18) -> Column:

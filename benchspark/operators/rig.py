@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from benchspark.functions.geometry import PLANES, at, azimuth, distance3, wrap_angle
-from benchspark.functions.text import col, let
+from benchspark.functions.text import col, let, portable_hash
 from benchspark.operators.frames import CAMERAS, frame_id_from_filename, frame_id_text, frame_index
 
 # Limits of a usable rig.
@@ -194,8 +194,8 @@ def axis_diag(distances: DataFrame, keys=("split", "seq", "frame_id")) -> DataFr
 
 
 def hash_order(seed: int, *keys) -> Column:
-    """Reproducible stand-in for a random order: a hash of the seed and the row's own keys."""
-    return F.xxhash64(F.lit(seed), *[col(k) for k in keys])
+    """Reproducible stand-in for a random order: a hash of the seed and the row's own keys that other engines can repeat."""
+    return portable_hash(F.lit(seed), *keys)
 
 
 def sample_pair(cams: DataFrame, seed: int = 42, keys=("split", "seq", "frame_id")) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benchspark.functions import geometry as geo
+from benchspark.functions.text import portable_hash_sql
 from benchspark.operators import frames, masks, rig
 from benchspark.plans import bindings as b
 from benchspark.plans.registry import query
@@ -255,11 +256,17 @@ def axis_diag(spark, sf):
     return a.withColumns({c: F.round(c, 6) for c in ("adjacent_mean_deg", "opposite_mean_deg", "adjacent_over_opposite")})
 
 
-@query("SELECT CAST(rig AS VARCHAR) AS seq, frame_id, count(*) >= 2 AS two FROM dists GROUP BY 1, 2 HAVING count(*) >= 2", b.RIG)
+@query(
+    f"""WITH h AS (SELECT CAST(rig AS VARCHAR) AS seq, frame_id, 'Cam' || (k + 1) AS cam, d,
+  row_number() OVER (PARTITION BY rig, frame_id ORDER BY {portable_hash_sql("'42'", "'s'", "rig", "frame_id", "'Cam' || (k + 1)")}, k) AS pick FROM dists)
+SELECT x.seq, x.frame_id, x.cam AS cam1, y.cam AS cam2, round(x.d, 6) AS distance1, round(y.d, 6) AS distance2
+FROM h x JOIN h y ON x.seq = y.seq AND x.frame_id = y.frame_id AND x.pick = 1 AND y.pick = 2""",
+    b.RIG,
+)
 def camera_pairs(spark, sf):
     """Every frame with two cameras or more gets two different ones."""
     pairs = rig.sample_pair(distances(spark, sf).select("split", "seq", "frame_id", "cam", "distance"))
-    return pairs.select("seq", "frame_id", (F.col("cam1") != F.col("cam2")).alias("two"))
+    return pairs.select("seq", "frame_id", "cam1", "cam2", F.round("distance1", 6).alias("distance1"), F.round("distance2", 6).alias("distance2"))
 
 
 @query("SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 4, '0') AS frame_id, CASE WHEN n_chars % 2 = 0 THEN CAST(n_chars AS DOUBLE) END AS x, doc_id % 10 / 10 AS eye_err FROM documents")
@@ -431,10 +438,23 @@ def mask_guards(spark, sf):
 
 # --- distractors ---------------------------------------------------------------------------------------------------
 
-@query()
+DRAW = "20.0 + {} % 2147483648 / 2147483648.0::DOUBLE * {}.0"
+DRAWN = "{'x': " + DRAW.format(portable_hash_sql("'42'", "'x'", "i", "frame_key", "cam"), 959) + ", 'y': " + DRAW.format(portable_hash_sql("'42'", "'y'", "i", "frame_key", "cam"), 709) + "}"
+
+
+@query(
+    f"""WITH p AS (SELECT frame_key, cam, cx, cy, bx, by_, bw, bh, i, CASE WHEN i = 0 THEN {{'x': 1000 - cx, 'y': 750 - cy}}
+  WHEN i <= 8 THEN {{'x': 1000 * [0.1, 0.9, 0.1, 0.9, 0.5, 0.5, 0.1, 0.9][i]::DOUBLE, 'y': 750 * [0.1, 0.1, 0.9, 0.9, 0.1, 0.9, 0.5, 0.5][i]::DOUBLE}}
+  ELSE {DRAWN.replace("i, frame_key", "i - 8, frame_key")} END AS p FROM (SELECT *, unnest(range(49)) AS i FROM cams WHERE cx IS NOT NULL)),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame_key, cam ORDER BY i) - 1 AS point_idx FROM p WHERE sqrt((p.x - cx)**2 + (p.y - cy)**2) BETWEEN {1000 * 0.02818 * 3.14} AND 950
+  AND p.x BETWEEN 20 AND 979 AND p.y BETWEEN 20 AND 729 AND NOT coalesce(p.x BETWEEN bx AND bx + bw AND p.y BETWEEN by_ AND by_ + bh, false))
+SELECT frame_key, cam, CAST(point_idx AS INTEGER) AS point_idx, round(p.x, 6) AS x, round(p.y, 6) AS y FROM k WHERE point_idx < 18""",
+    ("cams",),
+)
 def distractor_points(spark, sf):
-    """Drawn by Spark's hash, so without SQL; the tests check band, edge and person box."""
-    return masks.distractor_points(b.frame_cams(spark, sf), keys=("frame_key", "cam"))
+    """The fixed and drawn points of every view that are kept, with their coordinates."""
+    pts = masks.distractor_points(b.frame_cams(spark, sf), keys=("frame_key", "cam"))
+    return pts.select("frame_key", "cam", "point_idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 FIXED = [(0.1, 0.1), (0.9, 0.1), (0.1, 0.9), (0.9, 0.9), (0.5, 0.1), (0.5, 0.9), (0.1, 0.5), (0.9, 0.5)]

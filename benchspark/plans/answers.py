@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from benchspark.functions import geometry as geo
 from benchspark.functions import responses as R
 from benchspark.functions.labels import sanitize
+from benchspark.functions.text import portable_hash_sql
 from benchspark.operators import campaign, decisions, metrics, samples
 from benchspark.plans import bindings as b
 from benchspark.plans.bindings import strip_sql, words_sql
@@ -327,39 +328,43 @@ def anchor_choice(spark, sf):
     return decisions.choose_anchor(rows, keys=("frame_key",), conf_threshold=0.02).drop("anchor_rank")
 
 
+HASHED = portable_hash_sql("'42'", "frame_key", "cam")
+
+
 @query(
-    """WITH u AS (SELECT frame_key, bool_or(cam = 'Cam1' AND pos // 6 % 2 = 0) AS pref FROM cams WHERE image_path IS NOT NULL AND coalesce(visible, false) GROUP BY 1)
-SELECT frame_key, pref AS preferred FROM u""",
+    f"""WITH u AS (SELECT frame_key, cam, row_number() OVER (PARTITION BY frame_key ORDER BY NOT (cam = 'Cam1' AND pos // 6 % 2 = 0), {HASHED}, cam_pos) AS r
+  FROM cams WHERE image_path IS NOT NULL AND coalesce(visible, false))
+SELECT frame_key, cam AS query_cam FROM u WHERE r = 1""",
     ("cams",),
 )
 def query_camera(spark, sf):
-    """Frames with a camera to ask about, and whether it is the preferred one."""
+    """The camera to ask about of every frame that has one."""
     c = b.camera_rows(spark, sf).withColumn("prefer_cam", F.when(F.floor(F.col("pos") / 6) % 2 == 0, "Cam1"))
-    picked = decisions.pick_query_cam(c, keys=("frame_key",))
-    even = F.col("frame_key").cast("bigint") % 2 == 0
-    return picked.select("frame_key", ((F.col("query_cam") == "Cam1") & even).alias("preferred"))
+    return decisions.pick_query_cam(c, keys=("frame_key",))
 
 
 @query(
-    """WITH u AS (SELECT frame_key, cam_pos, cam, pos % 4 <> 0 AS seen, row_number() OVER (PARTITION BY frame_key ORDER BY cam <> 'Cam2', cam_pos) AS r,
-  bool_or(cam = 'Cam2') OVER (PARTITION BY frame_key) AS has FROM cams WHERE image_path IS NOT NULL AND coalesce(visible, false))
-SELECT frame_key, arg_min(cam, r) AS query_cam FROM u WHERE seen AND r <= 2 AND has GROUP BY 1""",
+    f"""WITH u AS (SELECT frame_key, cam_pos, cam, pos % 4 <> 0 AS seen, {HASHED} AS h, bool_or(cam = 'Cam2') OVER (PARTITION BY frame_key) AS has
+  FROM cams WHERE image_path IS NOT NULL AND coalesce(visible, false)),
+t AS (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY cam <> 'Cam2', CASE WHEN has THEN cam_pos ELSE h END) AS r FROM u)
+SELECT frame_key, arg_min(cam, r) AS query_cam FROM t WHERE seen AND r <= 2 GROUP BY 1""",
     ("cams",),
 )
 def object_camera(spark, sf):
-    """Two looks per frame, preferred camera first; frames without the preferred camera go by hash and are left out."""
+    """Two looks per frame: the preferred camera and the next, or two by hash where the preferred one is of no use."""
     c = b.camera_rows(spark, sf).withColumns({"prefer_cam": F.lit("Cam2"), "object_visible": F.col("pos") % 4 != 0})
-    usable = c.where("image_path is not null and coalesce(visible, false)")
-    with_pref = usable.where("cam = 'Cam2'").select("frame_key").distinct()
-    picked = decisions.pick_query_cam(c, "object", checks=2, keys=("frame_key",))
-    return picked.join(with_pref, "frame_key", "left_semi")
+    return decisions.pick_query_cam(c, "object", checks=2, keys=("frame_key",))
 
 
-@query("SELECT frame_key, least(3, count(*)) AS views, true AS preferred FROM cams GROUP BY 1", ("cams",))
+@query(
+    f"""WITH k AS (SELECT frame_key, cam, row_number() OVER (PARTITION BY frame_key ORDER BY cam <> 'Cam1', {HASHED}, cam) - 1 AS r, count(*) OVER (PARTITION BY frame_key) AS n FROM cams)
+SELECT frame_key, CAST(r AS INTEGER) AS view_pos, cam FROM k
+WHERE r < least(2, n) + {portable_hash_sql("'43'", "frame_key")} % (least(5, n) - least(2, n) + 1)""",
+    ("cams",),
+)
 def view_sample(spark, sf):
-    """Three cameras per frame with the first camera among them."""
-    v = decisions.sample_views(b.camera_rows(spark, sf).withColumn("want", F.lit("Cam1")), 3, 3, keys=("frame_key",), prefer="want")
-    return v.groupBy("frame_key").agg(F.count("*").alias("views"), F.max(F.col("cam") == "Cam1").alias("preferred"))
+    """Two to five cameras of every frame, the first camera among them."""
+    return decisions.sample_views(b.camera_rows(spark, sf).withColumn("want", F.lit("Cam1")), 2, 5, keys=("frame_key",), prefer="want")
 
 
 def _any(x: str, cues) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from benchspark.functions.text import portable_hash_sql
 from benchspark.operators import assemble
 from benchspark.plans import bindings as b
 from benchspark.plans.registry import query
@@ -25,9 +26,12 @@ def split_ranks(spark, sf):
     return ranked.select("split", "seq", "turn")
 
 
-@query()
+@query(
+    f"""SELECT lang AS split, doc_id AS seq, row_number() OVER (PARTITION BY lang ORDER BY {portable_hash_sql("'42'", "lang", "doc_id")}, doc_id) AS turn
+FROM documents ORDER BY turn, split"""
+)
 def interleave(spark, sf):
-    """Sequences in hash order, one split after the other; only Spark's hash gives this order."""
+    """Sequences in hash order, one split after the other."""
     seqs = b.table(spark, sf, "documents").select(F.col("lang").alias("split"), F.col("doc_id").alias("seq"))
     return assemble.interleave(seqs).orderBy("turn", "split")
 
@@ -161,18 +165,22 @@ def early_warning(spark, sf):
     return assemble.early_warning(frames, rate=0.4).withColumn("rate", F.round("rate", 9))
 
 
+SNAPSHOTS = """r AS (SELECT pos, accepted, sum(accepted::INT) OVER w AS total_accepts, count(*) FILTER (WHERE accepted AND task_id = 1) OVER w AS task1,
+  count(*) FILTER (WHERE accepted AND task_id = 2) OVER w AS task2, count(*) FILTER (WHERE accepted AND task_id = 3) OVER w AS task3,
+  count(*) FILTER (WHERE accepted AND task_id = 4) OVER w AS task4, count(*) FILTER (WHERE NOT accepted) OVER w AS rejects
+  FROM s WINDOW w AS (ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, list(pos) OVER (ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS latest FROM r WHERE accepted)"""
+
+
 @query(
-    """WITH s AS (SELECT event_id AS pos, user_id % 4 + 1 AS task_id FROM events WHERE event_type = 'purchase'),
-r AS (SELECT pos, row_number() OVER w AS total_accepts, count(*) FILTER (WHERE task_id = 1) OVER w AS task1,
-  count(*) FILTER (WHERE task_id = 2) OVER w AS task2, count(*) FILTER (WHERE task_id = 3) OVER w AS task3,
-  count(*) FILTER (WHERE task_id = 4) OVER w AS task4 FROM s WINDOW w AS (ORDER BY pos ROWS UNBOUNDED PRECEDING))
-SELECT * FROM r WHERE total_accepts % 5 = 0"""
+    f"""WITH s AS (SELECT event_id AS pos, user_id % 4 + 1 AS task_id, event_type = 'purchase' AS accepted FROM events WHERE event_type IN ('purchase', 'error')), {SNAPSHOTS}
+SELECT pos, CAST(total_accepts AS BIGINT) AS total_accepts, task1, task2, task3, task4, rejects, array_to_string(list_reverse(latest), ',') AS last_samples FROM a WHERE total_accepts % 5 = 0"""
 )
 def progress(spark, sf):
-    s = b.table(spark, sf, "events").where("event_type = 'purchase'").select(
-        F.col("event_id").alias("pos"), (F.col("user_id") % 4 + 1).cast("int").alias("task_id")
-    )
-    return assemble.progress(s, 5)
+    """Purchases are accepted samples, errors rejects: counts of both and the last five samples at every fifth sample."""
+    e = b.table(spark, sf, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") % 4 + 1).cast("int").alias("task_id"), "event_type")
+    shots = assemble.progress(e.where("event_type = 'purchase'"), 5, rejects=e.where("event_type = 'error'"), last=5)
+    return shots.withColumn("last_samples", F.array_join("last_samples", ","))
 
 
 @query("SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 5")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchspark.plans import bindings as b
-from benchspark.plans.assembly import ERROR_SUMMARY
+from benchspark.plans.assembly import ERROR_SUMMARY, SNAPSHOTS
 from benchspark.plans.registry import query
 from benchspark.session import shared_dir
 from benchspark.streaming import logs
@@ -45,16 +45,14 @@ def stream_error_counts(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT event_id AS pos, user_id % 4 + 1 AS task_id FROM events WHERE event_type = 'purchase'),
-r AS (SELECT pos, row_number() OVER w AS total_accepts, count(*) FILTER (WHERE task_id = 1) OVER w AS task1,
-  count(*) FILTER (WHERE task_id = 2) OVER w AS task2, count(*) FILTER (WHERE task_id = 3) OVER w AS task3,
-  count(*) FILTER (WHERE task_id = 4) OVER w AS task4 FROM s WINDOW w AS (ORDER BY pos ROWS UNBOUNDED PRECEDING))
-SELECT * FROM r WHERE total_accepts % 5 = 0"""
+    f"""WITH s AS (SELECT event_id AS pos, user_id % 4 + 1 AS task_id, true AS accepted FROM events WHERE event_type = 'purchase'), {SNAPSHOTS}
+SELECT pos, CAST(total_accepts AS BIGINT) AS total_accepts, task1, task2, task3, task4, array_to_string(list_reverse(latest), ',') AS last_samples FROM a WHERE total_accepts % 5 = 0"""
 )
 def stream_accepts(spark, sf):
+    """The snapshots that the batches of the accept log leave."""
     e = stream_table(spark, sf, "events").where("event_type = 'purchase'").select(
         F.col("event_id").alias("pos"), F.col("event_id").cast("string").alias("bundle_key"), (F.col("user_id") % 4 + 1).cast("int").alias("task_id")
     )
     out = shared_dir(spark, "accepts")
     logs.accept_log(e, f"{out}/log", f"{out}/checkpoint").awaitTermination()
-    return logs.accept_snapshots(spark, f"{out}/log", 5)
+    return logs.accept_snapshots(spark, f"{out}/log").withColumn("last_samples", F.array_join("last_samples", ","))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from benchspark.functions.text import half_even_sql
+from benchspark.functions.text import half_even_sql, portable_hash, portable_hash_sql
 from benchspark.operators import campaign
 from benchspark.plans import bindings as b
 from benchspark.plans.registry import query
@@ -110,14 +110,23 @@ def eval_summary(spark, sf):
 
 
 @query(
-    """SELECT sample_uid, r.key AS model_key, task_type, scene FROM manifest CROSS JOIN (SELECT key FROM registry WHERE pos <= 5) r
-WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.sample_uid = manifest.sample_uid AND p.model_key = r.key AND p.error = '')""",
+    f"""WITH n AS (SELECT count(*) AS n FROM registry),
+drawn AS (SELECT sample_uid, unnest([{portable_hash_sql("'1'", "sample_uid")}, {portable_hash_sql("'2'", "sample_uid")}]) % n AS spot FROM manifest, n),
+ranked AS (SELECT key, row_number() OVER (ORDER BY pos) - 1 AS spot FROM registry),
+given AS (SELECT sample_uid, key AS model_key FROM drawn JOIN ranked USING (spot) UNION SELECT sample_uid, model_key FROM predictions)
+SELECT sample_uid, model_key, task_type, scene FROM manifest JOIN given USING (sample_uid)
+WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.sample_uid = manifest.sample_uid AND p.model_key = given.model_key AND p.error = '')""",
     b.SCORING[:2] + ("registry",),
 )
 def pending_samples(spark, sf):
-    """The work list of a campaign of five models: each answers each sample of its own."""
-    models = b.registry(spark, sf).where("pos <= 5").select(F.col("key").alias("model_key"))
-    todo = campaign.pending(b.manifest(spark, sf), b.predictions(spark, sf), retry_errors=True, models=models)
+    """The work list of a campaign over the whole registry: a sample goes to two drawn models and to those that tried it before."""
+    models = b.registry(spark, sf).select("pos", F.col("key").alias("model_key"))
+    listed = models.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "model_key"))), lambda m: m["model_key"])).scalar()  # a registry's few rows
+    m = b.manifest(spark, sf)
+    turns = F.explode(F.array(portable_hash(F.lit(1), "sample_uid"), portable_hash(F.lit(2), "sample_uid")))
+    drawn = m.select("sample_uid", turns.alias("at")).withColumn("keys", listed).select("sample_uid", F.get("keys", F.pmod("at", F.size("keys")).cast("int")).alias("model_key"))
+    given = drawn.union(b.predictions(spark, sf).select("sample_uid", "model_key")).distinct()
+    todo = campaign.pending(m.join(given, "sample_uid"), b.predictions(spark, sf), retry_errors=True)
     return todo.select("sample_uid", "model_key", "task_type", "scene")
 
 

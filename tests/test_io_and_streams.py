@@ -2,9 +2,7 @@
 
 import json
 
-from pyspark.sql import functions as F
-
-from benchspark.operators import campaign
+from benchspark.operators import assemble, campaign
 from benchspark.operators.frames import explode_cameras, normalize_frames
 from benchspark.operators.rig import eye_points
 from benchspark.sources import files, inventory
@@ -116,13 +114,36 @@ def test_error_totals_add_up(spark, tmp_path):
 
 
 def test_accept_log_snapshots(spark, tmp_path):
-    src = str(tmp_path / "in")
+    """Batches hand their counts on: the snapshots of three runs are those of the whole log."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "log")
     schema = "pos bigint, bundle_key string, task_id int"
-    data = [(i, f"k{i // 4}", i % 4 + 1) for i in range(12)] + [(99, "k0", 1)]
-    spark.createDataFrame(data, schema).coalesce(1).write.json(src)
-    stream = spark.readStream.schema(schema).json(src)
-    logs.accept_log(stream, str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
-    log = spark.read.parquet(str(tmp_path / "log"))
-    assert log.count() == 12
-    got = sorted((r.total_accepts, r.task1) for r in logs.accept_snapshots(spark, str(tmp_path / "log"), 5).collect())
-    assert [g[0] for g in got] == [5, 10] and log.agg(F.max("task_id")).first()[0] == 4
+    data = [(i, f"k{i // 4}", i % 4 + 1) for i in range(23)]
+    for part in (data[:12] + [(0, "k0", 1)], data[12:14] + [(99, "k0", 1)], data[14:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(src)
+        stream = spark.readStream.schema(schema).json(src)
+        logs.accept_log(stream, out, str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(f"{out}/log").count() == 23
+    want = assemble.progress(spark.createDataFrame(data, schema), 5, last=5)
+    got = logs.accept_snapshots(spark, out)
+    key = lambda df: sorted((r.pos, r.total_accepts, r.task1, r.task4, tuple(r.last_samples)) for r in df.collect())
+    assert key(got) == key(want) and [k[1] for k in key(got)] == [5, 10, 15, 20]
+    assert key(got)[1][4] == (9, 8, 7, 6, 5)
+
+
+def test_progress_merges_rejects(spark):
+    s = spark.createDataFrame([(p, p % 4 + 1) for p in (1, 3, 4, 8, 9, 400000)], "pos bigint, task_id int")
+    r = spark.createDataFrame([(0,), (2,), (3,), (5,), (10,)], "pos bigint")
+    got = assemble.progress(s, 2, rejects=r, last=3).orderBy("pos").collect()
+    assert [(x.pos, x.total_accepts, x.rejects, x.last_samples) for x in got] == [(3, 2, 3, [3, 1]), (8, 4, 4, [8, 4, 3]), (400000, 6, 5, [400000, 9, 8])]
+    assert assemble.progress(s.limit(0), 2, rejects=r, last=3).count() == 0
+
+
+def test_ingest_does_not_read_its_log(spark, tmp_path):
+    """Earlier folders may be moved away: what was seen is stream state."""
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "sample_uid string, model_key string, pos int"
+    for i, rows in enumerate(([("a", "m", 1), ("b", "m", 2)], [("a", "m", 0), ("c", "m", 4)], [("c", "m", 1), ("b", "m", 0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
+        logs.ingest_first(spark.readStream.schema(schema).json(src), f"{out}{i}", ck).awaitTermination()
+    got = [sorted((r.sample_uid, r.pos) for r in spark.read.parquet(f"{out}{i}").collect()) for i in range(3)]
+    assert got == [[("a", 1), ("b", 2)], [("c", 4)], []]
