@@ -5,12 +5,8 @@ Rows carry ``model_key``, a unique ``pair_id``, ``answer`` and ``reference``. To
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from benchspark.functions.text import col, let, strip, text, words
 
@@ -20,6 +16,9 @@ ROUGE_BETA = 1.2
 CIDER_SIGMA = 6.0
 CIDER_SCALE = 10.0
 
+#: Bits of a word of the common subsequence; sums of words need room to carry in 64 bits.
+WORD_BITS = 32
+
 
 def norm_answer(c) -> Column:
     """Text without the chat marker, trimmed."""
@@ -101,30 +100,55 @@ def bleu(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     return size.join(precision, "model_key", "left").select("model_key", finite(F.coalesce(score, F.lit(0.0))).alias("bleu"))
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Length of the longest common token subsequence, bit-parallel over one text."""
-    for answers, references in batches:
-        out = []
-        for a, r in zip(answers, references):
-            places: dict[str, int] = {}
-            left, right = r.split(), a.split()
-            for i, tok in enumerate(left):
-                places[tok] = places.get(tok, 0) | (1 << i)
-            row, full = (1 << len(left)) - 1, (1 << len(left)) - 1
-            for tok in right:
-                same = row & places.get(tok, 0)
-                row = ((row + same) | (row - same)) & full
-            out.append(len(left) - row.bit_count())
-        yield pd.Series(out, dtype="int32")
+def _masks(toks: Column) -> Column:
+    """Distinct token -> its places as bits, 32 to a word."""
+
+    def mask(tok, word):
+        part = F.slice(toks, word * WORD_BITS + 1, F.lit(WORD_BITS))
+        bits = F.transform(part, lambda t, i: F.when(t == tok, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, v: s.bitwiseOR(v))
+
+    count = F.ceil(F.size(toks) / WORD_BITS).cast("int")
+    names = F.array_distinct(toks)
+    return F.map_from_arrays(names, F.transform(names, lambda t: F.transform(F.sequence(F.lit(0), count - 1), lambda w: mask(t, w))))
+
+
+def lcs_length(left: Column, right: Column) -> Column:
+    """Length of the longest common subsequence of two token arrays.
+
+    Bit-parallel: a bit per token of ``left`` in words of 32, one step per token of ``right``; the sum of a step carries from
+    word to word. ``left`` should be the shorter one.
+    """
+    full = F.lit((1 << WORD_BITS) - 1).cast("bigint")
+    n = F.size(left)
+    words_of = F.sequence(F.lit(0), F.ceil(n / WORD_BITS).cast("int") - 1)
+    whole = F.transform(words_of, lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.lit(WORD_BITS), n - w * WORD_BITS)) - 1)
+
+    def step(masks, row, tok):
+        def word(state, pair):
+            kept = pair["r"].bitwiseAND(pair["m"])
+            total = pair["r"] + kept + state["carry"]
+            out = total.bitwiseAND(full).bitwiseOR(pair["r"] - kept)
+            return F.struct(F.shiftright(total, WORD_BITS).alias("carry"), F.array_append(state["row"], out).alias("row"))
+
+        start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("row"))
+        paired = F.zip_with(row, masks[tok], lambda r, m: F.struct(r.alias("r"), m.alias("m")))
+        return F.when(F.map_contains_key(masks, tok), F.aggregate(paired, start, word, lambda st: st["row"])).otherwise(row)
+
+    def count(masks):
+        rows = F.aggregate(right, whole, lambda row, tok: step(masks, row, tok))
+        zeros = F.zip_with(rows, whole, lambda r, full_word: F.bit_count(full_word) - F.bit_count(r.bitwiseAND(full_word)))
+        return F.aggregate(zeros, F.lit(0), lambda s, v: s + v)
+
+    return F.when((n > 0) & (F.size(right) > 0), let(_masks(left), count)).otherwise(0)
 
 
 def rouge_l(rows: DataFrame) -> DataFrame:
     """Mean ROUGE-L per model."""
-    a, r = norm_answer("answer"), norm_answer("reference")
-    d = rows.select(
-        "model_key", F.size(words(a)).alias("la"), F.size(words(r)).alias("lr"), lcs_length(a, r).alias("lcs")
-    )
+    d = rows.select("model_key", words(norm_answer("answer")).alias("a"), words(norm_answer("reference")).alias("r"))
+    # the shorter text is held as bits
+    d = d.withColumns({"s": F.when(F.size("a") < F.size("r"), F.col("a")).otherwise(F.col("r")), "l": F.when(F.size("a") < F.size("r"), F.col("r")).otherwise(F.col("a"))})
+    d = d.select("model_key", F.size("a").alias("la"), F.size("r").alias("lr"), lcs_length(F.col("s"), F.col("l")).alias("lcs"))
     p, q = F.col("lcs") / F.col("la"), F.col("lcs") / F.col("lr")
     b2 = ROUGE_BETA**2
     score = F.when(F.col("lcs") > 0, (1 + b2) * p * q / (q + b2 * p)).otherwise(0.0)
