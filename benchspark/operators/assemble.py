@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from benchspark.functions.text import half_even, lower_strip, portable_hash, text
 from benchspark.operators.ranking import exact_quantiles, global_rank, hash_slot, position_slot
 from benchspark.operators.rig import DISTANCE_MAX, DISTANCE_MIN
+from benchspark.sources.json_ranges import write_document
 
 TASKS = (1, 2, 3, 4)
 
@@ -261,10 +262,27 @@ def assemble(samples: DataFrame, order: Sequence[str] = ("bundle_key", "task_id"
     return {"samples": samples.orderBy(*order), "meta": counts}
 
 
-def write_benchmark(samples: DataFrame, path: str, order: Sequence[str] = ("bundle_key", "task_id")) -> None:
-    """Samples as ordered JSON lines under ``path``/samples and counts under ``path``/meta."""
-    for name, df in assemble(samples, order).items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+def reason_counts(events: DataFrame, reason: str = "reason") -> DataFrame:
+    """One row with the map ``by_reason``: how often each reason stands; reasons are a run's few names."""
+    counted = events.where(F.col(reason).isNotNull()).groupBy(F.col(reason).alias("k")).agg(F.count("*").alias("n"))
+    return counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("by_reason"))
+
+
+def write_benchmark(
+    samples: DataFrame, path: str, order: Sequence[str] = ("bundle_key", "task_id"), meta: DataFrame | None = None,
+    rejects: DataFrame | None = None, frames: DataFrame | None = None,
+) -> None:
+    """The benchmark as one JSON document of many part files (F15): meta, counts, reject and frame statistics, ordered samples.
+
+    ``meta`` is one row of the run's settings, ``rejects`` and ``frames`` hold a ``reason`` per refused sample and per frame.
+    ``files.read_benchmark(..., folder=True)`` reads the samples back, ``json_ranges.read_head`` the rest.
+    """
+    head = {"meta": meta} if meta is not None else {}
+    head["counts"] = assemble(samples, order)["meta"]
+    for name, events in (("reject_stats", rejects), ("frame_stats", frames)):
+        if events is not None:
+            head[name] = reason_counts(events)
+    write_document(head, samples, path, list(order))
 
 
 # --- usage (F16) ---------------------------------------------------------------------------------------------------

@@ -8,6 +8,9 @@ from benchspark.functions.text import portable_hash_sql
 from benchspark.operators import assemble
 from benchspark.plans import bindings as b
 from benchspark.plans.registry import query
+from benchspark.session import shared_dir
+from benchspark.sources import files
+from benchspark.sources.json_ranges import read_head
 
 
 @query(
@@ -310,3 +313,45 @@ def object_ids(spark, sf):
     from benchspark.functions.text import stable_id
 
     return b.table(spark, sf, "documents").select("doc_id", stable_id(F.lit("doc"), "source", "doc_id").alias("object_id"))
+
+
+def assembled(spark, sf) -> str:
+    """Line items as a benchmark document: flags are reject reasons, ship modes frame outcomes; returns its folder."""
+    lines = b.table(spark, sf, "lineitem")
+    task = F.when(F.col("l_linenumber") % 4 == 0, 4).otherwise(F.col("l_linenumber") % 4)
+    samples = lines.select(
+        F.col("l_orderkey").alias("bundle_key"), task.alias("task_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.concat(F.lit("Which } part \\ of "), F.col("l_orderkey"), F.lit("?")).alias("question"),
+        F.col("l_partkey").cast("string").alias("answer"), F.when(F.col("l_returnflag") == "R", F.array(F.lit("Cam1"))).alias("input_cams"),
+        F.struct((F.col("l_quantity") / 2).alias("half")).alias("meta"),
+    )
+    path = shared_dir(spark, "benchmark")
+    meta = spark.createDataFrame([("lines", 60)], "dataset string, target int")
+    assemble.write_benchmark(
+        samples, path, ["bundle_key", "line", "part", "quantity"], meta, lines.select(F.nullif("l_returnflag", F.lit("N")).alias("reason")), lines.select(F.col("l_linestatus").alias("reason"))
+    )
+    return path
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS idx, CAST(CASE WHEN l_linenumber % 4 = 0 THEN 4 ELSE l_linenumber % 4 END AS INTEGER) AS task_id,
+  'Which } part \\ of ' || l_orderkey || '?' AS question, CAST(l_partkey AS VARCHAR) AS answer, CASE WHEN l_returnflag = 'R' THEN 'Cam1' END AS cams, l_quantity / 2 AS half FROM lineitem"""
+)
+def benchmark_document(spark, sf):
+    """A benchmark document written by many tasks and read back by as many as it has blocks, every sample with its place."""
+    rows = files.read_benchmark(spark, assembled(spark, sf), folder=True)
+    return rows.select("idx", "task_id", "question", "answer", F.array_join("input_cams", ",").alias("cams"), F.get_json_object("meta", "$.half").cast("double").alias("half"))
+
+
+@query(
+    """SELECT 'lines' AS dataset, count(*) AS samples, count(*) FILTER (WHERE l_linenumber % 4 = 0) AS task4, count(*) FILTER (WHERE l_returnflag = 'A') AS rejects_a,
+  count(*) FILTER (WHERE l_returnflag = 'R') AS rejects_r, count(*) FILTER (WHERE l_linestatus = 'F') AS frames_f, count(*) FILTER (WHERE l_linestatus = 'O') AS frames_o FROM lineitem"""
+)
+def benchmark_head(spark, sf):
+    """What stands before the samples of that document: settings, counts, reject and frame statistics."""
+    stats = "struct<by_reason:map<string,bigint>>"
+    head = read_head(spark, assembled(spark, sf), f"meta struct<dataset:string,target:int>, counts struct<samples:bigint,task4:bigint>, reject_stats {stats}, frame_stats {stats}")
+    of = lambda part, key: F.col(f"{part}.by_reason")[key]
+    return head.select(
+        "meta.dataset", "counts.samples", "counts.task4", of("reject_stats", "A").alias("rejects_a"), of("reject_stats", "R").alias("rejects_r"),
+        of("frame_stats", "F").alias("frames_f"), of("frame_stats", "O").alias("frames_o"),
+    )

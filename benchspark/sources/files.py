@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from benchspark.sources.json_ranges import read_elements
+
 IMAGES = T.ArrayType(T.StructType([T.StructField("cam", T.StringType()), T.StructField("image", T.StringType())]))
 
 SAMPLE = T.StructType(
@@ -30,22 +32,12 @@ VERDICT = "sample_uid string, model_key string, gemini_judge string, judge_model
 DECISION = "bundle_id string, decision string, note string, reviewer string, updated_at string"
 
 
-def _explode_samples(raw: DataFrame, samples) -> DataFrame:
-    parsed = raw.select(
-        F.col("_metadata.file_path").alias("source"),
-        F.posexplode(samples).alias("idx", "raw_sample"),
-    )
-    sample = F.from_json("raw_sample", SAMPLE)
+def _samples(elements: DataFrame) -> DataFrame:
+    parsed = elements.select("source", "idx", F.col("raw").alias("raw_sample"), F.from_json("raw", SAMPLE).alias("s"))
     return parsed.select(
-        "source",
-        F.col("idx").cast("bigint").alias("idx"),
-        F.trim("raw_sample").startswith("{").alias("is_object"),
-        F.col("raw_sample"),
-        sample.alias("s"),
-    ).select(
         "source",
         "idx",
-        "is_object",
+        F.trim("raw_sample").startswith("{").alias("is_object"),
         "raw_sample",
         F.col("s.task_id").alias("raw_task_id"),
         # a JSON number without a fraction is an int task id; the same digits in quotes are not
@@ -58,26 +50,17 @@ def _explode_samples(raw: DataFrame, samples) -> DataFrame:
     )
 
 
-def read_benchmark(spark: SparkSession, path) -> DataFrame:
-    """One row per sample of benchmark objects, with file and position; a file without a sample list is an error."""
-    schema = "samples array<string>, _corrupt_record string"
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    samples = F.when(F.col("samples").isNotNull(), F.col("samples")).otherwise(
-        F.raise_error(F.concat(F.lit("Expected object with list 'samples' in "), F.col("_metadata.file_path")))
-    )
-    return _explode_samples(raw, samples)
+def read_benchmark(spark: SparkSession, path, folder: bool = False) -> DataFrame:
+    """One row per sample of benchmark objects, with file and position; a file without a sample list is an error.
+
+    A large document is read by as many tasks as it has blocks. With ``folder`` its part files are one document.
+    """
+    return _samples(read_elements(spark, path, folder=folder))
 
 
 def read_benchmark_any(spark: SparkSession, path) -> DataFrame:
     """As ``read_benchmark`` but ``{samples}``, ``{data}`` or a bare list are all accepted."""
-    raw = spark.read.option("wholetext", True).text(path)
-    holder = F.from_json("value", "struct<samples:array<string>,data:array<string>>")
-    samples = F.coalesce(
-        F.when(F.ltrim(F.col("value")).startswith("["), F.from_json("value", "array<string>")),
-        holder.getField("samples"),
-        holder.getField("data"),
-    )
-    return _explode_samples(raw, samples)
+    return _samples(read_elements(spark, path, keys=("samples", "data"), bare=True))
 
 
 def read_jsonl(spark: SparkSession, path, schema) -> DataFrame:

@@ -1,11 +1,14 @@
 """Readers, writers and incremental runs."""
 
 import json
+import random
+
+import pytest
 
 from benchspark.operators import assemble, campaign
 from benchspark.operators.frames import explode_cameras, normalize_frames
 from benchspark.operators.rig import eye_points
-from benchspark.sources import files, inventory
+from benchspark.sources import files, inventory, json_ranges
 from benchspark.streaming import logs
 
 
@@ -29,6 +32,60 @@ def test_benchmark_to_manifest(spark, tmp_path):
     assert files.read_benchmark_any(spark, [str(tmp_path / "l.json"), str(tmp_path / "d.json")]).count() == 3
 
 
+def test_document_ranges(spark, tmp_path):
+    """A document cut into hundreds of ranges gives every element with its place, whatever strings and nesting hold."""
+    rng = random.Random(3)
+
+    def element():
+        if rng.random() < 0.1:
+            return rng.choice([1, 2.5, None, True, "oops", 'a } b { " \\ ]', "é}"])
+        return {"task_id": rng.choice([1, "2"]), "answer": "x}" * rng.randint(0, 30), "q": 'he said "hi" \\ {[' * rng.randint(0, 20),
+                "meta": {"a": [1, {"b": []}], "s": "}{"}, "input_images": [{"cam": "C", "image": "p"}] * rng.randint(0, 3)}
+
+    docs = {}
+    for i, n in enumerate((1, 150, 0, 150, 80, 60)):
+        items = [element() for _ in range(n)]
+        wrapped = [{"samples": items}, {"meta": {"x": [1, {"samples": [9]}], "note}": "}"}, "note": "a } b", "samples": items, "tail": {"samples": [1]}, "n": 3}, {"data": items}, items][i % 4]
+        docs[f"{i}.json"] = items
+        (tmp_path / f"{i}.json").write_text(json.dumps(wrapped, indent=i % 2 or None, ensure_ascii=i < 3), encoding="utf-8")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        paths = [str(tmp_path / f) for f in docs]
+        assert spark.read.option("lineSep", "}").text(paths).rdd.getNumPartitions() > 100
+        rows = json_ranges.read_elements(spark, paths, keys=("samples", "data"), bare=True).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    same = lambda e, raw: raw is None if e is None else raw == e if isinstance(e, str) else json.loads(raw) == e
+    for f, items in docs.items():
+        got = {r.idx: r.raw for r in rows if r.source.endswith(f)}
+        assert sorted(got) == list(range(len(items))) and all(same(e, got[i]) for i, e in enumerate(items))
+    with pytest.raises(ValueError, match="Expected object with list 'samples'"):
+        json_ranges.read_elements(spark, paths[2])
+
+
+def test_benchmark_document_round_trip(spark, tmp_path):
+    path = str(tmp_path / "bench")
+    rows = [(f"k{i % 40:02d}", i % 4 + 1, f"q }} \" {i % 40}") for i in range(200)] + [("k00", 1, 'q } " 0')] * 3
+    samples = spark.createDataFrame(rows, "bundle_key string, task_id int, question string")
+    rejects = spark.createDataFrame([("far",), ("far",), (None,)], "reason string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assemble.write_benchmark(samples.repartition(5), path, rejects=rejects, frames=rejects.limit(0))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = files.read_benchmark(spark, path, folder=True).orderBy("idx").collect()
+    assert [(r.idx, r.task_id, r.question) for r in back] == [(i, t, q) for i, (_, t, q) in enumerate(sorted(rows))]
+    text = "".join(f.read_text() for f in sorted((tmp_path / "bench").glob("part-*")))
+    doc = json.loads(text)
+    assert doc["counts"]["samples"] == 203 and doc["reject_stats"] == {"by_reason": {"far": 2}} and doc["frame_stats"] == {"by_reason": {}}
+    assert len(doc["samples"]) == 203 and len(list((tmp_path / "bench").glob("part-*"))) > 1
+    assemble.write_benchmark(samples.limit(0), path)
+    assert files.read_benchmark(spark, path, folder=True).count() == 0
+
+
 def test_logs_and_decisions(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"bundle_key": " k ", "sample": {"task_id": 2}}\n\nbroken{\n{"task_id": 3}\n{"other": 1}\n')
     got = files.read_jsonl_lenient(spark, str(tmp_path / "a.jsonl")).collect()
