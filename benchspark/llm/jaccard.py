@@ -13,8 +13,10 @@ from benchspark.llm.common import append_arrow, dropped, mix, staged, table, tex
 
 #: Keys by which similar documents meet a leader.
 SKETCH = 8
-#: Rounds in which every class is held against one best class outside its group, before all that is left is looked up.
-HUB_ROUNDS = 2
+#: Buckets that a class shares with its leader at least, by the links' percentage: pairs below rarely link.
+least_keys = lambda percent: SKETCH * percent // 200
+#: Sets of a family differ from its root in at most this many times the tokens in which linked sets may differ.
+FAR = 4
 #: Cells of the table of counts that orders tokens from rare to frequent, and cells of one of its pieces. Fixed: what is
 #: broadcast (a byte a cell) does not grow. Any table gives right results, a full one only more candidates.
 COUNT_BITS, PIECE_BITS = 21, 14
@@ -170,26 +172,37 @@ def _texts_of(docs: DataFrame, ids: DataFrame, size: int, out, schema: str) -> D
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, size: int) -> DataFrame:
-    """(c, s): the sets of the classes named in ``names``, as bytes."""
+    """(c, s): the sets, as bytes, of the classes named in ``names`` and perhaps of a few others."""
     some = names.distinct().join(classes.select("c", "rep"), "c")
-    found = _texts_of(docs, some.select(F.col("rep").alias("id")), size, lambda s: s.tobytes(), "s binary")
-    return found.select("c", "s").join(names.distinct(), "c", "left_semi")
+    return _texts_of(docs, some.select(F.col("rep").alias("id")), size, lambda s: s.tobytes(), "s binary").select("c", "s")
+
+
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sets x and y; only sets that stand in a pair move on from their own exchange."""
+    x, y = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of classes those whose sets link, counted exactly."""
+    return _compared(pairs, sets, percent).where("linked").select("a", "b")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, far: int = 0) -> DataFrame:
+    """(a, b, linked, diff): whether the pairs' sets link, and the tokens that only one of them has, NULL if these are more than
+    ``far`` times as many as linked sets of these sizes may differ in."""
 
     def run(batches):
         for batch in batches:
-            keep = []
+            linked, diff = [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                odd = np.setxor1d(x, y, assume_unique=True)
+                linked.append((100 + percent) * len(odd) <= (100 - percent) * (len(x) + len(y)))
+                diff.append(odd.tobytes() if (100 + percent) * len(odd) <= far * (100 - percent) * (len(x) + len(y)) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(diff, pa.binary())], names=["a", "b", "linked", "diff"])
 
-    joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return _beside(pairs, sets).mapInArrow(run, "a binary, b binary, linked boolean, diff binary")
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -255,11 +268,40 @@ def _best(rows: DataFrame, percent: int) -> DataFrame:
     return shared.groupBy(F.col("c").alias("a")).agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
 
 
-def _regrouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` with the groups of now, without the tokens that one group alone has."""
-    now = rows.drop("g").join(groups.select(F.col("id").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
-    own = Window.partitionBy("token")
-    return now.withColumn("_lo", F.min("g").over(own)).withColumn("_hi", F.max("g").over(own)).filter("_lo < _hi").drop("_lo", "_hi")
+def _inside_families(diffs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links between sets of one family that are not in one group, counted exactly.
+
+    ``diffs`` (c, f, g, n, diff): what a set and its family's root do not share. Two sets x, y of a family differ in
+    |dx| + |dy| - 2 |dx & dy| tokens, so the differences decide. A pair of two groups has a set that does not link with the root,
+    and then linked sets share (|dx| + |dy| - D) / 2 > 0 tokens of their differences, D being what linked sets may differ in. With
+    the tokens ordered from rare to frequent among the family's differences, one of the first few is common.
+    """
+    most = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent))
+    token = F.explode(_longs(F.col("diff"))).alias("token")
+    rows = diffs.select("c", "f", "g", "n", (F.length("diff") / 8).cast("long").alias("d"), token)
+    often = rows.groupBy("f", "token").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("c").orderBy("often", "token")
+    placed = staged(rows.join(often, ["f", "token"]).withColumn("at", F.row_number().over(order) - 1).filter("often > 1"), "jaccard-differences")
+    probes = placed.filter(F.col("at") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - most))
+    held = placed.filter(F.col("at") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - F.floor(most / 2)))
+    x = probes.select("f", "token", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("at").alias("ia"))
+    y = held.select("f", "token", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("at").alias("ib"))
+    differ = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    smaller = (F.col("db") < F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
+    fits = 2 * F.least(F.col("da") - F.col("ia"), F.col("db") - F.col("ib")) >= F.col("da") + F.col("db") - differ
+    met = x.join(y, ["f", "token"]).filter(smaller & (F.col("ga") != F.col("gb")) & fits).select("a", "b", "na", "nb").distinct()
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
+            keep = [
+                (100 + percent) * len(np.setxor1d(np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64), assume_unique=True)) <= (100 - percent) * (i + j)
+                for u, v, i, j in zip(batch.column("x"), batch.column("y"), na.tolist(), nb.tolist())
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    u, v = diffs.select(F.col("c").alias("a"), F.col("diff").alias("x")), diffs.select(F.col("c").alias("b"), F.col("diff").alias("y"))
+    return met.join(u, "a").join(v, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str = "text", doc_id: str = "doc_id", links: bool = True) -> DataFrame:
@@ -273,11 +315,13 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     3. Of each class the first tokens in the common order are looked up, and fewer of them held (see ``looked_up``), as arrays
        beside the class. Only tokens that several groups have become rows. A passage that many texts share is frequent, so it
        is looked up only where it makes up nearly all of a set.
-    4. Each class is verified against the one hub outside its group that it shares most tokens with, twice; that leaves few
-       groups that are alike. The matrix then holds each token once per group, with the group's bounds on size and place. A query
-       that meets a group there is bounded by its overlap with the union of the group's tokens; below what a link needs the group
-       is not opened. Members of opened groups that share a looked-up token are verified exactly.
-    5. Components of all verified links are the result. n_links (if ``links``) counts the other rows with an id whose sets link,
+    4. Texts that are alike without linking, such as copies of one text changed in places of their own, form families: each class
+       is compared with the hub outside its group that it shares most tokens with, near ones are connected, and all of a family
+       are compared with its root. What a set and the root do not share is kept, and links inside a family are found by it.
+    5. The matrix holds each token once per family or group, with its bounds on size and place. A query that meets another one
+       there is bounded by its overlap with the union of the tokens; below what a link needs it is not opened. Members of
+       opened ones that share a looked-up token are verified exactly.
+    6. Components of all verified links are the result. n_links (if ``links``) counts the other rows with an id whose sets link,
        equal sets too: inside groups by overlaps of two blocks of sets at a time, across groups by the verified links.
 
     Staged tables are deleted once what follows them is written.
@@ -297,16 +341,16 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     keyed = classes.select("c", "n", F.posexplode("keys").alias("k", "key"))
     lead = keyed.groupBy("k", "key").agg(F.min(F.struct("c", "n")).alias("lead"), F.count("*").alias("many")).filter("many > 1")
     met = keyed.join(lead, ["k", "key"]).filter((F.col("c") != F.col("lead.c")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
-    alike = met.groupBy("c", F.col("lead.c").alias("b")).agg(F.count("*").alias("k")).groupBy(F.col("c").alias("a")).agg(F.max(F.struct("k", "b")).alias("m"))
+    alike = met.groupBy("c", F.col("lead.c").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= least_keys(percent)).groupBy(F.col("c").alias("a")).agg(F.max(F.struct("k", "b")).alias("m"))
     near = staged(alike.select("a", F.col("m.b").alias("b")), "jaccard-near")
     both = lambda pairs: pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
     verified = []
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        sets = staged(_sets_of(base, classes, both(pairs), size), "jaccard-sets")
-        verified.append(staged(_linked(pairs, sets, percent), "jaccard-links"))
-        dropped(sets, pairs)
-        return verified[-1]
+    def compare(pairs: DataFrame, far: int = 0) -> DataFrame:
+        found = staged(_compared(pairs, _sets_of(base, classes, both(pairs), size), percent, far), "jaccard-compared")
+        verified.append(found.where("linked").select("a", "b"))
+        dropped(pairs)
+        return found
 
     def groups_now() -> DataFrame:
         found = verified[0]
@@ -314,7 +358,7 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
             found = found.union(more)
         return staged(connected_components(found), "jaccard-groups")
 
-    verify(near)
+    compare(near)
     groups = groups_now()
 
     # the first tokens of every class, in the common order, and those of them that several groups have
@@ -347,23 +391,35 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     often = staged(short.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token"), "jaccard-often")
     rows = staged(rows_of(_token_filter(often)).join(often, "token"), "jaccard-rows")
     dropped(heads, often)
-    for _ in range(HUB_ROUNDS):
-        verify(staged(_best(rows, percent), "jaccard-best"))
-        old, before = groups, rows
-        groups = groups_now()
-        rows = staged(_regrouped(rows, groups), "jaccard-rows")
-        dropped(old, before)
+    # families: near hubs connect classes, and every class is compared with its family's root
+    hubs = compare(staged(_best(rows, percent), "jaccard-best"), FAR)
+    families = staged(connected_components(hubs.where("diff is not null").select("a", "b")), "jaccard-families")
+    rooted = compare(families.select(F.col("id").alias("a"), F.col("component").alias("b")), FAR).where("diff is not null")
+    groups = groups_now()
+    own = groups.select(F.col("id").alias("c"), F.col("component").alias("g"))
+    family = rooted.select(F.col("a").alias("c"), F.col("b").alias("f"), "diff")
+    named = family.union(family.select(F.col("f").alias("c"), "f", F.lit(None).cast("binary").alias("diff")).distinct())
+    diffs = staged(family.join(classes.select("c", "n"), "c").join(own, "c", "left").withColumn("g", F.coalesce("g", "c")), "jaccard-diffs")
+    alike_ = staged(_inside_families(diffs, percent), "jaccard-alike")
+    verified.append(alike_)
+    # a family and a group may be named after one class, but a group's members without a difference are not of the family
+    placed = rows.drop("g").join(own, "c", "left").join(named.select("c", F.concat(F.lit(b"f"), "f").alias("f")), "c", "left")
+    placed = placed.withColumn("g", F.coalesce("g", "c")).withColumn("f", F.coalesce("f", "g"))
+    over = Window.partitionBy("token")
+    several = placed.withColumn("_lo", F.min("f").over(over)).withColumn("_hi", F.max("f").over(over)).filter("_lo < _hi").drop("_lo", "_hi")
+    before, rows = rows, staged(several, "jaccard-rows")
+    dropped(before)
 
     # the matrix, its bound, and the opened groups
     probes, held = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1), (F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1)
     needed = F.ceil(percent * F.col("n") / 100).cast("long")
     index = rows.filter(F.col("at") < held)
-    matrix = index.groupBy("token", F.col("g").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("from"))
-    meets = (F.col("g") != F.col("other")) & (F.col("lo") <= F.col("n")) & (100 * F.col("hi") >= percent * F.col("n"))
+    matrix = index.groupBy("token", F.col("f").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("from"))
+    meets = (F.col("f") != F.col("other")) & (F.col("lo") <= F.col("n")) & (100 * F.col("hi") >= percent * F.col("n"))
     fits = F.least(F.col("hi") - F.col("from"), F.col("n") - F.col("at")) >= needed
     asked = rows.filter(F.col("at") < probes).join(matrix, "token").filter(meets & fits)
     met = staged(asked.select("c", "n", "other").distinct(), "jaccard-met")
-    many = staged(rows.select("c", F.col("g").alias("other")).distinct().join(met.select("other").distinct(), "other", "left_semi"), "jaccard-members")
+    many = staged(rows.select("c", F.col("f").alias("other")).distinct().join(met.select("other").distinct(), "other", "left_semi"), "jaccard-members")
     sets = staged(_sets_of(base, classes, met.select("c").union(many.select("c")), size), "jaccard-sets")
     wide = many.groupBy("other").count().filter("count > 1").select("other")
     tokens = lambda s: F.explode(_longs(s)).alias("token")
@@ -371,10 +427,10 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     bounded = met.join(wide, "other").join(sets, "c").select("c", "n", "other", tokens(F.col("s")))
     enough = bounded.join(union, ["other", "token"]).groupBy("c", "n", "other").agg(F.count("*").alias("k")).filter(F.col("k") >= needed).select("c", "n", "other")
     opened = met.join(wide, "other", "left_anti").select("c", "n", "other").union(enough)
-    query = rows.filter(F.col("at") < probes).join(opened.select("c", "other"), "c").select("token", "other", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    seen = index.select("token", F.col("g").alias("other"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    query = rows.filter(F.col("at") < probes).join(opened.select("c", "other"), "c").select("token", "other", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    seen = index.select("token", F.col("f").alias("other"), F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     shared = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    pairs = query.join(seen, ["token", "other"]).filter((F.col("nb") <= F.col("na")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= shared))
+    pairs = query.join(seen, ["token", "other"]).filter((F.col("ga") != F.col("gb")) & (F.col("nb") <= F.col("na")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= shared))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = staged(_linked(pairs, sets, percent), "jaccard-more")
     dropped(sets, met, many, rows)
@@ -386,7 +442,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     named = near_by.join(least, "component").select("c", "m", "component_id")
     if links:
         of = classes.select("c", "m")
-        across = more.select("a", F.col("b").alias("c")).union(more.select(F.col("b").alias("a"), F.col("a").alias("c"))).join(of, "c").select(F.col("a").alias("c"), F.col("m").alias("links"))
+        found = more.union(alike_)
+        across = found.select("a", F.col("b").alias("c")).union(found.select(F.col("b").alias("a"), F.col("a").alias("c"))).join(of, "c").select(F.col("a").alias("c"), F.col("m").alias("links"))
         members = inside.select(F.col("id").alias("c")).union(inside.select(F.col("component").alias("c")))
         sets = staged(_sets_of(base, classes, members, size), "jaccard-sets")
         degree = _degrees_inside(inside, sets, of, percent).union(across).groupBy("c").agg(F.sum("links").alias("links"))
