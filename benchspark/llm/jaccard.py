@@ -15,6 +15,8 @@ from benchspark.llm.common import append_arrow, dropped, mix, staged, table, tex
 SKETCH = 8
 #: Buckets that a class shares with its leader at least, by the links' percentage: pairs below rarely link.
 least_keys = lambda percent: SKETCH * percent // 200
+#: Rounds in which each set of a family meets one other, before all that is left is looked up.
+HUB_ROUNDS = 2
 #: Sets of a family differ from its root in at most this many times the tokens in which linked sets may differ.
 FAR = 4
 #: Cells of the table of counts that orders tokens from rare to frequent, and cells of one of its pieces. Fixed: what is
@@ -28,8 +30,6 @@ PROBE_BITS = 26
 BLOCK_SETS, BLOCK_BYTES = 1024, 1 << 23
 #: Tokens counted at once for two blocks.
 BLOCK_TOKENS = 4096
-#: A group's union lies in pieces of about so many tokens.
-UNION_TOKENS = 1 << 16
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -268,13 +268,14 @@ def _best(rows: DataFrame, percent: int) -> DataFrame:
     return shared.groupBy(F.col("c").alias("a")).agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
 
 
-def _inside_families(diffs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the links between sets of one family that are not in one group, counted exactly.
+def _inside_families(diffs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) twice: links that connect the sets of a family, and the links left between what they connect, counted exactly.
 
     ``diffs`` (c, f, g, n, diff): what a set and its family's root do not share. Two sets x, y of a family differ in
     |dx| + |dy| - 2 |dx & dy| tokens, so the differences decide. A pair of two groups has a set that does not link with the root,
     and then linked sets share (|dx| + |dy| - D) / 2 > 0 tokens of their differences, D being what linked sets may differ in. With
-    the tokens ordered from rare to frequent among the family's differences, one of the first few is common.
+    the tokens ordered from rare to frequent among the family's differences, one of the first few is common. A token's least
+    set is compared first, by those that share most with it; what that connects need not meet again.
     """
     most = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent))
     token = F.explode(_longs(F.col("diff"))).alias("token")
@@ -284,12 +285,6 @@ def _inside_families(diffs: DataFrame, percent: int) -> DataFrame:
     placed = staged(rows.join(often, ["f", "token"]).withColumn("at", F.row_number().over(order) - 1).filter("often > 1"), "jaccard-differences")
     probes = placed.filter(F.col("at") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - most))
     held = placed.filter(F.col("at") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - F.floor(most / 2)))
-    x = probes.select("f", "token", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("at").alias("ia"))
-    y = held.select("f", "token", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("at").alias("ib"))
-    differ = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    smaller = (F.col("db") < F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
-    fits = 2 * F.least(F.col("da") - F.col("ia"), F.col("db") - F.col("ib")) >= F.col("da") + F.col("db") - differ
-    met = x.join(y, ["f", "token"]).filter(smaller & (F.col("ga") != F.col("gb")) & fits).select("a", "b", "na", "nb").distinct()
 
     def run(batches):
         for batch in batches:
@@ -300,8 +295,33 @@ def _inside_families(diffs: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    u, v = diffs.select(F.col("c").alias("a"), F.col("diff").alias("x")), diffs.select(F.col("c").alias("b"), F.col("diff").alias("y"))
-    return met.join(u, "a").join(v, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a binary, b binary")
+    def checked(pairs: DataFrame) -> DataFrame:
+        u, v = diffs.select(F.col("c").alias("a"), F.col("diff").alias("x")), diffs.select(F.col("c").alias("b"), F.col("diff").alias("y"))
+        return staged(pairs.join(u, "a").join(v, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a binary, b binary"), "jaccard-alike")
+
+    def regrouped(df: DataFrame, now: DataFrame) -> DataFrame:
+        return df.join(now.select(F.col("id").alias("g"), "component"), "g", "left").withColumn("g", F.coalesce("component", "g")).drop("component")
+
+    names = staged(diffs.select("c", "g"), "jaccard-names")
+    connecting = None
+    for _ in range(HUB_ROUNDS):
+        of_now = lambda df: df.drop("g").join(names, "c")
+        least = of_now(held).groupBy("f", "token").agg(F.min(F.struct("c", "g", "n")).alias("hub"))
+        met = of_now(probes).join(least, ["f", "token"]).filter(F.col("g") != F.col("hub.g")).groupBy("c", "n", F.col("hub.c").alias("b"), F.col("hub.n").alias("nb")).agg(F.count("*").alias("k"))
+        best = met.groupBy(F.col("c").alias("a"), F.col("n").alias("na")).agg(F.max(F.struct("k", "b", "nb")).alias("m")).select("a", "na", "m.b", "m.nb")
+        links = checked(best)
+        connecting = links if connecting is None else connecting.union(links)
+        at = lambda k, g: names.select(F.col("c").alias(k), F.col("g").alias(g))
+        edges = links.join(at("a", "ga"), "a").join(at("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+        names = staged(regrouped(names, connected_components(edges)), "jaccard-names")
+    probes, held = probes.drop("g").join(names, "c"), held.drop("g").join(names, "c")
+    x = probes.select("f", "token", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("at").alias("ia"))
+    y = held.select("f", "token", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("at").alias("ib"))
+    differ = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    smaller = (F.col("db") < F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
+    fits = 2 * F.least(F.col("da") - F.col("ia"), F.col("db") - F.col("ib")) >= F.col("da") + F.col("db") - differ
+    left = x.join(y, ["f", "token"]).filter(smaller & (F.col("ga") != F.col("gb")) & fits).select("a", "b", "na", "nb").distinct()
+    return connecting, checked(left)
 
 
 def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str = "text", doc_id: str = "doc_id", links: bool = True) -> DataFrame:
@@ -318,9 +338,9 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     4. Texts that are alike without linking, such as copies of one text changed in places of their own, form families: each class
        is compared with the hub outside its group that it shares most tokens with, near ones are connected, and all of a family
        are compared with its root. What a set and the root do not share is kept, and links inside a family are found by it.
-    5. The matrix holds each token once per family or group, with its bounds on size and place. A query that meets another one
-       there is bounded by its overlap with the union of the tokens; below what a link needs it is not opened. Members of
-       opened ones that share a looked-up token are verified exactly.
+    5. The matrix holds the union of the held tokens of each family or group, with the union's bounds on size and place. They
+       bound what a query that meets one of its tokens there can share with any member; below what a link needs it is not
+       opened. Members of opened ones that share a looked-up token are verified exactly.
     6. Components of all verified links are the result. n_links (if ``links``) counts the other rows with an id whose sets link,
        equal sets too: inside groups by overlaps of two blocks of sets at a time, across groups by the verified links.
 
@@ -400,7 +420,9 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     family = rooted.select(F.col("a").alias("c"), F.col("b").alias("f"), "diff")
     named = family.union(family.select(F.col("f").alias("c"), "f", F.lit(None).cast("binary").alias("diff")).distinct())
     diffs = staged(family.join(classes.select("c", "n"), "c").join(own, "c", "left").withColumn("g", F.coalesce("g", "c")), "jaccard-diffs")
-    alike_ = staged(_inside_families(diffs, percent), "jaccard-alike")
+    connecting, alike_ = _inside_families(diffs, percent)
+    verified.append(connecting)
+    inside = groups_now()
     verified.append(alike_)
     # a family and a group may be named after one class, but a group's members without a difference are not of the family
     placed = rows.drop("g").join(own, "c", "left").join(named.select("c", F.concat(F.lit(b"f"), "f").alias("f")), "c", "left")
@@ -412,29 +434,21 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
 
     # the matrix, its bound, and the opened groups
     probes, held = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1), (F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1)
-    needed = F.ceil(percent * F.col("n") / 100).cast("long")
+    needed = F.ceil(percent * F.col("n") / 100)
     index = rows.filter(F.col("at") < held)
     matrix = index.groupBy("token", F.col("f").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("from"))
     meets = (F.col("f") != F.col("other")) & (F.col("lo") <= F.col("n")) & (100 * F.col("hi") >= percent * F.col("n"))
     fits = F.least(F.col("hi") - F.col("from"), F.col("n") - F.col("at")) >= needed
     asked = rows.filter(F.col("at") < probes).join(matrix, "token").filter(meets & fits)
-    met = staged(asked.select("c", "n", "other").distinct(), "jaccard-met")
-    many = staged(rows.select("c", F.col("f").alias("other")).distinct().join(met.select("other").distinct(), "other", "left_semi"), "jaccard-members")
-    sets = staged(_sets_of(base, classes, met.select("c").union(many.select("c")), size), "jaccard-sets")
-    wide = many.groupBy("other").count().filter("count > 1").select("other")
-    tokens = lambda s: F.explode(_longs(s)).alias("token")
-    union = many.join(wide, "other").join(sets, "c").select("other", tokens(F.col("s"))).distinct()
-    bounded = met.join(wide, "other").join(sets, "c").select("c", "n", "other", tokens(F.col("s")))
-    enough = bounded.join(union, ["other", "token"]).groupBy("c", "n", "other").agg(F.count("*").alias("k")).filter(F.col("k") >= needed).select("c", "n", "other")
-    opened = met.join(wide, "other", "left_anti").select("c", "n", "other").union(enough)
-    query = rows.filter(F.col("at") < probes).join(opened.select("c", "other"), "c").select("token", "other", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    opened = asked.select("c", "other").distinct()
+    query = rows.filter(F.col("at") < probes).join(opened, "c").select("token", "other", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"))
     seen = index.select("token", F.col("f").alias("other"), F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     shared = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     pairs = query.join(seen, ["token", "other"]).filter((F.col("ga") != F.col("gb")) & (F.col("nb") <= F.col("na")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= shared))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = staged(_linked(pairs, sets, percent), "jaccard-more")
-    dropped(sets, met, many, rows)
-    inside = groups
+    pairs = staged(pairs, "jaccard-pairs")
+    more = staged(_linked(pairs, _sets_of(base, classes, both(pairs), size), percent), "jaccard-more")
+    dropped(pairs, rows)
     verified.append(more)
 
     near_by = classes.select("c", "rep", "m").join(groups_now().withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
@@ -442,7 +456,9 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     named = near_by.join(least, "component").select("c", "m", "component_id")
     if links:
         of = classes.select("c", "m")
-        found = more.union(alike_)
+        at = lambda k, g: inside.select(F.col("id").alias(k), F.col("component").alias(g))
+        found = more.union(alike_).distinct().join(at("a", "ga"), "a", "left").join(at("b", "gb"), "b", "left")
+        found = found.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
         across = found.select("a", F.col("b").alias("c")).union(found.select(F.col("b").alias("a"), F.col("a").alias("c"))).join(of, "c").select(F.col("a").alias("c"), F.col("m").alias("links"))
         members = inside.select(F.col("id").alias("c")).union(inside.select(F.col("component").alias("c")))
         sets = staged(_sets_of(base, classes, members, size), "jaccard-sets")
