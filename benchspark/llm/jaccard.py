@@ -15,6 +15,8 @@ from benchspark.llm.common import append_arrow, dropped, mix, staged, table, tex
 SKETCH = 8
 #: Buckets that a class shares with its leader at least, by the links' percentage: pairs below rarely link.
 least_keys = lambda percent: SKETCH * percent // 200
+#: Keys that a class shares with the hub that it is compared with. Fewer pairs met there are left to the matrix.
+HUB_KEYS = 2
 #: Rounds in which each set of a family meets one other, before all that is left is looked up.
 HUB_ROUNDS = 2
 #: Sets of a family differ from its root in at most this many times the tokens in which linked sets may differ.
@@ -113,12 +115,11 @@ def _ranks(counts: DataFrame) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected edges (a, b), for all ids that it is not itself.
 
-    Large and small stars alternate until no edge moves. Every round is staged; a node's edges are only aggregated, never gathered.
+    Large and small stars alternate until only stars are left. Every round is staged; a node's edges are only aggregated, never gathered.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(edges):
         near = both(edges)
         low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = near.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -126,10 +127,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         old, edges = edges, staged(small, "edges")
         dropped(old)
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
-        before = now
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each of the edges (a, b), a > b, leads to a node without smaller neighbours and is the only one of a."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("x").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    return ends.filter("down > 1 or (down > 0 and up > 0)").agg(F.count("*")).first()[0] == 0
 
 
 def _bits(cells: DataFrame, size: int) -> np.ndarray:
@@ -205,6 +210,38 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, far: int = 0) ->
     return _beside(pairs, sets).mapInArrow(run, "a binary, b binary, linked boolean, diff binary")
 
 
+def _may_link(pairs: DataFrame, heads: DataFrame, ranks, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes those that their first tokens allow to link.
+
+    ``heads`` (c, n, s) holds each class's first tokens in the common order. Up to the smaller one of two heads' last tokens
+    both sets are known whole, so the tokens that only one of them has there count in full: no link is lost.
+    """
+
+    def run(batches):
+        rank = np.frombuffer(ranks.value, np.uint8)
+        for batch in batches:
+            keep = []
+            for u, v, n in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist()):
+                x, y = np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)
+                rx, ry = (rank[(t >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] for t in (x, y))
+                end = min((rx[-1], x[-1]), (ry[-1], y[-1]))
+                x, y = (t[(r < end[0]) | ((r == end[0]) & (t <= end[1]))] for t, r in ((x, rx), (y, ry)))
+                keep.append((100 + percent) * len(np.setxor1d(x, y, assume_unique=True)) <= (100 - percent) * n)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x = heads.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("s").alias("x"))
+    y = heads.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("s").alias("y"))
+    beside = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
+    return beside.mapInArrow(run, "a binary, b binary")
+
+
+def _alike_keys(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes those that share at least ``HUB_KEYS`` min-hash keys: a choice of pairs worth comparing."""
+    x, y = classes.select(F.col("c").alias("a"), F.col("keys").alias("x")), classes.select(F.col("c").alias("b"), F.col("keys").alias("y"))
+    same = F.size(F.filter(F.zip_with("x", "y", lambda u, v: u == v), lambda e: e))
+    return pairs.join(x, "a").join(y, "b").filter(same >= HUB_KEYS).select("a", "b")
+
+
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """|a & b| of every a in ``x`` and b in ``y``, by runs of the tokens that both sides have."""
     flat = []
@@ -340,7 +377,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
        are compared with its root. What a set and the root do not share is kept, and links inside a family are found by it.
     5. The matrix holds the union of the held tokens of each family or group, with the union's bounds on size and place. They
        bound what a query that meets one of its tokens there can share with any member; below what a link needs it is not
-       opened. Members of opened ones that share a looked-up token are verified exactly.
+       opened. Members of opened ones that share a looked-up token are verified exactly, where their first tokens alone do not
+       differ too much.
     6. Components of all verified links are the result. n_links (if ``links``) counts the other rows with an id whose sets link,
        equal sets too: inside groups by overlaps of two blocks of sets at a time, across groups by the verified links.
 
@@ -410,9 +448,9 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     short = rows_of(None).select("token", F.xxhash64("g").alias("g"))
     often = staged(short.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token"), "jaccard-often")
     rows = staged(rows_of(_token_filter(often)).join(often, "token"), "jaccard-rows")
-    dropped(heads, often)
+    dropped(often)
     # families: near hubs connect classes, and every class is compared with its family's root
-    hubs = compare(staged(_best(rows, percent), "jaccard-best"), FAR)
+    hubs = compare(staged(_alike_keys(_best(rows, percent), classes), "jaccard-best"), FAR)
     families = staged(connected_components(hubs.where("diff is not null").select("a", "b")), "jaccard-families")
     rooted = compare(families.select(F.col("id").alias("a"), F.col("component").alias("b")), FAR).where("diff is not null")
     groups = groups_now()
@@ -446,7 +484,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     shared = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     pairs = query.join(seen, ["token", "other"]).filter((F.col("ga") != F.col("gb")) & (F.col("nb") <= F.col("na")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= shared))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = staged(pairs, "jaccard-pairs")
+    pairs = staged(_may_link(pairs, heads, ranks, percent), "jaccard-pairs")
+    dropped(heads)
     more = staged(_linked(pairs, _sets_of(base, classes, both(pairs), size), percent), "jaccard-more")
     dropped(pairs, rows)
     verified.append(more)
