@@ -17,7 +17,7 @@ from benchspark.llm.common import append_arrow, hash_sample, strings, table
 #: Pages that the block classifier is fitted on.
 TRAIN_PAGES = 2000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 # HTML element names and the usual class words of page parts.
@@ -28,6 +28,9 @@ CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 STOPS_CLOSING = frozenset("ul ol dl table div section article main aside nav header footer form body".split())
 CONTENT_TAGS, OTHER_TAGS = frozenset(["article", "main"]), frozenset(["nav", "header", "footer", "aside", "form", "dialog", "address"])
 CONTENT_WORDS = frozenset("article content post entry story main maincontent articlebody body-text".split())
+TURNS = frozenset("with without has no".split())
+#: Borders that a hidden element with an end tag does not cross.
+BORDERS = frozenset("body article main section nav header footer aside form".split())
 OTHER_WORDS = frozenset("ad ads advert advertisement banner sponsor sponsored promo menu nav navbar navigation header footer sidebar aside widget related share social breadcrumb breadcrumbs cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login comment comments reply replies disqus copyright complementary contentinfo alert".split())
 
 #: Log-odds of a part that names itself, and the most that the classifier may add.
@@ -46,17 +49,68 @@ class Block:
 
 
 def _named(tag: str, attributes: str) -> int:
-    """1: names itself content, -1: names itself something else, 0: neither."""
+    """1: names itself content, -1: names itself something else, 0: neither.
+
+    Whole class values come first, then their parts: the last part that says something decides, what follows "with" or "no"
+    says nothing, and a content word after another one leaves it open.
+    """
     if tag in OTHER_TAGS:
         return -1
-    words = set()
-    if attributes and "=" in attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            words.update(re.split(r"[\s_]+", m.group(1).strip("\"'").lower()))
-            words.update(re.split(r"[^a-z]+", m.group(1).lower()))
-    if words & OTHER_WORDS:
+    values = [v.lower() for m in ATTRIBUTE.finditer(attributes) for v in m.group(1).strip("\"'").split()] if "=" in attributes else []
+    found = {-1 if v in OTHER_WORDS else 1 for v in values if v in OTHER_WORDS or v in CONTENT_WORDS}
+    if not found:
+        for v in values:
+            parts = [w for w in re.split(r"[^a-z]+", v) if w]
+            parts = parts[: next((i for i, w in enumerate(parts) if w in TURNS), len(parts))]
+            said = [-1 if w in OTHER_WORDS else 1 for w in parts if w in OTHER_WORDS or w in CONTENT_WORDS]
+            if said:
+                found.add(0 if said[-1] == 1 and -1 in said else said[-1])
+    if -1 in found:
         return -1
-    return 1 if tag in CONTENT_TAGS or words & CONTENT_WORDS else 0
+    return 1 if tag in CONTENT_TAGS or 1 in found else 0
+
+
+def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, closing, attributes) of what is no text; the tag is empty for comments and for raw and hidden elements.
+
+    A raw element without an end tag reaches to the page's end. A hidden one that closes itself, or has no end tag before a
+    border of the page's parts, hides nothing.
+    """
+    out: list[tuple[int, int, str, bool, str]] = []
+    open_: dict[str, list[int]] = {}
+    hides: dict[int, int] = {}
+    at = 0
+    while (m := TOKEN.search(page, at)) is not None:
+        at = m.end()
+        tag = (m.group(2) or m.group(5) or "").lower()
+        closing = "/" in (m.group(1) or m.group(4) or "")
+        if tag in RAW and not closing:  # its text is no markup: go on at its end tag
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+            tag = ""
+        elif tag in HIDDEN and not closing and not m.group(0).endswith("/>"):
+            open_.setdefault(tag, []).append(len(out))
+        elif tag in HIDDEN and closing and tag in open_:
+            hides[open_[tag].pop()] = len(out)
+            if not open_[tag]:
+                del open_[tag]
+        elif tag in BLOCKS:
+            if "head" in open_:  # its end tag may be left out
+                hides[open_.pop("head")[0]] = len(out) - 1
+            if tag in BORDERS:
+                open_.clear()
+        out.append((m.start(), at, tag, closing, m.group(3) or m.group(6) or ""))
+    seen: list[tuple[int, int, str, bool, str]] = []
+    i = 0
+    while i < len(out):
+        start, end, tag, closing, attributes = out[i]
+        if i in hides:
+            i = max(i, hides[i])
+            # what is left out of a head without an end tag ends where the next part begins
+            end, tag = (out[i][1] if out[i][2] == tag and out[i][3] else out[i + 1][0]), ""
+        seen.append((start, end, "" if tag in HIDDEN else tag, closing, attributes))
+        i += 1
+    return seen
 
 
 def blocks(page: str) -> list[Block]:
@@ -66,7 +120,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
     text: list[str] = []
     linked = depth_a = number = 0
-    hidden: str | None = None
 
     def flush():
         nonlocal linked
@@ -79,28 +132,13 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     at = 0
-    while (m := TOKEN.search(page, at)) is not None:
-        if m.start() > at and hidden is None:
-            piece = page[at : m.start()]
+    for start, end, tag, closing, attributes in _tokens(page):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if depth_a:
                 linked += len(piece)
-        at = m.end()
-        if m.group(2) is None:
-            continue
-        tag, closing = m.group(2).lower(), m.group(1) == "/"
-        if not closing and tag in RAW:  # its text is no markup: go on at its end tag
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if hidden is not None:
-            if closing and tag == hidden or hidden == "head" and tag in BLOCKS:
-                hidden = None
-            if closing or hidden is not None:
-                continue
-        if tag in HIDDEN:
-            hidden = None if closing else tag
-            continue
+        at = end
         if tag == "a":
             depth_a = 0 if closing else 1
             continue
@@ -122,13 +160,13 @@ def blocks(page: str) -> list[Block]:
             elif stack[i][0] in STOPS_CLOSING:
                 break
         number += 1
-        own = _named(tag, m.group(3) or "")
+        own = _named(tag, attributes)
         _, _, part, named = stack[-1]
         if own:
             # what names itself something else stays so, unless an article lies inside it
             part, named = number, own if named >= 0 or tag in CONTENT_TAGS else named
         stack.append((tag, number, part, named))
-    if hidden is None and at < len(page):
+    if at < len(page):
         text.append(page[at:])
     flush()
     return out
