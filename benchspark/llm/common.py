@@ -130,6 +130,17 @@ def append_arrow(df: DataFrame, inputs: list[str], fields: dict[str, str], fn, k
     return inner.mapInArrow(run, schema)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def hash_sample(df: DataFrame, rows: int, key: str, count: int) -> DataFrame:
     """About ``rows`` of ``count`` rows, chosen by a hash of ``key``: the same at any partitioning."""
     cells = 1 << 30

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from benchspark.llm.common import staged, table
+from benchspark.llm.common import private, staged, table
 
 #: Low bits of a key that order the rows of equal texts; the bits above come from the text.
 ROW_BITS = 24
@@ -103,11 +103,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", doc_i
     below the piece plus the place in it.
 
     Defined results: NULL text counts as empty (size 8); NULL ids are ordered like any other; repeated rows get slots of
-    their own; a table without rows gives no rows; other columns are carried on. Equal texts stay in one shard where the
+    their own; a table without rows gives no rows; other columns are carried on,
+    those named ``_size``, ``_shard`` and ``_slot`` replaced. Equal texts stay in one shard where the
     tolerance allows it and are cut between their rows where it does not.
     """
-    keyed = docs.withColumn("_size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).withColumn("_key", _order_key(text, doc_id))
-    keys = staged(keyed.select(F.col("_key").alias("key"), F.col("_size").alias("size")), "shard-keys")
+    key_, piece_, row_ = private(docs, "_key", "_piece", "_row")
+    keyed = docs.withColumn("_size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).withColumn(key_, _order_key(text, doc_id))
+    keys = staged(keyed.select(F.col(key_).alias("key"), F.col("_size").alias("size")), "shard-keys")
     parts = max(16, -(-keys.count() // (shards * piece_rows)))
     cuts = find_splitters(keys, shards, parts, tolerance)
     bounds = [c[0] for c in cuts if c[0] != LOW]
@@ -124,13 +126,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", doc_i
         first_row.setdefault(s, r)
     offsets = [r - first_row[s] for s, r in zip(shard_of, start_of)]
     literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    placed = keyed.withColumn("_piece", _piece_of(F.col("_key"), np.array(bounds, np.int64)))
-    within = F.row_number().over(Window.partitionBy("_piece").orderBy("_key", doc_id))
+    placed = keyed.withColumn(piece_, _piece_of(F.col(key_), np.array(bounds, np.int64)))
+    within = F.row_number().over(Window.partitionBy(piece_).orderBy(key_, doc_id))
     return (
-        placed.withColumn("_row", within)
-        .withColumn("_shard", F.get(literal(shard_of), F.col("_piece")).cast("int"))
-        .withColumn("_slot", F.get(literal(offsets), F.col("_piece")) + F.col("_row") - 1)
-        .drop("_key", "_piece", "_row")
+        placed.withColumn(row_, within)
+        .withColumn("_shard", F.get(literal(shard_of), F.col(piece_)).cast("int"))
+        .withColumn("_slot", F.get(literal(offsets), F.col(piece_)) + F.col(row_) - 1)
+        .drop(key_, piece_, row_)
     )
 
 
