@@ -21,9 +21,20 @@ MIN_COVER = 0.5
 #: Bits of the filter over the benchmark's window hashes: fixed, so what is broadcast does not grow.
 FILTER_BITS = 1 << 23
 
-# Unit words and number words that are slots.
+# Unit words and number words that are slots; number words in English, German, French and Spanish, without articles and the
+# Spanish word for 11, which is an English word.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds metre metres meter meters mile miles gram grams kilogram kilograms litre litres liter liters pound pounds dollar dollars cent cents euro euros percent degree degrees usd eur kmh mph kb mb gb tb".split())
-NUMBERS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
+NUMBERS = frozenset(
+    (
+        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+        "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+        "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn "
+        "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+        "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+        "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve "
+        "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil"
+    ).split()
+)
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Code points of texts worked on at once; a longer text is worked on alone.
 CHUNK = 1 << 19
