@@ -191,7 +191,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     for dim, n in shards.items():
         count = F.when(F.col("dim") == dim, F.lit(n)).otherwise(count)
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit("shard")), F.greatest(count, F.lit(1))).cast("int"))
-    graph = staged(dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, pos int, start int, v array<float>, ids array<bigint>, near array<int>"), "ann-graph")
+    graph = staged(dealt.groupBy("dim", "shard").applyInPandas(_build, f"dim int, shard int, pos int, start int, v {points.schema['v'].dataType.simpleString()}, ids array<bigint>, near array<int>"), "ann-graph")
     spread = ask.filter(count > 0).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), count - 1)))
     index = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dim", "shard", "block"]
