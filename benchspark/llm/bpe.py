@@ -176,7 +176,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     lists = book.column("ids").combine_chunks() if book.num_rows else pa.array([], pa.list_(pa.int32()))
     offsets = np.asarray(lists.offsets, np.int64) - (lists.offsets[0].as_py() if len(lists) else 0) if len(lists) else np.zeros(1, np.int64)
     shared = spark.sparkContext.broadcast(known.cast(pa.string()))
-    shared_ids = spark.sparkContext.broadcast((offsets.astype(np.int32), np.asarray(lists.flatten(), np.int32).astype(np.uint16), pa.array(merges.tokens, pa.binary())))
+    shared_ids = spark.sparkContext.broadcast((offsets.astype(np.int32), np.asarray(lists.flatten(), np.int32).astype(np.uint16 if len(merges.tokens) <= 1 << 16 else np.int32), pa.array(merges.tokens, pa.binary())))
 
     def look_up(column):
         flat = column.flatten()
