@@ -222,6 +222,37 @@ def test_html_parts():
     assert html_extract.content("", ODDS) == "" and html_extract.content("<nav>x</nav>", ODDS) == ""
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<p>A</p><svg/><p>B</p>", ["A", "B"]),
+    ("<p>A</p><canvas/><p>B</p>", ["A", "B"]),
+    ("<article><p>A</p><math><p>B</p></article>", ["A", "B"]),
+    ("<article><p>A</p><button><p>B</p><button>no</button></article>", ["A", "B"]),
+    ("<p>A</p><svg><svg>no</svg>no</svg><p>B</p>", ["A", "B"]),
+    ("<p>A</p><select><option>no</select><p>B</p>", ["A", "B"]),
+    ("<head><meta a><title>no</title> no <p>A", ["A"]),
+    ('<p>A</p><div class="x>B</div>', ["A", "B"]),
+    ('<p>A</p><!-- <button> --><p>B</p><button>no</button>', ["A", "B"]),
+])
+def test_html_hidden_elements_end(page, texts):
+    assert [b.text for b in html_extract.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("value, named", [
+    ("article-with-sidebar", 1), ("post-share-content", 0), ("post-comments", -1), ("comments-list", -1), ("entry", 1),
+    ("post comments", -1), ("row", 0), ("menu", -1), ("content no-sidebar", 1),
+])
+def test_html_class_values(value, named):
+    assert html_extract._named("div", f' class="{value}"') == named
+    page = f'<div class="{value}"><p>A text, which is long enough to say something.</p></div>'
+    if named == 1:
+        assert html_extract.content(page, {}) == "A text, which is long enough to say something."
+
+
+def test_html_long_page():
+    page = "<article>" + "<p>One more line, as long as this.<button>x<svg>" * 20_000 + "</article>"
+    assert len(html_extract.blocks(page)) == 20_000
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(30):
@@ -261,6 +292,12 @@ def test_sharding(spark, docs, odd, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_keeps_clashing_columns(spark):
+    docs = rows_of(spark, [(i, f"text {i}") for i in range(40)]).withColumns({c: F.col("doc_id") + 1 for c in ("_key", "_ROW", "_piece", "__row")})
+    got = sharding.shard_documents(docs, 4).collect()
+    assert len(got) == 40 and all(r["_key"] == r["_ROW"] == r["_piece"] == r["__row"] == r.doc_id + 1 for r in got)
+
+
 def test_sharding_splits_a_hot_text(spark):
     same = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot text").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
     n = [r["count"] for r in sharding.shard_documents(same, 8).groupBy("_shard").count().collect()]
@@ -299,6 +336,14 @@ def test_decontamination_of_other_word_counts(spark):
     assert contaminated(spark, LONG_ITEM, *texts) == {0: "verbatim", 1: "refilled", 2: "refilled", 3: "verbatim", 4: "refilled"}
 
 
+def test_decontamination_of_number_words(spark):
+    item = "sixteen boys share thirteen cakes with nineteen girls who have come to the party in the old garden"
+    swap = item.replace("sixteen", "seventeen").replace("thirteen", "fourteen").replace("nineteen", "eighteen")
+    assert contaminated(spark, item, item, swap, swap.replace("cakes", "pies").replace("party", "house").replace("garden", "town").replace("boys", "men").replace("girls", "women")) == {0: "verbatim", 1: "refilled"}
+    german = "sechzehn kinder teilen dreizehn kuchen mit den anderen gästen die zum fest in den alten garten kamen"
+    assert contaminated(spark, german, german.replace("sechzehn", "siebzehn").replace("dreizehn", "vierzehn")) == {0: "refilled"}
+
+
 def test_decontamination_of_a_near_copy(spark):
     item = "Tom has 12 red apples and " + LONG_ITEM
     assert contaminated(spark, item, item, item.replace("has 12", "has 13")) == {0: "verbatim", 1: "verbatim"}
@@ -353,6 +398,14 @@ def test_nearest(spark):
     assert ann.nearest(few, few.where("vec_id = 20")).count() == 2
 
 
+def test_nearest_keeps_double_precision(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4)) / 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in ann.nearest(df, df.where("vec_id = 20"), k=5).collect():
+        assert math.isclose(r.score, float(x[20] @ x[r.vec_id]), rel_tol=1e-12)
+
+
 # --- 10 license scan ----------------------------------------------------------------------------------------------
 
 def brute_base(text):
