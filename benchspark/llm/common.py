@@ -14,6 +14,8 @@ from benchspark.session import shared_dir
 MASK = (1 << 64) - 1
 #: Text bytes hashed at once; a longer single text is one chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch; a single longer row is one batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,16 @@ def dropped(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches to ``BATCH_BYTES``, unless it has set a limit of its own.
+
+    Batches are else cut by rows only until they hold 64 MB, and a task holds one several times, in the JVM and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def crc_of_id(doc_id="doc_id"):
     """crc32 of the id written as text; NULL ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from benchspark.llm.common import append_arrow, dropped, mix, staged, table, text_chunks, word_hashes, word_spans
+from benchspark.llm.common import append_arrow, bounded_batches, dropped, mix, staged, table, text_chunks, word_hashes, word_spans
 
 #: Keys by which similar documents meet a leader.
 SKETCH = 8
@@ -388,6 +388,7 @@ def jaccard_join(docs: DataFrame, percent: int = 90, size: int = 3, text: str =
     own; rows with NULL ids belong to the component of their class if that has an id, else to none; rows that repeat an id with
     other texts are rows of their own; other columns do not matter; a table without rows gives none.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     written = staged(_features(base, size), "jaccard-features")
     feats = written.filter("piece is null").select("id", "n", "c")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchspark.llm.bpe import encode_documents, public_vocabulary
-from benchspark.llm.common import crc_of_id, staged, table
+from benchspark.llm.common import bounded_batches, crc_of_id, staged, table
 from benchspark.llm.decontaminate import find_contamination
 from benchspark.llm.jaccard import jaccard_join
 from benchspark.llm.langid import fit_centroids, identify_language
@@ -23,12 +23,14 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those too far from every centroid of the languages learned from these rows."""
+    bounded_batches(spark)
     model = fit_centroids(docs.filter(crc_of_id() % 5 != 0))
     return identify_language(packed(docs), model, text="_row.text", keep=["_row"]).filter(~F.col("lang_rejected")).select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts scored below 0.5 by a model of the labels of these rows."""
+    bounded_batches(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels").filter(crc_of_id() % 3 != 1))
     return score_quality(packed(docs), model, text="_row.text", keep=["_row"]).filter(F.col("quality_score") >= 0.5).select("_row.*")
 
@@ -44,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item. Texts are looked at by their digest, so rows without an id are searched too."""
+    bounded_batches(spark)
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     texts = docs.select(digest.alias("doc_id"), "text")
     found = staged(find_contamination(texts, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
@@ -53,6 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of every document."""
+    bounded_batches(spark)
     rank_file, pattern = public_vocabulary()
     return encode_documents(docs, rank_file, pattern, digest=True, keep=["doc_id"])
 
