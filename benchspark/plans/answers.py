@@ -402,6 +402,10 @@ def reasoning_checks(spark, sf):
 
 # --- samples -------------------------------------------------------------------------------------------------------
 
+#: The shown frame number is cut to four digits, so the whole one is needed to tell frames apart.
+FRAME = ("split", "seq", "frame_id", "frame_key")
+
+
 def task_views(spark, sf):
     c = b.frame_cams(spark, sf)
     return c.withColumns({"image": F.col("image_path"), "recorded": F.when(F.col("pos") % 10 == 0, "yes")})
@@ -421,7 +425,7 @@ g AS (SELECT split, seq, frame_id, f, count(*) AS n, count(*) FILTER (WHERE imag
     ("cams",),
 )
 def per_view_answer(spark, sf):
-    v = samples.per_view_answers(task_views(spark, sf))
+    v = samples.per_view_answers(task_views(spark, sf), keys=FRAME)
     return v.select("split", "seq", "frame_id", "frame_cams", F.size("used").cast("bigint").alias("views"), "any_yes", "all_yes", "reject")
 
 
