@@ -520,7 +520,7 @@ SELECT split, seq, frame_id, label AS answer, 'Using all camera views, what is t
 )
 def task1_samples(spark, sf):
     """The first camera anchors every frame in which it has a point and two cameras have images."""
-    c, keys = b.frame_cams(spark, sf), ["split", "seq", "frame_id"]
+    c, keys = b.frame_cams(spark, sf), list(FRAME)
     one = c.where("image_path is not null").groupBy(*keys, "cam").agg(F.first("image_path").alias("image"))
     images = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cam", "image"))).alias("input_images"))
     anchors = c.where("cam = 'Cam1' and coord is not null").join(images, keys)
@@ -532,7 +532,7 @@ def task1_samples(spark, sf):
     )
     s = samples.build_task1(frames)
     return s.select(
-        *keys, "answer", "question", F.array_join("input_cams", ",").alias("cams"),
+        "split", "seq", "frame_id", "answer", "question", F.array_join("input_cams", ",").alias("cams"),
         F.get_json_object("meta", "$.object_id").alias("object_id"),
     )
 
