@@ -135,9 +135,9 @@ def per_view_answers(views: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame
     )
 
 
-def build_task3(views: DataFrame, targets: DataFrame) -> DataFrame:
-    """Task-3 samples (E5); ``targets`` holds ``label, person`` per frame."""
-    d = per_view_answers(views).where("reject is null").join(targets, list(FRAME))
+def build_task3(views: DataFrame, targets: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Task-3 samples (E5); ``targets`` holds ``label, person`` per frame. ``keys`` tell frames apart, FRAME included."""
+    d = per_view_answers(views, keys).where("reject is null").join(targets, list(keys))
     head = P.cat("Gaze target: ", F.col("label"), ". ")
     listed = F.array_join(F.transform("used", lambda u: F.concat_ws(": ", u["cam"], u["yn"])), ". ")
     outside = P.cat("The ", F.col("person"), P.OUTSIDE_SUMMARY)

@@ -444,8 +444,8 @@ FROM g JOIN t USING (f) WHERE n >= 3 AND used >= 2""",
 )
 def task3_samples(spark, sf):
     c = task_views(spark, sf)
-    targets = c.where("cam = 'Cam1'").select("split", "seq", "frame_id", "label", F.concat("mask_label", F.lit(" hat")).alias("person"))
-    s = samples.build_task3(c, targets)
+    targets = c.where("cam = 'Cam1'").select(*FRAME, "label", F.concat("mask_label", F.lit(" hat")).alias("person"))
+    s = samples.build_task3(c, targets, keys=FRAME)
     return s.select(
         "split", "seq", "frame_id", "question", "answer", "reasoning", F.array_join("input_cams", ",").alias("cams"), "scene",
         F.get_json_object("meta", "$.object_id").alias("object_id"),
