@@ -500,7 +500,7 @@ FROM r WHERE reject IS NULL""",
 def task4_samples(spark, sf):
     """The third camera is asked about the first camera's label."""
     c = b.frame_cams(spark, sf)
-    keys = ["split", "seq", "frame_id"]
+    keys = list(FRAME)
     target = c.where("cam = 'Cam1'").select(*keys, F.col("label").alias("gaze_target"), F.concat("mask_label", F.lit(" hat")).alias("person"))
     k = F.col("pos")
     rows = c.where("cam = 'Cam3'").select(
@@ -508,7 +508,7 @@ def task4_samples(spark, sf):
         F.when(k % 3 == 0, "YES").otherwise("NO").alias("prediction"), F.when(k % 4 == 0, "NOT_PRESENT").otherwise("PRESENT").alias("presence"),
         F.lit("PRESENT").alias("person_presence"), F.when(k % 8 < 4, "HIGH").otherwise("LOW").alias("confidence"), F.lit(True).alias("parse_ok"),
     ).join(target, keys)
-    return samples.build_task4(rows).select(*keys, "answer", "question", "reasoning")
+    return samples.build_task4(rows).select("split", "seq", "frame_id", "answer", "question", "reasoning")
 
 
 @query(

@@ -28,7 +28,7 @@ def rows_of(spark, sf, name, *tables):
     return sorted((tuple(r) for r in got), key=repr), sorted(want.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["anchor_rank", "per_view_answer", "task1_samples", "task3_samples"])
+@pytest.mark.parametrize("name", ["anchor_rank", "per_view_answer", "task1_samples", "task3_samples", "task4_samples"])
 def test_frames_with_long_numbers_stay_apart(spark, tables, name):
     got, want = rows_of(spark, tables, name, "part")
     assert got == want
