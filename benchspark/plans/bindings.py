@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in as many partitions as a shuffle has, by a unique key.
+
+    A narrow table of millions of rows is one small file, which one or two tasks read; rules that cost much per row must not
+    stay in these.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "part"), "p_partkey")
+
+
 def _case(column: str, pairs, other: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs) + f" ELSE {other} END"
 
@@ -325,7 +338,7 @@ PROVIDERS = ("providers", "qa")
 
 def camera_rows(spark, sf) -> DataFrame:
     """Parts as camera views: six neighbouring parts are the cameras of a frame, the brand is the sequence."""
-    p = table(spark, sf, "part")
+    p = parts(spark, sf)
     k = F.col("p_partkey")
     n = F.col("p_retailprice")
     return p.select(

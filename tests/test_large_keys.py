@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -39,3 +40,11 @@ def test_eye_points_of_long_document_numbers(spark, tmp_path):
     duckdb.sql(f"COPY ({docs}) TO '{tmp_path}/documents.parquet'")
     got, want = rows_of(spark, str(tmp_path), "eye_points", "documents")
     assert got == want and len(got) == 25
+
+
+@pytest.mark.parametrize("name", ["distractor_points"])
+def test_costly_rules_leave_the_task_that_reads_the_file(spark, tables, name):
+    rows = entry.queries()[name](spark, tables)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    got, want = rows_of(spark, tables, name, "part")
+    assert got == want
