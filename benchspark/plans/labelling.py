@@ -86,7 +86,7 @@ def specificity_sql(x: str) -> str:
 
 def texts(spark, sf):
     """Part names dressed up in nine ways, beside the bare noun and the neighbour's cue."""
-    p = b.table(spark, sf, "part")
+    p = b.parts(spark, sf)
     k, name = F.col("p_partkey") % 9, F.col("p_name")
     a = (
         F.when(k == 1, F.concat(name, F.lit(" and box")))
