@@ -158,9 +158,10 @@ def person_guard(candidates: DataFrame, labels: Sequence[str] = ("mask_label", "
 
 # --- distractors ---------------------------------------------------------------------------------------------------
 
-def distractor_points(frames: DataFrame, seed: int = 42, w: int = 1000, h: int = 750, keys: Sequence[str] = FRAME) -> DataFrame:
+def distractor_points(frames: DataFrame, seed: int = 42, w: int = 1000, h: int = 750, keys: Sequence[str] = FRAME,
+                      keep: Sequence[str] = ()) -> DataFrame:
     """Points away from the gaze point: nine fixed and forty by hash, in the distance band, off the edge and off the
-    person; the first eighteen (B31). All is done inside the row."""
+    person; the first eighteen (B31). All is done inside the row; ``keep`` names further columns of it to return."""
     gx, gy = at("coord", 0), at("coord", 1)
     fixed = [(F.lit(float(w)) - gx, F.lit(float(h)) - gy)]
     shares = [(0.1, 0.1), (0.9, 0.1), (0.1, 0.9), (0.9, 0.9), (0.5, 0.1), (0.5, 0.9), (0.1, 0.5), (0.9, 0.5)]
@@ -184,8 +185,8 @@ def distractor_points(frames: DataFrame, seed: int = 42, w: int = 1000, h: int =
         return off & safe & ~F.coalesce(on_person, F.lit(False))
 
     kept = F.slice(F.filter(points, usable), 1, POINTS_KEPT)
-    return frames.where(has_coord()).select(*keys, F.posexplode(kept).alias("point_idx", "p")).select(
-        *keys, "point_idx", F.col("p.x").alias("x"), F.col("p.y").alias("y")
+    return frames.where(has_coord()).select(*keys, *keep, F.posexplode(kept).alias("point_idx", "p")).select(
+        *keys, *keep, "point_idx", F.col("p.x").alias("x"), F.col("p.y").alias("y")
     )
 
 

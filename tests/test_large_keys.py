@@ -48,3 +48,9 @@ def test_costly_rules_leave_the_task_that_reads_the_file(spark, tables, name):
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     got, want = rows_of(spark, tables, name, "part")
     assert got == want
+
+
+def test_fixed_distractors_need_no_join(spark, tables):
+    got, want = rows_of(spark, tables, "distractor_fixed", "part")
+    assert got == want
+    assert "Join" not in entry.queries()["distractor_fixed"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
