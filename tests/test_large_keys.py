@@ -42,7 +42,7 @@ def test_eye_points_of_long_document_numbers(spark, tmp_path):
     assert got == want and len(got) == 25
 
 
-@pytest.mark.parametrize("name", ["distractor_points", "label_maps", "cue_choice"])
+@pytest.mark.parametrize("name", ["distractor_points", "label_maps", "cue_choice", "teacher_decision"])
 def test_costly_rules_leave_the_task_that_reads_the_file(spark, tables, name):
     rows = entry.queries()[name](spark, tables)
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
