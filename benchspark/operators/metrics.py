@@ -59,11 +59,13 @@ def _ngrams(toks: Column) -> Column:
 def grams(rows: DataFrame) -> DataFrame:
     """Counts of each n-gram in the answer and in the reference of a pair.
 
-    All grams of a pair leave one row, so they are counted before they are shuffled.
+    The texts are shuffled by pair, so that all grams of a pair are in one partition and none is shuffled to be counted. The
+    number of partitions is given: it should follow the grams, not the much smaller texts.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = rows.select(
         "model_key", "pair_id", words(norm_answer("answer")).alias("ta"), words(norm_answer("reference")).alias("tr")
-    ).select("model_key", "pair_id", _ngrams(F.col("ta")).alias("ga"), _ngrams(F.col("tr")).alias("gr"))
+    ).repartition(parts, "model_key", "pair_id").select("model_key", "pair_id", _ngrams(F.col("ta")).alias("ga"), _ngrams(F.col("tr")).alias("gr"))
     orders = F.array(
         *[
             F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), F.get(g, F.lit(n - 1)).alias("grams"))
