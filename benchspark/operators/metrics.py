@@ -160,13 +160,14 @@ def rouge_l(rows: DataFrame) -> DataFrame:
 def cider(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Mean CIDEr-D per model, n = 1..4.
 
-    A gram has one document frequency per model, so the join's right side is unique and a hot gram is only ever split.
+    A gram has one document frequency per model, so the join's right side is unique and a hot gram is only ever split. Grams
+    of fewer than two references weigh as those of one, so they need no row there.
     """
     g = counted if counted is not None else grams(rows)
     docs = rows.groupBy("model_key").agg(F.count("*").alias("docs"))
     keys = ["model_key", "n", "gram"]
-    df = g.groupBy(*keys).agg(F.count_if(F.col("r") > 0).alias("df"))
-    weighted = g.join(df, keys).join(docs, "model_key")
+    df = g.where("r > 0").groupBy(*keys).agg(F.count("*").alias("df")).where("df > 1")
+    weighted = g.join(df, keys, "left").join(docs, "model_key")
     idf = F.ln("docs") - F.ln(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))
     v = weighted.select("model_key", "pair_id", "n", (F.col("c") * idf).alias("h"), (F.col("r") * idf).alias("f"))
     per_n = v.groupBy("model_key", "pair_id", "n").agg(
