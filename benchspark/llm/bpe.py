@@ -6,7 +6,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ class MergeTable:
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         pairs = [(*pair, r) for token, r in ranks.items() if len(token) > 1 and (pair := self._last_pair(token, ranks)) is not None]
         self.cells, self.width = self._layout(np.array(pairs, np.int64).reshape(-1, 3), len(self.tokens))
+        # in parts, as the digits of all cells are large as single objects
+        self.text = ",".join(",".join(map(str, part.tolist())) for part in np.array_split(self.cells, 64) if len(part))
 
     @staticmethod
     def _last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
@@ -88,7 +90,7 @@ class MergeTable:
         return np.concatenate([begin + n, owner[:width], value[:width]]), width
 
     def literal(self) -> Column:
-        return F.split(F.lit(",".join(map(str, self.cells.tolist()))), ",").cast("array<int>")  # folded to one literal
+        return F.split(F.lit(self.text), ",").cast("array<int>")  # folded to one literal
 
     def rank(self, cells: Column, a: Column, b: Column) -> Column:
         """The rank of two tokens' merge; NONE if there is none."""
@@ -144,8 +146,11 @@ def words_of(text: Column, pattern: str) -> Column:
 
 
 def common_words(words: DataFrame, most: int = COMMON_WORDS) -> DataFrame:
-    """(word) of those that occur at least 2^j times, j the least that leaves at most ``most`` words of ``COMMON_BYTES``."""
-    counts = staged(words.groupBy("word").count().filter(F.octet_length("word") <= COMMON_BYTES), "bpe-words")
+    """(word) of those that occur at least 2^j times, j the least from 1 that leaves at most ``most`` words of ``COMMON_BYTES``.
+
+    A word that occurs once is encoded once wherever that is done, so it is left beside its document.
+    """
+    counts = staged(words.groupBy("word").count().filter((F.octet_length("word") <= COMMON_BYTES) & (F.col("count") > 1)), "bpe-words")
     level = F.floor(F.log2("count")).cast("int")
     sizes = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)  # at most 64 rows
     total, least = 0, None
@@ -156,11 +161,48 @@ def common_words(words: DataFrame, most: int = COMMON_WORDS) -> DataFrame:
     return counts.filter(F.lit(False) if least is None else level >= least).select("word")
 
 
+def _packed(column: pa.Array) -> bytes:
+    """A column as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("v", column.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([column], names=["v"]))
+    return sink.getvalue().to_pybytes()
+
+
+class Packed:
+    """A column in packed pieces: the driver passes them on as they are, a worker unpacks them once."""
+
+    def __init__(self, pieces: list[bytes], kind: pa.DataType):
+        self.pieces, self.kind = pieces, kind
+
+    def __getstate__(self):
+        return {"pieces": self.pieces, "kind": self.kind}
+
+    @cached_property
+    def column(self) -> pa.Array:
+        chunks = [c for p in self.pieces for c in pa.ipc.open_stream(p).read_all().column(0).chunks]
+        self.pieces = []
+        return pa.concat_arrays(chunks) if chunks else pa.array([], self.kind)
+
+
+def pack_book(book: DataFrame, kind: pa.DataType) -> tuple[Packed, Packed]:
+    """The words of (word, ids) and, in the same order, their ids as lists of ``kind``: a few packed pieces per task."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                row = _packed(b.column(0).cast(pa.string())), _packed(b.column(1).cast(pa.list_(kind)))
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row], names=["words", "ids"])
+
+    pieces = book.mapInArrow(run, "words binary, ids binary").collect()
+    return Packed([bytes(r["words"]) for r in pieces], pa.string()), Packed([bytes(r["ids"]) for r in pieces], pa.list_(kind))
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", digest: bool = False, keep: list[str] | None = None, most_common: int = COMMON_WORDS) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary), or with ``digest`` their count and SHA-256 sums.
 
     Each match of the pattern is a word. The distinct words of the corpus are counted; the most frequent ones, a table of
-    bounded size, are encoded once by the fold and broadcast as Arrow arrays. A document's other words, whatever their number,
+    bounded size, are encoded once by the fold and broadcast in packed pieces, which the driver does not unpack. A document's other words, whatever their number,
     go through the same fold beside the document, so its rows are never shuffled. Arrow functions look words up in bulk, and
     decoding takes the bytes of all ids from the vocabulary in one concatenated buffer.
 
@@ -171,16 +213,12 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     merges = merge_table(rank_file)
     words = docs.select(F.explode(words_of(F.col(text), pattern)).alias("word"))
     spread = common_words(words, most_common)
-    book = spread.select("word", encode_word(F.col("word"), merges).alias("ids")).toArrow().combine_chunks()
-    known = book.column("word").combine_chunks() if book.num_rows else pa.array([], pa.string())
-    lists = book.column("ids").combine_chunks() if book.num_rows else pa.array([], pa.list_(pa.int32()))
-    offsets = np.asarray(lists.offsets, np.int64) - (lists.offsets[0].as_py() if len(lists) else 0) if len(lists) else np.zeros(1, np.int64)
-    shared = spark.sparkContext.broadcast(known.cast(pa.string()))
-    shared_ids = spark.sparkContext.broadcast((offsets.astype(np.int32), np.asarray(lists.flatten(), np.int32).astype(np.uint16 if len(merges.tokens) <= 1 << 16 else np.int32), pa.array(merges.tokens, pa.binary())))
+    words_known, ids_known = pack_book(spread.select("word", encode_word(F.col("word"), merges).alias("ids")), pa.uint16() if len(merges.tokens) <= 1 << 16 else pa.int32())
+    shared, shared_ids, shared_tokens = (spark.sparkContext.broadcast(v) for v in (words_known, ids_known, pa.array(merges.tokens, pa.binary())))
 
     def look_up(column):
         flat = column.flatten()
-        code = pc.index_in(flat.cast(pa.string()), value_set=shared.value)
+        code = pc.index_in(flat.cast(pa.string()), value_set=shared.value.column)
         missing = pc.is_null(code).to_numpy(zero_copy_only=False)
         code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False).copy()
         ends = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py() if len(column) else np.zeros(1, np.int64)
@@ -207,7 +245,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
         return [pa.concat_arrays([p[i] for p in parts]) for i in range(len(parts[0]))]
 
     def join_rows(codes, rest):
-        offsets, values, tokens = shared_ids.value
+        known, tokens = shared_ids.value.column, shared_tokens.value
+        offsets, values = np.asarray(known.offsets), np.asarray(known.values)
         code = codes.flatten().to_numpy(zero_copy_only=False)
         ends = np.asarray(codes.offsets, np.int64) - codes.offsets[0].as_py() if len(codes) else np.zeros(1, np.int64)
         inner = rest.flatten()  # array<int> of each rare word, in the rows' order

@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -61,6 +63,19 @@ def test_bpe_is_tiktoken(spark, docs, odd, common):
         assert bytes(r.decoded) == bytes(r.again) == text.encode()
 
 
+def test_bpe_book_holds_repeated_words_in_packed_pieces(spark):
+    words = spark.createDataFrame([(f"w{i % 3000}",) for i in range(6000)] + [("once",), ("x" * 65,), ("x" * 65,)], "word string")
+    common = bpe.common_words(words)
+    assert {r.word for r in common.collect()} == {f"w{i}" for i in range(3000)}
+    known, ids = bpe.pack_book(common.select("word", F.array(F.length("word"), F.lit(7)).alias("ids")), pa.uint16())
+    sent = pickle.dumps((known, ids))
+    assert len(sent) < 0.5 * (known.column.nbytes + ids.column.nbytes)
+    known, ids = pickle.loads(sent)
+    assert dict(zip(known.column.to_pylist(), ids.column.to_pylist())) == {f"w{i}": [len(f"w{i}"), 7] for i in range(3000)}
+    known, ids = bpe.pack_book(common.limit(0).select("word", F.array(F.lit(7)).alias("ids")), pa.uint16())
+    assert (len(known.column), len(ids.column)) == (0, 0)
+
+
 def test_bpe_digest_and_empty(spark, none):
     enc, rank_file, pattern = tokenizer()
     r = bpe.encode_documents(rows_of(spark, [(1, "it's  done\n\n ok"), (2, None)]), rank_file, pattern, digest=True, keep=["doc_id"]).orderBy("doc_id").collect()
