@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchspark.sources.json_ranges import read_elements
+from benchspark.sources.json_ranges import element_texts, unwrapped, wrapped
 
 IMAGES = T.ArrayType(T.StructType([T.StructField("cam", T.StringType()), T.StructField("image", T.StringType())]))
 
@@ -33,7 +33,10 @@ DECISION = "bundle_id string, decision string, note string, reviewer string, upd
 
 
 def _samples(elements: DataFrame) -> DataFrame:
-    parsed = elements.select("source", "idx", F.col("raw").alias("raw_sample"), F.from_json("raw", SAMPLE).alias("s"))
+    """An object is parsed once, where it stands; its text without blanks is made only for those who read that column."""
+    inside = T.StructType([T.StructField("v", SAMPLE)])
+    sample = F.when(F.col("text").rlike(r"^\s*\{"), F.from_json(wrapped(), inside).getField("v")).otherwise(F.from_json(unwrapped(), SAMPLE))
+    parsed = elements.select("source", "idx", "text", unwrapped().alias("raw_sample"), sample.alias("s"))
     return parsed.select(
         "source",
         "idx",
@@ -42,8 +45,8 @@ def _samples(elements: DataFrame) -> DataFrame:
         F.col("s.task_id").alias("raw_task_id"),
         # a JSON number without a fraction is an int task id; the same digits in quotes are not
         F.when(
-            F.get_json_object("raw_sample", "$.task_id").rlike(r"^-?\d+$")
-            & F.col("raw_sample").rlike(r'"task_id"\s*:\s*-?\d'),
+            F.col("s.task_id").rlike(r"^-?\d+$")
+            & F.col("text").rlike(r'"task_id"\s*:\s*-?\d'),
             F.col("s.task_id").cast("int"),
         ).alias("task_id"),
         *[F.col(f"s.{f.name}").alias(f.name) for f in SAMPLE.fields if f.name != "task_id"],
@@ -55,12 +58,12 @@ def read_benchmark(spark: SparkSession, path, folder: bool = False) -> DataFrame
 
     A large document is read by as many tasks as it has blocks. With ``folder`` its part files are one document.
     """
-    return _samples(read_elements(spark, path, folder=folder))
+    return _samples(element_texts(spark, path, folder=folder))
 
 
 def read_benchmark_any(spark: SparkSession, path) -> DataFrame:
     """As ``read_benchmark`` but ``{samples}``, ``{data}`` or a bare list are all accepted."""
-    return _samples(read_elements(spark, path, keys=("samples", "data"), bare=True))
+    return _samples(element_texts(spark, path, keys=("samples", "data"), bare=True))
 
 
 def read_jsonl(spark: SparkSession, path, schema) -> DataFrame:

@@ -12,50 +12,58 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes looked at together; a range is walked in such steps.
 CHUNK_BYTES = 1 << 20
 _ESCAPE = re.compile(rb"\\.", re.DOTALL)
-_DEPTH = np.zeros(256, np.int64)
+_PART = re.compile(r"^part-(\d+)")
+_DEPTH = np.zeros(256, np.int8)
 _DEPTH[[ord("["), ord("{")]] = 1
 _DEPTH[[ord("]"), ord("}")]] = -1
 _QUOTE, _COMMA, _LIST = ord('"'), ord(","), ord("[")
 
 
-def _ranges(batches):
-    """(file, start, bytes) of runs of records of one range, in order; each record with the brace that ended it."""
-    rows, size, at = [], 0, None
+def _ranges(batches, folder: bool):
+    """(file, start, bytes) of runs of records of one range, in order; each record with the brace that ended it.
+
+    With ``folder`` a file is its folder and a start counts from the file's number.
+    """
+    held, size, at = [], 0, None
     for b in batches:
-        values, starts, names = b.column(0).to_pylist(), b.column(2).to_numpy(), b.column(1).dictionary_encode()
+        values, starts, names = pc.binary_join_element_wise(b.column(0), pa.scalar(b""), pa.scalar(b"}")), b.column(2).to_numpy(), b.column(1).dictionary_encode()
+        offsets, data = np.frombuffer(values.buffers()[1], np.int32), memoryview(values.buffers()[2] or b"")
         code = names.indices.to_numpy()
         cuts = np.flatnonzero((np.diff(starts, prepend=starts[:1]) != 0) | (np.diff(code, prepend=code[:1]) != 0)).tolist()
         for lo, hi in zip([0, *cuts], [*cuts, len(values)]):
             if lo == hi:
                 continue
             here = (names.dictionary[int(code[lo])].as_py(), int(starts[lo]))
-            if rows and here != at:
-                yield *at, b"}".join(rows) + b"}"
-                rows, size = [], 0
+            if folder:
+                path, name = here[0].rsplit("/", 1)
+                here = (path, int(_PART.match(name)[1]) * (1 << 44) + here[1])
+            if held and here != at:
+                yield *at, b"".join(held)
+                held, size = [], 0
             at = here
-            for value in values[lo:hi]:
-                rows.append(value)
-                size += len(value) + 1
-                if size > CHUNK_BYTES:
-                    yield *at, b"}".join(rows) + b"}"
-                    rows, size = [], 0
-    if rows:
-        yield *at, b"}".join(rows) + b"}"
+            held.append(data[offsets[lo] : offsets[hi]])
+            size += len(held[-1])
+            if size > CHUNK_BYTES:
+                yield *at, b"".join(held)
+                held, size = [], 0
+    if held:
+        yield *at, b"".join(held)
 
 
 def _marks(data: bytes, inside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, which of them are string text or its quotes, and the change of depth at each."""
     chars = np.frombuffer(_ESCAPE.sub(b"__", data) if b"\\" in data else data, np.uint8)
     quotes = chars == _QUOTE
-    after = (np.cumsum(quotes) + inside) % 2 == 1
+    after = ((np.cumsum(quotes, dtype=np.uint8) + np.uint8(inside)) & 1).view(bool)  # its parity survives the overflow
     text = after | quotes
-    return chars, text, np.where(text, 0, _DEPTH[chars])
+    return chars, text, np.where(text, np.int8(0), _DEPTH[chars])
 
 
 class Walk:
@@ -68,15 +76,23 @@ class Walk:
         self.last, self.opened, self.lists = None, False, set()
 
     def step(self, data: bytes):
-        """(from, to, key, number, ended) of each stretch of an element in the next bytes; one that goes on starts at 0."""
+        """(starts, ends, key, number of the first, ended) of runs of neighbouring elements in the next bytes; one that goes on starts at 0."""
         chars, text, change = _marks(data, self.inside)
-        depth = np.cumsum(change) + self.depth
+        depth = np.cumsum(change, dtype=np.int32) + np.int32(self.depth)
         at_level = (depth == self.level) & ((change > 0) | (~text & (chars == _COMMA)))
         marks = at_level | ((change < 0) & (depth == self.level - 1))
         if self.level == 2:
             marks = marks | ((chars == _QUOTE) & (depth == 1))
         begin, name = 0, (-1 if self.inside else None)
-        for i in np.flatnonzero(marks).tolist():
+        places = np.flatnonzero(marks)
+        others = np.flatnonzero(chars[places] != _COMMA).tolist()
+        for lo, hi in zip([0, *(k + 1 for k in others)], [*others, len(places)]):
+            if self.listed and lo < hi:  # elements that end at a comma
+                yield np.append(begin, places[lo : hi - 1] + 1), places[lo:hi], self.key, self.commas, True
+                begin, self.commas = int(places[hi - 1]) + 1, self.commas + hi - lo
+            if hi == len(places):
+                break
+            i = int(places[hi])
             if chars[i] == _QUOTE:
                 if name is None:
                     name = i + 1
@@ -87,28 +103,36 @@ class Walk:
                 if self.listed:
                     self.lists.add(self.key)
             elif self.listed:
-                yield begin, i, self.key, self.commas, True
-                begin = i + 1
-                if change[i] < 0:
-                    self.listed = False
-                else:
-                    self.commas += 1
+                yield np.array([begin]), np.array([i]), self.key, self.commas, True
+                begin, self.listed = i + 1, False
         if self.listed:
-            yield begin, len(data), self.key, self.commas, False
+            yield np.array([begin]), np.array([len(data)]), self.key, self.commas, False
         self.inside = bool(self.inside ^ (int((chars == _QUOTE).sum()) % 2))
-        self.depth += int(change.sum())
+        self.depth += int(change.sum(dtype=np.int64))
 
 
-def _beginnings(text: DataFrame) -> dict[tuple[str, int], tuple[str, bool, int]]:
+def _slices(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts between bytes, each the one after the other's comma."""
+    lo = int(starts[0])
+    keep = np.ones(int(ends[-1]) - lo, bool)
+    keep[ends[:-1] - lo] = False
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    text = np.frombuffer(data, np.uint8)[lo : int(ends[-1])][keep]
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).cast(pa.string())
+
+
+def _beginnings(text: DataFrame, folder: bool) -> dict[tuple[str, int], tuple[str, bool, int]]:
     """(file, start) -> (root, inside, depth) of every range: a fold over one row per range."""
 
     def run(batches):
         found: dict = {}
-        for file, start, data in _ranges(batches):
+        for file, start, data in _ranges(batches, folder):
             chars = np.frombuffer(_ESCAPE.sub(b"__", data) if b"\\" in data else data, np.uint8)
             quotes = chars == _QUOTE
-            odd = (np.cumsum(quotes) % 2 == 1) | quotes
-            flat, deep = int(_DEPTH[chars[~odd]].sum()), int(_DEPTH[chars[odd | quotes]].sum())
+            odd = (np.cumsum(quotes, dtype=np.uint8) & 1).view(bool) | quotes
+            change = _DEPTH[chars]
+            flat = int(change[~odd].sum(dtype=np.int64))
+            deep = int(change.sum(dtype=np.int64)) - flat  # quotes change no depth
             r = found.setdefault((file, start), [data.lstrip(b"\xef\xbb\xbf \t\r\n")[:1].decode("latin-1"), 0, 0, 0])
             if r[1]:  # an odd number of quotes so far: both beginnings have changed sides
                 flat, deep = deep, flat
@@ -127,13 +151,13 @@ def _beginnings(text: DataFrame) -> dict[tuple[str, int], tuple[str, bool, int]]
     return out
 
 
-def _lists(text: DataFrame, begin: dict) -> tuple[dict, dict]:
+def _lists(text: DataFrame, begin: dict, folder: bool) -> tuple[dict, dict]:
     """(file, start) -> (key, listed, commas) at the beginning of every range, and file -> keys that hold lists."""
     shared = text.sparkSession.sparkContext.broadcast(begin)
 
     def run(batches):
         walks: dict = {}
-        for file, start, data in _ranges(batches):
+        for file, start, data in _ranges(batches, folder):
             walk = walks.setdefault((file, start), Walk(*shared.value[file, start]))
             for _ in walk.step(data):
                 pass
@@ -156,22 +180,33 @@ def _lists(text: DataFrame, begin: dict) -> tuple[dict, dict]:
     return out, lists
 
 
+def wrapped(text: str = "text"):
+    """An element's text as the field ``v`` of an object, as Spark parses objects only."""
+    return F.concat(F.lit('{"v":'), text, F.lit("}"))
+
+
+def unwrapped(text: str = "text"):
+    """An element's JSON text without blanks, the bare text for a string."""
+    return F.from_json(wrapped(text), "v string").getField("v")
+
+
 def read_elements(spark: SparkSession, path, keys: tuple[str, ...] = ("samples",), bare: bool = False, folder: bool = False) -> DataFrame:
-    """(source, idx, raw): the elements of the list under the first of ``keys`` that a document has, or (``bare``) of a bare list.
+    """(source, idx, raw) of ``element_texts``; ``raw`` is the element's JSON text without blanks, the bare text for a string."""
+    return element_texts(spark, path, keys, bare, folder).select("source", "idx", unwrapped().alias("raw"))
+
+
+def element_texts(spark: SparkSession, path, keys: tuple[str, ...] = ("samples",), bare: bool = False, folder: bool = False) -> DataFrame:
+    """(source, idx, text): the elements of the list under the first of ``keys`` that a document has, or (``bare``) of a bare list.
 
     With ``folder`` the part files of a folder, in the order of their numbers, are one document (see ``write_document``).
 
-    ``raw`` is the element's JSON text without blanks, the bare text for a string. A file without such a list is an error. What
-    is collected is two small rows per block of a file, whatever its content.
+    ``text`` is what stands in the file. A file without such a list is an error. What is collected is two small rows per block
+    of a file, whatever its content.
     """
     lines = spark.read.option("lineSep", "}").text(path)
-    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    if folder:
-        number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("bigint")
-        file, start = F.regexp_extract(file, "^(.*)/[^/]*$", 1), number * (1 << 44) + start
-    text = lines.select(F.col("value").cast("binary").alias("value"), file.alias("file"), start.alias("start"))
-    begin = _beginnings(text)
-    states, lists = _lists(text, begin)
+    text = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    begin = _beginnings(text, folder)
+    states, lists = _lists(text, begin, folder)
     chosen = {}
     for (file, _), (root, _, _) in begin.items():
         wanted = [""] if root == "[" and bare else [k for k in keys if k in lists[file]] if root == "{" else []
@@ -179,42 +214,48 @@ def read_elements(spark: SparkSession, path, keys: tuple[str, ...] = ("samples",
             raise ValueError(f"Expected object with list '{keys[0]}' in {file}")
         chosen[file] = wanted[0]
     shared = spark.sparkContext.broadcast((begin, states, chosen))
-    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-    names = ["source", "idx", "start", "raw", "whole"]
 
-    def run(batches):
+    def found(batches):
+        """(file, start, first number, texts, whole) of elements; all but the first of a range's stretches are whole."""
         begin, states, chosen = shared.value
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
-        at, walk, out, size = None, None, [], 0
+        at, walk = None, None
         held, fresh, number = b"", False, None  # the element that goes on: its bytes, whether it began in this range, its number
-        for file, start, data in _ranges(batches):
+        for file, start, data in _ranges(batches, folder):
             if (file, start) != at:
                 if number is not None:
-                    out.append((at[0], number, at[1], held.decode("utf-8"), False))
+                    yield *at, number, held, False
                 at, walk = (file, start), Walk(*begin[file, start], *states[file, start])
                 held, fresh, number = b"", False, None
-            for a, b, key, n, ended in walk.step(data):
+            for starts, ends, key, n, ended in walk.step(data):
                 if key != chosen[file]:
                     continue
-                if a > 0:
+                if starts[0] > 0:
                     held, fresh = b"", True
-                held, number = held + data[a:b], n
+                held, number = held + data[starts[0] : ends[0]], n
                 if ended:
-                    out.append((file, n, start, held.decode("utf-8"), fresh))
-                    size, held, number = size + len(held), b"", None
-            if size > CHUNK_BYTES:
-                yield batch(out)
-                out, size = [], 0
+                    yield file, start, n, held, fresh
+                    held, number = b"", None
+                if len(starts) > 1:
+                    yield file, start, n + 1, (data, starts[1:], ends[1:]), True
         if number is not None:
-            out.append((at[0], number, at[1], held.decode("utf-8"), False))
-        if out:
-            yield batch(out)
+            yield *at, number, held, False
+
+    def whole(batches):
+        for file, _, n, texts, complete in found(batches):
+            if complete:
+                raw = _slices(*texts) if isinstance(texts, tuple) else pa.array([texts.decode("utf-8")], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(file, len(raw)), pa.array(np.arange(n, n + len(raw), dtype=np.int64)), raw], names=["source", "idx", "raw"])
+
+    def cut(batches):
+        for file, start, n, texts, complete in found(batches):
+            if not complete:
+                yield pa.RecordBatch.from_pylist([{"source": file, "idx": n, "start": start, "raw": texts.decode("utf-8")}], pa.schema([("source", pa.string()), ("idx", pa.int64()), ("start", pa.int64()), ("raw", pa.string())]))
 
-    pieces = text.mapInArrow(run, "source string, idx long, start long, raw string, whole boolean")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("start", "raw"))), lambda p: p["raw"])  # one piece per block that an element crosses
-    cut = pieces.where("not whole").groupBy("source", "idx").agg(F.array_join(in_order, "").alias("raw"))
-    rows = pieces.where("whole").select("source", "idx", "raw").unionByName(cut).where(F.col("raw").rlike(r"\S"))
-    return rows.withColumn("raw", F.from_json(F.concat(F.lit('{"v":'), "raw", F.lit("}")), "v string").getField("v"))
+    pieces = text.mapInArrow(cut, "source string, idx long, start long, raw string")
+    crossing = pieces.groupBy("source", "idx").agg(F.array_join(in_order, "").alias("raw"))
+    rows = text.mapInArrow(whole, "source string, idx long, raw string").unionByName(crossing)
+    return rows.where(F.col("raw").rlike(r"\S")).withColumnRenamed("raw", "text")
 
 
 def write_document(head: dict[str, DataFrame], rows: DataFrame, path: str, order: list[str], name: str = "samples") -> None:
@@ -227,24 +268,27 @@ def write_document(head: dict[str, DataFrame], rows: DataFrame, path: str, order
     spark = rows.sparkSession
     parts = [f'"{k}":' + (df.select(fields(df)).first() or ["null"])[0] for k, df in head.items()]
     begin = "{" + ",".join(parts) + ("," if parts else "") + f'"{name}":['
-    keyed = rows.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)], fields(rows).alias("line"))
     keys = [f"k{i}" for i in range(len(order))]
-    first = keyed.groupBy().agg(F.min(F.struct(*keys, "line")).alias("m"), F.count("*").alias("n")).first()
+    keyed = rows.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(keys, order)], F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    line = F.to_json("row", {"ignoreNullFields": "false"})  # of all rows only after the sort, so it is made once
+    first = keyed.groupBy().agg(F.min(F.struct(*keys)).alias("m"), F.count("*").alias("n")).first()
     if not first["n"]:
         spark.createDataFrame([(begin + "]",)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "}").text(path)
         return
-    least = first["m"]["line"]
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.lit(first["m"][k]))
+    least = keyed.where(same).agg(F.min(line).alias("line")).first()["line"]
     # the first row follows the head; its exact copies, if any, are rows like the others
-    marked = keyed.withColumn("first", same & (F.col("line") == least))
-    copies = marked.where("first").groupBy(*keys, "line").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "line", F.explode(F.sequence(F.lit(2).cast("bigint"), "n")))
-    body = marked.where("not first").select(*keys, "line").union(copies.select(*keys, "line"))
-    lines = body.select(F.lit(1).alias("rank"), *keys, F.concat(F.lit(","), F.expr("substring(line, 1, length(line) - 1)")).alias("value"))
+    is_first = same & (line == least)
+    inner = lambda c: F.concat(F.lit(","), F.expr(f"substring({c}, 1, length({c}) - 1)"))
+    copies = keyed.where(is_first).select(*keys, line.alias("line")).groupBy(*keys, "line").agg(F.count("*").alias("n")).where("n > 1")
+    copies = copies.select(F.lit(1).alias("rank"), *keys, F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), inner("line").alias("value"), F.explode(F.sequence(F.lit(2).cast("bigint"), "n")).alias("copy")).drop("copy")
+    body = keyed.where(~is_first).select(F.lit(1).alias("rank"), *keys, "row", F.lit(None).cast("string").alias("value"))
     ends = spark.createDataFrame([(0, begin + least[:-1]), (2, "]")], "rank int, value string")
-    ends = ends.select("rank", *[F.lit(None).cast(keyed.schema[k].dataType).alias(k) for k in keys], "value")
-    lines.union(ends).orderBy("rank", *keys).select("value").write.mode("overwrite").option("lineSep", "}").text(path)
+    ends = ends.select("rank", *[F.lit(None).cast(keyed.schema[c].dataType).alias(c) for c in [*keys, "row"]], "value")
+    ordered = body.union(copies).union(ends).orderBy("rank", *keys).select("value", line.alias("line"))
+    ordered.select(F.coalesce("value", inner("line")).alias("value")).write.mode("overwrite").option("lineSep", "}").text(path)
 
 
 def read_head(spark: SparkSession, path: str, schema: str, name: str = "samples") -> DataFrame:

@@ -86,6 +86,17 @@ def test_benchmark_document_round_trip(spark, tmp_path):
     assert files.read_benchmark(spark, path, folder=True).count() == 0
 
 
+def test_samples_are_parsed_once(spark, tmp_path):
+    items = ['{"task_id": 7, "question": "a } b", "meta": {"half": 1.50}}', '"{\\"task_id\\": 3}"', '{"task_id" : "7", "answer": 2.50}', ' {"task_id": 8, "input_cams": "x", "answer": "y"}', "5", '{"task_id": 1, "answer": }']
+    (tmp_path / "b.json").write_text('{"samples": [' + ",".join(items) + "]}")
+    rows = files.read_benchmark(spark, str(tmp_path / "b.json"))
+    got = [(r.task_id, r.raw_task_id, r.question, r.answer, r.meta, r.is_object) for r in rows.orderBy("idx").collect()]
+    assert got == [(7, "7", "a } b", None, '{"half":1.5}', True), (None, "3", None, None, None, True), (None, "7", None, "2.5", None, True),
+                   (8, "8", None, "y", None, True), (None, None, None, None, None, False), (None, None, None, None, None, None)]
+    plan = rows.select("idx", "task_id", "question")._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and "raw_sample" not in plan
+
+
 def test_logs_and_decisions(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"bundle_key": " k ", "sample": {"task_id": 2}}\n\nbroken{\n{"task_id": 3}\n{"other": 1}\n')
     got = files.read_jsonl_lenient(spark, str(tmp_path / "a.jsonl")).collect()
