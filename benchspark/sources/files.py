@@ -35,8 +35,10 @@ DECISION = "bundle_id string, decision string, note string, reviewer string, upd
 def _samples(elements: DataFrame) -> DataFrame:
     """An object is parsed once, where it stands; its text without blanks is made only for those who read that column."""
     inside = T.StructType([T.StructField("v", SAMPLE)])
-    sample = F.when(F.col("text").rlike(r"^\s*\{"), F.from_json(wrapped(), inside).getField("v")).otherwise(F.from_json(unwrapped(), SAMPLE))
-    parsed = elements.select("source", "idx", "text", unwrapped().alias("raw_sample"), sample.alias("s"))
+    is_object = F.col("text").rlike(r"^\s*\{")
+    sample = F.when(is_object, F.from_json(wrapped(), inside).getField("v")).otherwise(F.from_json(unwrapped(), SAMPLE))
+    bare = F.when(is_object, F.col("text")).otherwise(unwrapped())
+    parsed = elements.select("source", "idx", bare.alias("text"), unwrapped().alias("raw_sample"), sample.alias("s"))
     return parsed.select(
         "source",
         "idx",

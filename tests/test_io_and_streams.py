@@ -91,7 +91,7 @@ def test_samples_are_parsed_once(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"samples": [' + ",".join(items) + "]}")
     rows = files.read_benchmark(spark, str(tmp_path / "b.json"))
     got = [(r.task_id, r.raw_task_id, r.question, r.answer, r.meta, r.is_object) for r in rows.orderBy("idx").collect()]
-    assert got == [(7, "7", "a } b", None, '{"half":1.5}', True), (None, "3", None, None, None, True), (None, "7", None, "2.5", None, True),
+    assert got == [(7, "7", "a } b", None, '{"half":1.5}', True), (3, "3", None, None, None, True), (None, "7", None, "2.5", None, True),
                    (8, "8", None, "y", None, True), (None, None, None, None, None, False), (None, None, None, None, None, None)]
     plan = rows.select("idx", "task_id", "question")._jdf.queryExecution().optimizedPlan().toString()
     assert "get_json_object" not in plan and "raw_sample" not in plan
