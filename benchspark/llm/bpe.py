@@ -198,6 +198,16 @@ def pack_book(book: DataFrame, kind: pa.DataType) -> tuple[Packed, Packed]:
     return Packed([bytes(r["words"]) for r in pieces], pa.string()), Packed([bytes(r["ids"]) for r in pieces], pa.list_(kind))
 
 
+def places(words: pa.Array, book: pa.Array) -> np.ndarray:
+    """Where each word stands in ``book``, -1 if nowhere. The book is looked up among the words, as a hash table of the far
+    larger book would be built anew each time."""
+    coded = words.dictionary_encode()
+    at = pc.index_in(book, value_set=coded.dictionary)
+    place = np.full(len(coded.dictionary), -1, np.int32)
+    place[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return place[coded.indices.to_numpy()]
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", digest: bool = False, keep: list[str] | None = None, most_common: int = COMMON_WORDS) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary), or with ``digest`` their count and SHA-256 sums.
 
@@ -218,9 +228,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
 
     def look_up(column):
         flat = column.flatten()
-        code = pc.index_in(flat.cast(pa.string()), value_set=shared.value.column)
-        missing = pc.is_null(code).to_numpy(zero_copy_only=False)
-        code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False).copy()
+        code = places(flat.cast(pa.string()), shared.value.column)
+        missing = code < 0
         ends = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py() if len(column) else np.zeros(1, np.int64)
         rest, at = [[] for _ in range(len(column))], np.flatnonzero(missing)
         if len(at):

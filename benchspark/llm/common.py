@@ -13,9 +13,11 @@ from benchspark.session import shared_dir
 
 MASK = (1 << 64) - 1
 #: Text bytes hashed at once; a longer single text is one chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bytes of an Arrow batch; a single longer row is one batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
+#: Rows that a Parquet reader decodes at once: whole texts are wide.
+READER_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +44,14 @@ def dropped(*frames: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limits the session's Arrow batches to ``BATCH_BYTES``, unless it has set a limit of its own.
+    """Limits the session's Arrow batches to ``BATCH_BYTES`` and a Parquet reader's to ``READER_ROWS``, unless it has set limits of its own.
 
-    Batches are else cut by rows only until they hold 64 MB, and a task holds one several times, in the JVM and in Python.
+    Arrow batches are else cut by rows only until they hold 64 MB, and a task holds one several times, in the JVM and in Python.
+    Python workers stay and keep what they once took: an executor has two per core after a step that calls Python twice.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_BYTES))
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
 
 
 def crc_of_id(doc_id="doc_id"):

@@ -37,7 +37,7 @@ NUMBERS = frozenset(
 )
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Code points of texts worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -45,15 +45,14 @@ def _tables() -> dict[str, np.ndarray]:
     """By code point: hash of the lower case, and whether it is part of a word, a digit, a capital, the end of a sentence."""
     if not _TABLES:
         n = sys.maxunicode + 1
-        chars = [chr(c) for c in range(n)]
         lower = np.arange(n, dtype=np.uint64)
-        for c, x in enumerate(chars):
+        for c, x in enumerate(map(chr, range(n))):
             if x.isupper() and len(x.lower()) == 1:
                 lower[c] = ord(x.lower())
         _TABLES["hash"] = mix(lower + np.uint64(0x51ED))
-        _TABLES["word"] = np.fromiter((x.isalnum() or x == "_" for x in chars), bool, n)
-        _TABLES["digit"] = np.fromiter((x.isdigit() for x in chars), bool, n)
-        _TABLES["upper"] = np.fromiter((x.isupper() for x in chars), bool, n)
+        _TABLES["word"] = np.fromiter((x.isalnum() or x == "_" for x in map(chr, range(n))), bool, n)
+        _TABLES["digit"] = np.fromiter((x.isdigit() for x in map(chr, range(n))), bool, n)
+        _TABLES["upper"] = np.fromiter((x.isupper() for x in map(chr, range(n))), bool, n)
         _TABLES["stop"] = np.isin(np.arange(n), [ord(x) for x in ".!?\n:;|\""])
     return _TABLES
 

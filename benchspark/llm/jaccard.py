@@ -82,7 +82,8 @@ def _features(base: DataFrame, size: int) -> DataFrame:
                 sets = shingle_sets(part.column("t"), size)
                 n = [len(s) for s in sets]
                 if sum(n):
-                    cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
+                    cell, k = np.unique((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.uint32), return_counts=True)
+                    cells[cell] += k.astype(np.uint32)
                 c = pa.array([_name(s) if len(s) else None for s in sets], pa.binary())
                 keys = pa.array([(s[:, None] * _SEEDS).min(0).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
                 none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())

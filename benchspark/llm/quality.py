@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +24,14 @@ _CLASS[97:123], _CLASS[128:], _CLASS[65:91], _CLASS[48:58] = 1, 1, 2, 3
 _CLASS[[33, 44, 46, 58, 59, 63]] = 4
 
 
-def indicator_cells(column: pa.Array) -> list[np.ndarray]:
-    """Per text its distinct cells: word 1- and 2-grams and 1- to 3-grams of word shapes (first, last and widest byte class,
+def indicator_cells(column: pa.Array) -> Iterator[np.ndarray]:
+    """One text after the other, its distinct cells: word 1- and 2-grams and 1- to 3-grams of word shapes (first, last and widest byte class,
     length, whether the word repeats the one before it)."""
-    out: list[np.ndarray] = []
     for _, data, offsets in text_chunks(column):
         starts, ends, doc = word_spans(_SEP[data], offsets)
         rows = len(offsets) - 1
         if not len(starts):
-            out += [np.zeros(0, np.int64)] * rows
+            yield from [np.zeros(0, np.int64)] * rows
             continue
         h = word_hashes(data, starts, ends)
         kinds = _CLASS[data]
@@ -48,8 +49,7 @@ def indicator_cells(column: pa.Array) -> list[np.ndarray]:
         cells = (mix(np.concatenate(grams)) >> np.uint64(47)).astype(np.int64)
         joint = np.unique(np.concatenate(owner) * DIMS + cells)
         cut = np.searchsorted(joint, np.arange(rows + 1) * DIMS)
-        out += [joint[a:b] % DIMS for a, b in zip(cut[:-1], cut[1:])]
-    return out
+        yield from (joint[a:b] % DIMS for a, b in zip(cut[:-1], cut[1:]))
 
 
 class SupportVectors:

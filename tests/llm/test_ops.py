@@ -5,6 +5,7 @@ import math
 import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -76,6 +77,17 @@ def test_bpe_book_holds_repeated_words_in_packed_pieces(spark):
     assert (len(known.column), len(ids.column)) == (0, 0)
 
 
+def test_bpe_looks_the_book_up_among_the_words():
+    book = pa.array([f"w{i}" for i in range(200_000)])
+    for words in (["w5", "no", "w199999", "w5", ""], []):
+        tracemalloc.start()
+        before = pa.total_allocated_bytes()
+        at = bpe.places(pa.array(words, pa.string()), book)
+        assert at.tolist() == [int(w[1:]) if re.fullmatch(r"w\d+", w) else -1 for w in words]
+        assert pa.total_allocated_bytes() - before < 1 << 20 and tracemalloc.get_traced_memory()[1] < 4 << 20
+        tracemalloc.stop()
+
+
 def test_bpe_digest_and_empty(spark, none):
     enc, rank_file, pattern = tokenizer()
     r = bpe.encode_documents(rows_of(spark, [(1, "it's  done\n\n ok"), (2, None)]), rank_file, pattern, digest=True, keep=["doc_id"]).orderBy("doc_id").collect()
@@ -97,6 +109,21 @@ def test_grammar_scores_clauses():
     assert g.features("") == [0, 0, 0, 0]
 
 
+def test_quality_holds_the_cells_of_one_chunk():
+    words = random.Random(1).choices([f"w{i}" for i in range(50_000)], k=800_000)
+    column = pa.array([" ".join(words[i : i + 400]) for i in range(0, len(words), 400)])
+    alone = [next(iter(quality.indicator_cells(column.slice(i, 1)))) for i in (0, 999, 1999)]
+    model = quality.QualityModel(np.ones(quality.DIMS), None, 0.5)
+    tracemalloc.start()
+    scores = [model.score(c) for c in quality.indicator_cells(column)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == len(column) and peak < 24 << 20
+    for i, c in enumerate(quality.indicator_cells(column)):
+        if i in (0, 999, 1999):
+            assert np.array_equal(c, alone.pop(0))
+
+
 @pytest.mark.parametrize("which", ["toxic", "quality"])
 def test_label_models(spark, odd, none, which):
     sf = "/root/testdata/sf0.01"

@@ -27,6 +27,17 @@ def test_stages(spark):
     assert {r.doc_id for r in out.collect()} == ids
 
 
+def test_batches_are_bounded_unless_the_session_bounds_them(spark):
+    own = spark.newSession()
+    common.bounded_batches(own)
+    assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
+    assert int(own.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        own.conf.set(key, "1024")
+    common.bounded_batches(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == own.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "1024"
+
+
 def test_empty(spark):
     docs = common.table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
