@@ -75,20 +75,22 @@ class QualityModel:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """The hinge-loss weights over ratio-scaled, unit-length indicators: each step solves one dual variable within [0, cost]."""
+    """The hinge-loss weights over ratio-scaled, unit-length indicators: each step solves one dual variable within [0, cost].
+
+    A row's values are taken from ``ratio`` when it is met: held for all rows they would be the largest thing in the driver."""
     w, bias = np.zeros(len(ratio)), 0.0
-    values = [ratio[r] / max(np.linalg.norm(ratio[r]), 1e-12) for r in rows]
-    square = np.array([float(v @ v) + 1.0 for v in values])
+    norm = np.array([max(np.linalg.norm(ratio[r]), 1e-12) for r in rows])
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            grad = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1
-            new = min(max(alpha[i] - grad / square[i], 0.0), cost[i])
+            values = ratio[rows[i]] / norm[i]
+            grad = y[i] * (float(w[rows[i]] @ values) + bias) - 1
+            new = min(max(alpha[i] - grad / (float(values @ values) + 1.0), 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 bias += step
                 alpha[i] = new
                 moved = max(moved, abs(step))

@@ -124,6 +124,19 @@ def test_quality_holds_the_cells_of_one_chunk():
             assert np.array_equal(c, alone.pop(0))
 
 
+def test_descent_holds_no_second_copy_of_the_rows():
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(quality.DIMS, 1000, replace=False)).astype(np.int32) for _ in range(1000)]
+    y = np.where(np.arange(1000) % 2 == 0, 1.0, -1.0)
+    ratio = rng.normal(size=quality.DIMS)
+    tracemalloc.start()
+    w, bias = quality.dual_coordinate_descent(rows, y, ratio, np.ones(1000), epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 << 20
+    assert np.mean([(w[r] @ ratio[r] + bias) * k > 0 for r, k in zip(rows, y)]) > 0.9
+
+
 @pytest.mark.parametrize("which", ["toxic", "quality"])
 def test_label_models(spark, odd, none, which):
     sf = "/root/testdata/sf0.01"
