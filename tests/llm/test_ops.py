@@ -461,6 +461,67 @@ def test_nearest_keeps_double_precision(spark):
         assert math.isclose(r.score, float(x[20] @ x[r.vec_id]), rel_tol=1e-12)
 
 
+def test_nearest_visits_few_shards(spark, monkeypatch):
+    """Each query visits every shard, so their number must not grow with a table that a few tasks can hold."""
+    kept = {}
+
+    def keep(df, purpose):
+        kept[purpose] = staged(df, purpose)
+        return kept[purpose]
+
+    staged = ann.staged
+    monkeypatch.setattr(ann, "staged", keep)
+    x = np.random.default_rng(6).normal(size=(40_000, 8)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 1000 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert kept["ann-graph"].select("shard").distinct().count() <= 8
+    hit = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(set(found) & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 40 and hit >= 0.99 * 800
+
+
+def test_shards_fit_tasks():
+    assert ann._shards(615_384, 64, None) == 19 and ann._shards(51_282, 64, None) == 8 and ann._shards(500, 64, None) == 1
+    assert ann._shards(6_000_000, 64, None) == -(-6_000_000 // 32_768) and ann._shards(900, 64, 200) == 5
+    assert ann.SHARD_BYTES / 4 / (768 + ann.DEGREE) > 1_000_000 / ann._shards(1_000_000, 768, None)
+
+
+@pytest.mark.parametrize("kind", ["spread", "clusters", "lengths"])
+def test_graph_of_a_large_shard(kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 24))
+    if kind == "clusters":
+        x = x[rng.integers(0, 20, len(x))] + 0.05 * x
+    if kind == "lengths":
+        x *= np.exp(rng.normal(size=(len(x), 1)) / 2)
+    x = x.astype(np.float32)
+    x, q = x[:5800], x[5800:]
+    wide = ann._augment(x, float(np.sqrt((x**2).sum(1).max())))
+    graph, entry = ann.build_graph(wide)
+    assert graph.shape == (len(x), ann.DEGREE) and (graph != np.arange(len(x))[:, None]).all()
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in graph)
+    seen = np.zeros(len(x), bool)
+    ann._reach(graph, entry, seen)
+    assert seen.all()
+    found = ann._search(wide, (wide**2).sum(1), graph, entry, np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1), ann.BEAM)
+    assert all(len(set(r)) == ann.BEAM for r in found) and found.min() >= 0
+    want = np.argsort(-(q @ x.T), 1)[:, :20]
+    assert np.mean([len(set(a[:40]) & set(b)) / 20 for a, b in zip(found, want)]) >= 0.98
+
+
+def test_graph_of_a_few_points():
+    for n in (1, 2, 5):
+        x = np.eye(n, 6, dtype=np.float32)
+        graph, entry = ann.build_graph(x)
+        found = ann._search(x, (x**2).sum(1), graph, entry, x, 8)
+        assert (found[:, 0] == np.arange(n)).all() and ((found >= 0).sum(1) == n).all()
+
+
 # --- 10 license scan ----------------------------------------------------------------------------------------------
 
 def brute_base(text):
